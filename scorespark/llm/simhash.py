@@ -34,17 +34,25 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The 64-bit SimHash over word shingles, repeats included; 0 where there are no words."""
+def shingle_hashes(text: str | None, width: int) -> bytes:
+    """XXH64 of every word shingle, 8 bytes each; of the whole sequence where there are fewer words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return b""
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     digest = xxhash.xxh64_digest
-    flat = b"".join([digest(s, SEED) for s in shingles])
+    return b"".join([digest(s, SEED) for s in shingles])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit SimHash over word shingles, repeats included; 0 where there are no words."""
+    return of_hashes(shingle_hashes(text, width))
+
+
+def of_hashes(flat: bytes) -> int:
     bits = np.zeros(64, np.int64)
     step = 1 << 16
     for at in range(0, len(flat), 8 * step):
@@ -64,26 +72,29 @@ def _fingerprints(width: int):
 class BitSlices:
     """Bit planes of a block of fingerprints: plane b holds bit b of all of them, one beside the other."""
 
-    def __init__(self, prints: list[int], used: list[int]):
+    def __init__(self, prints: list[int], used: list[int], radius: int = RADIUS):
         raw = np.array(prints, np.uint64)
+        width = radius.bit_length() if radius & (radius + 1) == 0 else (radius + 1).bit_length()
         self.full = (1 << len(prints)) - 1
         self.used = used
+        # Counters begin so high that they overflow at radius + 1.
+        self.begin = [self.full if (1 << width) - 1 - radius >> k & 1 else 0 for k in range(width)]
         self.planes = [int.from_bytes(np.packbits(((raw >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little").tobytes(), "little") for b in used]
 
     def near(self, probe: int) -> int:
-        """A bit for each fingerprint within RADIUS of probe.
+        """A bit for each fingerprint within the radius of probe.
 
-        The distances of the whole block are counted at once by two carry-save bits; a third bit is set for good once
-        a distance passes RADIUS, and the block is left as soon as that holds for all.
+        The distances of the whole block are counted at once, each bit of the counters in a word of its own: a plane is
+        added by carry-save steps. A carry out of the last one is set for good: that distance has passed the radius.
+        The block is left as soon as that holds for all.
         """
-        ones = twos = over = 0
-        full = self.full
+        counters, over, full = self.begin.copy(), 0, self.full
+        places = range(len(counters))
         for b, plane in zip(self.used, self.planes, strict=True):
-            differ = plane ^ full if probe >> b & 1 else plane
-            carry = ones & differ
-            ones ^= differ
-            over |= twos & carry
-            twos ^= carry
+            carry = plane ^ full if probe >> b & 1 else plane
+            for k in places:
+                counters[k], carry = counters[k] ^ carry, counters[k] & carry
+            over |= carry
             if over == full:
                 return 0
         return full & ~over
@@ -138,10 +149,83 @@ def simhash_dedup(docs: DataFrame, width: int = 3, slot: int = SLOT) -> DataFram
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "_rid")
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs, all columns, with one row of each component: the first with the smallest doc_id."""
-    found = saved(simhash_dedup(docs, width), "near")
-    first = found.groupBy("component_id").agg(F.expr("min(struct(doc_id IS NULL AS n, doc_id, _rid)).`_rid`").alias("keep"))
-    # A component without any doc_id has a null id: such rows are compared by null-safe equality.
-    gone = found.join(first, found["component_id"].eqNullSafe(first["component_id"])).where("_rid <> keep").select(F.col("_rid").alias(ROW))
-    return without_rows(docs.withColumn(ROW, F.monotonically_increasing_id()), ROW, saved(gone, "gone")).select(*docs.columns)
+#: Blocks of texts for near_texts(): BANDS keys of two minima each, and the radius that compares fingerprints in them.
+BANDS = 6
+WIDE_RADIUS = 22
+_FACTORS = np.random.default_rng(3).integers(0, 1 << 63, 2 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _sketches(width: int):
+    """row, fp, bands, set (sorted 32-bit shingle hashes, little-endian) of every text that has words."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        rows, prints, bands, sets = [], [], [], []
+        for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            flat = shingle_hashes(text, width)
+            if not flat:
+                continue
+            h = np.unique(np.frombuffer(flat, ">u8"))
+            least = [int((h * f).min()) for f in _FACTORS]
+            rows.append(row)
+            prints.append(signed(of_hashes(flat)))
+            bands.append([xxhash.xxh64_intdigest(f"{k}:{least[2 * k]}:{least[2 * k + 1]}") - (1 << 63) for k in range(BANDS)])
+            sets.append(np.unique((h >> np.uint64(32)).astype("<u4")).tobytes())
+        return {"row": pa.array(rows, pa.int64()), "fp": pa.array(prints, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.binary())}
+
+    return lambda: work
+
+
+def _similar_in_tile(similarity: float):
+    def work(run: pd.DataFrame) -> pd.DataFrame | None:
+        rows, prints = run["row"].tolist(), [x & 0xFFFFFFFFFFFFFFFF for x in run["fp"]]
+        sets = [np.frombuffer(x, "<u4") for x in run["shingles"]]
+        slices = BitSlices(prints, list(range(64)), WIDE_RADIUS)
+        unseen, out = slices.full, []
+        while unseen:
+            root = (unseen & -unseen).bit_length() - 1
+            unseen &= ~(1 << root)
+            todo = [root]
+            while todo and unseen:
+                i = todo.pop()
+                found = slices.near(prints[i]) & unseen
+                while found:
+                    j = (found & -found).bit_length() - 1
+                    found &= found - 1
+                    small, large = sorted((len(sets[i]), len(sets[j])))
+                    if small < similarity * large:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both >= similarity * (small + large - both):
+                        unseen &= ~(1 << j)
+                        out.append((rows[root], rows[j]))
+                        todo.append(j)
+        return pd.DataFrame(out, columns=["a", "b"]) if out else None
+
+    return work
+
+
+def near_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, slot: int = SLOT // 2) -> DataFrame:
+    """(row, label) of the rows of docs (row, text) that are near copies of another; label is the smallest row reachable.
+
+    Texts are linked when the Jaccard similarity of their sets of word shingles is at least similarity. At that
+    similarity fingerprints differ in about ten bits, too many for blocks of equal bits. So texts are blocked by
+    minima of their shingle hashes (a pair at 0.8 shares a block with probability 0.997), compared bit-sliced within
+    WIDE_RADIUS bits inside a block, in tiles, and what is left is verified on the sets themselves. Texts without
+    words link with nothing.
+    """
+    sketches = saved(map_batches(docs.select("row", "text"), _sketches(width), "row long, fp long, bands array<long>, shingles binary"), "sketches")
+    entries = tiles(sketches.select("row", F.explode("bands").alias("band")), ["band"], "row", slot)
+    members = entries.join(sketches.select("row", "fp", "shingles"), "row")
+    edges = map_runs(members, ["band", "_a", "_b"], _similar_in_tile(similarity), "a long, b long")
+    return components(edges).select(F.col("node").alias("row"), "label")
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all columns, with one row of each group of near copies: that with the smallest doc_id (null last)."""
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    light = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    found = saved(near_texts(light, width, similarity), "near")
+    named = light.select("doc_id", "row").join(found, "row")
+    first = named.groupBy("label").agg(F.expr("min(struct(doc_id IS NULL AS n, doc_id, row)).row").alias("keep"))
+    gone = saved(named.join(first, "label").where("row <> keep").select(F.col("row").alias(ROW)), "gone")
+    return without_rows(rows, ROW, gone).select(*docs.columns)
