@@ -18,19 +18,24 @@ from scorespark.llm.tokens import MEMORY, ODD_BLANKS, PARTS, Remembering, ranks
 MOST_STATES = 300_000
 
 
-class State:
+class State(dict):
     """Bytes read since the last token that is certain, and the token before them.
 
-    ends[i] is the last token of the encoding of the first i + 1 pending bytes; step: byte -> (tokens out, state).
+    Maps a byte to (tokens out, next state); a move that has not been taken before is made when it is asked for.
+    ends[i] is the last token of the encoding of the first i + 1 pending bytes.
     """
 
-    __slots__ = ("before", "ends", "flushed", "pending", "step")
+    __slots__ = ("before", "ends", "flushed", "machine", "pending")
 
-    def __init__(self, before: bytes | None, pending: bytes, ends: tuple[bytes, ...]):
-        self.before, self.pending, self.ends = before, pending, ends
-        self.step: dict[int, tuple[tuple[int, ...], State]] = {}
+    def __init__(self, machine: Transducer, before: bytes | None, pending: bytes, ends: tuple[bytes, ...]):
+        super().__init__()
+        self.machine, self.before, self.pending, self.ends = machine, before, pending, ends
         self.flushed: tuple[int, ...] | None = None
 
+    def __missing__(self, byte: int) -> tuple[tuple[int, ...], State]:
+        move = self[byte] = self.machine.advance(self, byte)
+        return move
+
 
 class Transducer:
     """Compiles BPE merges (ranks of byte strings) into a transducer, state by state as texts need them.
@@ -46,52 +51,90 @@ class Transducer:
         self.begins = {t[:i] for t in table for i in range(1, len(t))}
         self.longest = max(map(len, table))
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
-        self._alone: dict[bytes, bool] = {}
+        self._known: dict[bytes, tuple | None] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.start = State(None, b"", ())
+        self.start = State(self, None, b"", ())
         self.states = {(None, b""): self.start}
 
-    def merge(self, text: bytes) -> list[bytes]:
-        """The merges one by one, lowest rank first, leftmost of equals; only for strings of at most two tokens."""
-        parts, rank = [text[i : i + 1] for i in range(len(text))], self.rank
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: rank.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+    def _edges(self, t: bytes) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]] | None:
+        """(rank, part) of the parts that touch the left and the right end of t, one after the other as its merges
+        make them; None if merging the bytes of t does not give t."""
+        if t in self._known:
+            return self._known[t]
+        halves = self._last_merge(t)
+        if halves is None:
+            found = ([(-1, t)], [(-1, t)]) if len(t) == 1 else None
+        else:
+            a, b = (self._edges(x) for x in halves)
+            found = None if a is None or b is None else ([*a[0], (self.rank[t], t)], [*b[1], (self.rank[t], t)])
+        self._known[t] = found
+        return found
+
+    def _last_merge(self, t: bytes) -> tuple[bytes, bytes] | None:
+        parts = [t[i : i + 1] for i in range(len(t))]
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda i: self.rank.get(parts[i] + parts[i + 1], 1 << 60))
+            joined = parts[best] + parts[best + 1]
+            if joined not in self.rank:
+                return None
+            parts[best : best + 2] = [joined]
+        return (parts[0], parts[1]) if len(parts) == 2 else None
 
     def _fits(self, u: bytes | None, t: bytes) -> bool:
+        """Whether t stands alone, or u and t side by side, as tokens of the encoding of their bytes.
+
+        Merges come by rank. So the parts on either side of the border grow in order of rank, and the two tokens stay
+        apart if at no time the pair across the border has a lower rank than the next merge on either side; a merge
+        across comes before one of the same rank to its right.
+        """
         if u is None:
-            if (ok := self._alone.get(t)) is None:
-                ok = self._alone[t] = self.merge(t) == [t]
-            return ok
+            return self._edges(t) is not None
         if (ok := self._pairs.get((u, t))) is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 1_000_000:
                 self._pairs.clear()
-            ok = self._pairs[u, t] = self._fits(None, t) and self.merge(u + t) == [u, t]
+            left, right = self._edges(u), self._edges(t)
+            ok = self._pairs[u, t] = left is not None and right is not None and self._apart(left[1], right[0])
         return ok
 
-    def _advance(self, s: State, byte: int) -> tuple[tuple[int, ...], State]:
+    def _apart(self, left: list[tuple[int, bytes]], right: list[tuple[int, bytes]]) -> bool:
+        i = j = 0
+        never = 1 << 60
+        while True:
+            next_left = left[i + 1][0] if i + 1 < len(left) else never
+            next_right = right[j + 1][0] if j + 1 < len(right) else never
+            across = self.rank.get(left[i][1] + right[j][1], never)
+            if across < next_left and across <= next_right and across < never:
+                return False
+            if next_left == next_right == never:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+
+    def advance(self, s: State, byte: int) -> tuple[tuple[int, ...], State]:
         pending, rank = s.pending + bytes((byte,)), self.rank
         n = len(pending)
+        begins, end = self.begins, None
+        # Prefixes that matter are those after which a longer token may begin.
+        alive = {n}
         for i in range(max(0, n - self.longest), n):  # the longest first
-            if (t := pending[i:]) in rank and self._fits(s.ends[i - 1] if i else s.before, t):
-                ends = (*s.ends, t)
-                break
-        else:
+            rest = pending[i:]
+            if rest in begins:
+                alive.add(i)
+            if end is None and rest in rank and self._fits(s.ends[i - 1] if i else s.before, rest):
+                end = rest
+        if end is None:
             raise ValueError(f"no token ends {pending!r}")
-        alive = [i for i in range(max(0, n - self.longest + 1), n) if pending[i:] in self.begins] + [n]
-        paths = []
-        for i in alive:
-            path = [i]
-            while i:
-                i -= len(ends[i - 1])
-                path.append(i)
-            paths.append(set(path))
-        cut = max(set.intersection(*paths))
+        ends = (*s.ends, end)
+        # Where their paths meet: the largest place steps back until one is left.
+        while len(alive) > 1:
+            i = max(alive)
+            alive.discard(i)
+            alive.add(i - len(ends[i - 1]))
+        cut = alive.pop()
         out: tuple[int, ...] = ()
         before = s.before
         if cut:
@@ -104,9 +147,8 @@ class Transducer:
             pending, ends = pending[cut:], ends[cut:]
         key = (before, pending)
         if (state := self.states.get(key)) is None:
-            state = self.states[key] = State(before, pending, ends)
-        move = s.step[byte] = (out, state)
-        return move
+            state = self.states[key] = State(self, before, pending, ends)
+        return out, state
 
     def _flush(self, s: State) -> tuple[int, ...]:
         i, tokens = len(s.pending), []
@@ -123,10 +165,9 @@ class Transducer:
             self._reset()
         state, out = self.start, []
         for byte in piece:
-            move = state.step.get(byte) or self._advance(state, byte)
-            if move[0]:
-                out += move[0]
-            state = move[1]
+            tokens, state = state[byte]
+            if tokens:
+                out += tokens
         out += self._flush(state) if state.flushed is None else state.flushed
         return out
 
@@ -203,9 +244,17 @@ class Codec:
         # The library's \s is Unicode White_Space.
         self.pattern = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}"))
         self.memory = Remembering(self._parts, MEMORY)
+        self.pieces: dict[str, list[int]] = {}
 
     def _ids(self, text: str) -> list[int]:
-        return [i for piece in self.pattern.findall(text) for i in self.machine.encode(piece.encode())]
+        out, known = [], self.pieces
+        for piece in self.pattern.findall(text):
+            if (ids := known.get(piece)) is None:
+                ids = self.machine.encode(piece.encode())
+                if len(known) < MEMORY:
+                    known[piece] = ids
+            out += ids
+        return out
 
     def _parts(self, new: list[str]) -> list[tuple[bytes, str]]:
         return [(np.array(ids, "<u4").tobytes(), " ".join(map(str, ids))) for ids in map(self._ids, new)]
@@ -215,12 +264,7 @@ class Codec:
         if ODD_BLANKS.search(text):
             ids = self._ids(text)
             return np.array(ids, "<u4"), " ".join(map(str, ids))
-        parts = PARTS.findall(text)
-        try:
-            found = [self.memory[p] for p in parts]
-        except KeyError:
-            self.memory.learn(parts)
-            found = [self.memory[p] for p in parts]
+        found = self.memory.values_of(PARTS.findall(text))
         return np.frombuffer(b"".join([x[0] for x in found]), "<u4"), " ".join([x[1] for x in found])
 
     def decode(self, ids: np.ndarray) -> bytes:

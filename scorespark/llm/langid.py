@@ -107,12 +107,7 @@ class Model:
         words = WORDS.findall((text or "").lower())
         if not words or not self.languages:
             return "und", 0.0
-        memory = self.memory
-        try:
-            rows = [memory[w] for w in words]
-        except KeyError:
-            memory.learn(words)
-            rows = [memory[w] for w in words]
+        rows = self.memory.values_of(words)
         total = np.zeros(len(self.languages))
         for at in range(0, len(rows), 1 << 16):
             total += np.array(rows[at : at + (1 << 16)]).sum(axis=0)

@@ -10,10 +10,8 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 
-#: Entries of a worker's memory; when full it starts anew, so memory is bounded for any corpus.
+#: Entries of a worker's memory, so that it is bounded for any corpus.
 MEMORY = 400_000
-#: Longest piece of text that is remembered.
-LONGEST = 256
 #: Python counts these as blank, the libraries' patterns do not: such texts go to the library whole.
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
 #: A text falls into these parts before any merge; the split of each part depends on nothing outside it.
@@ -26,6 +24,7 @@ def file_of(name: str) -> str:
 
 @lru_cache(maxsize=4)
 def library(name: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(file_of(name))
@@ -41,20 +40,32 @@ def ranks(name: str) -> dict[bytes, int]:
 
 
 class Remembering(dict):
-    """part of a text -> what encode(part list) gives for it; filled in batches."""
+    """part of a text -> what encode(list of parts) gives for it.
+
+    Holds the first `most` parts that come, which word frequencies make the common ones; rarer parts are encoded as they
+    come. When those have become many times `most`, the texts have changed, and it starts anew.
+    """
 
     def __init__(self, encode, most: int = MEMORY):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.missed = encode, most, 0
 
-    def learn(self, parts: list[str]) -> None:
+    def values_of(self, parts: list[str]) -> list:
+        try:
+            return [self[p] for p in parts]
+        except KeyError:
+            pass
         new = list({p for p in parts if p not in self})
-        if not new:
-            return
-        if len(self) > self.most:
+        found = dict(zip(new, self.encode(new), strict=True))
+        if len(self) < self.most:
+            self.update(found)
+            return [self[p] for p in parts]
+        self.missed += len(new)
+        out = [found[p] if p in found else self[p] for p in parts]
+        if self.missed > 20 * self.most:
             self.clear()
-            new = list(set(parts))
-        self.update(zip(new, self.encode(new), strict=True))
+            self.missed = 0
+        return out
 
 
 class WordIds:
@@ -71,12 +82,7 @@ class WordIds:
     def __call__(self, text: str) -> bytes:
         if not self.plain(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, memory = text.split(), self.memory
-        try:
-            return b"".join([memory[w] for w in words])
-        except KeyError:
-            memory.learn(words)
-            return b"".join([memory[w] for w in words])
+        return b"".join(self.memory.values_of(text.split()))
 
 
 class Counter:
@@ -90,12 +96,7 @@ class Counter:
     def __call__(self, text: str) -> int:
         if ODD_BLANKS.search(text) or any(s in text for s in self.special):
             return len(self.tok.encode(text, add_special_tokens=False).ids)
-        parts, memory = PARTS.findall(text), self.memory
-        try:
-            return sum([memory[p] for p in parts])
-        except KeyError:
-            memory.learn(parts)
-            return sum([memory[p] for p in parts])
+        return sum(self.memory.values_of(PARTS.findall(text)))
 
 
 class PieceCounter:
