@@ -1,0 +1 @@
+"""Operators on DataFrames of events, boxes and sequences."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("scalars", "joins", "aggregates", "windows", "selection", "sequences", "quality")
 FLAGSHIP = "carry_forward"
 
 
