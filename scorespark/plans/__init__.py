@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("scalars", "joins", "aggregates", "windows", "selection", "sequences", "quality")
+_MODULES = ("scalars", "joins", "aggregates", "windows", "selection", "sequences", "quality", "io", "streams")
 FLAGSHIP = "carry_forward"
 
 
