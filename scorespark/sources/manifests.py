@@ -39,8 +39,10 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
 
 def annotated_images(images: DataFrame, annotations: DataFrame) -> DataFrame:
     """Images with their annotations in order of id; an annotation without image is an error when it is read."""
-    orphans = annotations.join(images.select(F.col("id").alias("image_id")), "image_id", "left_anti")
-    checked = annotations.unionByName(orphans.select(*[F.raise_error(F.concat(F.lit("no image "), F.col("image_id"))).cast(f.dataType).alias(f.name) for f in annotations.schema]))
+    known = images.select(F.col("id").alias("image_id"), F.lit(True).alias("_there"))
+    # The error hangs on the joined flag: hung on the key, it would be evaluated before the join.
+    wrong = F.raise_error(F.concat(F.lit("no image "), F.col("image_id").cast("string"))).cast("long")
+    checked = annotations.join(known, "image_id", "left").withColumn("image_id", F.when(F.col("_there").isNull(), wrong).otherwise(F.col("image_id"))).drop("_there")
     grouped = checked.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in annotations.columns if c not in {"id", "image_id"}]))).alias("annotations"))
     return images.join(grouped, images["id"] == grouped["image_id"], "left").drop("image_id")
 
