@@ -205,3 +205,143 @@ def cheapest_fill(options: list[list[tuple[int, float]]], target: int, beam: int
         states = dict(sorted(after.items(), key=lambda s: (abs(s[0] - target), s[1][0]))[:beam])
     found = states.get(target)
     return None if found is None else (found[0], list(found[1]))
+
+
+def iou(a: tuple[float, ...], b: tuple[float, ...]) -> float:
+    """Intersection over union of two boxes (x, y, w, h)."""
+    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    both = max(0.0, w) * max(0.0, h)
+    union = a[2] * a[3] + b[2] * b[3] - both
+    return both / union if union > 0 else 0.0
+
+
+def match_boxes(df: DataFrame, by: list[str], least_iou: float | None = 0.3, most_distance: float | None = None) -> DataFrame:
+    """Boxes of two sides (side 0: truth, 1: found, with score) matched one to one within each group.
+
+    Found boxes by falling score (then id) take the unused truth of the highest overlap, at least least_iou; or, with
+    most_distance, the one with the nearest centre. df has id, side, score, x, y, w, h; groups are (image, class).
+    """
+
+    def fold(g: pd.DataFrame) -> list[tuple]:
+        truths, out, used = g[g["side"] == 0], [], set()
+        boxes = [(int(r.id), (r.x, r.y, r.w, r.h)) for r in truths.itertuples()]
+        for r in g[g["side"] == 1].sort_values(["score", "id"], ascending=[False, True]).itertuples():
+            best = None
+            for k, (ident, box) in enumerate(boxes):
+                if k in used:
+                    continue
+                if most_distance is None:
+                    rank = iou((r.x, r.y, r.w, r.h), box)
+                    ok = rank >= least_iou
+                else:
+                    gap = float(np.hypot(r.x + r.w / 2 - box[0] - box[2] / 2, r.y + r.h / 2 - box[1] - box[3] / 2))
+                    rank, ok = -gap, gap <= most_distance
+                if ok and (best is None or (rank, -ident) > best[0]):
+                    best = ((rank, -ident), k)
+            if best:
+                used.add(best[1])
+                out.append((*(g[c].iloc[0] for c in by), int(r.id), boxes[best[1]][0], round(abs(best[0][0]), 9)))
+        return out
+
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + ", found_id long, truth_id long, measure double"
+    return fold_groups(df, by, ["side", "id"], fold, schema)
+
+
+def suppress_boxes(df: DataFrame, by: list[str], least_iou: float = 0.4) -> DataFrame:
+    """Non-maximum suppression: boxes by falling score (then id) stay unless a kept box of the group overlaps them by
+    at least least_iou."""
+
+    def fold(g: pd.DataFrame) -> list[tuple]:
+        kept: list[tuple] = []
+        out = []
+        for r in g.sort_values(["score", "id"], ascending=[False, True]).itertuples():
+            box = (r.x, r.y, r.w, r.h)
+            if all(iou(box, k) < least_iou for k in kept):
+                kept.append(box)
+                out.append((*(g[c].iloc[0] for c in by), int(r.id)))
+        return out
+
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + ", id long"
+    return fold_groups(df, by, ["id"], fold, schema)
+
+
+def join_digits(digits: list[tuple[float, int]], gap: float, most: int = 36) -> list[tuple[float, int]]:
+    """Digits (x, value) in order joined in twos: the first 1 to 3, the number 10 to `most`, closer than gap."""
+    out, i = [], 0
+    while i < len(digits):
+        x, v = digits[i]
+        if i + 1 < len(digits) and 1 <= v <= 3 and digits[i + 1][0] - x < gap and 10 <= 10 * v + digits[i + 1][1] <= most:
+            out.append(((x + digits[i + 1][0]) / 2, 10 * v + digits[i + 1][1]))
+            i += 2
+        else:
+            out.append((x, v))
+            i += 1
+    return out
+
+
+def mean_groups(xs: list[float], reach: float) -> list[int]:
+    """Numbers of groups of ordered places: a place joins the last group while within reach of its mean so far."""
+    out, members = [], []
+    for x in xs:
+        if members and abs(x - sum(members) / len(members)) <= reach:
+            members.append(x)
+            out.append(out[-1])
+        else:
+            members = [x]
+            out.append(out[-1] + 1 if out else 0)
+    return out
+
+
+def anchored_pairs(a: list[tuple[str, float]], b: list[tuple[str, float]]) -> tuple[list[tuple[int, int]], str]:
+    """Alignment pinned by prints that occur once on either side in the same order; stretches between are monotone."""
+    once = lambda rows: {p: i for i, (p, _) in enumerate(rows) if sum(q == p for q, _ in rows) == 1}
+    at_a, at_b = once(a), once(b)
+    pins, last = [], -1
+    for i, j in sorted((at_a[p], at_b[p]) for p in at_a.keys() & at_b.keys()):
+        if j > last:
+            pins.append((i, j))
+            last = j
+    out, i0, j0 = [], 0, 0
+    for i, j in [*pins, (len(a), len(b))]:
+        out += [(i0 + p, j0 + q) for p, q in monotone_pairs([x for _, x in a[i0:i]], [x for _, x in b[j0:j]])]
+        if i < len(a) or j < len(b):
+            out.append((i, j))
+        i0, j0 = i + 1, j + 1
+    return out, "anchors" if pins else "monotone"
+
+
+def windows_of_markers(events: list[float], markers: list[float], sizes: tuple[int, ...] = (2, 3, 4, 5, 6, 7), penalty: float = 0.12) -> list[tuple[int, int, int]]:
+    """(marker, first event, number of events): each marker in order takes the run of unused events whose centre lies
+    nearest, with a penalty for each event."""
+    out, used = [], set()
+    for m, x in enumerate(markers):
+        best = None
+        for n in sizes:
+            for i in range(len(events) - n + 1):
+                if used.isdisjoint(range(i, i + n)):
+                    cost = abs((events[i] + events[i + n - 1]) / 2 - x) + penalty * n
+                    if best is None or (cost, n, i) < best:
+                        best = (cost, n, i)
+        if best:
+            used.update(range(best[2], best[2] + best[1]))
+            out.append((m, best[2], best[1]))
+    return out
+
+
+def resolve_ties(events: list[tuple[int, bool, int]], recent: int = 8) -> list[tuple[int, int, str]]:
+    """(event, source, method) of continuations in a document's order: events are (key, continues, value).
+
+    A continuation takes the event right before with the same key, or the last one with that key at most `recent`
+    events back, and only if it is the single candidate of the first kind that has any.
+    """
+    last: dict[int, int] = {}
+    out = []
+    for n, (key, continues, _) in enumerate(events):
+        if continues:
+            if n and events[n - 1][0] == key:
+                out.append((n, n - 1, "adjacent"))
+            elif key in last and n - last[key] <= recent:
+                out.append((n, last[key], "recent"))
+        last[key] = n
+    return out

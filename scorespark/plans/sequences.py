@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scorespark.functions import scalar as S
 from scorespark.operators import folds, timeline
-from scorespark.plans.base import EVENTS, Registry, events, table
+from scorespark.plans.base import EVENTS, Registry, boxes, events, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -307,3 +307,151 @@ def override_flags(spark, d):
 def scaled_ticks(spark, d):
     e = events(spark, d).where("event_type = 'purchase'").select("event_id", F.explode(F.array(F.lit(0.5), F.lit(1.0))).alias("w"))
     return e.withColumn("ticks", F.round(F.lit(S.WHOLE) * F.col("w")).cast("long"))
+
+
+def _two_sides(spark, d):
+    """Line items as boxes: odd lines are truth, even lines are found; the flag is their class."""
+    b = boxes(spark, d).withColumn("id", F.col("l_linenumber").cast("long") * 1_000_000 + (F.col("x") * 1000 + F.col("y")).cast("long"))
+    return b.select("l_orderkey", F.col("l_linestatus").alias("kind"), "id", (F.col("l_linenumber") % 2 == 0).cast("int").alias("side"), F.col("l_quantity").alias("score"), "x", "y", (F.col("w") * 2).alias("w"), (F.col("h") * 2).alias("h"))
+
+
+@query()
+def box_match_iou(spark, d):
+    """Found boxes by falling score take the truth of the same class that overlaps most, at 0.3 at least."""
+    return folds.match_boxes(_two_sides(spark, d), ["l_orderkey", "kind"], 0.3)
+
+
+@query()
+def box_match_center(spark, d):
+    """The same by the distance of centres, 20 at most."""
+    return folds.match_boxes(_two_sides(spark, d), ["l_orderkey", "kind"], None, 20.0)
+
+
+@query()
+def nms_boxes(spark, d):
+    """Boxes of an order and class that no better box overlaps by 0.4."""
+    return folds.suppress_boxes(_two_sides(spark, d), ["l_orderkey", "kind"], 0.4)
+
+
+def _glyphs(spark, d):
+    return events(spark, d).select("user_id", "day", "event_id", F.col("x").cast("double").alias("x"), (F.col("v") % 10).alias("digit"), (F.col("v") % 6).alias("string"))
+
+
+@query()
+def join_digits(spark, d):
+    """Digits of a user, day and string joined to numbers."""
+
+    def fold(g: pd.DataFrame) -> list[tuple]:
+        key = (int(g["user_id"].iloc[0]), g["day"].iloc[0], int(g["string"].iloc[0]))
+        return [(*key, float(x), int(v)) for x, v in folds.join_digits(list(zip(g["x"], g["digit"], strict=True)), 3000.0)]
+
+    return folds.fold_groups(_glyphs(spark, d), [*ON, "string"], ["x", "event_id"], fold, "user_id long, day string, string long, x double, fret long")
+
+
+@query()
+def group_onsets(spark, d):
+    """Events of a user and day grouped by the running mean of the last group."""
+
+    def fold(g: pd.DataFrame) -> list[tuple]:
+        return [(int(u), day, int(e), n) for u, day, e, n in zip(g["user_id"], g["day"], g["event_id"], folds.mean_groups(g["x"].tolist(), 900.0), strict=True)]
+
+    return folds.fold_groups(_glyphs(spark, d), ON, ["x", "event_id"], fold, "user_id long, day string, event_id long, grp long")
+
+
+@query()
+def align_anchored(spark, d):
+    """Views and clicks of a user and day, pinned by rare values and aligned in order between."""
+    e = events(spark, d).where(F.col("event_type").isin("view", "click"))
+    e = timeline.minmax(e, [*ON, "event_type"], ["x", "event_id"], "x").select(*ON, "event_type", "event_id", "scaled", (F.col("v") % 40).cast("string").alias("print"))
+
+    def fold(g: pd.DataFrame) -> list[tuple]:
+        a, b = g[g["event_type"] == "view"], g[g["event_type"] == "click"]
+        pairs, method = folds.anchored_pairs(list(zip(a["print"], a["scaled"], strict=True)), list(zip(b["print"], b["scaled"], strict=True)))
+        return [(*g[ON].iloc[0], int(a["event_id"].iloc[i]), int(b["event_id"].iloc[j]), method) for i, j in pairs]
+
+    return folds.fold_groups(e, ON, ["event_type", "scaled", "event_id"], fold, "user_id long, day string, view_id long, click_id long, method string")
+
+
+@query()
+def event_evaluation(spark, d):
+    """Scores of the edit alignment over all days: exact, missed and extra events, precision, recall and F1."""
+    a = align_edit(spark, d).agg(F.sum("expected").alias("expected"), F.sum("found").alias("found"), F.sum("exact").alias("tp"), F.sum("missed").alias("missed"), F.sum("extra").alias("extra"))
+    m = S.precision_recall_zero(F.col("tp"), F.col("found") - F.col("tp"), F.col("expected") - F.col("tp"))
+    return a.select("*", *[F.round(c, 9).alias(n) for n, c in m.items()])
+
+
+@query()
+def assign_marker_window(spark, d):
+    """Each error marker of a user and day takes the run of events whose centre lies nearest."""
+    e = events(spark, d).select(*ON, "event_id", "x", (F.col("event_type") == "error").alias("marker"))
+
+    def fold(g: pd.DataFrame) -> list[tuple]:
+        ev, mk = g[~g["marker"]], g[g["marker"]]
+        hours = lambda c: (c / 3600).tolist()
+        found = folds.windows_of_markers(hours(ev["x"]), hours(mk["x"]))
+        return [(*g[ON].iloc[0], int(mk["event_id"].iloc[m]), int(ev["event_id"].iloc[i]), n) for m, i, n in found]
+
+    return folds.fold_groups(e, ON, ["x", "event_id"], fold, "user_id long, day string, marker_id long, first_id long, n long")
+
+
+@query()
+def resolve_continuations(spark, d):
+    """Continuations of a user's events, in order of time, and where they come from."""
+    e = events(spark, d).select("user_id", "event_id", "ts", (F.col("v") % 6).alias("key"), (F.col("v") % 5 == 0).alias("tied"), "v")
+
+    def fold(g: pd.DataFrame) -> list[tuple]:
+        ids = g["event_id"].tolist()
+        found = folds.resolve_ties(list(zip(g["key"].tolist(), g["tied"].tolist(), g["v"].tolist(), strict=True)))
+        return [(int(g["user_id"].iloc[0]), int(ids[n]), int(ids[k]), how) for n, k, how in found]
+
+    return folds.fold_groups(e, ["user_id"], ["ts", "event_id"], fold, "user_id long, event_id long, source_id long, method string")
+
+
+def _proposals(spark, d):
+    """Proposals of the cheapest fill, with the share of the best that each has."""
+    p = min_cost_fill(spark, d).where("picks IS NOT NULL")
+    return p.select("l_orderkey", "target", "cost", "picks", F.exp(-F.col("cost")).alias("relative"), F.size(F.filter(F.split("picks", ","), lambda x: x != "0")).alias("changes"))
+
+
+@query()
+def accept_proposals(spark, d):
+    """Proposals that are plausible (0.2 or more), or change one event only."""
+    p = _proposals(spark, d)
+    how = F.when(F.col("relative") >= 0.2, "plausible").when(F.col("changes") == 1, "single change").otherwise("rejected")
+    return p.select("l_orderkey", "picks", "changes", how.alias("decision"))
+
+
+@query()
+def proposal_precision(spark, d):
+    """A proposal is right if each of its changes is: here, changes of lines with an even part."""
+    p = _proposals(spark, d).select("l_orderkey", "relative", F.posexplode(F.split("picks", ",")).alias("pos", "pick"))
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    li = table(spark, d, "lineitem").select("l_orderkey", (F.row_number().over(w) - 1).alias("pos"), (F.col("l_partkey") % 2 == 0).alias("even"))
+    each = p.join(li, ["l_orderkey", "pos"]).groupBy("l_orderkey").agg(F.max("relative").alias("relative"), F.bool_and((F.col("pick") == "0") | F.col("even")).alias("right"))
+    ok = F.col("relative") >= 0.2
+    return each.agg(F.count(F.lit(1)).alias("proposals"), F.count_if(F.col("right")).alias("right"), F.count_if(ok).alias("plausible"), F.count_if(ok & F.col("right")).alias("plausible_right"))
+
+
+@query()
+def glyph_pipeline(spark, d):
+    """Glyphs to notes: numbers from digits, the nearest level, association with an event within 900 s, else a new one;
+    of several on one string of an event the first stays."""
+    numbers = join_digits(spark, d).select("user_id", "day", "string", "x", "fret")
+    w = W.partitionBy(*ON).orderBy("x", "string")
+    right = numbers.withColumn("id", F.row_number().over(w).cast("long"))
+    left = events(spark, d).where("event_type = 'view'").select(*ON, F.col("x").cast("double").alias("x"), F.col("event_id").alias("id"))
+    m = folds.greedy_match(left, right.select(*ON, "x", "id"), ON, "x", 900).select(*ON, F.col("right_id").alias("id"), F.col("left_id").alias("event_id"))
+    j = right.join(m, [*ON, "id"], "left").withColumn("event", F.coalesce("event_id", -F.col("id")))
+    first = F.row_number().over(W.partitionBy(*ON, "event", "string").orderBy("x", "id"))
+    return j.withColumn("r", first).where("r = 1").select(*ON, "event", "string", "fret", F.when(F.col("event_id").isNull(), "created").otherwise("associated").alias("outcome"))
+
+
+@query(f"WITH {EVENTS}, " + """p AS (SELECT user_id, ts, event_id, v % 4 AS truth, CASE WHEN v % 7 = 0 THEN v % 4 WHEN v % 11 = 0 THEN (v + 1) % 4 END AS seen FROM events_x),
+c AS (SELECT *, last_value(seen IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried, coalesce(truth IS DISTINCT FROM lag(truth) OVER (PARTITION BY user_id ORDER BY ts, event_id), true) AS prints FROM p)
+SELECT count(*) AS n, count(*) FILTER (prints) AS expected, count(*) FILTER (seen IS NOT NULL AND prints) AS detected, count(*) FILTER (seen = truth AND prints) AS value_right, count(*) FILTER (carried = truth) AS carried_right, count(*) FILTER (seen IS NOT NULL AND NOT prints) AS extra FROM c""")
+def meter_scoring(spark, d):
+    v = F.col("v")
+    p = events(spark, d).select("user_id", "ts", "event_id", (v % 4).alias("truth"), F.when(v % 7 == 0, v % 4).when(v % 11 == 0, (v + 1) % 4).alias("seen"))
+    c = timeline.carry_forward(p, ["user_id"], ["ts", "event_id"], "seen").withColumn("prints", timeline.value_changes("truth", ["user_id"], ["ts", "event_id"]))
+    seen, prints = F.col("seen").isNotNull(), F.col("prints")
+    return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(prints).alias("expected"), F.count_if(seen & prints).alias("detected"), F.count_if((F.col("seen") == F.col("truth")) & prints).alias("value_right"), F.count_if(F.col("carried") == F.col("truth")).alias("carried_right"), F.count_if(seen & ~prints).alias("extra"))
