@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorespark.functions import scalar as S
-from scorespark.operators.scoring import THRESHOLDS, multiset_overlap, sweep
+from scorespark.operators import scoring
+from scorespark.operators.scoring import THRESHOLDS, sweep
 from scorespark.plans.base import EVENTS, Registry, events, table
 
 query = Registry()
@@ -139,9 +140,9 @@ def error_percentiles(spark, d):
 @query("""WITH a AS (SELECT l_orderkey AS k, l_partkey % 20 AS note, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT k - 1 AS k, note, n FROM a),
 j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL JOIN b ON a.k = b.k AND a.note = b.note)
 SELECT k AS l_orderkey, cast(sum(least(x, y)) AS BIGINT) AS common, cast(sum(greatest(x, y)) AS BIGINT) AS combined FROM j GROUP BY k""")
-def multiset_overlap_orders(spark, d):
+def multiset_overlap(spark, d):
     a = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 20).alias("note"))
-    return multiset_overlap(a, a.withColumn("l_orderkey", F.col("l_orderkey") - 1), ["l_orderkey"], ["note"])
+    return scoring.multiset_overlap(a, a.withColumn("l_orderkey", F.col("l_orderkey") - 1), ["l_orderkey"], ["note"])
 
 
 @query("""WITH a AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_partkey % 10)) AS s FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL), b AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_partkey % 10)) AS s FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL)

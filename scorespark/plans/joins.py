@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorespark.functions import scalar as S
-from scorespark.operators.association import asof_or_nearest, range_join
+from scorespark.operators import association as A
 from scorespark.plans.base import BOXES, EVENTS, Registry, boxes, events, table
 
 query = Registry()
@@ -101,9 +101,9 @@ def nearest_level(spark, d):
 b AS (SELECT m.event_id AS marker_id, m.user_id, m.x, m.day, arg_max(a.event_id, (a.x, a.event_id)) FILTER (a.x <= m.x) AS before, arg_min(a.event_id, (abs(a.x - m.x), a.event_id)) AS near
 FROM m LEFT JOIN a ON m.user_id = a.user_id AND m.day = a.day GROUP BY ALL)
 SELECT marker_id, coalesce(before, near) AS attack_id FROM b""")
-def asof_or_nearest_event(spark, d):
+def asof_or_nearest(spark, d):
     e = events(spark, d).select("event_id", "event_type", "user_id", "day", "x")
-    return asof_or_nearest(e.where("event_type = 'error'"), e.where("event_type = 'purchase'"), ["user_id", "day"], "x", "event_id").select(F.col("event_id").alias("marker_id"), F.col("match_id").alias("attack_id"))
+    return A.asof_or_nearest(e.where("event_type = 'error'"), e.where("event_type = 'purchase'"), ["user_id", "day"], "x", "event_id").select(F.col("event_id").alias("marker_id"), F.col("match_id").alias("attack_id"))
 
 
 @query(f"""WITH {EVENTS}, s AS (SELECT event_id AS span_id, day, event_type, x AS lo, x + cast(v % 4000 AS BIGINT) AS hi FROM events_x WHERE event_type = 'purchase')
@@ -112,7 +112,7 @@ def stab_exactly_two(spark, d):
     e = events(spark, d)
     spans = e.where("event_type = 'purchase'").select("day", F.col("x").alias("lo"), (F.col("x") + F.col("v") % 4000).alias("hi"))
     points = e.where("event_type = 'click'").select("event_id", "day", "x")
-    hit = range_join(points, spans, ["day"], "x", "lo", "hi", 4, 4100)
+    hit = A.range_join(points, spans, ["day"], "x", "lo", "hi", 4, 4100)
     g = hit.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("hi") - F.col("lo")).alias("widest"))
     return g.where("n = 2 AND widest >= 1200").select("event_id", "widest")
 
