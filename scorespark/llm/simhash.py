@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import ROW, components, map_batches, map_runs, saved, tiles, without_rows
+from scorespark.llm.common import ROW, components, map_batches, map_runs, saved, split_by_filter, tiles, without_rows
 
 #: Widths of the six blocks of a fingerprint. Two fingerprints that differ in at most three bits agree in three blocks.
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -155,22 +155,31 @@ WIDE_RADIUS = 22
 _FACTORS = np.random.default_rng(3).integers(0, 1 << 63, 2 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _sketches(width: int):
-    """row, fp, bands, set (sorted 32-bit shingle hashes, little-endian) of every text that has words."""
+def _blocks(width: int):
+    """row, bands of every text that has words."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        rows, prints, bands, sets = [], [], [], []
+        rows, bands = [], []
         for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
             flat = shingle_hashes(text, width)
             if not flat:
                 continue
-            h = np.unique(np.frombuffer(flat, ">u8"))
+            h = np.frombuffer(flat, ">u8").astype(np.uint64)
             least = [int((h * f).min()) for f in _FACTORS]
             rows.append(row)
-            prints.append(signed(of_hashes(flat)))
             bands.append([xxhash.xxh64_intdigest(f"{k}:{least[2 * k]}:{least[2 * k + 1]}") - (1 << 63) for k in range(BANDS)])
-            sets.append(np.unique((h >> np.uint64(32)).astype("<u4")).tobytes())
-        return {"row": pa.array(rows, pa.int64()), "fp": pa.array(prints, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.binary())}
+        return {"row": pa.array(rows, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))}
+
+    return lambda: work
+
+
+def _sets(width: int):
+    """row, fp, shingles (sorted 32-bit hashes of the set, little-endian)."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        flats = [shingle_hashes(t, width) for t in batch["text"].to_pylist()]
+        sets = [np.unique((np.frombuffer(f, ">u8") >> np.uint64(32)).astype("<u4")).tobytes() for f in flats]
+        return {"row": batch["row"], "fp": pa.array([signed(of_hashes(f)) for f in flats], pa.int64()), "shingles": pa.array(sets, pa.binary())}
 
     return lambda: work
 
@@ -209,13 +218,16 @@ def near_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, slot: i
 
     Texts are linked when the Jaccard similarity of their sets of word shingles is at least similarity. At that
     similarity fingerprints differ in about ten bits, too many for blocks of equal bits. So texts are blocked by
-    minima of their shingle hashes (a pair at 0.8 shares a block with probability 0.997), compared bit-sliced within
+    minima of their shingle hashes (a pair at 0.8 shares a block with probability 0.998), compared bit-sliced within
     WIDE_RADIUS bits inside a block, in tiles, and what is left is verified on the sets themselves. Texts without
     words link with nothing.
     """
-    sketches = saved(map_batches(docs.select("row", "text"), _sketches(width), "row long, fp long, bands array<long>, shingles binary"), "sketches")
-    entries = tiles(sketches.select("row", F.explode("bands").alias("band")), ["band"], "row", slot)
-    members = entries.join(sketches.select("row", "fp", "shingles"), "row")
+    blocks = map_batches(docs.select("row", "text"), _blocks(width), "row long, bands array<long>")
+    entries = saved(blocks.select("row", F.explode("bands").alias("band")), "blocks")
+    entries = saved(tiles(entries, ["band"], "row", slot), "tiles")
+    # Sets are made for texts that share a block only, and nothing else of the corpus is shuffled.
+    suspects, _ = split_by_filter(docs.select("row", "text"), "row", entries.select("row"))
+    members = entries.join(map_batches(suspects, _sets(width), "row long, fp long, shingles binary"), "row")
     edges = map_runs(members, ["band", "_a", "_b"], _similar_in_tile(similarity), "a long, b long")
     return components(edges).select(F.col("node").alias("row"), "label")
 
