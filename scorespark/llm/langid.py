@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorespark.llm.common import map_batches, saved
-from scorespark.llm.tokens import Remembering, file_of
+from scorespark.llm.tokens import MEMORY, file_of
 
 #: Runs of letters; case does not count.
 WORDS = re.compile(r"[^\W\d_]+")
@@ -23,6 +23,8 @@ MARK = "▁"
 SAMPLE_ROWS = 4000
 ROUNDS = 2
 FLOOR = 1e-7
+#: Texts whose new words are scored together.
+TOGETHER = 512
 PRED, SCORE = "_scorespark_lang", "_scorespark_score"
 
 
@@ -86,34 +88,61 @@ def by_length(words: list[str], most: int = 2000):
 
 
 class Model:
-    """p[piece, language]; row 0 is no piece. Scores words by the forward sum and remembers them."""
+    """p[piece, language]; row 0 is no piece. Scores words by the forward sum.
+
+    The scores of the first MEMORY words, which are the common ones, are kept; those of rarer words last for one call.
+    """
 
     def __init__(self, vocabulary: str, languages: list[str], p: np.ndarray):
         self.languages, self.p, self.table = languages, p, pieces(vocabulary)
-        self.memory = Remembering(self._score)
+        self.index: dict[str, int] = {}
+        self.scores = np.zeros((MEMORY, len(languages)))
+        self.missed = 0
 
-    def _score(self, words: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(words)
+    def _score(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), len(self.languages)))
         for group in by_length(words):
             parts = [(k, x) for k in group for x in parts_of(words[k])]
             chart = _chart([x for _, x in parts], self.table)
             alpha = forward(chart, self.p)
             got = np.log(np.maximum(alpha[np.arange(len(parts)), [len(x) for _, x in parts]], 1e-300))
-            for (k, _), row in zip(parts, got, strict=True):
-                out[k] = row if out[k] is None else out[k] + row
+            np.add.at(out, [k for k, _ in parts], got)
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORDS.findall((text or "").lower())
-        if not words or not self.languages:
-            return "und", 0.0
-        rows = self.memory.values_of(words)
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(rows), 1 << 16):
-            total += np.array(rows[at : at + (1 << 16)]).sum(axis=0)
-        odds = np.exp(total - total.max())
-        best = int(odds.argmax())
-        return self.languages[best], float(odds[best] / odds.sum())
+    def _totals(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Log probabilities of each list of words."""
+        index, rare = self.index, {}
+        new = list({w for words in texts for w in words if w not in index})
+        scores = self.scores
+        if new:
+            got = self._score(new)
+            if len(index) + len(new) <= MEMORY:
+                scores[len(index) : len(index) + len(new)] = got
+                index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+            else:
+                rare = dict(zip(new, range(MEMORY, MEMORY + len(new)), strict=True))
+                scores = np.concatenate((scores, got))
+                self.missed += len(new)
+        find = index.get
+        out = []
+        for words in texts:
+            rows = [i if (i := find(w)) is not None else rare[w] for w in words] if rare else [index[w] for w in words]
+            out.append(scores[rows].sum(axis=0))
+        if self.missed > 20 * MEMORY:  # other texts than before
+            self.index, self.missed = {}, 0
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        words = [WORDS.findall((t or "").lower()) for t in texts]
+        out = [("und", 0.0)] * len(texts)
+        use = [k for k, w in enumerate(words) if w] if self.languages else []
+        for at in range(0, len(use), TOGETHER):
+            some = use[at : at + TOGETHER]
+            for k, total in zip(some, self._totals([words[k] for k in some]), strict=True):
+                odds = np.exp(total - total.max())
+                best = int(odds.argmax())
+                out[k] = (self.languages[best], float(odds[best] / odds.sum()))
+        return out
 
 
 def held_out() -> Column:
@@ -202,7 +231,7 @@ def predict(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary: st
         model = _model(vocabulary, tuple(languages), shared)
 
         def work(batch: pa.RecordBatch) -> dict:
-            got = [model.predict(t) for t in batch["text"].to_pylist()]
+            got = model.predict(batch["text"].to_pylist())
             columns = {c: batch[c] for c in batch.schema.names}
             return columns | {PRED: pa.array([g[0] for g in got], pa.string()), SCORE: pa.array([g[1] for g in got], pa.float64())}
 
