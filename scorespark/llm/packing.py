@@ -14,7 +14,7 @@ from scorespark.llm.tokens import word_ids
 
 WINDOW = 4096
 #: Tokens that a queue must have earned before it is served; smaller claims are carried on to later rounds.
-QUANTUM = 64
+QUANTUM = 16
 #: Documents of a stretch of a source's queue, about; stretches are the unit of distribution.
 STRETCH = 2_000
 END = 2
@@ -23,14 +23,17 @@ IDS = "doc_id long, source string, row long, n long, ids binary"
 
 
 def encode(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """doc_id, source, row, n, ids (little-endian unsigned 32-bit, with end) of every whole text; null text is empty."""
+    """doc_id, source, row, n, ids (with end) of every whole text; null text is empty. Ids are little-endian, unsigned,
+    of 16 bits where the vocabulary allows it and else of 32."""
 
     def make():
         ids_of, tail = word_ids(tokenizer), np.array([end], "<u4").tobytes()
+        kind = "<u2" if max(len(ids_of.ends) - 1, end) < 1 << 16 else "<u4"
 
         def work(batch: pa.RecordBatch) -> dict:
-            ids = [ids_of(t or "") + tail for t in batch["text"].to_pylist()]
-            return {c: batch[c] for c in ("doc_id", "source", "row")} | {"n": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+            wide = [ids_of(t or "") + tail for t in batch["text"].to_pylist()]
+            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in wide]
+            return {c: batch[c] for c in ("doc_id", "source", "row")} | {"n": pa.array([len(x) // 4 for x in wide], pa.int64()), "ids": pa.array(ids, pa.binary())}
 
         return work
 
@@ -49,8 +52,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
     tokens, and is served in multiples of quantum as soon as its deficit allows; the rest of the deficit is carried to
     the next round. After r rounds queue s has been served quantum * floor(r * T_s * window / (T * quantum)) tokens, so
     any stretch of a queue can be placed without those before it: a round's pieces lie in the order of the sources,
-    rounds follow each other without gaps, and every sequence is a full window. Shares therefore hold in every window
-    to within quantum tokens a source, across partitions. What is left at the end of all queues follows in their order.
+    rounds follow each other without gaps, and every sequence is a full window. In each round every source gets its
+    share to within quantum tokens, across partitions; windows lie at most quantum tokens a source ahead of the rounds.
+    What is left at the end of all queues follows in their order.
     The last window's remainder is cut into sequences whose lengths are powers of two, so that nothing is padded.
 
     Token ids are written once and shuffled once, with the stretch of the queue that they belong to.
@@ -142,6 +146,7 @@ def _cutter(shared):
         out: dict[str, list] = {k: [] for k in kinds}
         for doc, source, queue, n, at, ids in zip(*(batch[c].to_pylist() for c in ("doc_id", "source", "queue", "n", "at", "ids")), strict=True):
             start, run = 0, []
+            ids = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
             for place, take in plan.pieces(queue, at, n):
                 while take:
                     k, offset, left = plan.sequence(place)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -12,6 +13,10 @@ import public_tokenizers
 
 #: Entries of a worker's memory, so that it is bounded for any corpus.
 MEMORY = 400_000
+#: Words, without case and points, that a worker keeps besides.
+MOST_CORES = 700_000
+#: Points that may follow a word; in the tokenizer's pattern they never belong to it.
+POINTS = ",.;:!?"
 #: Python counts these as blank, the libraries' patterns do not: such texts go to the library whole.
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
 #: A text falls into these parts before any merge; the split of each part depends on nothing outside it.
@@ -74,14 +79,59 @@ class WordIds:
     def __init__(self, name: str):
         self.tok = library(name)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memory = Remembering(lambda new: [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(new, add_special_tokens=False)])
+        self.memory = Remembering(self._variants)
+        self.cores = Remembering(self._library, MOST_CORES)
+        vocabulary = self.tok.get_vocab()
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _library(self, new: list[str]) -> list[bytes]:
+        """Words of letters go to the library as one text, whose ids are parted where a word ends."""
+        out: list = [None] * len(new)
+        alone = [k for k, w in enumerate(new) if not w.isalpha()]
+        letters = [k for k, w in enumerate(new) if w.isalpha()]
+        for at in range(0, len(letters), 2000):
+            some = letters[at : at + 2000]
+            ids = np.array(self.tok.encode(" ".join([new[k] for k in some]), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):  # a word that the tokenizer takes for several
+                alone += some
+                continue
+            raw, last = ids.tobytes(), 0
+            for k, cut in zip(some, (4 * cuts).tolist(), strict=True):
+                out[k], last = raw[last:cut], cut
+        for k, e in zip(alone, self.tok.encode_batch([new[k] for k in alone], add_special_tokens=False), strict=True):
+            out[k] = array("I", e.ids).tobytes()
+        return out
+
+    def _variants(self, new: list[str]) -> list[bytes]:
+        """A word of letters and the points after it are split apart by the tokenizer anyway, and case does not count:
+        so the many variants of a word are put together from its ids and theirs."""
+        cores, tails = [], []
+        for w in new:
+            letters = w.rstrip(POINTS)
+            low = letters.lower()
+            if letters.isalpha() and (low == letters or letters.isascii()):
+                cores.append(low)
+                tails.append(w[len(letters) :])
+            else:
+                cores.append(w)
+                tails.append("")
+        of_tail = self.cores.values_of([t for t in tails if t])
+        found, k = self.cores.values_of(cores), 0
+        for i, t in enumerate(tails):
+            if t:
+                found[i] += of_tail[k]
+                k += 1
+        return found
 
     def plain(self, text: str) -> bool:
         return not (ODD_BLANKS.search(text) or any(s in text for s in self.special))
 
     def __call__(self, text: str) -> bytes:
         if not self.plain(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(self.memory.values_of(text.split()))
 
 
