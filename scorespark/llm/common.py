@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,23 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorespark.storage import scratch_dir
+
 #: Bits of the broadcast membership filter: 131,072 words of 64 bits, about 2 MB at any input size.
 FILTER_BITS = 1 << 23
+#: Rows that a worker holds as Python objects at once.
+AT_ONCE = 1000
 #: The row number that operators add where all columns of their input pass through.
 ROW = "_scorespark_row"
 
-_own_dir: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="scorespark-"))
-    return _own_dir[0]
-
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -54,8 +45,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(work(batch))
+            for at in range(0, batch.num_rows, AT_ONCE):
+                yield pa.RecordBatch.from_pydict(work(batch.slice(at, AT_ONCE)))
 
     return df.mapInArrow(each, schema)
 
@@ -136,7 +127,12 @@ def map_runs(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.D
         if held is not None and (out := finish(held)) is not None:
             yield out
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(each, schema)
+    return spread(df, *keys).sortWithinPartitions(*keys).mapInPandas(each, schema)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into all shuffle partitions: few bytes can be much work, so they are not merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import map_batches, saved, split_by_filter
+from scorespark.llm.common import map_batches, saved, split_by_filter, spread
 from scorespark.llm.substring import merged, outside
 
 LENGTH = 200
@@ -283,7 +283,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     contexts = again.dropDuplicates(["key", "context"]).join(open_, ["key", "context"])
     contexts = saved(contexts, "contexts")
     usual = contexts.where(f"m <= {MOST_CONTEXTS}").select("key", "context", "count", "before", "bytes", "n")
-    found = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(length, gram), "key long, context binary, a int, b int")
+    found = spread(usual, "key").sortWithinPartitions("key").mapInArrow(_compare(length, gram), "key long, context binary, a int, b int")
 
     hot = map_batches(contexts.where(f"m > {MOST_CONTEXTS}").select("key", "context", "count", "before", "bytes", "n"), _windows(length), "key long, context binary, t int, n long, string binary")
     often = hot.groupBy("key", "t", "string").agg(F.sum("n").alias("all")).where("all > 1").select("key", "t", "string")
