@@ -14,7 +14,7 @@ import public_tokenizers
 #: Entries of a worker's memory, so that it is bounded for any corpus.
 MEMORY = 400_000
 #: Words, without case and points, that a worker keeps besides.
-MOST_CORES = 700_000
+MOST_CORES = 500_000
 #: Points that may follow a word; in the tokenizer's pattern they never belong to it.
 POINTS = ",.;:!?"
 #: Python counts these as blank, the libraries' patterns do not: such texts go to the library whole.
