@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -14,8 +15,10 @@ from pyspark.sql import DataFrame
 from scorespark.llm.common import map_batches
 from scorespark.llm.tokens import MEMORY, ODD_BLANKS, PARTS, Remembering, ranks
 
-#: Transducer states that a worker keeps; when there are more it starts anew.
-MOST_STATES = 300_000
+#: Transducer states that a worker keeps, the first that come and so the common ones; later ones are made in passing.
+MOST_STATES = 250_000
+#: Pieces whose ids a worker keeps.
+MOST_PIECES = 900_000
 
 
 class State(dict):
@@ -33,7 +36,9 @@ class State(dict):
         self.flushed: tuple[int, ...] | None = None
 
     def __missing__(self, byte: int) -> tuple[tuple[int, ...], State]:
-        move = self[byte] = self.machine.advance(self, byte)
+        move = self.machine.advance(self, byte)
+        if self.machine.room:
+            self[byte] = move
         return move
 
 
@@ -52,11 +57,9 @@ class Transducer:
         self.longest = max(map(len, table))
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._known: dict[bytes, tuple | None] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         self.start = State(self, None, b"", ())
         self.states = {(None, b""): self.start}
+        self.room = True
 
     def _edges(self, t: bytes) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]] | None:
         """(rank, part) of the parts that touch the left and the right end of t, one after the other as its merges
@@ -147,7 +150,10 @@ class Transducer:
             pending, ends = pending[cut:], ends[cut:]
         key = (before, pending)
         if (state := self.states.get(key)) is None:
-            state = self.states[key] = State(self, before, pending, ends)
+            state = State(self, before, pending, ends)
+            if self.room:
+                self.states[key] = state
+                self.room = len(self.states) < MOST_STATES
         return out, state
 
     def _flush(self, s: State) -> tuple[int, ...]:
@@ -161,8 +167,6 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.rank.get(piece)) is not None:
             return [whole]
-        if len(self.states) > MOST_STATES:
-            self._reset()
         state, out = self.start, []
         for byte in piece:
             tokens, state = state[byte]
@@ -200,33 +204,54 @@ class StreamDecoder:
         self.bytes_of: list[bytes] = [b""] * (max(table.values()) + 1)
         for t, i in table.items():
             self.bytes_of[i] = t
+        # Tokens that are whole characters when they come between characters.
+        self.whole = np.array([self._through(0, t) == (0, len(t)) for t in self.bytes_of])
         self._run: dict[tuple[int, int], tuple[int, int]] = {}
         self.restart()
 
     def restart(self) -> None:
         self.state, self.held = 0, b""
 
-    def feed(self, ids: list[int]) -> str:
-        out = []
-        for i in ids:
-            key, piece = (self.state, i), self.bytes_of[i]
-            if (known := self._run.get(key)) is None:
-                state, done = self.state, 0
-                for k, byte in enumerate(piece, 1):
-                    state = int(self.MOVES[state, byte])
-                    if state == 8:
-                        break
-                    if state == 0:
-                        done = k
-                known = self._run[key] = (state, done)
-            self.state, done = known
-            if self.state == 8:
-                raise ValueError("the ids do not spell UTF-8")
-            if done:
-                out.append(self.held + piece[:done])
-                self.held = piece[done:]
-            else:
-                self.held += piece
+    def _through(self, state: int, token: bytes) -> tuple[int, int]:
+        """State after the token, and how many of its bytes complete characters."""
+        done = 0
+        for k, byte in enumerate(token, 1):
+            state = int(self.MOVES[state, byte])
+            if state == 8:
+                break
+            if state == 0:
+                done = k
+        return state, done
+
+    def _step(self, token: int, out: list[bytes]) -> None:
+        piece = self.bytes_of[token]
+        if (known := self._run.get((self.state, token))) is None:
+            known = self._run[self.state, token] = self._through(self.state, piece)
+        self.state, done = known
+        if self.state == 8:
+            raise ValueError("the ids do not spell UTF-8")
+        if done:
+            out.append(self.held + piece[:done])
+            self.held = piece[done:]
+        else:
+            self.held += piece
+
+    def feed(self, ids: list[int] | np.ndarray) -> str:
+        ids = np.asarray(ids, np.int64)
+        out: list[bytes] = []
+        at, of = 0, self.bytes_of.__getitem__
+        for k in np.flatnonzero(~self.whole[ids]).tolist():
+            while at < k and self.state:
+                self._step(int(ids[at]), out)
+                at += 1
+            if at < k:
+                out.append(b"".join(map(of, ids[at:k].tolist())))
+            self._step(int(ids[k]), out)
+            at = k + 1
+        while at < len(ids) and self.state:
+            self._step(int(ids[at]), out)
+            at += 1
+        out.append(b"".join(map(of, ids[at:].tolist())))
         return b"".join(out).decode()
 
     def close(self) -> str:
@@ -244,20 +269,20 @@ class Codec:
         # The library's \s is Unicode White_Space.
         self.pattern = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}"))
         self.memory = Remembering(self._parts, MEMORY)
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _ids(self, text: str) -> list[int]:
         out, known = [], self.pieces
         for piece in self.pattern.findall(text):
             if (ids := known.get(piece)) is None:
-                ids = self.machine.encode(piece.encode())
-                if len(known) < MEMORY:
+                ids = tuple(self.machine.encode(piece.encode()))
+                if len(known) < MOST_PIECES:
                     known[piece] = ids
             out += ids
         return out
 
     def _parts(self, new: list[str]) -> list[tuple[bytes, str]]:
-        return [(np.array(ids, "<u4").tobytes(), " ".join(map(str, ids))) for ids in map(self._ids, new)]
+        return [(array("I", ids).tobytes(), " ".join(map(str, ids))) for ids in map(self._ids, new)]
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """Ids, and the same as decimals joined by blanks."""
@@ -269,7 +294,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> bytes:
         self.decoder.restart()
-        return (self.decoder.feed(ids.tolist()) + self.decoder.close()).encode()
+        return (self.decoder.feed(ids) + self.decoder.close()).encode()
 
 
 @lru_cache(maxsize=2)
