@@ -149,10 +149,18 @@ def simhash_dedup(docs: DataFrame, width: int = 3, slot: int = SLOT) -> DataFram
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "_rid")
 
 
-#: Blocks of texts for near_texts(): BANDS keys of two minima each, and the radius that compares fingerprints in them.
-BANDS = 6
-WIDE_RADIUS = 22
+#: Blocks of texts for near_texts(): BANDS keys of two minima each. A pair at 0.8 shares none with probability
+#: (1 - 0.8^2)^16, less than one in ten million.
+BANDS = 16
 _FACTORS = np.random.default_rng(3).integers(0, 1 << 63, 2 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Marks of one set in _similar_in_tile(), and shingles of other sets that are looked up in them at once.
+MARKS, LOOKED_UP = 1 << 20, 1 << 20
+
+
+def _least(h: np.ndarray) -> list[int]:
+    """The minima of the hashes under each factor."""
+    step = 1 << 12
+    return np.min([(_FACTORS[:, None] * h[at : at + step]).min(axis=1) for at in range(0, len(h), step)], axis=0).tolist()
 
 
 def _blocks(width: int):
@@ -164,8 +172,7 @@ def _blocks(width: int):
             flat = shingle_hashes(text, width)
             if not flat:
                 continue
-            h = np.frombuffer(flat, ">u8").astype(np.uint64)
-            least = [int((h * f).min()) for f in _FACTORS]
+            least = _least(np.frombuffer(flat, ">u8").astype(np.uint64))
             rows.append(row)
             bands.append([xxhash.xxh64_intdigest(f"{k}:{least[2 * k]}:{least[2 * k + 1]}") - (1 << 63) for k in range(BANDS)])
         return {"row": pa.array(rows, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))}
@@ -174,40 +181,62 @@ def _blocks(width: int):
 
 
 def _sets(width: int):
-    """row, fp, shingles (sorted 32-bit hashes of the set, little-endian)."""
+    """row, shingles (sorted 32-bit hashes of the set, little-endian)."""
 
     def work(batch: pa.RecordBatch) -> dict:
         flats = [shingle_hashes(t, width) for t in batch["text"].to_pylist()]
         sets = [np.unique((np.frombuffer(f, ">u8") >> np.uint64(32)).astype("<u4")).tobytes() for f in flats]
-        return {"row": batch["row"], "fp": pa.array([signed(of_hashes(f)) for f in flats], pa.int64()), "shingles": pa.array(sets, pa.binary())}
+        return {"row": batch["row"], "shingles": pa.array(sets, pa.binary())}
 
     return lambda: work
 
 
 def _similar_in_tile(similarity: float):
+    """A spanning forest of the links among one tile's sets.
+
+    A set is compared with all sets of the tile whose sizes allow the similarity: its shingles are marked by their low
+    bits, and the marked shingles of another set are at least as many as the common ones. Where they suffice, the sets
+    themselves decide, so nothing that is similar is passed over.
+    """
+
     def work(run: pd.DataFrame) -> pd.DataFrame | None:
-        rows, prints = run["row"].tolist(), [x & 0xFFFFFFFFFFFFFFFF for x in run["fp"]]
-        sets = [np.frombuffer(x, "<u4") for x in run["shingles"]]
-        slices = BitSlices(prints, list(range(64)), WIDE_RADIUS)
-        unseen, out = slices.full, []
-        while unseen:
-            root = (unseen & -unseen).bit_length() - 1
-            unseen &= ~(1 << root)
+        order = sorted(zip((len(x) // 4 for x in run["shingles"]), run["row"].tolist(), run["shingles"], strict=True))
+        rows = [r for _, r, _ in order]
+        sets = [np.frombuffer(x, "<u4") for _, _, x in order]
+        sizes = np.array([n for n, _, _ in order])
+        flat = np.concatenate(sets)
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        unseen, marks, out = np.ones(len(rows), bool), np.zeros(MARKS, bool), []
+
+        def near(i: int) -> list[int]:
+            lo = int(np.searchsorted(sizes, int(similarity * sizes[i])))
+            hi = int(np.searchsorted(sizes, int(sizes[i] / similarity) + 1, side="right"))
+            places, found = sets[i] & np.uint32(MARKS - 1), []
+            marks[places] = True
+            while lo < hi:
+                to = min(hi, max(lo + 1, int(np.searchsorted(starts, starts[lo] + LOOKED_UP, side="right")) - 1))
+                if unseen[lo:to].any():
+                    hits = marks[flat[starts[lo] : starts[to]] & np.uint32(MARKS - 1)]
+                    most = np.add.reduceat(hits, starts[lo:to] - starts[lo], dtype=np.int64)
+                    able = most >= similarity * (sizes[i] + sizes[lo:to] - most)
+                    for j in (lo + np.flatnonzero(able & unseen[lo:to])).tolist():
+                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                            found.append(j)
+                lo = to
+            marks[places] = False
+            return found
+
+        for root in range(len(rows)):
+            if not unseen[root]:
+                continue
+            unseen[root] = False
             todo = [root]
-            while todo and unseen:
-                i = todo.pop()
-                found = slices.near(prints[i]) & unseen
-                while found:
-                    j = (found & -found).bit_length() - 1
-                    found &= found - 1
-                    small, large = sorted((len(sets[i]), len(sets[j])))
-                    if small < similarity * large:
-                        continue
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both >= similarity * (small + large - both):
-                        unseen &= ~(1 << j)
-                        out.append((rows[root], rows[j]))
-                        todo.append(j)
+            while todo and unseen.any():
+                for j in near(todo.pop()):
+                    unseen[j] = False
+                    out.append((rows[root], rows[j]))
+                    todo.append(j)
         return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
     return work
@@ -216,18 +245,17 @@ def _similar_in_tile(similarity: float):
 def near_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, slot: int = SLOT // 2) -> DataFrame:
     """(row, label) of the rows of docs (row, text) that are near copies of another; label is the smallest row reachable.
 
-    Texts are linked when the Jaccard similarity of their sets of word shingles is at least similarity. At that
-    similarity fingerprints differ in about ten bits, too many for blocks of equal bits. So texts are blocked by
-    minima of their shingle hashes (a pair at 0.8 shares a block with probability 0.998), compared bit-sliced within
-    WIDE_RADIUS bits inside a block, in tiles, and what is left is verified on the sets themselves. Texts without
-    words link with nothing.
+    Texts are linked when the Jaccard similarity of their sets of word shingles is at least similarity; how often a
+    shingle is repeated does not matter. At that similarity fingerprints differ in about ten bits, too many for blocks
+    of equal bits. So texts are blocked by minima of their shingle hashes (a pair at 0.8 shares a block with probability
+    0.9999999), and inside a block, in tiles, the sets themselves are compared. Texts without words link with nothing.
     """
     blocks = map_batches(docs.select("row", "text"), _blocks(width), "row long, bands array<long>")
     entries = saved(blocks.select("row", F.explode("bands").alias("band")), "blocks")
     entries = saved(tiles(entries, ["band"], "row", slot), "tiles")
     # Sets are made for texts that share a block only, and nothing else of the corpus is shuffled.
     suspects, _ = split_by_filter(docs.select("row", "text"), "row", entries.select("row"))
-    members = entries.join(map_batches(suspects, _sets(width), "row long, fp long, shingles binary"), "row")
+    members = entries.join(map_batches(suspects, _sets(width), "row long, shingles binary"), "row")
     edges = map_runs(members, ["band", "_a", "_b"], _similar_in_tile(similarity), "a long, b long")
     return components(edges).select(F.col("node").alias("row"), "label")
 

@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -178,6 +179,47 @@ def test_near_texts(spark, tmp_path):
     assert got == {1: 1, 2: 1, 4: 1}
 
 
+def test_near_texts_with_repeats(spark, tmp_path):
+    """Sets decide: a line repeated many more times moves fingerprints far apart and yet links."""
+    rows, apart = [], []
+    for k in range(60):
+        words, line = [f"u{k}x{i}" for i in range(400)], " ".join(f"l{k}x{i}" for i in range(12))
+        pair = [" ".join([*words, *[line] * n]) for n in (1, 60)]
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+        apart.append((simhash.fingerprint(pair[0], 5) ^ simhash.fingerprint(pair[1], 5)).bit_count())
+    assert sum(x > 22 for x in apart) > 10
+    spark.createDataFrame(rows, "row long, text string").write.parquet(str(tmp_path / "near"))
+    got = {r["row"]: r["label"] for r in simhash.near_texts(spark.read.parquet(str(tmp_path / "near"))).collect()}
+    assert got == {r: r // 2 * 2 for r, _ in rows}
+
+
+def test_near_texts_blocks_and_tiles_lose_nothing():
+    """Pairs just over 0.8, short and long, share a block; a tile links what all pairs of sets link."""
+    rng = np.random.default_rng(5)
+    for n in (9, 90, 900):
+        for _ in range(700):
+            h = rng.integers(0, 1 << 63, n, np.uint64)
+            a, b = simhash._least(h[: n * 17 // 18]), simhash._least(h[-(n * 17 // 18) :])
+            assert any(a[2 * k : 2 * k + 2] == b[2 * k : 2 * k + 2] for k in range(simhash.BANDS))
+    base = np.unique(rng.integers(0, 1 << 32, 5000, np.uint64).astype("<u4"))
+    sets = [np.sort(rng.choice(base[: 40 * (1 + k % 4)], 30 * (1 + k % 4) + k % 7, replace=False)) for k in range(120)]
+    run = pd.DataFrame({"row": range(120), "shingles": [x.tobytes() for x in sets]})
+    want, got = list(range(120)), list(range(120))
+
+    def link(label, a, b):
+        low, high = sorted((label[a], label[b]))
+        label[:] = [low if x == high else x for x in label]
+
+    for i in range(120):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                link(want, i, j)
+    for a, b in simhash._similar_in_tile(0.8)(run).itertuples(index=False):
+        link(got, a, b)
+    assert got == want and 1 < len(set(want)) < 120
+
+
 def brute_suffix(texts, length):
     count = collections.Counter(r[i : i + length] for r in texts for i in range(len(r) - length + 1))
     out = []
