@@ -19,8 +19,9 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Longest piece, in characters, and longest part of a word that is scored at once.
 PIECE, PART = 12, 40
 MARK = "▁"
-#: Texts to a model: the expected size of the sample that it is fitted on.
-SAMPLE_ROWS = 4000
+#: Texts to a model: the expected size of the sample that it is fitted on, in equal parts for each language, and the
+#: least part of a language that has as many.
+SAMPLE_ROWS, LEAST_ROWS = 4000, 200
 ROUNDS = 2
 FLOOR = 1e-7
 #: Texts whose new words are scored together.
@@ -160,16 +161,20 @@ def held_out() -> Column:
 def fit(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Piece probabilities of each language by expectation-maximisation over word counts.
 
-    Learns from text and lang of documents that are not held out and have both, on a sample of about sample_rows of
-    them chosen by a hash of doc_id (all, if there are fewer). Word counts and expected piece counts are summed by
-    Spark; only the counts of pieces, as many as the vocabulary has times the languages, come to the driver.
+    Learns from text and lang of documents that are not held out and have both, and a letter. All their languages are
+    learned, each on a sample of about sample_rows / languages of its texts, or LEAST_ROWS if that is more (all, if there
+    are fewer), chosen by a hash of doc_id and text; rows that repeat both count as one. Word counts and expected piece
+    counts are summed by Spark; only the counts of pieces, as many as the vocabulary has times the languages, and one
+    row for each language come to the driver.
     """
-    usable = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    rows = usable.count()
-    share = min(1 << 30, int((1 << 30) * sample_rows / max(1, rows)))
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-    if rows > 0 and sample.isEmpty():
-        sample = usable
+    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    rows = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    table = pieces(vocabulary)
+    if not rows:
+        return [], np.zeros((len(table) + 2, 0))
+    most = max(sample_rows // len(rows), LEAST_ROWS)
+    shares = F.create_map(*[F.lit(x) for lang, n in sorted(rows.items()) for x in (lang, min(1 << 30, (1 << 30) * most // max(1, n)))])
+    sample = usable.where(F.pmod("h", F.lit(1 << 30)) < shares[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def count_words(batch: pa.RecordBatch) -> dict:
         counts: dict[tuple[str, str], int] = {}
@@ -181,8 +186,7 @@ def fit(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", sample_rows: i
 
     words = map_batches(sample.select("lang", "text"), lambda: count_words, "lang string, word string, n long")
     words = saved(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    languages = sorted(r[0] for r in words.select("lang").distinct().collect())
-    table = pieces(vocabulary)
+    languages = sorted(rows)
     size, at = len(table) + 2, {x: i for i, x in enumerate(languages)}
     p = np.full((size, len(languages)), 1 / size)
     p[0] = 0

@@ -417,6 +417,20 @@ def test_language_held_out(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_rare_languages_are_learned_and_repeats_count_once(spark, tmp_path, monkeypatch):
+    """Three texts of a language among thousands are learned; a row repeated many times neither fills nor empties the sample."""
+    rows = [(i, f"the house number {i} is near the river", "en") for i in range(3000)] + [(7, "again and again", "en")] * 3000
+    rows += [(90000 + i, "der hund und die katze sind im garten", "de") for i in range(1, 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    seen, saved = [], langid.saved
+    monkeypatch.setattr(langid, "saved", lambda df, label: seen.append(saved(df, label)) or seen[-1])
+    languages, _ = langid.fit(spark.read.parquet(str(tmp_path / "docs")), sample_rows=20)
+    assert languages == ["de", "en"]
+    n = {(r["lang"], r["word"]): r["n"] for r in seen[0].collect()}
+    assert 100 < n["en", "house"] < 300 and n.get(("en", "again"), 0) in (0, 2)
+    assert 4 <= n["de", "hund"] <= 8
+
+
 def test_language_of_odd_rows(odd):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify_language(odd).collect()}
     assert all(got[i] == "und" for i in (4, 5, 6, 16))
