@@ -81,6 +81,5 @@ def discover_files(spark, d):
 
 @query()
 def dq_file_header(spark, d):
-    """Files of the tables, each with whether it begins as Parquet does."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{d}/nation.parquet")
-    return files.select("path", (F.substring("content", 1, 4) == F.lit(b"PAR1")).alias("ok"))
+    """Files of all tables, each with whether it begins and ends as Parquet does."""
+    return M.magic_at_both_ends(spark, d, "*.parquet", b"PAR1")

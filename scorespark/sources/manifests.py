@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,6 +85,36 @@ def file_headers(spark: SparkSession, path: str, pattern: str, magic: bytes, lea
     return files.select("path", rule.alias("rule")).where("rule IS NOT NULL")
 
 
+def magic_at_both_ends(spark: SparkSession, path: str, pattern: str, magic: bytes) -> DataFrame:
+    """Files below path of any size: path, and ok: whether the first and the last four bytes are magic (four bytes).
+
+    Python workers cannot reach every store that Spark reads, Spark's binary files are read whole, and it lists no empty
+    files. So the driver lists and opens the files through Hadoop and reads eight bytes of each: one row a file comes to
+    it. Hidden files are left out.
+    """
+    want, out = int.from_bytes(magic, "big", signed=True), []
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = len(system.getFileStatus(root).getPath().toString().rstrip("/")) + 1
+    found = system.listFiles(root, True)
+    while found.hasNext():
+        file = found.next()
+        name, length = file.getPath().toString(), file.getLen()
+        if not fnmatch(file.getPath().getName(), pattern) or any(x.startswith(("_", ".")) for x in name[base:].split("/")):
+            continue
+        ok = length >= 2 * len(magic)
+        if ok:
+            stream = system.open(file.getPath())
+            try:
+                head = stream.readInt()
+                stream.seek(length - len(magic))
+                ok = head == want == stream.readInt()
+            finally:
+                stream.close()
+        out.append((name, ok))
+    return spark.createDataFrame(out, "path string, ok boolean")
+
+
 def incremental(todo: DataFrame, done: DataFrame, identity: list[str]) -> DataFrame:
     """Rows of todo that no row of done has the same identity as; nulls are equal to each other."""
     key = F.sha2(F.to_json(F.struct(*identity), {"ignoreNullFields": "false"}), 256)

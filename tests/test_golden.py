@@ -179,3 +179,16 @@ def test_incremental(spark):
 def test_write_table(spark, tmp_path):
     manifests.write_table(spark.createDataFrame([(1, "a")], "id int, v string"), str(tmp_path / "t"))
     assert spark.read.option("header", True).csv(str(tmp_path / "t")).first()["v"] == "a"
+
+
+def test_file_headers_of_all_tables(spark, tmp_path):
+    """Every file of every table is looked at, at both ends; empty and cut files are not in order."""
+    from scorespark import plans
+
+    spark.range(5).repartition(2).write.parquet(str(tmp_path / "nation.parquet"))
+    whole = next((tmp_path / "nation.parquet").glob("*.parquet")).read_bytes()
+    for name, data in {"orders": whole, "cut": whole[:-1], "headless": b"XXXX" + whole[4:], "empty": b"", "short": b"PAR1"}.items():
+        (tmp_path / f"{name}.parquet").write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[-1]: r["ok"] for r in plans.queries()["dq_file_header"](spark, str(tmp_path)).collect()}
+    assert {k: got.pop(f"{k}.parquet") for k in ("orders", "cut", "headless", "empty", "short")} == {"orders": True, "cut": False, "headless": False, "empty": False, "short": False}
+    assert list(got.values()) == [True, True]
