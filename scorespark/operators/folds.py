@@ -41,6 +41,29 @@ def fold_groups(df: DataFrame, by: list[str], order: list[str], fold: Callable[[
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(each, schema)
 
 
+def scan_groups(df: DataFrame, by: list[str], order: list[str], step: Callable[[object, tuple], tuple[object, tuple | None]], schema: str) -> DataFrame:
+    """step(state, row) -> (state, tuple of the schema or None) over the rows of each group in order; state begins as None.
+
+    Only the state goes from batch to batch, so a group of any size takes no more memory than a batch.
+    """
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = state = None
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                key = tuple(getattr(row, c) for c in by)
+                if key != last:
+                    last, state = key, None
+                state, one = step(state, row)
+                if one is not None:
+                    out.append(one)
+            yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(each, schema)
+
+
 def greedy_match(left: DataFrame, right: DataFrame, on: list[str], x: str, tol: float, order: Callable[[pd.DataFrame], pd.DataFrame] | None = None, equal: str | None = None) -> DataFrame:
     """One-to-one matches (on..., left_id, right_id, gap): each left row, in order, takes the nearest unused right row
     within tol (ties: the smaller x, then the smaller id); left and right have id and x, and `order` sorts the left.
@@ -97,17 +120,14 @@ def suppress(df: DataFrame, by: list[str], x: str, score: str, reach: float) ->
 def keep_first(df: DataFrame, by: list[str], x: str, reach: float) -> DataFrame:
     """Rows in order of x (then id) that do not lie within reach of the last kept row."""
 
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        out, last = [], None
-        for row in g.itertuples():
-            at = float(getattr(row, x))
-            if last is None or at - last > reach:
-                last = at
-                out.append((*(getattr(row, c) for c in by), int(row.id), at))
-        return out
+    def step(last: float | None, row: tuple) -> tuple[float, tuple | None]:
+        at = float(getattr(row, x))
+        if last is not None and at - last <= reach:
+            return last, None
+        return at, (*(getattr(row, c) for c in by), int(row.id), at)
 
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + f", id long, {x} double"
-    return fold_groups(islands(df, by, x, reach, ["id"]), [*by, "island"], [x, "id"], fold, schema)
+    return scan_groups(df, by, [x, "id"], step, schema)
 
 
 def median_clusters(df: DataFrame, by: list[str], x: str, reach: float) -> DataFrame:
@@ -130,17 +150,15 @@ def median_clusters(df: DataFrame, by: list[str], x: str, reach: float) -> DataF
 def anchored_groups(df: DataFrame, by: list[str], x: str, reach: float) -> DataFrame:
     """Rows in order share a group while they lie within reach of the group's first row; (by..., id, grp)."""
 
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        out, head, number = [], None, -1
-        for row in g.itertuples():
-            at = float(getattr(row, x))
-            if head is None or at - head > reach:
-                head, number = at, number + 1
-            out.append((*(getattr(row, c) for c in by), int(row.id), number))
-        return out
+    def step(state: tuple[float, int] | None, row: tuple) -> tuple[tuple[float, int], tuple]:
+        at = float(getattr(row, x))
+        head, number = state or (at, 0)
+        if at - head > reach:
+            head, number = at, number + 1
+        return (head, number), (*(getattr(row, c) for c in by), int(row.id), number)
 
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + ", id long, grp long"
-    return fold_groups(df, by, [x, "id"], fold, schema)
+    return scan_groups(df, by, [x, "id"], step, schema)
 
 
 def monotone_pairs(expected: list[float], found: list[float], skip_expected: float = 0.16, skip_found: float = 0.11, most: float = 0.22) -> list[tuple[int, int]]:

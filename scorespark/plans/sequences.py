@@ -239,15 +239,11 @@ SELECT event_id FROM f WHERE ok""")
 def non_overlapping(spark, d):
     e = events(spark, d).select("user_id", "day", "event_id", "x", (F.col("x") + F.col("v") % 2000).alias("e"))
 
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        cursor, out = -1, []
-        for row in g.itertuples():
-            if row.x >= cursor:
-                cursor = row.e
-                out.append((int(row.event_id),))
-        return out
-
-    return folds.fold_groups(e, ON, ["x", "event_id"], fold, "event_id long")
+    def step(cursor: int | None, row: tuple) -> tuple[int, tuple | None]:
+        cursor = -1 if cursor is None else cursor
+        return (row.e, (int(row.event_id),)) if row.x >= cursor else (cursor, None)
+
+    return folds.scan_groups(e, ON, ["x", "event_id"], step, "event_id long")
 
 
 @query("""WITH g AS (SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber % 3)) AS a, list(DISTINCT l_linenumber % 3) FILTER (l_returnflag = 'R') AS e FROM lineitem GROUP BY l_orderkey), b AS (SELECT *, list_filter(a, lambda x: NOT list_contains(coalesce(e, []), x)) AS m FROM g)

@@ -192,3 +192,22 @@ def test_file_headers_of_all_tables(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[-1]: r["ok"] for r in plans.queries()["dq_file_header"](spark, str(tmp_path)).collect()}
     assert {k: got.pop(f"{k}.parquet") for k in ("orders", "cut", "headless", "empty", "short")} == {"orders": True, "cut": False, "headless": False, "empty": False, "short": False}
     assert list(got.values()) == [True, True]
+
+
+def test_scans_keep_no_rows_of_a_hot_group(spark, monkeypatch):
+    """One group over many batches: the state goes on from batch to batch, and no rows are gathered."""
+    from scorespark.operators import folds
+
+    def gathered(*_):
+        raise AssertionError("a group is gathered")
+
+    monkeypatch.setattr(folds, "fold_groups", gathered)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(1000).selectExpr("if(id < 900, 0, 1) AS g", "id", "cast(id * 3 AS double) AS x")
+        kept, groups = folds.keep_first(df, ["g"], "x", 10).collect(), folds.anchored_groups(df, ["g"], "x", 10).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(r["id"] for r in kept) == [*range(0, 900, 4), *range(900, 1000, 4)]
+    assert {r["id"]: r["grp"] for r in groups} == {i: (i if i < 900 else i - 900) // 4 for i in range(1000)}
