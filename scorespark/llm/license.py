@@ -90,7 +90,7 @@ _BY_HAND = (
     (VERSIONED, "bsd-3-clause", "3 clause", "(?:bsd 3 clause|3 clause bsd)(?: license)?"),
     (VERSIONED, "bsd-4-clause", "4 clause", "(?:bsd 4 clause|4 clause bsd)(?: license)?"),
     (VERSIONED, "0bsd", "0bsd", "0bsd(?: license)?"),
-    (NAMED, "zlib", "zlib license", "(?:the )?zlib(?: libpng)? license"),
+    (NAMED, "zlib", "zlib", "(?:the )?zlib(?: libpng)? license"),
     (NAMED, "unlicense", "unlicense", "(?:the )?unlicense"),
     (NAMED, "python", "python software foundation license", "python software foundation license(?: version 2)?"),
     (NAMED, "openssl", "openssl license", "openssl license"),

@@ -372,6 +372,38 @@ def test_license_matches_brute_force(spark, sf_dir, odd, texts):
         assert r["labels"] == ",".join(sorted(labels | set(filter(None, r["base_labels"].split(","))))) and r["score"] == score
 
 
+def strings_of(parsed):
+    """Strings for every branch of a pattern; of repeats the least and, where they are optional, one."""
+    outs = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            some = [chr(arg)]
+        elif op == "IN":
+            some = [chr(x) if str(o) == "LITERAL" else "1" for o, x in arg]
+        elif op == "BRANCH":
+            some = [x for b in arg[1] for x in strings_of(b)]
+        elif op == "SUBPATTERN":
+            some = strings_of(arg[-1])
+        elif op == "MAX_REPEAT":
+            some = [x * n for n in {arg[0], max(1, arg[0])} for x in strings_of(arg[2])]
+        else:
+            raise ValueError(op)
+        outs = [a + b for a in outs for b in dict.fromkeys(some)]
+    return outs
+
+
+def test_license_keywords_occur_in_every_branch():
+    """The gate by keywords loses no match of its rule, however its optional parts are chosen."""
+    lost = [(r, x) for r in license.rules() for x in strings_of(re._parser.parse(r[3])) if r[2] not in f" {x} "]
+    assert not lost, lost[:20]
+
+
+def test_license_zlib_libpng(spark):
+    got = license.license_scan(spark.createDataFrame([(1, "under the zlib libpng license here")], "doc_id long, text string")).first()
+    assert "zlib" in got["labels"].split(",")
+
+
 def test_license_rules_have_their_keywords():
     assert len(license.rules()) >= 200
     assert all(re.compile(p) for _, _, _, p in license.rules())
