@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from scorespark.llm.common import map_batches
-from scorespark.llm.tokens import MEMORY, ODD_BLANKS, PARTS, Remembering, ranks
+from scorespark.llm.tokens import LONGEST_KEPT, MEMORY, ODD_BLANKS, PARTS, Remembering, ranks
 
 #: Transducer states that a worker keeps, the first that come and so the common ones; later ones are made in passing.
 MOST_STATES = 250_000
@@ -276,7 +276,7 @@ class Codec:
         for piece in self.pattern.findall(text):
             if (ids := known.get(piece)) is None:
                 ids = tuple(self.machine.encode(piece.encode()))
-                if len(known) < MOST_PIECES:
+                if len(known) < MOST_PIECES and len(piece) <= LONGEST_KEPT:
                     known[piece] = ids
             out += ids
         return out

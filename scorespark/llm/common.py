@@ -5,17 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorespark.storage import scratch_dir
 
 #: Bits of the broadcast membership filter: 131,072 words of 64 bits, about 2 MB at any input size.
 FILTER_BITS = 1 << 23
-#: Rows that a worker holds as Python objects at once.
-AT_ONCE = 1000
+#: Rows, and bytes of their columns about, that a worker holds as Python objects at once; one row may be larger.
+AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
 #: The row number that operators add where all columns of their input pass through.
 ROW = "_scorespark_row"
 
@@ -45,12 +47,41 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                yield pa.RecordBatch.from_pydict(work(batch.slice(at, AT_ONCE)))
+            for part in parts(batch):
+                yield pa.RecordBatch.from_pydict(work(part))
 
     return df.mapInArrow(each, schema)
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in order, cut into parts of at most AT_ONCE rows and, but for single rows, BYTES_AT_ONCE bytes of strings."""
+    upto = np.zeros(batch.num_rows + 1, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            upto[1:] += np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(upto, upto[at] + BYTES_AT_ONCE, side="right")) - 1
+        to = min(max(to, at + 1), at + AT_ONCE, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, out: str = "before") -> DataFrame:
+    """df with the sum of value over all rows before, in the order of columns that together are unique.
+
+    Rows are dealt by ranges of the order and summed inside each; the ranges' totals, one row a partition, are added. So
+    no key has to be in one task.
+    """
+    spark = df.sparkSession
+    dealt = saved(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_scorespark_p", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_scorespark_p").agg(F.sum(value).alias("_scorespark_n"))
+    upto = Window.orderBy("_scorespark_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_scorespark_p", F.coalesce(F.sum("_scorespark_n").over(upto), F.lit(0)).alias("_scorespark_b"))
+    inner = F.coalesce(F.sum(value).over(Window.partitionBy("_scorespark_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn(out, inner).join(F.broadcast(starts), "_scorespark_p").withColumn(out, F.col(out) + F.col("_scorespark_b")).drop("_scorespark_p", "_scorespark_b")
+
+
 def split_by_filter(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be in keys, rows whose key surely is not).
 

@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import map_batches, saved
+from scorespark.llm.common import map_batches, parts, running_sum, saved, spread
 from scorespark.llm.tokens import word_ids
 
 WINDOW = 4096
 #: Tokens that a queue must have earned before it is served; smaller claims are carried on to later rounds.
-QUANTUM = 16
+QUANTUM = 64
 #: Documents of a stretch of a source's queue, about; stretches are the unit of distribution.
 STRETCH = 2_000
+#: Rounds that a stretch's tokens are put into at once.
+ROUNDS_AT_ONCE = 10_000
 END = 2
 
 IDS = "doc_id long, source string, row long, n long, ids binary"
+SERVED = "queue string, stretch long, round double, first long, size long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
 def encode(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
@@ -27,13 +32,19 @@ def encode(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     of 16 bits where the vocabulary allows it and else of 32."""
 
     def make():
-        ids_of, tail = word_ids(tokenizer), np.array([end], "<u4").tobytes()
-        kind = "<u2" if max(len(ids_of.ends) - 1, end) < 1 << 16 else "<u4"
+        ids_of = word_ids(tokenizer)
+        kind = ids_of.kind if end < 1 << 8 * ids_of.kind.itemsize else np.dtype("<u4")
 
         def work(batch: pa.RecordBatch) -> dict:
-            wide = [ids_of(t or "") + tail for t in batch["text"].to_pylist()]
-            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in wide]
-            return {c: batch[c] for c in ("doc_id", "source", "row")} | {"n": pa.array([len(x) // 4 for x in wide], pa.int64()), "ids": pa.array(ids, pa.binary())}
+            flat, sizes = ids_of(batch["text"])
+            ends = np.cumsum(sizes + 1)
+            ids = np.full(ends[-1] if len(ends) else 0, end, kind)
+            inner = np.ones(len(ids), bool)
+            inner[ends - 1] = False
+            ids[inner] = flat
+            offsets = np.append(0, ends * kind.itemsize).astype(np.int32)
+            out = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            return {c: batch[c] for c in ("doc_id", "source", "row")} | {"n": pa.array(sizes + 1, pa.int64()), "ids": out}
 
         return work
 
@@ -41,125 +52,146 @@ def encode(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     return map_batches(rows, make, IDS)
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WINDOW, quantum: int = QUANTUM) -> DataFrame:
+def _weight(weights: dict[str, float] | None) -> Column:
+    """A queue's target share, up to a factor: given, or its number of tokens. 0 for sources that are not mentioned."""
+    if weights is None:
+        return F.col("total").cast("double")
+    known = [F.lit(x) for name, w in sorted(weights.items()) for x in ("=" + name, float(w))]
+    return F.coalesce(F.create_map(*known)[F.col("queue")], F.lit(0.0)) if known else F.lit(0.0)
+
+
+def _rounds(window: int, quantum: int):
+    """Stretches of queues (place of the first token, tokens, share) -> the runs of tokens that each round serves.
+
+    After r rounds a queue has been served quantum * floor(r * share * window / quantum) tokens, as long as it has any.
+    Queues without a share are served after all rounds.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for queue, stretch, at, n, share in zip(*(batch[c].to_pylist() for c in ("queue", "stretch", "at", "n", "share")), strict=True):
+                end, rate = at + n, share * window / quantum
+                if not rate:
+                    yield _served(queue, stretch, [float("inf")], [at], [n])
+                    continue
+                r = max(0.0, np.floor(at / quantum / rate) - 2)
+                while quantum * np.floor((r + 1) * rate) <= at:
+                    r += 1
+                while at < end:
+                    r_all = r + np.arange(ROUNDS_AT_ONCE)
+                    upto = np.minimum(quantum * np.floor((r_all + 1) * rate), end).astype(np.int64)
+                    size = np.diff(upto, prepend=at)
+                    use = np.flatnonzero(size > 0)
+                    yield _served(queue, stretch, r_all[use], upto[use] - size[use], size[use])
+                    at, r = int(upto[-1]), r + ROUNDS_AT_ONCE
+
+    return each
+
+
+def _served(queue: str, stretch: int, rounds, first, size) -> pa.RecordBatch:
+    n = len(rounds)
+    return pa.RecordBatch.from_pydict({"queue": pa.array([queue] * n, pa.string()), "stretch": pa.array([stretch] * n, pa.int64()), "round": pa.array(rounds, pa.float64()), "first": pa.array(first, pa.int64()), "size": pa.array(size, pa.int64())})
+
+
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WINDOW, quantum: int = QUANTUM, weights: dict[str, float] | None = None) -> DataFrame:
     """Cuts all documents into pieces of sequences of at most window tokens.
 
     Input: doc_id, text, source. Output for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, source. Null text is empty (its end token is still packed), a null source is a queue of its own; a null
     doc_id and repeated rows are packed like any other; an empty table gives an empty result.
 
-    Deficit round-robin over the queues of the sources: in each round of window tokens a queue earns its share of all
-    tokens, and is served in multiples of quantum as soon as its deficit allows; the rest of the deficit is carried to
-    the next round. After r rounds queue s has been served quantum * floor(r * T_s * window / (T * quantum)) tokens, so
-    any stretch of a queue can be placed without those before it: a round's pieces lie in the order of the sources,
-    rounds follow each other without gaps, and every sequence is a full window. In each round every source gets its
-    share to within quantum tokens, across partitions; windows lie at most quantum tokens a source ahead of the rounds.
-    What is left at the end of all queues follows in their order.
-    The last window's remainder is cut into sequences whose lengths are powers of two, so that nothing is padded.
+    Deficit round-robin over the queues of the sources: in each round a queue earns its target share of window tokens,
+    and is served in multiples of quantum as soon as its deficit allows; the rest of the deficit is carried to the next
+    round, across windows and partitions. weights gives the targets by source (any positive numbers; without it, the
+    sources' own shares of all tokens). A queue that has run dry is passed over: the others go on earning in the same
+    proportions, so they share its part; rounds are then shorter than windows, which lie up to a turn off the targets.
+    Sources without a weight follow when all others are done.
+
+    When each run of tokens is served depends on its place in its queue and on the queue's share alone, so the runs are
+    made stretch by stretch, sorted by round and queue, and placed by running sums of their lengths: nothing is gathered
+    for each source. Runs follow each other without gaps, and every sequence is a full window; the last one's remainder
+    is cut into sequences whose lengths are powers of two, so that nothing is padded.
 
     Token ids are written once and shuffled once, with the stretch of the queue that they belong to.
     """
     ids = saved(encode(docs, tokenizer), "ids")
-    total_rows = ids.count()
-    stretches = max(1, -(-total_rows // STRETCH))
+    stretches = max(1, -(-ids.count() // STRETCH))
     # A stretch: an even hash of the row, so that one hot source is as many tasks as its share needs.
     queue = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("queue")
     ids = ids.select("*", queue, F.pmod(F.xxhash64("row"), F.lit(stretches)).alias("stretch"))
-    sums = ids.groupBy("queue", "stretch").agg(F.sum("n").alias("n"))
-    totals = [(r[0], r[1]) for r in sums.groupBy("queue").agg(F.sum("n")).orderBy("queue").collect()]  # a row for each source
-    starts = sums.select("queue", "stretch", F.coalesce(F.sum("n").over(_upto(["queue"], "stretch")), F.lit(0)).alias("before"))
-    inner = F.coalesce(F.sum("n").over(_upto(["queue", "stretch"], "row")), F.lit(0))
-    laid = ids.join(starts, ["queue", "stretch"]).withColumn("at", F.col("before") + inner).select("doc_id", "source", "queue", "n", "ids", "at")
-    shared = laid.sparkSession.sparkContext.broadcast((totals, window, quantum))
-    return map_batches(laid, lambda: _cutter(shared), PIECES)
-
-
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
-
-
-def _upto(part, order):
-    return Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-
-
-class Schedule:
-    """Where the rounds put the tokens of each queue. Exact integers throughout."""
-
-    def __init__(self, totals: list[tuple[str, int]], window: int, quantum: int):
-        self.window, self.quantum = window, quantum
-        self.names = {name: k for k, (name, _) in enumerate(totals)}
-        self.sizes = [n for _, n in totals]
-        self.total = sum(self.sizes)
-        self.rounds = self.total // window
-        self.known: dict[int, list[int]] = {}
-
-    def served(self, s: int, rounds: int) -> int:
-        return self.quantum * (rounds * self.sizes[s] * self.window // (self.total * self.quantum))
-
-    def round_of(self, s: int, at: int) -> int:
-        """The first round after which more than at tokens of queue s have been served."""
-        steps = at // self.quantum + 1
-        return -(-steps * self.total * self.quantum // (self.sizes[s] * self.window))
-
-    def begin(self, rounds: int) -> list[int]:
-        """Place of each queue's part of the round that follows so many rounds."""
-        if rounds not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            out, counts = [], [self.served(s, rounds) for s in range(len(self.sizes))]
-            place = sum(counts)
-            for s, n in enumerate(counts):
-                out.append(place)
-                end = self.served(s, rounds + 1) if rounds < self.rounds else self.sizes[s]
-                place += end - n
-            self.known[rounds] = out
-        return self.known[rounds]
-
-    def pieces(self, name: str, at: int, n: int):
-        """(place among all tokens, tokens) of the n tokens at place at of a queue."""
-        s, end = self.names[name], at + n
-        while at < end:
-            r = min(self.round_of(s, at), self.rounds + 1) - 1
-            first = self.served(s, r)
-            last = self.served(s, r + 1) if r < self.rounds else self.sizes[s]
-            take = min(end, last) - at
-            yield self.begin(r)[s] + at - first, take
-            at += take
-
-    def sequence(self, place: int) -> tuple[int, int, int]:
-        """(sequence, offset in it, tokens left in it) of a place."""
-        k, offset = divmod(place, self.window)
-        rest = self.total - self.total // self.window * self.window
-        if k < self.total // self.window:
-            return k, offset, self.window - offset
+    sums = running_sum(ids.groupBy("queue", "stretch").agg(F.sum("n").alias("n")), ["queue", "stretch"], "n")
+    sums = saved(sums, "stretches")
+    queues = sums.groupBy("queue").agg(F.sum("n").alias("total"), F.min("before").alias("base")).withColumn("weight", _weight(weights))
+    all_weights = queues.agg(F.sum("weight").alias("weights"))
+    dealt = sums.join(queues, "queue").crossJoin(F.broadcast(all_weights))  # one row
+    share = F.when(F.col("weights") > 0, F.col("weight") / F.col("weights")).otherwise(0.0)
+    dealt = dealt.select("queue", "stretch", (F.col("before") - F.col("base")).alias("at"), "n", share.alias("share"))
+    served = spread(dealt, "queue", "stretch").mapInArrow(_rounds(window, quantum), SERVED)
+    placed = running_sum(served, ["round", "queue", "first"], "size", "place")
+    total = placed.agg(F.max(F.col("place") + F.col("size"))).first()[0] or 0
+
+    # The runs of a stretch come before its documents, in which they are then found in passing.
+    nothing = lambda kind: F.lit(None).cast(kind)
+    runs = placed.select("queue", "stretch", F.lit(-1).cast("long").alias("row"), "first", "size", "place", nothing("long").alias("doc_id"), nothing("string").alias("source"), nothing("binary").alias("ids"), nothing("long").alias("n"))
+    texts = ids.select("queue", "stretch", "row", nothing("long").alias("first"), nothing("long").alias("size"), nothing("long").alias("place"), "doc_id", "source", "ids", "n")
+    both = spread(runs.unionByName(texts), "queue", "stretch").sortWithinPartitions("queue", "stretch", "row", "first")
+    return both.mapInArrow(_cutter(total, window), PIECES)
+
+
+def sequence(place: int, total: int, window: int) -> tuple[int, int, int]:
+    """(sequence, offset in it, tokens left in it) of a place among total tokens."""
+    k, offset = divmod(place, window)
+    if k < total // window:
+        return k, offset, window - offset
+    rest = total % window
+    size = 1 << (rest.bit_length() - 1)
+    while offset >= size:
+        offset, rest, k = offset - size, rest - size, k + 1
         size = 1 << (rest.bit_length() - 1)
-        while offset >= size:
-            offset, rest, k = offset - size, rest - size, k + 1
-            size = 1 << (rest.bit_length() - 1)
-        return k, offset, size - offset
+    return k, offset, size - offset
 
 
-def _cutter(shared):
-    plan = Schedule(*shared.value)
+def _cutter(total: int, window: int):
     kinds = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "source": pa.string()}
 
-    def work(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in kinds}
-        for doc, source, queue, n, at, ids in zip(*(batch[c].to_pylist() for c in ("doc_id", "source", "queue", "n", "at", "ids")), strict=True):
-            start, run = 0, []
-            ids = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
-            for place, take in plan.pieces(queue, at, n):
-                while take:
-                    k, offset, left = plan.sequence(place)
-                    size = min(take, left)
-                    if run and run[-1][1] == k and run[-1][2] + run[-1][3] == offset:
-                        run[-1][3] += size
-                    else:
-                        run.append([start, k, offset, size])
-                    start, place, take = start + size, place + size, take - size
-            for start, k, offset, size in run:
-                crc = zlib.crc32(ids[4 * start : 4 * (start + size)])
-                for column, value in zip(out.values(), (doc, start, size, crc, n, k, offset, source), strict=True):
-                    column.append(value)
-        return {k: pa.array(v, kinds[k]) for k, v in out.items()}
-
-    return work
+    def pieces(run: list[tuple[int, int]], at: int, k: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """(start, length, sequence, offset) of the n tokens that begin with token at of run k."""
+        start, last = 0, None
+        while start < n:
+            place, size = run[k]
+            s, offset, left = sequence(place + at, total, window)
+            take = min(n - start, size - at, left)
+            if last and last[2] == s and last[3] + last[1] == offset:
+                last = (last[0], last[1] + take, s, last[3])
+            else:
+                if last:
+                    yield last
+                last = (start, take, s, offset)
+            start, at = start + take, at + take
+            if at == size:
+                k, at = k + 1, 0
+        if last:
+            yield last
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run: list[tuple[int, int]] = []
+        key, k, at = None, 0, 0
+        for batch in (p for b in batches for p in parts(b)):
+            out: dict[str, list] = {c: [] for c in kinds}
+            for queue, stretch, row, size, place, doc, source, ids, n in zip(*(batch[c].to_pylist() for c in ("queue", "stretch", "row", "size", "place", "doc_id", "source", "ids", "n")), strict=True):
+                if (queue, stretch) != key:
+                    key, run, k, at = (queue, stretch), [], 0, 0
+                if row < 0:
+                    run.append((place, size))
+                    continue
+                wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
+                for start, length, s, offset in pieces(run, at, k, n):
+                    crc = zlib.crc32(wide[4 * start : 4 * (start + length)])
+                    for column, value in zip(out.values(), (doc, start, length, crc, n, s, offset, source), strict=True):
+                        column.append(value)
+                at += n
+                while k < len(run) and at >= run[k][1]:
+                    at, k = at - run[k][1], k + 1
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in out.items()})
+
+    return each

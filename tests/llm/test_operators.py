@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -12,12 +13,13 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from scorespark.llm import bpe, counts, embeddings, exact, langid, license, packing, queries, simhash, substring, suffix
+from scorespark.llm import bpe, counts, embeddings, exact, langid, license, packing, queries, simhash, substring, suffix, tokens
 
 LONG = "".join(f"palabra{i} " for i in range(3000))
 PASSAGE = "the same passage of rather many words stands in more than one document and goes on for quite a while " * 3
@@ -325,21 +327,66 @@ def check_packing(docs, got, window):
         assert any(d == doc and len(ids) == n and zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()) == crc for d, ids in docs)
 
 
-def test_packing_keeps_shares():
-    totals = [("a", 60_000), ("b", 30_000), ("c", 10_000)]
-    plan = packing.Schedule(totals, 1000, 10)
-    place = {}
-    for name, n in totals:
-        at = 0
-        for p, take in plan.pieces(name, 0, n):
-            for k in range(take):
-                place[p + k] = name
-            at += take
-        assert at == n
-    assert sorted(place) == list(range(100_000))
-    for w in range(99):
-        c = collections.Counter(place[w * 1000 + k] for k in range(1000))
-        assert abs(c["a"] - 600) <= 40 and abs(c["c"] - 100) <= 40
+def shares(got, window, sequences):
+    """Tokens of each source in each of the first sequences."""
+    out = [collections.Counter() for _ in range(sequences)]
+    for r in got:
+        if r["sequence_id"] < sequences:
+            out[r["sequence_id"]][r["source"]] += r["length"]
+    assert all(c.total() == window for c in out)
+    return out
+
+
+def make_sources(spark, path, sizes, words=30):
+    rows = [(k * 10_000 + i, " ".join(["house"] * (words + i % 7)), f"s{k}") for k, n in enumerate(sizes) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_packing_keeps_shares(spark, tmp_path, monkeypatch):
+    """Every window has the corpus's shares, to within a quantum a source; also where a source is many stretches."""
+    monkeypatch.setattr(packing, "STRETCH", 50)
+    docs = make_sources(spark, str(tmp_path / "t"), (600, 300, 100))
+    got = packing.pack(docs, window=1024, quantum=16).collect()
+    total = sum(r["length"] for r in got)
+    own = collections.Counter()
+    for r in got:
+        own[r["source"]] += r["length"]
+    for c in shares(got, 1024, total // 1024 - 1):
+        assert all(abs(c[s] - 1024 * own[s] / total) <= 2 * 16 + 3 for s in own)
+
+
+def test_packing_by_weights(spark, tmp_path, monkeypatch):
+    """Windows have the target shares until a source runs dry; the others then share its part; the rest comes last."""
+    monkeypatch.setattr(packing, "STRETCH", 40)
+    docs = make_sources(spark, str(tmp_path / "t"), (300, 300, 300, 50))
+    got = packing.pack(docs, window=512, quantum=8, weights={"s0": 6, "s1": 3, "s2": 1, "absent": 5}).collect()
+    own = collections.Counter()
+    for r in got:
+        own[r["source"]] += r["length"]
+    total = sum(own.values())
+    until = int(own["s0"] / 0.6) // 512 - 1
+    for c in shares(got, 512, until):
+        assert all(abs(c[s] - 512 * w) <= 2 * 8 + 3 for s, w in (("s0", 0.6), ("s1", 0.3), ("s2", 0.1)))
+    dry = int((own["s0"] + own["s1"] * 4 / 3) // 512) - 1
+    for c in shares(got, 512, dry)[until + 3 :]:
+        assert not c["s0"] and abs(c["s1"] - 384) <= 51 + 24  # up to a turn of s2, as windows end inside rounds
+    last = sum(n for s, n in own.items() if s != "s3") // 512
+    assert all(set(c) == {"s3"} for c in shares(got, 512, total // 512)[last + 1 :])
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    check_packing([(r["doc_id"], tok.encode(r["text"], add_special_tokens=False).ids + [2]) for r in docs.collect()], got, 512)
+
+
+def test_word_ids_match_library():
+    """Random strings of what the tokenizer treats specially; all at once and with nulls."""
+    rng, tok = random.Random(7), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    signs = [*map(chr, range(1, 128)), *"éÉß×÷日本İǅſ́̌̇　\xa0\x85", "'s", "'re", " ", "  ", "hello", "<|endoftext|>"]
+    some = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["", "x" * 500, "-" * 90 + "y"]
+    ids, sizes = tokens.word_ids("word_bpe_49k.json")(pa.array([None, *some, None]))
+    assert sizes[0] == sizes[-1] == 0
+    got = np.split(ids, np.cumsum(sizes)[:-1])[1:-1]
+    for t, e, x in zip(some, tok.encode_batch(some, add_special_tokens=False), got, strict=True):
+        assert e.ids == x.tolist(), t
 
 
 def brute_license(t):
