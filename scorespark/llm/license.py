@@ -2,136 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorespark.llm.license_rules import GENERIC, GRANT, NAMED, TAG, VERSIONED, rules
+
 #: Phrases that are always reported, with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Tiers: a detection is suppressed by one of the same or a lower tier whose interval contains it.
-TAG, GRANT, VERSIONED, NAMED, GENERIC = range(5)
 WEIGHT = {TAG: 1.0, GRANT: 0.95, VERSIONED: 0.85, NAMED: 0.6, GENERIC: 0.2}
 
-#: Licences with versions: label, words of the name (a pattern), short form, versions.
-_VERSIONED = (
-    ("apache", "apache(?: software)?", "apache", ("1 0", "1 1", "2 0", "2")),
-    ("gpl", "(?:gnu )?general public", "gpl", ("1 0", "1", "2 0", "2", "3 0", "3")),
-    ("lgpl", "(?:gnu )?(?:lesser|library)(?: general)? public", "lgpl", ("2 0", "2", "2 1", "3 0", "3")),
-    ("agpl", "(?:gnu )?affero general public", "agpl", ("1 0", "3 0", "3")),
-    ("gfdl", "(?:gnu )?free documentation", "gfdl", ("1 1", "1 2", "1 3")),
-    ("mpl", "mozilla public", "mpl", ("1 0", "1 1", "2 0", "2")),
-    ("epl", "eclipse public", "epl", ("1 0", "2 0")),
-    ("cddl", "common development and distribution", "cddl", ("1 0", "1 1")),
-    ("eupl", "european union public", "eupl", ("1 0", "1 1", "1 2")),
-    ("artistic", "artistic", "artistic", ("1 0", "2 0")),
-    ("boost", "boost software", "bsl", ("1 0",)),
-    ("cpl", "common public", "cpl", ("1 0",)),
-    ("osl", "open software", "osl", ("1 0", "1 1", "2 0", "2 1", "3 0")),
-    ("afl", "academic free", "afl", ("1 1", "1 2", "2 0", "2 1", "3 0")),
-    ("ofl", "(?:sil )?open font", "ofl", ("1 0", "1 1")),
-    ("odbl", "open database", "odbl", ("1 0",)),
-    ("zpl", "zope public", "zpl", ("1 1", "2 0", "2 1")),
-    ("lppl", "latex project public", "lppl", ("1 0", "1 1", "1 2", "1 3")),
-    ("php", "php", "php", ("3 0", "3 01")),
-    ("cecill", "cecill(?: free software)?", "cecill", ("1 0", "2 0", "2 1")),
-    ("mulan", "mulan (?:permissive software|psl)", "mulanpsl", ("1 0", "2 0")),
-    ("ncsa", "university of illinois ncsa open source", "ncsa", ()),
-    ("wtfpl", "do what the (?:fuck you want to|\\S+ you want to) public", "wtfpl", ("2",)),
-    ("mspl", "microsoft public", "ms pl", ()),
-    ("msrl", "microsoft reciprocal", "ms rl", ()),
-)
-#: Creative Commons: suffix of the label, words between, versions.
-_CC = (
-    ("by", "attribution", "by"),
-    ("by-sa", "attribution share ?alike", "by sa"),
-    ("by-nd", "attribution no ?deriv(?:ative)?s?", "by nd"),
-    ("by-nc", "attribution non ?commercial", "by nc"),
-    ("by-nc-sa", "attribution non ?commercial share ?alike", "by nc sa"),
-    ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s?", "by nc nd"),
-)
-_CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Single rules by hand: tier, label, keyword that any match contains, pattern.
-_BY_HAND = (
-    (GRANT, "mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?"),
-    (GRANT, "mit", "the above copyright notice and this permission notice", "the above copyright notice and this permission notice shall be included in all copies(?: or substantial portions of the software)?"),
-    (GRANT, "isc", "permission to use copy modify and", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
-    (GRANT, "bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
-    (GRANT, "bsd", "redistributions of source code must retain", "redistributions of source code must retain the above copyright notice"),
-    (GRANT, "bsd", "redistributions in binary form must reproduce", "redistributions in binary form must reproduce the above copyright notice"),
-    (GRANT, "bsd-3-clause", "neither the name of", "neither the name of (?:\\S+ ){1,12}nor the names of (?:its|any|the) contributors may be used to endorse"),
-    (GRANT, "bsd-4-clause", "all advertising materials mentioning", "all advertising materials mentioning features or use of this software must display"),
-    (GRANT, "apache", "licensed under the apache", "licensed under the apache license version 2 0(?: the license)?"),
-    (GRANT, "apache", "you may not use this file except in compliance", "you may not use this file except in compliance with the license"),
-    (GRANT, "gpl", "this program is free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    (GRANT, "lgpl", "this library is free software", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    (GRANT, "agpl", "under the terms of the gnu affero", "under the terms of the gnu affero general public license"),
-    (GRANT, "gpl", "either version 2 of the license", "either version 2 of the license or at your option any later version"),
-    (GRANT, "gpl", "either version 3 of the license", "either version 3 of the license or at your option any later version"),
-    (GRANT, "gfdl", "permission is granted to copy distribute and or modify this document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
-    (GRANT, "mpl", "this source code form is subject to the terms", "this source code form is subject to the terms of the mozilla public license"),
-    (GRANT, "zlib", "this software is provided as is without any express or implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    (GRANT, "zlib", "the origin of this software must not be misrepresented", "the origin of this software must not be misrepresented"),
-    (GRANT, "unlicense", "free and unencumbered software released into the public domain", "this is free and unencumbered software released into the public domain"),
-    (GRANT, "cc0", "to the extent possible under law", "to the extent possible under law (?:\\S+ ){1,12}waived all copyright"),
-    (GRANT, "boost", "boost software license", "distributed under the boost software license(?: version 1 0)?"),
-    (GRANT, "boost", "permission is hereby granted free of charge to any person or organization", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
-    (GRANT, "ofl", "this font software is licensed under", "this font software is licensed under the sil open font license"),
-    (GRANT, "python", "psf is making python available to licensee", "psf is making python available to licensee"),
-    (GRANT, "openssl", "this product includes software developed by the openssl project", "this product includes software developed by the openssl project"),
-    (GRANT, "wtfpl", "everyone is permitted to copy and distribute verbatim or modified", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
-    (GRANT, "beerware", "buy me a beer", "you can buy me a beer in return"),
-    (GRANT, "proprietary", "confidential and proprietary", "(?:this software is|strictly) confidential and proprietary"),
-    (NAMED, "mit", "mit license", "(?:the )?mit license"),
-    (NAMED, "mit", "mit licensed", "mit licensed"),
-    (NAMED, "mit", "expat license", "(?:mit )?expat license"),
-    (NAMED, "isc", "isc license", "(?:the )?isc license"),
-    (NAMED, "bsd", "bsd license", "(?:the )?(?:new |modified |simplified |revised |original )?bsd license"),
-    (VERSIONED, "bsd-2-clause", "2 clause", "(?:bsd 2 clause|2 clause bsd)(?: license)?"),
-    (VERSIONED, "bsd-3-clause", "3 clause", "(?:bsd 3 clause|3 clause bsd)(?: license)?"),
-    (VERSIONED, "bsd-4-clause", "4 clause", "(?:bsd 4 clause|4 clause bsd)(?: license)?"),
-    (VERSIONED, "0bsd", "0bsd", "0bsd(?: license)?"),
-    (NAMED, "zlib", "zlib", "(?:the )?zlib(?: libpng)? license"),
-    (NAMED, "unlicense", "unlicense", "(?:the )?unlicense"),
-    (NAMED, "python", "python software foundation license", "python software foundation license(?: version 2)?"),
-    (NAMED, "openssl", "openssl license", "openssl license"),
-    (NAMED, "x11", "x11 license", "x11 license"),
-    (NAMED, "beerware", "beerware", "beerware(?: license)?"),
-    (NAMED, "cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    (NAMED, "cc", "creative commons license", "creative commons license"),
-    (NAMED, "public-domain", "public domain", "(?:released|placed|dedicated)(?: in)?(?: to| into)? the public domain"),
-    (GENERIC, "reserved", "all rights reserved", "all rights reserved"),
-    (GENERIC, "copyright", "copyright", "copyright (?:c )?(?:19|20)\\d\\d(?: (?:19|20)\\d\\d)?"),
-    (GENERIC, "warranty", "without warranty", "without warranty of any kind"),
-    (GENERIC, "warranty", "without warranties or conditions", "without warranties or conditions of any kind"),
-    (GENERIC, "eula", "end user license agreement", "end user license agreement"),
-)
-
-
-def rules() -> list[tuple[int, str, str, str]]:
-    """(tier, label, keyword, pattern over words) in order of priority."""
-    out = list(_BY_HAND)
-    for label, name, short, versions in _VERSIONED:
-        mark = short if " " not in name and "(" not in name else name.split(")")[-1].strip(" ?") or short
-        mark = {"lgpl": "public", "ofl": "open font", "mulan": "mulan", "wtfpl": "do what the", "cecill": "cecill"}.get(label, mark if "(" not in name or ")?" in name else short)
-        if label == "apache":
-            mark = "apache"
-        out.append((NAMED, label, mark, f"(?:the )?{name} licen[sc]e"))
-        out.append((GRANT, label, mark, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?{name} licen[sc]e"))
-        for v in versions:
-            out.append((VERSIONED, label, mark, f"(?:the )?{name} licen[sc]e (?:version |v |v)?{v}(?: or later| only)?"))
-            out.append((TAG, label, "spdx", f"spdx license identifier {short} {v}(?: only| or later)?"))
-            out.append((VERSIONED, label, short, f"{short} (?:v|version )?{v}(?: only| or later)?"))
-    for end, words, short in _CC:
-        for v in _CC_VERSIONS:
-            out.append((VERSIONED, f"cc-{end}", f"cc {short}", f"cc {short} {v}(?: deed| legalcode)?"))
-            out.append((TAG, f"cc-{end}", "spdx", f"spdx license identifier cc {short} {v}"))
-            out.append((VERSIONED, f"cc-{end}", "creative commons", f"creative commons {words}(?: international)? {v}(?: international| unported)?(?: license)?"))
-        out.append((NAMED, f"cc-{end}", "creative commons", f"creative commons {words}(?: license)?"))
-    for label, tag in (("mit", "mit"), ("isc", "isc"), ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"), ("zlib", "zlib"), ("unlicense", "unlicense"), ("cc0", "cc0 1 0"), ("python", "python 2 0")):
-        out.append((TAG, label, "spdx", f"spdx license identifier {tag}"))
-    return sorted(out, key=lambda r: r[0])
-
-
 _LONGEST_RUN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -143,60 +25,88 @@ def _bounded(pattern: str) -> str:
     return f"(?<= )(?:{pattern})(?= )"
 
 
+#: A place where a rule matches: its words are start .. end - 1.
+_PLACE = "struct<start:int,end:int,rule:int,tier:int,label:string,version:string>"
+#: Stands before the first word of a match; texts are free of it by then.
+_MARK = "\x01"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _places(text: Column, rule: Column) -> Column:
+    """All places of a rule, in order. The words of the text are numbered once, whatever the number of matches."""
+    none = F.array().cast(f"array<{_PLACE}>")
+
+    def of(found: Column) -> Column:
+        words = F.split(F.regexp_replace(text, rule["pattern"], F.lit(_MARK + "$0")), F.lit(" "))
+        starts = F.filter(F.transform(words, lambda w, i: F.when(F.startswith(w, F.lit(_MARK)), i - 1)), lambda i: i.isNotNull())
+        version = lambda m: F.when(rule["tier"].isin(TAG, VERSIONED), F.nullif(F.replace(F.regexp_extract(m, r"(\d+(?: \d+)*)", 1), F.lit(" "), F.lit(".")), F.lit("")))
+        one = lambda s, m: F.struct(s.alias("start"), (s + _spaces(m) + 1).alias("end"), rule["rule"].alias("rule"), rule["tier"].alias("tier"), rule["label"].alias("label"), version(m).alias("version"))
+        return F.zip_with(starts, found, one).cast(f"array<{_PLACE}>")
+
+    return _let(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), lambda found: F.when(F.size(found) > 0, of(found)).otherwise(none))
+
+
+def _uncontained(found: Column) -> Column:
+    """The places that no other contains which is of the same or a stronger tier; of equal places in a tier, the rule that
+    comes first stays.
+
+    One pass in order of start, with the farthest end of each tier so far. What is kept is gathered in blocks of about
+    the root of their number, so that no long array is copied for each place.
+    """
+    reach, kept = F.array(*[F.lit(-1)] * len(WEIGHT)), F.array().cast(f"array<{_PLACE}>")
+
+    def step(acc: Column, x: Column) -> Column:
+        inside = F.exists(F.slice(acc["reach"], 1, x["tier"] + 1), lambda r: r >= x["end"])
+        far = F.transform(acc["reach"], lambda r, i: F.when((i == x["tier"]) & (x["end"] > r), x["end"]).otherwise(r))
+        return F.struct(far.alias("reach"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(x["place"]))).alias("out"))
+
+    def block(acc: Column, xs: Column) -> Column:
+        inner = F.aggregate(xs, F.struct(acc["reach"].alias("reach"), kept.alias("out")), step)
+        return _let(inner, lambda got: F.struct(got["reach"].alias("reach"), F.concat(acc["out"], F.array(got["out"])).alias("out")))
+
+    def in_order(xs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / size).cast("int")), lambda k: F.slice(xs, k * size + 1, size))
+        zero = F.struct(reach.alias("reach"), F.array().cast(f"array<array<{_PLACE}>>").alias("out"))
+        return F.flatten(F.aggregate(blocks, zero, block)["out"])
+
+    order = F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["rule"].alias("rule"), x["tier"].alias("tier"), x["end"].alias("end"), x.alias("place")))
+    return F.when(F.size(found) > 0, _let(F.array_sort(order), in_order)).otherwise(kept)
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """Licences named or quoted in each whole text.
 
     Input: doc_id, text; other columns are ignored. Output for each row: doc_id, n_words, n_base, first_word, last_word,
-    base_labels, labels, score, detections (array of start, end, tier, label: those that are not suppressed).
+    base_labels, labels, score, detections (array of start, end, rule, tier, label, version: those that are not suppressed).
 
     Null text counts as empty: no words, null positions, empty labels, score 0. Repeated rows give repeated results.
 
-    Words are joined by single blanks and patterns run over that. A rule runs only where the text has its keyword. All
-    its places become intervals of words; one pass over the intervals in order of start suppresses those that an
-    interval of the same or a stronger tier contains. score is the largest weight of what is left. Nothing is shuffled.
+    Words are joined by single blanks and patterns run over that. A rule runs only where the text has its gate, a word
+    that each of its matches contains. All its places become intervals of words, and what a place of the same or a stronger
+    tier contains is suppressed. score is the largest weight of what is left. Nothing is shuffled, and the work for a text
+    grows about with its words, whatever it matches.
     """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), upper, lower), _LONGEST_RUN, " "))
     d = docs.select("doc_id", words.alias("w"))
     d = d.select("doc_id", F.concat(F.lit(" "), "w", F.lit(" ")).alias("t"), F.when(F.col("w") == "", F.lit(0)).otherwise(_spaces(F.col("w")) + 1).cast("long").alias("n_words"))
 
-    every, keywords = rules(), sorted({r[2] for r in rules()})
-    names = F.array(*[F.lit(k) for k in keywords])
-    d = d.withColumn("k", F.filter(names, lambda k: F.contains(F.col("t"), k)))
-    table = F.array(*[F.struct(F.lit(tier).alias("tier"), F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(_bounded(p)).alias("p")) for tier, label, key, p in every])
-    base = F.array(*[F.struct(F.lit(-1).alias("tier"), F.lit(label).alias("label"), F.lit(f" {phrase} ").alias("key"), F.lit(_bounded(phrase)).alias("p")) for phrase, label in BASE])
-
-    def places(text: Column, rule: Column) -> Column:
-        apart, found = F.split(text, rule["p"], -1), F.regexp_extract_all(text, rule["p"], F.lit(0))
-        kind = "array<struct<start:int,end:int,tier:int,label:string>>"
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + _spaces(F.element_at(apart, i))
-            size = _spaces(F.element_at(found, i))
-            one = F.struct((start - 1).cast("int").alias("start"), (start + size).cast("int").alias("end"), rule["tier"].alias("tier"), rule["label"].alias("label"))
-            return F.struct((start + size).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).cast(kind).alias("out"))
-
-        zero = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast(kind).alias("out"))
-        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, step)["out"]).otherwise(F.array().cast(kind))
-
-    found = lambda rs, hit: F.flatten(F.transform(F.filter(rs, hit), lambda r: places(F.col("t"), r)))
-    none = F.array().cast("array<struct<start:int,end:int,tier:int,label:string>>")
-    d = d.withColumn("b", F.when(F.contains("t", F.lit(" license ")), found(base, lambda r: F.contains(F.col("t"), r["key"]))).otherwise(none))
-    d = d.withColumn("f", F.when(F.size("k") > 0, found(table, lambda r: F.array_contains(F.col("k"), r["key"]))).otherwise(none))
-    order = F.transform("f", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["tier"].alias("tier"), x["label"].alias("label")))
-    tiers = len(WEIGHT)
-    kept = "array<struct<start:int,end:int,tier:int,label:string>>"
-
-    def pass_over(acc: Column, x: Column) -> Column:
-        end = -x["back"]
-        inside = F.exists(F.slice(acc["reach"], 1, x["tier"] + 1), lambda r: r >= end)
-        reach = F.transform(acc["reach"], lambda r, i: F.when((i == x["tier"]) & (end > r), end).otherwise(r))
-        one = F.array(F.struct(x["start"].alias("start"), end.alias("end"), x["tier"].alias("tier"), x["label"].alias("label"))).cast(kept)
-        return F.struct(reach.alias("reach"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], one)).cast(kept).alias("out"))
-
-    zero = F.struct(F.array(*[F.lit(-1)] * tiers).alias("reach"), F.array().cast(kept).alias("out"))
-    d = d.withColumn("s", F.when(F.size("f") > 0, F.aggregate(F.array_sort(order), zero, pass_over)["out"]).otherwise(none))
-    weight = F.array(*[F.lit(WEIGHT[i]) for i in range(tiers)])
+    every = [(n, *r) for n, r in enumerate(rules())]
+    gates = F.array(*[F.lit(g) for g in sorted({r[3] for r in every})])
+    row = lambda n, tier, label, gate, p: F.struct(F.lit(n).alias("rule"), F.lit(tier).alias("tier"), F.lit(label).alias("label"), F.lit(gate).alias("gate"), F.lit(_bounded(p)).alias("pattern"))
+    table, base = F.array(*[row(*r) for r in every]), F.array(*[row(-1, -1, label, phrase, phrase) for phrase, label in BASE])
+    found = lambda rs: F.flatten(F.transform(rs, lambda r: _places(F.col("t"), r)))
+    none = F.array().cast(f"array<{_PLACE}>")
+    d = d.withColumn("k", F.array_intersect(F.split("t", " "), gates))
+    d = d.withColumn("b", F.when(F.contains("t", F.lit(" license ")), found(F.filter(base, lambda r: F.contains(F.col("t"), r["gate"])))).otherwise(none))
+    d = d.withColumn("f", F.when(F.size("k") > 0, found(F.filter(table, lambda r: F.array_contains(F.col("k"), r["gate"])))).otherwise(none))
+    d = d.withColumn("s", _uncontained(F.col("f")))
+    weight = F.array(*[F.lit(WEIGHT[i]) for i in range(len(WEIGHT))])
     labels_of = lambda c: F.transform(c, lambda x: x["label"])
     starts = F.transform("b", lambda x: x["start"])
     return d.select(
