@@ -7,25 +7,32 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorespark.llm.common import map_batches, saved
-from scorespark.llm.tokens import MEMORY, file_of
+from scorespark.llm.tokens import HARD, KIND, LETTER, SPACE, Numbers, Units, file_of
 
 #: Runs of letters; case does not count.
 WORDS = re.compile(r"[^\W\d_]+")
-#: Longest piece, in characters, and longest part of a word that is scored at once.
-PIECE, PART = 12, 40
+#: For Units: runs of plain letters, and of anything that holds other characters than ASCII and Latin-1 letters.
+KINDS = np.where((KIND == HARD) & (np.arange(256) >= 0x80), HARD, np.where(KIND == LETTER, LETTER, SPACE)).astype(np.uint8)
+#: Longest piece, in characters.
+PIECE = 12
+#: Longest word that is learned from, in characters with its mark; words of any length are scored.
+LEARNED = 64
 MARK = "▁"
 #: Texts to a model: the expected size of the sample that it is fitted on, in equal parts for each language, and the
 #: least part of a language that has as many.
 SAMPLE_ROWS, LEAST_ROWS = 4000, 200
 ROUNDS = 2
 FLOOR = 1e-7
-#: Texts whose new words are scored together.
-TOGETHER = 512
+#: Labels that are learned at most, the most frequent ones: the model goes to every worker.
+MOST_LANGUAGES = 256
+#: Cells (word, place, length) of a chart that are made at once, about, and steps after which probabilities are rescaled.
+CELLS, RESCALE = 1 << 21, 24
 PRED, SCORE, RATE = "_scorespark_lang", "_scorespark_score", "_scorespark_rate"
 #: Least log probability a character (letters and one mark a word) under the best language for keep_identified(): one in
 #: about 1100. Over sf0.01 all texts have -2.4 and more, -6.3 and more with a model of a single labelled text; noise such
@@ -44,23 +51,87 @@ def pieces(vocabulary: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(good, 2)}
 
 
-def _chart(parts: list[str], table: dict[str, int]) -> np.ndarray:
-    """[part, start, length] -> piece."""
-    longest = max(map(len, parts))
-    chart = np.zeros((len(parts), longest, PIECE + 1), np.int32)
-    for k, part in enumerate(parts):
-        n = len(part)
-        row = chart[k]
-        for s in range(n):
-            row[s, 1] = 1
-            for e in range(s + 1, min(n, s + PIECE) + 1):
-                if (i := table.get(part[s:e])) is not None:
-                    row[s, e - s] = i
-    return chart
+class Pieces:
+    """Numbers of the pieces that lie in words, found by polynomial hashes of all substrings at once."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, table: dict[str, int]):
+        self.size = max(table.values(), default=1) + 1
+        keys = np.array([self.key(p) for p in table], np.uint64).astype(np.int64)
+        self.numbers = Numbers(keys)
+        self.ids = np.array([*table.values(), 0], np.int32)
+
+    def key(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.FACTOR) + (ord(c) + 1) * 0xBF58476D1CE4E5B9) % (1 << 64)
+        return h
+
+    def ending(self, signs: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """[word, end - lo, length] -> piece (0: none, 1: any one character) that ends with characters lo .. hi - 1."""
+        n = len(signs)
+        value = (signs.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        first = max(0, lo - PIECE + 1)
+        part = value[:, first:hi]
+        chart = np.zeros((n, hi - lo, PIECE + 1), np.int32)
+        h = np.zeros_like(part)
+        for length in range(1, min(PIECE, hi) + 1):
+            # h[:, k]: hash of the `length` characters that begin with first + k
+            h = h[:, : part.shape[1] - length + 1] * self.FACTOR + part[:, length - 1 :]
+            begin = max(lo - length + 1 - first, 0)
+            if begin >= h.shape[1]:
+                continue
+            at = begin + first + length - 1 - lo
+            chart[:, at : at + h.shape[1] - begin, length] = self.ids[self.numbers(h[:, begin:].astype(np.int64))]
+        chart[:, :, 1] = np.maximum(chart[:, :, 1], 1)
+        return chart
+
+    def chart(self, words: list[str]) -> np.ndarray:
+        """[word, start, length] -> piece, of whole words."""
+        signs, sizes = signs_of(words)
+        ends = self.ending(signs, 0, signs.shape[1])
+        out = np.zeros_like(ends)
+        for length in range(1, min(PIECE, signs.shape[1]) + 1):
+            out[:, : signs.shape[1] - length + 1, length] = ends[:, length - 1 :, length]
+        out[np.arange(signs.shape[1])[None, :, None] + np.arange(PIECE + 1) > sizes[:, None, None]] = 0
+        return out
+
+
+def signs_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of words as numbers, [word, place], and their sizes."""
+    sizes = np.array([len(w) for w in words])
+    return np.array(words, f"U{sizes.max()}").view(np.uint32).reshape(len(words), -1), sizes
+
+
+def score_words(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """[word, language]: log probability, summed over all segmentations. Words have about the same length, which may be
+    any: the forward sum needs the last PIECE places only, and is rescaled as it goes."""
+    signs, sizes = signs_of(words)
+    n, longest = signs.shape
+    out, scale = np.zeros((n, p.shape[1])), np.zeros((n, p.shape[1]))
+    window = [np.ones((n, p.shape[1]))]  # the last one is that of the place before
+    step = max(RESCALE, CELLS // (n * (PIECE + 1)))
+    for lo in range(0, longest, step):
+        chart = pieces.ending(signs, lo, min(longest, lo + step))
+        for k in range(chart.shape[1]):
+            now = window[-1] * p[chart[:, k, 1]]
+            for length in range(2, len(window) + 1):
+                i = chart[:, k, length]
+                if i.any():
+                    now += window[-length] * p[i]
+            window = [*window[-PIECE + 1 :], now]
+            if len(done := np.flatnonzero(sizes == lo + k + 1)):
+                out[done] = np.log(np.maximum(now[done], 1e-300)) + scale[done]
+            if (lo + k + 1) % RESCALE == 0:
+                by = np.maximum(now, 1e-300)
+                window = [x / by for x in window]
+                scale += np.log(by)
+    return out
 
 
 def forward(chart: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[part, end, language]: probability of the first characters, summed over their segmentations."""
+    """alpha[word, end, language]: probability of the first characters, summed over their segmentations."""
     n, longest, _ = chart.shape
     alpha = np.zeros((n, longest + 1, p.shape[1]))
     alpha[:, 0] = 1
@@ -80,77 +151,62 @@ def backward(chart: np.ndarray, p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return beta
 
 
-def parts_of(word: str) -> list[str]:
-    marked = MARK + word
-    return [marked[i : i + PART] for i in range(0, len(marked), PART)]
-
-
-def by_length(words: list[str], most: int = 2000):
-    """Words in groups of like length, so that charts hold few empty cells."""
+def by_length(words: list[str], cells: int = CELLS):
+    """Numbers of words in groups of like length, so that charts hold few empty cells and are no larger than cells, but
+    for single words."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(order), most):
-        yield order[at : at + most]
+    at = 0
+    while at < len(order):
+        to = at + 1
+        # Lengths rise, so the last word says how large the chart is.
+        while to < len(order) and (to - at + 1) * len(words[order[to]]) * (PIECE + 1) <= cells:
+            to += 1
+        yield order[at:to]
+        at = to
 
 
 class Model:
-    """p[piece, language]; row 0 is no piece. Scores words by the forward sum.
-
-    The scores of the first MEMORY words, which are the common ones, are kept; those of rarer words last for one call.
-    """
+    """p[piece, language]; row 0 is no piece. Scores the distinct words of a batch by the forward sum."""
 
     def __init__(self, vocabulary: str, languages: list[str], p: np.ndarray):
-        self.languages, self.p, self.table = languages, p, pieces(vocabulary)
-        self.index: dict[str, int] = {}
-        self.scores = np.zeros((MEMORY, len(languages)))
-        self.missed = 0
-
-    def _score(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.languages)))
-        for group in by_length(words):
-            parts = [(k, x) for k in group for x in parts_of(words[k])]
-            chart = _chart([x for _, x in parts], self.table)
-            alpha = forward(chart, self.p)
-            got = np.log(np.maximum(alpha[np.arange(len(parts)), [len(x) for _, x in parts]], 1e-300))
-            np.add.at(out, [k for k, _ in parts], got)
-        return out
-
-    def _totals(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Log probabilities of each list of words."""
-        index, rare = self.index, {}
-        new = list({w for words in texts for w in words if w not in index})
-        scores = self.scores
-        if new:
-            got = self._score(new)
-            if len(index) + len(new) <= MEMORY:
-                scores[len(index) : len(index) + len(new)] = got
-                index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-            else:
-                rare = dict(zip(new, range(MEMORY, MEMORY + len(new)), strict=True))
-                scores = np.concatenate((scores, got))
-                self.missed += len(new)
-        find = index.get
-        out = []
-        for words in texts:
-            rows = [i if (i := find(w)) is not None else rare[w] for w in words] if rare else [index[w] for w in words]
-            out.append(scores[rows].sum(axis=0))
-        if self.missed > 20 * MEMORY:  # other texts than before
-            self.index, self.missed = {}, 0
-        return out
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
+        self.languages, self.p, self.pieces = languages, p, Pieces(pieces(vocabulary))
+
+    def _of_units(self, u: Units) -> tuple[np.ndarray, np.ndarray]:
+        """(log probabilities, characters with a mark for each word) of each distinct unit."""
+        units = u.distinct.cast(pa.string()).to_pylist()
+        words, owner = [], []
+        for k in np.flatnonzero(~u.hard).tolist():
+            words.append(MARK + units[k])
+            owner.append(k)
+        for k in np.flatnonzero(u.hard).tolist():
+            for w in WORDS.findall(units[k].lower()):
+                words.append(MARK + w)
+                owner.append(k)
+        score, size = np.zeros((len(units), len(self.languages))), np.zeros(len(units), np.int64)
+        np.add.at(size, owner, [len(w) for w in words])
+        for group in by_length(words) if self.languages else ():
+            np.add.at(score, [owner[k] for k in group], score_words([words[k] for k in group], self.pieces, self.p))
+        return score, size
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, list[float | None]]:
         """Language, its probability among the languages, and the text's log probability a character under it: None
         where there is no letter, 0 where there is no language."""
-        words = [WORDS.findall((t or "").lower()) for t in texts]
-        out = [("und", 0.0, 0.0 if w else None) for w in words]
-        use = [k for k, w in enumerate(words) if w] if self.languages else []
-        for at in range(0, len(use), TOGETHER):
-            some = use[at : at + TOGETHER]
-            for k, total in zip(some, self._totals([words[k] for k in some]), strict=True):
-                odds = np.exp(total - total.max())
-                best = int(odds.argmax())
-                size = sum(map(len, words[k])) + len(words[k])
-                out[k] = (self.languages[best], float(odds[best] / odds.sum()), float(total[best]) / size)
-        return out
+        u = Units(pc.fill_null(texts, ""), KINDS)
+        score, size = self._of_units(u)
+        upto = np.append(u.first, len(u.codes))
+        n, full = len(texts), np.flatnonzero(np.diff(upto))
+        total, chars = np.zeros((n, len(self.languages))), np.zeros(n, np.int64)
+        if len(full):
+            total[full] = np.add.reduceat(score[u.codes], upto[full], axis=0)
+            chars[full] = np.add.reduceat(size[u.codes], upto[full])
+        told, odds, rate = ["und"] * n, np.zeros(n), [0.0 if c else None for c in chars.tolist()]
+        if self.languages:
+            best = total.argmax(axis=1)
+            top = total[np.arange(n), best]
+            odds = np.where(chars > 0, 1 / np.exp(total - top[:, None]).sum(axis=1), 0.0)
+            for k in np.flatnonzero(chars).tolist():
+                told[k], rate[k] = self.languages[best[k]], float(top[k] / chars[k])
+        return told, odds, rate
 
 
 def held_out() -> Column:
@@ -161,14 +217,16 @@ def held_out() -> Column:
 def fit(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Piece probabilities of each language by expectation-maximisation over word counts.
 
-    Learns from text and lang of documents that are not held out and have both, and a letter. All their languages are
-    learned, each on a sample of about sample_rows / languages of its texts, or LEAST_ROWS if that is more (all, if there
-    are fewer), chosen by a hash of doc_id and text; rows that repeat both count as one. Word counts and expected piece
-    counts are summed by Spark; only the counts of pieces, as many as the vocabulary has times the languages, and one
-    row for each language come to the driver.
+    Learns from text and lang of documents that are not held out and have both, and a letter. Their languages are learned
+    (of more than MOST_LANGUAGES, the most frequent), each on a sample of about sample_rows / languages of its texts, or
+    LEAST_ROWS if that is more (all, if there are fewer), chosen by a hash of doc_id and text; rows that repeat both count
+    as one. Words of more than LEARNED characters are not learned from. Word counts and expected piece counts are summed
+    by Spark; only the counts of pieces, as many as the vocabulary has times the languages, and one row for each of these
+    languages come to the driver.
     """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    rows = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    labels = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    rows = {r["lang"]: r["n"] for r in labels.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     table = pieces(vocabulary)
     if not rows:
         return [], np.zeros((len(table) + 2, 0))
@@ -180,7 +238,8 @@ def fit(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", sample_rows: i
         counts: dict[tuple[str, str], int] = {}
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
             for w in WORDS.findall(text.lower()):
-                counts[lang, w] = counts.get((lang, w), 0) + 1
+                if len(w) < LEARNED:
+                    counts[lang, w] = counts.get((lang, w), 0) + 1
         keys = list(counts)
         return {"lang": pa.array([k[0] for k in keys], pa.string()), "word": pa.array([k[1] for k in keys], pa.string()), "n": pa.array(counts.values(), pa.int64())}
 
@@ -193,27 +252,31 @@ def fit(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", sample_rows: i
     for _ in range(rounds):
         shared = words.sparkSession.sparkContext.broadcast(p)
 
-        def expect(batch: pa.RecordBatch, shared=shared) -> dict:
-            p, total = shared.value, np.zeros((size, len(languages)))
-            langs, texts, ns = (batch[c].to_pylist() for c in ("lang", "word", "n"))
-            for group in by_length(texts):
-                parts = [(at[langs[k]], ns[k], x) for k in group for x in parts_of(texts[k])]
-                chart, sizes = _chart([x for _, _, x in parts], table), np.array([len(x) for _, _, x in parts])
-                own, n = np.array([a for a, _, _ in parts]), np.array([b for _, b, _ in parts], float)
-                alpha, beta = forward(chart, p), backward(chart, p, sizes)
-                rows = np.arange(len(parts))
-                weight = n / np.maximum(alpha[rows, sizes, own], 1e-300)
-                a, b = alpha[rows, :, own], beta[rows, :, own]
-                for s in range(chart.shape[1]):
-                    for length in range(1, min(PIECE, chart.shape[1] - s) + 1):
-                        i = chart[:, s, length]
-                        use = np.flatnonzero(i)
-                        if len(use):
-                            np.add.at(total, (i[use], own[use]), weight[use] * a[use, s] * p[i[use], own[use]] * b[use, s + length])
-            i, lang = np.nonzero(total)
-            return {"piece": pa.array(i, pa.int64()), "lang": pa.array(lang, pa.int64()), "c": pa.array(total[i, lang], pa.float64())}
-
-        got = map_batches(words, lambda e=expect: e, "piece long, lang long, c double").groupBy("piece", "lang").agg(F.sum("c").alias("c")).toPandas()
+        def make(shared=shared):
+            known = Pieces(table)
+
+            def expect(batch: pa.RecordBatch) -> dict:
+                p, total = shared.value, np.zeros((size, len(languages)))
+                langs, texts, ns = batch["lang"].to_pylist(), [MARK + w for w in batch["word"].to_pylist()], batch["n"].to_pylist()
+                for group in by_length(texts):
+                    chart, sizes = known.chart([texts[k] for k in group]), np.array([len(texts[k]) for k in group])
+                    own, n = np.array([at[langs[k]] for k in group]), np.array([ns[k] for k in group], float)
+                    alpha, beta = forward(chart, p), backward(chart, p, sizes)
+                    rows = np.arange(len(group))
+                    weight = n / np.maximum(alpha[rows, sizes, own], 1e-300)
+                    a, b = alpha[rows, :, own], beta[rows, :, own]
+                    for s in range(chart.shape[1]):
+                        for length in range(1, min(PIECE, chart.shape[1] - s) + 1):
+                            i = chart[:, s, length]
+                            use = np.flatnonzero(i)
+                            if len(use):
+                                np.add.at(total, (i[use], own[use]), weight[use] * a[use, s] * p[i[use], own[use]] * b[use, s + length])
+                i, lang = np.nonzero(total)
+                return {"piece": pa.array(i, pa.int64()), "lang": pa.array(lang, pa.int64()), "c": pa.array(total[i, lang], pa.float64())}
+
+            return expect
+
+        got = map_batches(words, make, "piece long, lang long, c double").groupBy("piece", "lang").agg(F.sum("c").alias("c")).toPandas()
         counts = np.zeros_like(p)
         counts[got["piece"], got["lang"]] = got["c"]
         p = np.maximum(counts / np.maximum(counts.sum(axis=0), 1e-300), FLOOR)
@@ -242,9 +305,8 @@ def predict(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary: st
         model = _model(vocabulary, tuple(languages), shared)
 
         def work(batch: pa.RecordBatch) -> dict:
-            got = model.predict(batch["text"].to_pylist())
-            columns = {c: batch[c] for c in batch.schema.names}
-            return columns | {c: pa.array([g[k] for g in got], t) for k, (c, t) in enumerate(((PRED, pa.string()), (SCORE, pa.float64()), (RATE, pa.float64())))}
+            told, odds, rate = model.predict(batch["text"])
+            return {c: batch[c] for c in batch.schema.names} | {PRED: pa.array(told, pa.string()), SCORE: pa.array(odds, pa.float64()), RATE: pa.array(rate, pa.float64())}
 
         return work
 

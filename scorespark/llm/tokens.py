@@ -96,20 +96,21 @@ def _kinds() -> tuple[np.ndarray, np.ndarray]:
 KIND, LOW = _kinds()
 
 
-def units(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def units(raw: np.ndarray, begins: np.ndarray, kinds: np.ndarray = KIND) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What a word tokenizer splits UTF-8 texts into before it merges: (bytes, first byte of each unit, whether it is hard,
     first unit of each text). raw holds the texts one after the other, beginning at begins.
 
     A unit is a run of letters or of points, or a digit, in lower case; or a whole word with a HARD byte, as it is.
     """
-    kind, low = KIND[raw], LOW[raw]
+    kind, low = kinds[raw], LOW[raw]
     lead = np.flatnonzero(raw[:-1] == 0xC3)  # of Latin-1 letters
     tail = raw[lead + 1]
     lead = lead[(tail >= 0x80) & (tail < 0xC0) & (tail != 0x97) & (tail != 0xB7)]
     kind[lead] = kind[lead + 1] = LETTER
     low[lead + 1] += np.where(raw[lead + 1] < 0x9F, 0x20, 0).astype(np.uint8)
-    quote = np.flatnonzero(raw[:-1] == ord("'"))
-    kind[quote[np.isin(raw[quote + 1], np.frombuffer(SHORTENED, np.uint8))]] = HARD
+    if kinds[ord("'")] == POINT:
+        quote = np.flatnonzero(raw[:-1] == ord("'"))
+        kind[quote[np.isin(raw[quote + 1], np.frombuffer(SHORTENED, np.uint8))]] = HARD
 
     used = np.flatnonzero(kind != SPACE)
     first = np.searchsorted(used, begins)  # of each text, among the bytes used
@@ -145,8 +146,7 @@ class WordIds:
         self.last = np.array([vocabulary[c + end] for c in shown], np.int64)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.made = np.array([vocabulary[a + b] for a, b in merges] + [0], np.int64)
-        self.none = len(merges)
-        self.pairs = PairTable(np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in merges], np.int64), self.none)
+        self.ranks = Numbers(np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in merges], np.int64))
         self.hard: dict[bytes, bytes] = {}
 
     def merged(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +155,12 @@ class WordIds:
         ids, sizes = np.zeros((n, width), np.int64), np.full(n, width)
         now = self.inner[data]
         now[:, -1] = self.last[data[:, -1]]
-        rank, rows = self.pairs.ranks(now[:, :-1], now[:, 1:]), np.arange(n)
+        rank, rows = self.ranks(now[:, :-1] << 32 | now[:, 1:]), np.arange(n)
         while len(rows):
             width = now.shape[1]
             at = rank.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
-            best = rank[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), self.none)
-            if (done := best == self.none).any():
+            best = rank[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), self.ranks.none)
+            if (done := best == self.ranks.none).any():
                 ids[rows[done], :width], sizes[rows[done]] = now[done], width
                 now, rank, at, best, rows = now[~done], rank[~done], at[~done], best[~done], rows[~done]
             if not len(rows):
@@ -171,7 +171,7 @@ class WordIds:
             rank = np.where(after[:, :-1], rank[:, 1:], rank[:, :-1])
             for side in (at - 1, at):  # the pairs that the new token is part of
                 k = np.flatnonzero((side >= 0) & (side < width - 2))
-                rank[k, side[k]] = self.pairs.ranks(now[k, side[k]], now[k, side[k] + 1])
+                rank[k, side[k]] = self.ranks(now[k, side[k]] << 32 | now[k, side[k] + 1])
         return ids, sizes
 
     def _by_library(self, new: list[bytes]) -> dict[bytes, bytes]:
@@ -208,19 +208,11 @@ class WordIds:
         for s in self.special:
             whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
-        offsets = np.frombuffer(plain.buffers()[1], np.int32)[plain.offset : plain.offset + len(plain) + 1].astype(np.int64)
-        raw = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        data, at, hard, first = units(raw, offsets[:-1] - offsets[0])
-        cuts = pa.py_buffer(np.append(at, len(data)).astype(np.int32))
-        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
-        distinct, codes = coded.dictionary, coded.indices.to_numpy()
-        ends = np.append(0, np.cumsum(pc.binary_length(distinct).to_numpy())).astype(np.int64)
-        mark = np.zeros(len(distinct), bool)
-        mark[codes] = hard
-        store, counts = self._of_units(np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[: ends[-1]], ends[:-1], mark)
-        lengths = counts[codes]
-        flat = store[ranges((np.cumsum(counts) - counts)[codes], lengths)]
-        upto = np.concatenate(([0], np.cumsum(lengths)))[np.append(first, len(at))]
+        u = Units(plain)
+        store, counts = self._of_units(u.data, u.ends[:-1], u.hard)
+        lengths = counts[u.codes]
+        flat = store[ranges((np.cumsum(counts) - counts)[u.codes], lengths)]
+        upto = np.concatenate(([0], np.cumsum(lengths)))[np.append(u.first, len(u.codes))]
         sizes = np.diff(upto)
         if whole.any():  # rare: texts with the special tokens' strings
             parts = np.split(flat, upto[1:-1])
@@ -244,41 +236,59 @@ def byte_signs() -> list[str]:
     return [chr(sign[b]) for b in range(256)]
 
 
-class PairTable:
-    """Ranks of pairs of tokens, looked up for many pairs at once in open addressing."""
+class Numbers:
+    """64-bit keys to their numbers (place in keys), looked up for many keys at once in open addressing."""
 
-    BITS, FACTOR = 19, 0x9E3779B97F4A7C15
+    FACTOR = 0x9E3779B97F4A7C15
 
-    def __init__(self, keys: np.ndarray, none: int):
-        self.none = none
-        self.keys = np.full(1 << self.BITS, -1, np.int64)
-        self.rank = np.full(1 << self.BITS, none, np.int32)
+    def __init__(self, keys: np.ndarray):
+        self.none, self.bits = len(keys), max(4, (16 * len(keys)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.int64)
+        self.number = np.full(1 << self.bits, self.none, np.int32)
         slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):
-            free = left[self.keys[slot[left]] == -1]
-            self.keys[slot[free[::-1]]] = keys[free[::-1]]  # of several the first
-            put = left[self.keys[slot[left]] == keys[left]]
-            self.rank[slot[put]] = put
-            left = left[self.keys[slot[left]] != keys[left]]
-            slot[left] = (slot[left] + 1) & ((1 << self.BITS) - 1)
+            free = left[self.number[slot[left]] == self.none]
+            self.number[slot[free]] = free  # of several one stays
+            put = left[self.number[slot[left]] == left]
+            self.keys[slot[put]] = keys[put]
+            left = left[self.number[slot[left]] != left]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(self.FACTOR)) >> np.uint64(64 - self.BITS)).astype(np.int64)
-
-    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank of each pair, `none` where it is not merged."""
-        keys = (a << 32 | b).ravel()
-        slot = self._slot(keys)
-        there = self.keys[slot]
-        out = np.where(there == keys, self.rank[slot], self.none)
-        left = np.flatnonzero((there != keys) & (there != -1))
+        return ((keys.astype(np.uint64) * np.uint64(self.FACTOR)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key, `none` where it is not known."""
+        flat = keys.ravel()
+        slot = self._slot(flat)
+        found = self.number[slot]
+        left = np.flatnonzero((self.keys[slot] != flat) & (found != self.none))
+        found[left] = self.none
         while len(left):
-            slot[left] = (slot[left] + 1) & ((1 << self.BITS) - 1)
-            there = self.keys[slot[left]]
-            hit = there == keys[left]
-            out[left[hit]] = self.rank[slot[left[hit]]]
-            left = left[~hit & (there != -1)]
-        return out.reshape(a.shape)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            at = slot[left]
+            used = self.number[at] != self.none
+            hit = used & (self.keys[at] == flat[left])
+            found[left[hit]] = self.number[at[hit]]
+            left = left[used & ~hit]
+        return found.reshape(keys.shape)
+
+
+class Units:
+    """The units of a batch of texts, each distinct one once."""
+
+    def __init__(self, texts: pa.Array, kinds: np.ndarray = KIND):
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        data, at, hard, self.first = units(raw, offsets[:-1] - offsets[0], kinds)
+        cuts = pa.py_buffer(np.append(at, len(data)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
+        #: Distinct units, and where in them each unit of the texts is.
+        self.distinct, self.codes = coded.dictionary, coded.indices.to_numpy()
+        self.ends = np.append(0, np.cumsum(pc.binary_length(self.distinct).to_numpy())).astype(np.int64)
+        self.data = np.frombuffer(self.distinct.buffers()[2] or b"", np.uint8)[: self.ends[-1]]
+        self.hard = np.zeros(len(self.distinct), bool)
+        self.hard[self.codes] = hard
 
 
 class Counter:
