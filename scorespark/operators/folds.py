@@ -1,100 +1,121 @@
 """Ordered folds: greedy matching, suppression, clusters, alignment, exact fill.
 
-Rows that can influence each other are first brought down to small groups (islands, measures, orders); each group is
-folded in a short Arrow-batched function. Groups are dealt by a hash of their key and read in sorted order, so a task
-holds one group at a time.
+Rows that can influence each other are first brought down to small groups (islands, measures, orders). Groups are dealt by
+a hash of their key and read in sorted order as Arrow batches; each is folded as a list of plain tuples, so a task holds
+one group at a time and no frame is made for a group.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
+from statistics import median
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from scorespark.operators.association import islands
 
+#: Rows that are handed back to Spark at once.
+OUT_ROWS = 10_000
 
-def fold_groups(df: DataFrame, by: list[str], order: list[str], fold: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
-    """fold(rows of a group in order) -> tuples of the schema; many groups a call of Python."""
-    names = [x.split()[0] for x in schema.split(",")]
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            number = (frame[by] != frame[by].shift()).any(axis=1).cumsum()
-            last = number == number.iloc[-1]
-            held = frame[last]
-            yield settle(frame[~last], number[~last])
-        if held is not None:
-            yield settle(held, pd.Series(0, held.index))
+def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-    def settle(frame: pd.DataFrame, number: pd.Series) -> pd.DataFrame:
-        out = [row for _, g in frame.groupby(number, sort=False) for row in fold(g)]
-        return pd.DataFrame(out, columns=names)
 
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(each, schema)
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= OUT_ROWS:
+            yield _batch(held, schema)
+            held = []
+    if held:
+        yield _batch(held, schema)
 
 
-def scan_groups(df: DataFrame, by: list[str], order: list[str], step: Callable[[object, tuple], tuple[object, tuple | None]], schema: str) -> DataFrame:
-    """step(state, row) -> (state, tuple of the schema or None) over the rows of each group in order; state begins as None.
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    Only the state goes from batch to batch, so a group of any size takes no more memory than a batch.
+
+def _dealt(df: DataFrame, by: list[str], order: list[str], dealt: bool) -> DataFrame:
+    rest = [c for c in df.columns if c not in by]
+    return (df if dealt else df.repartition(*by)).sortWithinPartitions(*by, *order).select(*by, *rest)
+
+
+def fold_groups(df: DataFrame, by: list[str], order: list[str], fold: Callable[[tuple, list[tuple]], list[tuple]], schema: str, dealt: bool = False) -> DataFrame:
+    """fold(key, rows of the group in order) -> tuples of the schema. A row has the columns of df that are not in by.
+
+    dealt says that rows of equal keys are in one partition already.
     """
-    names = [x.split()[0] for x in schema.split(",")]
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = state = None
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                key = tuple(getattr(row, c) for c in by)
-                if key != last:
-                    last, state = key, None
-                state, one = step(state, row)
-                if one is not None:
-                    out.append(one)
-            yield pd.DataFrame(out, columns=names)
-
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(each, schema)
-
-
-def greedy_match(left: DataFrame, right: DataFrame, on: list[str], x: str, tol: float, order: Callable[[pd.DataFrame], pd.DataFrame] | None = None, equal: str | None = None) -> DataFrame:
-    """One-to-one matches (on..., left_id, right_id, gap): each left row, in order, takes the nearest unused right row
-    within tol (ties: the smaller x, then the smaller id); left and right have id and x, and `order` sorts the left.
-
-    With `equal`, right rows whose column of that name is the same as the left row's come first. Rows further apart
-    than tol from any other are split off beforehand, so a fold sees one island of interacting rows.
+    n, kinds = len(by), to_arrow_schema(StructType.fromDDL(schema))
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        key, held = None, []
+        for row in _tuples(batches):
+            if row[:n] != key:
+                if held:
+                    yield from fold(key, held)
+                key, held = row[:n], []
+            held.append(row[n:])
+        if held:
+            yield from fold(key, held)
+
+    return _dealt(df, by, order, dealt).mapInArrow(lambda batches: _batches(out(batches), kinds), schema)
+
+
+def scan_groups(df: DataFrame, by: list[str], order: list[str], step: Callable[[object, tuple, tuple], tuple[object, tuple | None]], schema: str) -> DataFrame:
+    """step(state, key, row) -> (state, tuple of the schema or None) over the rows of each group in order; state begins as
+    None. Only the state is kept, so a group of any size takes no more memory than a batch."""
+    n, kinds = len(by), to_arrow_schema(StructType.fromDDL(schema))
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        key = state = None
+        for row in _tuples(batches):
+            if row[:n] != key:
+                key, state = row[:n], None
+            state, one = step(state, key, row[n:])
+            if one is not None:
+                yield one
+
+    return _dealt(df, by, order, False).mapInArrow(lambda batches: _batches(out(batches), kinds), schema)
+
+
+def _typed(df: DataFrame, by: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+
+
+def greedy_match(left: DataFrame, right: DataFrame, on: list[str], x: str, tol: float, order: str | None = None, equal: str | None = None) -> DataFrame:
+    """One-to-one matches (on..., left_id, right_id, gap): each left row, by rising `order` (x if none) and id, takes the
+    nearest unused right row within tol (ties: the smaller x, then the smaller id); left and right have id and x.
+
+    With `equal`, right rows whose column of that name is the same as the left row's come first. Rows further apart than
+    tol from any other are split off beforehand, so a fold sees one island of interacting rows.
     """
-    extra = [equal] if equal else []
-    both = left.select(*on, x, "id", *[c for c in left.columns if c not in {*on, x, "id"}], F.lit(0).alias("_side")).unionByName(right.select(*on, x, "id", *extra, F.lit(1).alias("_side")), allowMissingColumns=True)
+    first, sign = F.col(order or x).cast("double").alias("_order"), (F.col(equal) if equal else F.lit(0)).cast("string").alias("_sign")
+    both = left.select(*on, F.col(x).cast("double").alias(x), "id", first, sign, F.lit(0).alias("_side"))
+    both = both.unionByName(right.select(*on, F.col(x).cast("double").alias(x), "id", F.lit(None).cast("double").alias("_order"), sign, F.lit(1).alias("_side")))
     split = islands(both, on, x, tol, ["_side", "id"])
 
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        a, b = g[g["_side"] == 0], g[g["_side"] == 1]
-        if not len(a) or not len(b):
-            return []
-        a = order(a) if order else a.sort_values([x, "id"])
-        bx, bid = b[x].to_numpy(float), b["id"].to_numpy()
-        sign = b[equal].to_numpy() if equal else None
-        free, out, key = np.ones(len(b), bool), [], tuple(g[on].iloc[0])
-        for row in a.itertuples():
-            gap = np.abs(bx - getattr(row, x))
-            ok = np.flatnonzero(free & (gap <= tol))
-            if len(ok):
-                other = (sign[ok] != getattr(row, equal)).astype(int) if equal else np.zeros(len(ok), int)
-                k = ok[np.lexsort((bid[ok], bx[ok], gap[ok], other))[0]]
-                free[k] = False
-                out.append((*key, int(row.id), int(bid[k]), float(gap[k])))
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
+        free = [r for r in rows if r[4]]
+        places, out = [r[0] for r in free], []
+        for at, ident, _, sign, _ in sorted((r for r in rows if not r[4]), key=lambda r: (r[2], r[1])):
+            near = range(bisect_left(places, at - tol), bisect_right(places, at + tol))
+            best = min(((bool(equal) and free[k][3] != sign, abs(places[k] - at), places[k], free[k][1], k) for k in near), default=None)
+            if best:
+                out.append((*key[:-1], ident, best[3], best[1]))
+                del free[best[4]], places[best[4]]
         return out
 
-    schema = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in on) + ", left_id long, right_id long, gap double"
-    return fold_groups(split, [*on, "island"], [x, "_side", "id"], fold, schema)
+    return fold_groups(split, [*on, "island"], [x, "_side", "id"], fold, _typed(both, on) + ", left_id long, right_id long, gap double", dealt=True)
 
 
 def suppress(df: DataFrame, by: list[str], x: str, score: str, reach: float) -> DataFrame:
@@ -103,115 +124,139 @@ def suppress(df: DataFrame, by: list[str], x: str, score: str, reach: float) ->
     df has id; the result is the kept rows (by..., id, x).
     """
 
-    def fold(g: pd.DataFrame) -> list[tuple]:
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
         kept: list[float] = []
         out = []
-        for row in g.sort_values([score, "id"], ascending=[False, True]).itertuples():
-            at = float(getattr(row, x))
-            if all(abs(at - k) > reach for k in kept):
-                kept.append(at)
-                out.append((*(getattr(row, c) for c in by), int(row.id), at))
+        for ident, at, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+            k = bisect_left(kept, at)
+            if (k == len(kept) or kept[k] - at > reach) and (k == 0 or at - kept[k - 1] > reach):
+                kept.insert(k, at)
+                out.append((*key[:-1], ident, at))
         return out
 
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + f", id long, {x} double"
-    return fold_groups(islands(df, by, x, reach, ["id"]), [*by, "island"], [x, "id"], fold, schema)
+    split = islands(df.select(*by, "id", F.col(x).cast("double").alias(x), score), by, x, reach, ["id"])
+    return fold_groups(split, [*by, "island"], [x, "id"], fold, _typed(df, by) + f", id long, {x} double", dealt=True)
 
 
 def keep_first(df: DataFrame, by: list[str], x: str, reach: float) -> DataFrame:
-    """Rows in order of x (then id) that do not lie within reach of the last kept row."""
+    """Rows in order of x (then id) that do not lie within reach of the last kept row of their group."""
 
-    def step(last: float | None, row: tuple) -> tuple[float, tuple | None]:
-        at = float(getattr(row, x))
-        if last is not None and at - last <= reach:
-            return last, None
-        return at, (*(getattr(row, c) for c in by), int(row.id), at)
+    def step(last: float | None, key: tuple, row: tuple) -> tuple[float, tuple | None]:
+        ident, at = row
+        return (last, None) if last is not None and at - last <= reach else (at, (*key, ident, at))
 
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + f", id long, {x} double"
-    return scan_groups(df, by, [x, "id"], step, schema)
+    return scan_groups(df.select(*by, "id", F.col(x).cast("double").alias(x)), by, [x, "id"], step, _typed(df, by) + f", id long, {x} double")
 
 
 def median_clusters(df: DataFrame, by: list[str], x: str, reach: float) -> DataFrame:
     """Rows in order join the last cluster while they lie within reach of its median; (by..., id, cluster)."""
 
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        out, members, number = [], [], -1
-        for row in g.itertuples():
-            at = float(getattr(row, x))
-            if not members or abs(at - float(np.median(members))) > reach:
-                members, number = [], number + 1
-            members.append(at)
-            out.append((*(getattr(row, c) for c in by), int(row.id), number))
-        return out
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
+        return [(*key, r[0], c) for r, c in zip(rows, median_groups([r[1] for r in rows], reach), strict=True)]
 
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + ", id long, cluster long"
-    return fold_groups(df, by, [x, "id"], fold, schema)
+    return fold_groups(df.select(*by, "id", F.col(x).cast("double").alias(x)), by, [x, "id"], fold, _typed(df, by) + ", id long, cluster long")
+
+
+def median_groups(xs: list[float], reach: float) -> list[int]:
+    """Numbers of clusters of ordered places: a place joins the last one while within reach of its median so far."""
+    out, members = [], []
+    for x in xs:
+        if members and abs(x - _middle(members)) <= reach:
+            out.append(out[-1])
+        else:
+            out.append(out[-1] + 1 if out else 0)
+            members = []
+        members.append(x)
+    return out
+
+
+def _middle(ordered: list[float]) -> float:
+    """Median of a list that is in order already."""
+    k = len(ordered) // 2
+    return ordered[k] if len(ordered) % 2 else (ordered[k - 1] + ordered[k]) / 2
+
+
+def mean_groups(xs: list[float], reach: float) -> list[int]:
+    """Numbers of groups of ordered places: a place joins the last group while within reach of its mean so far."""
+    out, total, n = [], 0.0, 0
+    for x in xs:
+        if n and abs(x - total / n) <= reach:
+            out.append(out[-1])
+        else:
+            out.append(out[-1] + 1 if out else 0)
+            total, n = 0.0, 0
+        total, n = total + x, n + 1
+    return out
 
 
 def anchored_groups(df: DataFrame, by: list[str], x: str, reach: float) -> DataFrame:
     """Rows in order share a group while they lie within reach of the group's first row; (by..., id, grp)."""
 
-    def step(state: tuple[float, int] | None, row: tuple) -> tuple[tuple[float, int], tuple]:
-        at = float(getattr(row, x))
+    def step(state: tuple[float, int] | None, key: tuple, row: tuple) -> tuple[tuple[float, int], tuple]:
+        ident, at = row
         head, number = state or (at, 0)
         if at - head > reach:
             head, number = at, number + 1
-        return (head, number), (*(getattr(row, c) for c in by), int(row.id), number)
+        return (head, number), (*key, ident, number)
 
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + ", id long, grp long"
-    return scan_groups(df, by, [x, "id"], step, schema)
+    return scan_groups(df.select(*by, "id", F.col(x).cast("double").alias(x)), by, [x, "id"], step, _typed(df, by) + ", id long, grp long")
 
 
-def monotone_pairs(expected: list[float], found: list[float], skip_expected: float = 0.16, skip_found: float = 0.11, most: float = 0.22) -> list[tuple[int, int]]:
-    """Order-keeping alignment of two lists of normalised positions; equal counts are paired one by one."""
-    n, m = len(expected), len(found)
-    if n == m:
-        return [(i, i) for i in range(n)]
-    cost = np.zeros((n + 1, m + 1))
-    cost[:, 0] = np.arange(n + 1) * skip_expected
-    cost[0] = np.arange(m + 1) * skip_found
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + abs(expected[i - 1] - found[j - 1]), cost[i - 1, j] + skip_expected, cost[i, j - 1] + skip_found)
-    out, i, j = [], n, m
-    while i and j:
-        gap = abs(expected[i - 1] - found[j - 1])
-        if cost[i, j] == cost[i - 1, j - 1] + gap:
-            if gap <= most:
-                out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif cost[i, j] == cost[i - 1, j] + skip_expected:
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
+MATCH, DELETE, INSERT = range(3)
 
 
-def edit_pairs(a: list, b: list, cost: Callable[[object, object], float]) -> list[tuple[int | None, int | None]]:
-    """Edit alignment with gaps of cost 1; of equal costs a match comes before a deletion before an insertion."""
-    n, m = len(a), len(b)
-    d = np.zeros((n + 1, m + 1))
-    d[:, 0], d[0] = np.arange(n + 1), np.arange(m + 1)
+def cheapest_path(n: int, m: int, cost: Callable[[int, int], float], delete: float, insert: float) -> list[tuple[int | None, int | None]]:
+    """Order-keeping alignment of n and m items at the least cost; of equal costs a match, then a deletion, then an
+    insertion. The costs of a row are kept, and one byte for each cell."""
+    last, steps = [j * insert for j in range(m + 1)], np.zeros((n + 1, m + 1), np.uint8)
+    steps[:, 0], steps[0, 1:] = DELETE, INSERT
     for i in range(1, n + 1):
+        row = [i * delete]
         for j in range(1, m + 1):
-            d[i, j] = min(d[i - 1, j - 1] + cost(a[i - 1], b[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1)
+            options = (last[j - 1] + cost(i - 1, j - 1), last[j] + delete, row[j - 1] + insert)
+            least = min(options)
+            row.append(least)
+            steps[i, j] = options.index(least)
+        last = row
     out, i, j = [], n, m
     while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + cost(a[i - 1], b[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-            out.append((i, None))
-        else:
-            j -= 1
-            out.append((None, j))
+        step = steps[i, j]
+        i, j = i - (step != INSERT), j - (step != DELETE)
+        out.append((i if step != INSERT else None, j if step != DELETE else None))
     return out[::-1]
 
 
-def cheapest_fill(options: list[list[tuple[int, float]]], target: int, beam: int = 2500) -> tuple[float, list[int]] | None:
+def monotone_pairs(expected: list[float], found: list[float], skip_expected: float = 0.16, skip_found: float = 0.11, most: float = 0.22) -> list[tuple[int, int]]:
+    """Order-keeping alignment of two lists of normalised positions; equal counts are paired one by one."""
+    if len(expected) == len(found):
+        return [(i, i) for i in range(len(expected))]
+    path = cheapest_path(len(expected), len(found), lambda i, j: abs(expected[i] - found[j]), skip_expected, skip_found)
+    return [(i, j) for i, j in path if i is not None and j is not None and abs(expected[i] - found[j]) <= most]
+
+
+def common_of(a: list, b: list) -> int:
+    """Size of the intersection of two multisets."""
+    return (Counter(a) & Counter(b)).total()
+
+
+def event_cost(a: tuple, b: tuple) -> float:
+    """Cost of taking one event (state, rhythm, notes) for another: .65 for unlike notes, .2 for another state and .075 for
+    another rhythm. Two events without notes have like notes."""
+    both = common_of(a[2], b[2])
+    union = len(a[2]) + len(b[2]) - both
+    notes = 1.0 - (both / union if union else 1.0)
+    return 0.65 * notes + 0.20 * (a[0] != b[0]) + 0.15 * (0.0 if a[:2] == b[:2] else 0.5)
+
+
+def edit_pairs(a: list[tuple], b: list[tuple], cost: Callable[[tuple, tuple], float] = event_cost) -> list[tuple[int | None, int | None]]:
+    """Edit alignment of two lists of events with gaps of cost 1."""
+    return cheapest_path(len(a), len(b), lambda i, j: cost(a[i], b[j]), 1.0, 1.0)
+
+
+def cheapest_fill(options: list[list[tuple[int, float]]], target: int, beam: int = 2500) -> tuple[float, tuple[int, ...]] | None:
     """One option (size, cost) for each event so that the sizes add up to target at the least cost; of equal costs the
-    earliest options. Totals over twice the target are dropped, and at most `beam` totals, those nearest the target and
-    then the cheapest, are kept after each event, as the method has it."""
+    first options, compared from the first event on. Totals over twice the target are dropped, and at most `beam` totals,
+    those nearest the target and then the cheapest, are kept after each event, as the method has it."""
     states: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
     for choices in options:
         after: dict[int, tuple[float, tuple[int, ...]]] = {}
@@ -220,9 +265,10 @@ def cheapest_fill(options: list[list[tuple[int, float]]], target: int, beam: int
                 t, c = total + size, (cost + extra, (*picks, k))
                 if t <= 2 * target and (t not in after or c < after[t]):
                     after[t] = c
-        states = dict(sorted(after.items(), key=lambda s: (abs(s[0] - target), s[1][0]))[:beam])
-    found = states.get(target)
-    return None if found is None else (found[0], list(found[1]))
+        if len(after) > beam:
+            after = dict(sorted(after.items(), key=lambda s: (abs(s[0] - target), s[1]))[:beam])
+        states = after
+    return states.get(target)
 
 
 def iou(a: tuple[float, ...], b: tuple[float, ...]) -> float:
@@ -234,54 +280,47 @@ def iou(a: tuple[float, ...], b: tuple[float, ...]) -> float:
     return both / union if union > 0 else 0.0
 
 
+_BOX = ("id", "side", "score", "x", "y", "w", "h")
+
+
 def match_boxes(df: DataFrame, by: list[str], least_iou: float | None = 0.3, most_distance: float | None = None) -> DataFrame:
     """Boxes of two sides (side 0: truth, 1: found, with score) matched one to one within each group.
 
     Found boxes by falling score (then id) take the unused truth of the highest overlap, at least least_iou; or, with
-    most_distance, the one with the nearest centre. df has id, side, score, x, y, w, h; groups are (image, class).
+    most_distance, the one with the nearest centre; of equals the smaller id. df has id, side, score, x, y, w, h and label;
+    groups are (image, class). `same` says whether the two boxes have the same label.
     """
 
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        truths, out, used = g[g["side"] == 0], [], set()
-        boxes = [(int(r.id), (r.x, r.y, r.w, r.h)) for r in truths.itertuples()]
-        for r in g[g["side"] == 1].sort_values(["score", "id"], ascending=[False, True]).itertuples():
-            best = None
-            for k, (ident, box) in enumerate(boxes):
-                if k in used:
-                    continue
-                if most_distance is None:
-                    rank = iou((r.x, r.y, r.w, r.h), box)
-                    ok = rank >= least_iou
-                else:
-                    gap = float(np.hypot(r.x + r.w / 2 - box[0] - box[2] / 2, r.y + r.h / 2 - box[1] - box[3] / 2))
-                    rank, ok = -gap, gap <= most_distance
-                if ok and (best is None or (rank, -ident) > best[0]):
-                    best = ((rank, -ident), k)
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
+        truths, out = [r for r in rows if r[1] == 0], []
+        for ident, _, _, *box, label in sorted((r for r in rows if r[1] == 1), key=lambda r: (-r[2], r[0])):
+            if most_distance is None:
+                ranked = [(-iou(box, t[3:7]), t[0], t) for t in truths]
+                fits = lambda r: -r >= least_iou
+            else:
+                ranked = [(((box[0] + box[2] / 2 - t[3] - t[5] / 2) ** 2 + (box[1] + box[3] / 2 - t[4] - t[6] / 2) ** 2) ** 0.5, t[0], t) for t in truths]
+                fits = lambda r: r <= most_distance
+            best = min((r for r in ranked if fits(r[0])), default=None, key=lambda r: r[:2])
             if best:
-                used.add(best[1])
-                out.append((*(g[c].iloc[0] for c in by), int(r.id), boxes[best[1]][0], round(abs(best[0][0]), 9)))
+                truths.remove(best[2])
+                out.append((*key, ident, best[1], abs(best[0]), label == best[2][7]))
         return out
 
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + ", found_id long, truth_id long, measure double"
-    return fold_groups(df, by, ["side", "id"], fold, schema)
+    return fold_groups(df.select(*by, *_BOX, "label"), by, ["side", "id"], fold, _typed(df, by) + ", found_id long, truth_id long, measure double, same boolean")
 
 
 def suppress_boxes(df: DataFrame, by: list[str], least_iou: float = 0.4) -> DataFrame:
-    """Non-maximum suppression: boxes by falling score (then id) stay unless a kept box of the group overlaps them by
-    at least least_iou."""
+    """Non-maximum suppression: boxes by falling score (then id) stay unless a kept box of the group overlaps them by at
+    least least_iou."""
 
-    def fold(g: pd.DataFrame) -> list[tuple]:
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
         kept: list[tuple] = []
-        out = []
-        for r in g.sort_values(["score", "id"], ascending=[False, True]).itertuples():
-            box = (r.x, r.y, r.w, r.h)
-            if all(iou(box, k) < least_iou for k in kept):
-                kept.append(box)
-                out.append((*(g[c].iloc[0] for c in by), int(r.id)))
-        return out
+        for r in sorted(rows, key=lambda r: (-r[2], r[0])):
+            if all(iou(r[3:], k[3:]) < least_iou for k in kept):
+                kept.append(r)
+        return [(*key, r[0]) for r in kept]
 
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + ", id long"
-    return fold_groups(df, by, ["id"], fold, schema)
+    return fold_groups(df.select(*by, *_BOX), by, ["id"], fold, _typed(df, by) + ", id long")
 
 
 def join_digits(digits: list[tuple[float, int]], gap: float, most: int = 36) -> list[tuple[float, int]]:
@@ -298,68 +337,162 @@ def join_digits(digits: list[tuple[float, int]], gap: float, most: int = 36) ->
     return out
 
 
-def mean_groups(xs: list[float], reach: float) -> list[int]:
-    """Numbers of groups of ordered places: a place joins the last group while within reach of its mean so far."""
-    out, members = [], []
-    for x in xs:
-        if members and abs(x - sum(members) / len(members)) <= reach:
-            members.append(x)
-            out.append(out[-1])
-        else:
-            members = [x]
-            out.append(out[-1] + 1 if out else 0)
-    return out
-
-
 def anchored_pairs(a: list[tuple[str, float]], b: list[tuple[str, float]]) -> tuple[list[tuple[int, int]], str]:
-    """Alignment pinned by prints that occur once on either side in the same order; stretches between are monotone."""
-    once = lambda rows: {p: i for i, (p, _) in enumerate(rows) if sum(q == p for q, _ in rows) == 1}
-    at_a, at_b = once(a), once(b)
+    """Alignment pinned by prints that occur once on either side, as far as they rise on both; stretches between are
+    monotone."""
+    counts = Counter(p for p, _ in a), Counter(p for p, _ in b)
+    places = {p: j for j, (p, _) in enumerate(b)}
     pins, last = [], -1
-    for i, j in sorted((at_a[p], at_b[p]) for p in at_a.keys() & at_b.keys()):
-        if j > last:
-            pins.append((i, j))
-            last = j
+    for i, (p, _) in enumerate(a):
+        if counts[0][p] == counts[1][p] == 1 and places[p] > last:
+            last = places[p]
+            pins.append((i, last))
     out, i0, j0 = [], 0, 0
     for i, j in [*pins, (len(a), len(b))]:
         out += [(i0 + p, j0 + q) for p, q in monotone_pairs([x for _, x in a[i0:i]], [x for _, x in b[j0:j]])]
-        if i < len(a) or j < len(b):
+        if i < len(a) and j < len(b):
             out.append((i, j))
         i0, j0 = i + 1, j + 1
     return out, "anchors" if pins else "monotone"
 
 
-def windows_of_markers(events: list[float], markers: list[float], sizes: tuple[int, ...] = (2, 3, 4, 5, 6, 7), penalty: float = 0.12) -> list[tuple[int, int, int]]:
-    """(marker, first event, number of events): each marker in order takes the run of unused events whose centre lies
-    nearest, with a penalty for each event."""
+def windows_of_markers(events: list[float], markers: list[tuple[float, int, tuple[float, float] | None]], spacing: float, most: int = 7) -> list[tuple[int, list[int]]]:
+    """(marker, its events) for markers (x, expected number, bracket) in order, of events in order.
+
+    A marker with a bracket takes the free events in it, if they are two or more. Else it takes the run of 2 to `most`
+    free neighbours whose middle lies nearest, with .12 for each event more or less than expected; of equals the shortest,
+    then the first.
+    """
     out, used = [], set()
-    for m, x in enumerate(markers):
-        best = None
-        for n in sizes:
-            for i in range(len(events) - n + 1):
-                if used.isdisjoint(range(i, i + n)):
-                    cost = abs((events[i] + events[i + n - 1]) / 2 - x) + penalty * n
-                    if best is None or (cost, n, i) < best:
-                        best = (cost, n, i)
-        if best:
-            used.update(range(best[2], best[2] + best[1]))
-            out.append((m, best[2], best[1]))
+    if len(events) < 2:
+        return out
+    for m, (x, expected, bracket) in enumerate(markers):
+        chosen: list[int] = []
+        if bracket is not None:
+            margin = max(2.0, spacing * 0.12)
+            chosen = [i for i, e in enumerate(events) if bracket[0] - margin <= e <= bracket[1] + margin and i not in used]
+        if len(chosen) < 2:
+            best = None
+            for n in range(2, min(most, len(events)) + 1):
+                for i in range(len(events) - n + 1):
+                    if used.isdisjoint(range(i, i + n)):
+                        cost = abs((events[i] + events[i + n - 1]) / 2 - x) / max(spacing, 1.0) + 0.12 * abs(n - expected)
+                        if best is None or (cost, n, i) < best:
+                            best = (cost, n, i)
+            chosen = list(range(best[2], best[2] + best[1])) if best else []
+        if chosen:
+            used.update(chosen)
+            out.append((m, chosen))
     return out
 
 
-def resolve_ties(events: list[tuple[int, bool, int]], recent: int = 8) -> list[tuple[int, int, str]]:
-    """(event, source, method) of continuations in a document's order: events are (key, continues, value).
+class Continuations:
+    """Resolves the notes that sound on without a new attack, event by event of one document.
 
-    A continuation takes the event right before with the same key, or the last one with that key at most `recent`
-    events back, and only if it is the single candidate of the first kind that has any.
+    An event says which strings it attacks (with their pitches), how many notes seem to be missing, on which strings ink is
+    seen where a sounding note would be printed, and at which strings or pitches its ties point. Sources are asked in
+    order: ink, string targets, pitch targets, the recent chain, the event before. A result counts only if it has as many
+    notes as are missing; a fresh attack ends the chain of its string.
     """
-    last: dict[int, int] = {}
-    out = []
-    for n, (key, continues, _) in enumerate(events):
-        if continues:
-            if n and events[n - 1][0] == key:
-                out.append((n, n - 1, "adjacent"))
-            elif key in last and n - last[key] <= recent:
-                out.append((n, last[key], "recent"))
-        last[key] = n
-    return out
+
+    RECENT, REMEMBERED, FAR, INK = 2, 8, 1.5, 0.28
+
+    def __init__(self) -> None:
+        self.serial = 0
+        self.last: dict[int, tuple[int, int, int]] = {}  # string -> (event, pitch, serial)
+        self.tied: dict[int, tuple[int, int, int]] = {}
+        self.before: list[tuple[int, int, int]] = []  # notes (string, event, pitch) of the event before
+
+    def step(self, event: int, attacks: list[tuple[int, int]], dead: bool, missing: int, ink: dict[int, float], strings: list[int], pitches: list[int]) -> tuple[str, list[tuple[int, int, int]]]:
+        """(method or why not, continued notes (string, source event, pitch))."""
+        self.serial += 1
+        attacked = {s for s, _ in attacks}
+        held = [(s, *self.tied[s][:2]) for s in sorted(self.tied) if s not in attacked and self.serial - self.tied[s][2] <= self.RECENT]
+        chosen, method = [n for n in held if ink.get(n[0], 0.0) >= self.INK], "ink"
+        if missing and not attacked:
+            seen, room = {n[0] for n in chosen}, max(0, missing - len(chosen))
+            for n in self.before:
+                if (room > 0 or len(self.before) >= 2) and n[0] not in seen and ink.get(n[0], 0.0) >= self.INK:
+                    chosen.append(n)
+                    room -= 1
+        if chosen:
+            missing = len(chosen)
+        elif missing:
+            if strings:
+                chosen = [(s, *self.last[s][:2]) for s in sorted(set(strings)) if s not in attacked and s in self.last]
+                method = "string target"
+            if not chosen and pitches:
+                chosen, method = self._by_pitch(attacked, pitches, missing), "pitch target"
+            if not chosen and len(held) == missing:
+                chosen, method = held, "recent chain"
+            if len(chosen) != missing:
+                chosen, method = [n for n in self.before if n[0] not in attacked], "adjacent"
+        if not missing:
+            method, chosen = "none", []
+        elif len(chosen) != missing:
+            method, chosen = "unresolved", []
+        self._remember(event, attacks, dead, chosen)
+        return method, chosen
+
+    def _by_pitch(self, attacked: set[int], pitches: list[int], missing: int) -> list[tuple[int, int, int]]:
+        free = [(s, *x[:2]) for s, x in sorted(self.last.items()) if s not in attacked and self.serial - x[2] <= self.REMEMBERED]
+        out, far = [], 0
+        for p in pitches:
+            if free:
+                best = min(free, key=lambda n: (abs(n[2] - p), n[0]))
+                free.remove(best)
+                out.append(best)
+                far = max(far, abs(best[2] - p))
+        return out if len(out) == missing and far <= self.FAR else []
+
+    def _remember(self, event: int, attacks: list[tuple[int, int]], dead: bool, chosen: list[tuple[int, int, int]]) -> None:
+        for s, pitch in attacks if not dead else ():
+            self.last[s] = (event, pitch, self.serial)
+            self.tied.pop(s, None)
+        for s, _, pitch in chosen:
+            self.last[s] = self.tied[s] = (event, pitch, self.serial)
+        self.before = [(s, event, p) for s, p in sorted([*attacks, *((s, p) for s, _, p in chosen)])]
+
+
+class Glyphs:
+    """Printed glyphs of one measure to notes of events.
+
+    Glyphs (x, string, character) of a string that follow each other within gap make a token, which is a number of at most
+    36 or x; tokens of all strings are clustered by the running median of the last cluster; a cluster belongs to the
+    nearest unused event within radius, or makes a new one; of several tokens of a string in a cluster the first counts.
+    """
+
+    def __init__(self, gap: float, reach: float, radius: float, most: int = 36):
+        self.gap, self.reach, self.radius, self.most = gap, reach, radius, most
+
+    def tokens(self, glyphs: list[tuple[float, int, str]]) -> list[tuple[float, int, str]]:
+        out = []
+        for string in sorted({s for _, s, _ in glyphs}):
+            run: list[tuple[float, str]] = []
+            for x, c in [*sorted((x, c) for x, s, c in glyphs if s == string), (float("inf"), "")]:
+                if run and x - run[-1][0] > self.gap:
+                    text = "".join(c for _, c in run)
+                    if text == "x" or (text.isdigit() and int(text) <= self.most):
+                        out.append(((run[0][0] + run[-1][0]) / 2, string, text if text == "x" else str(int(text))))
+                    run = []
+                run.append((x, c))
+        return sorted(out)
+
+    def notes(self, glyphs: list[tuple[float, int, str]], events: list[tuple[float, int]]) -> list[tuple[int | None, float, int, str, str]]:
+        """(event, its x, string, token, outcome); event is None where a new one is made."""
+        tokens, free, out = self.tokens(glyphs), sorted(events), []
+        groups = median_groups([t[0] for t in tokens], self.reach)
+        for g in dict.fromkeys(groups):
+            cluster = [t for t, k in zip(tokens, groups, strict=True) if k == g]
+            middle = median(t[0] for t in cluster)
+            best = min(free, key=lambda e: (abs(e[0] - middle), *e), default=None)
+            if best is not None and abs(best[0] - middle) <= self.radius:
+                free.remove(best)
+                x, event, outcome = best[0], best[1], "associated"
+            else:
+                x, event, outcome = middle, None, "created"
+            seen = set()
+            for _, string, text in sorted(cluster, key=lambda t: (t[1], t[0])):
+                out.append((event, x, string, text, "duplicate" if string in seen else outcome))
+                seen.add(string)
+        return out

@@ -36,18 +36,23 @@ def renumber(df: DataFrame, by: list[str], order: list, keep: Column, out: str =
     return df.where(keep).withColumn(out, F.row_number().over(ordered(by, order)).cast("long") - 1)
 
 
-def outlier_digits(df: DataFrame, by: list[str], order: list, value: str, reach: int = 3, support: int = 2) -> DataFrame:
-    """df with fixed: a two-digit value whose first or second digit is what at least `support` of its neighbours within
-    `reach` rows have, and which is alone in its group, is replaced by that digit."""
-    w, v = ordered(by, order), F.col(value)
+def outlier_digits(df: DataFrame, by: list[str], order: list[str], value: str, reach: int = 3) -> DataFrame:
+    """df with fixed: a value of 20 to 39 that looks like a digit joined to its neighbour's becomes its first digit.
+
+    That needs two neighbours within `reach` rows (of 0 to 19) that differ from the first digit by 2 at most, or the digit
+    itself at least 6 times in the group and 3 times as often as the value; without the latter a neighbour within 4 of the
+    value keeps it. Original values count, not corrected ones.
+    """
+    w, g, v = ordered(by, order), W.partitionBy(*by), F.col(value)
     around = F.concat(F.collect_list(value).over(w.rowsBetween(-reach, -1)), F.collect_list(value).over(w.rowsBetween(1, reach)))
-    alone = F.count(F.lit(1)).over(W.partitionBy(*by, value)) == 1
-    out = df.withColumn("_near", around).withColumn("_alone", alone)
-    count = lambda x: F.size(F.filter("_near", lambda n: n == x))
-    first, second = F.floor(v / 10).cast("long"), (v % 10).cast("long")
-    odd = F.col("_alone") & v.between(10, 99)
-    fixed = F.when(odd & (count(first) >= support), first).when(odd & (count(second) >= support), second).otherwise(v)
-    return out.withColumn("fixed", fixed).drop("_near", "_alone")
+    digit = F.floor(v / 10).cast("long")
+    times = F.when(digit == 2, F.count_if(v == 2).over(g)).otherwise(F.count_if(v == 3).over(g))
+    out = df.withColumn("_near", around).withColumn("_digit", times).withColumn("_own", F.count(F.lit(1)).over(W.partitionBy(*by, value)))
+    local = F.size(F.filter("_near", lambda n: n.between(0, 19) & (F.abs(n - digit) <= 2))) >= 2
+    veto = F.exists("_near", lambda n: F.abs(n - v) <= 4)
+    common = F.col("_digit") >= F.greatest(F.lit(6), 3 * F.col("_own"))
+    fixed = F.when(v.between(20, 39) & (common | (local & ~veto)), digit).otherwise(v)
+    return out.withColumn("fixed", fixed).drop("_near", "_digit", "_own")
 
 
 def minmax(df: DataFrame, by: list[str], order: list, value: str, out: str = "scaled") -> DataFrame:

@@ -96,7 +96,10 @@ def _guess(spark, d):
     return table(spark, d, "documents").where("lang IS NOT NULL").select(F.col("lang").alias("truth"), F.when(k == 0, "other").when(k < 3, "en").otherwise(F.col("lang")).alias("guess"))
 
 
-@query(f"WITH {_GUESS} SELECT truth, {', '.join(f'''count(*) FILTER (guess = '{x}') AS {x}''' for x in _LANGS)} FROM g GROUP BY truth")
+CONFUSION = f"WITH {_GUESS} SELECT truth, {', '.join(f'''count(*) FILTER (guess = '{x}') AS {x}''' for x in _LANGS)} FROM g GROUP BY truth"
+
+
+@query(CONFUSION)
 def confusion_matrix(spark, d):
     return _guess(spark, d).groupBy("truth").pivot("guess", list(_LANGS)).agg(F.count(F.lit(1))).na.fill(0)
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from scorespark.plans.base import Registry, table
+from scorespark.plans.aggregates import CONFUSION, confusion_matrix
+from scorespark.plans.base import EVENTS, Registry, events, table
 from scorespark.sources import manifests as M
 from scorespark.storage import scratch_dir
 
@@ -67,10 +69,68 @@ def incremental_todo(spark, d):
     return M.incremental(o, o.where("o_orderstatus = 'F' AND o_orderkey % 2 = 0"), ["o_orderkey", "o_orderstatus"])
 
 
-@query(r"""SELECT event_id, try_cast(regexp_extract(props, '"k": (\d+)', 1) AS INTEGER) AS k, CASE WHEN try_cast(regexp_extract(props, '"k": (\d+)', 1) AS INTEGER) IS NULL THEN 'failed' WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status FROM events""")
+@query(r"""SELECT event_id, k, CASE WHEN k IS NULL THEN 'failed' WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, CASE WHEN k IS NULL THEN 'no integer k in ' || coalesce(props, 'null') WHEN event_type = 'error' THEN 'event ' || event_id || ' tells of an error' END AS error
+FROM (SELECT *, try_cast(regexp_extract(props, '"k": (\d+)', 1) AS INTEGER) AS k FROM events)""")
 def quarantine_rows(spark, d):
+    """A complete queue: rows that failed keep their place, with status and error text."""
     k = F.from_json("props", "k int")["k"]
-    return table(spark, d, "events").select("event_id", k.alias("k"), F.when(k.isNull(), "failed").when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"))
+    failed, told = k.isNull(), F.col("event_type") == "error"
+    error = F.when(failed, F.concat(F.lit("no integer k in "), F.coalesce("props", F.lit("null")))).when(told, F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" tells of an error")))
+    return table(spark, d, "events").select("event_id", k.alias("k"), F.when(failed, "failed").when(told, "error").otherwise("ok").alias("status"), error.alias("error"))
+
+
+@query(f"""WITH {EVENTS} SELECT day, event_type, count(*) AS n, min(x) AS first FROM events_x GROUP BY ALL""")
+def json_documents(spark, d):
+    """A JSON document a file, the whole tree: one for each day, with the counts of its event types."""
+    kinds = events(spark, d).groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("first"))
+    days = kinds.groupBy("day").agg(F.collect_list(F.struct("event_type", "n", "first")).alias("kinds")).withColumn("month", F.substring("day", 1, 7))
+    path = _folder(spark, "documents")
+    days.select("month", F.struct("day").alias("page"), "kinds").write.partitionBy("month").option("maxRecordsPerFile", 1).json(path)
+    shape = "page struct<day: string>, kinds array<struct<event_type: string, n: bigint, first: bigint>>"
+    back = M.read_json_documents(spark, path, StructType.fromDDL(shape))
+    return back.select("page.day", F.inline("kinds"))
+
+
+@query("""SELECT c_mktsegment AS split, c_custkey AS id FROM customer""")
+def split_id_lists(spark, d):
+    """Text lists of the ids of each split, written and read back."""
+    path = _folder(spark, "ids")
+    M.write_id_lists(table(spark, d, "customer").select(F.col("c_mktsegment").alias("split"), F.col("c_custkey").alias("sample_id")), path)
+    back = spark.read.schema("value string, split string").text(path)
+    return back.select("split", F.col("value").cast("long").alias("id"))
+
+
+@query(CONFUSION)
+def confusion_csv(spark, d):
+    """The confusion matrix as CSV, written and read back."""
+    matrix, path = confusion_matrix(spark, d), _folder(spark, "confusion")
+    M.write_table(matrix, path)
+    return spark.read.schema(matrix.schema).option("header", True).csv(path)
+
+
+@query("""SELECT c_custkey, c_name, 2 AS version FROM customer""")
+def staged_rewrite(spark, d):
+    """A set that is rewritten beside the old one and swapped; a rewrite that fails its check changes nothing."""
+    path, c = _folder(spark, "rewrite"), table(spark, d, "customer").select("c_custkey", "c_name")
+    count = c.count()
+    whole = lambda p: spark.read.parquet(p).count() == count
+    M.rewrite(spark, path, c.withColumn("version", F.lit(1)).write.parquet, whole)
+    M.rewrite(spark, path, c.withColumn("version", F.lit(2)).write.parquet, whole)
+    try:
+        M.rewrite(spark, path, c.where("c_custkey % 2 = 0").withColumn("version", F.lit(3)).write.parquet, whole)
+    except ValueError:
+        pass
+    return spark.read.schema("c_custkey long, c_name string, version int").parquet(path)
+
+
+@query("""SELECT page_id, CASE WHEN 9000 + page_id % 2500 * 4 < 10000 THEN 'too small' WHEN page_id % 7 = 0 THEN 'wrong signature' WHEN 900 + page_id % 1000 < 1000 THEN 'too narrow' WHEN 950 + page_id % 600 < 1000 THEN 'too low' END AS rule FROM pages""")
+def dq_page_headers(spark, d):
+    """Rules of rendered pages, told from the head of each: here, heads made of the pages' numbers."""
+    four = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
+    n = F.col("page_id")
+    signature = F.when(n % 7 == 0, F.lit(b"GIF89a..")).otherwise(F.lit(M.PNG))
+    head = F.concat(signature, F.lit(b"\x00\x00\x00\rIHDR"), four(900 + n % 1000), four(950 + n % 600))
+    return table(spark, d, "pages").select("page_id", M.png_rule(head, 9000 + n % 2500 * 4).alias("rule"))
 
 
 @query()

@@ -38,7 +38,10 @@ def worst_k(spark, d):
     return g.orderBy(f, F.desc("fn"), F.desc("fp"), "source").limit(10).select("source", "n", "fn", "fp")
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT vec_id, list_transform(list_zip(embedding, range(0, len(embedding))), lambda z: {'n': -z[1], 'i': z[2]}) AS c FROM embeddings),
+f AS (SELECT vec_id, list_sort(c) AS c, CAST([] AS BIGINT[]) AS picked, 0 AS k FROM v
+UNION ALL SELECT vec_id, list_filter(c, lambda z: abs(z.i - c[1].i) > 1), list_append(picked, c[1].i), k + 1 FROM f WHERE k < 3 AND len(c) > 0)
+SELECT vec_id, list_transform(list_sort(picked), lambda i: cast(i AS INTEGER)) AS picked FROM f WHERE k = 3 OR len(c) = 0""")
 def topk_nonadjacent(spark, d):
     """The three largest components no two of which are neighbours."""
     ranked = F.array_sort(F.transform("embedding", lambda v, i: F.struct((-v).alias("n"), i.alias("i"))))

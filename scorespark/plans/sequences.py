@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorespark.functions import scalar as S
-from scorespark.operators import folds, timeline
-from scorespark.plans.base import EVENTS, Registry, boxes, events, table
+from scorespark.operators import timeline
+from scorespark.plans.base import EVENTS, Registry, events, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -16,133 +15,6 @@ QUERIES, SQL = query.queries, query.sql
 ON = ["user_id", "day"]
 
 
-def _sides(spark, d):
-    """Truth: views; predictions: clicks, with value as confidence."""
-    e = events(spark, d).select("user_id", "day", "event_id", "event_type", F.col("x").cast("double").alias("x"), "v", (F.col("v") % 3).alias("kind"))
-    side = lambda t: e.where(F.col("event_type") == t).select("user_id", "day", F.col("event_id").alias("id"), "x", "v", "kind")
-    return side("view"), side("click")
-
-
-@query()
-def greedy_match_truth(spark, d):
-    """Truths in order of x take the nearest prediction within 900 s."""
-    truth, pred = _sides(spark, d)
-    return folds.greedy_match(truth.select("user_id", "day", "x", "id"), pred, ON, "x", 900)
-
-
-@query()
-def greedy_match_conf(spark, d):
-    """Predictions by falling confidence take the nearest truth."""
-    truth, pred = _sides(spark, d)
-    by_conf = lambda g: g.sort_values(["v", "id"], ascending=[False, True])
-    return folds.greedy_match(pred.select("user_id", "day", "x", "id", "v"), truth, ON, "x", 900, by_conf)
-
-
-@query()
-def greedy_match_signature(spark, d):
-    """Predictions in order take a truth of the same kind first, then the nearest."""
-    truth, pred = _sides(spark, d)
-    return folds.greedy_match(pred.select("user_id", "day", "x", "id", "kind"), truth, ON, "x", 900, None, "kind")
-
-
-@query()
-def greedy_match_input(spark, d):
-    """Predictions in input order."""
-    truth, pred = _sides(spark, d)
-    return folds.greedy_match(pred.select("user_id", "day", "x", "id"), truth, ON, "x", 900, lambda g: g.sort_values("id"))
-
-
-@query()
-def match_positions(spark, d):
-    """How many positions match within 300 s, for each user and day."""
-    truth, pred = _sides(spark, d)
-    m = folds.greedy_match(truth.select("user_id", "day", "x", "id"), pred, ON, "x", 300)
-    return m.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("matched"))
-
-
-@query()
-def associate_events(spark, d):
-    """Left-driven association with the leftovers of the right side kept as orphans."""
-    truth, pred = _sides(spark, d)
-    m = folds.greedy_match(truth.select("user_id", "day", "x", "id"), pred, ON, "x", 900).select(F.col("right_id").alias("id"), F.col("left_id").alias("event"))
-    return pred.select("user_id", "day", "id").join(m, "id", "left").select("user_id", "day", "id", "event", F.when(F.col("event").isNull(), "orphan").otherwise("matched").alias("status"))
-
-
-@query()
-def merge_columns(spark, d):
-    """1-D suppression: of events within 600 s of each other the largest value stays."""
-    e = events(spark, d).select("user_id", "day", F.col("event_id").alias("id"), F.col("x").cast("double").alias("x"), "v")
-    return folds.suppress(e, ON, "x", "v", 600)
-
-
-@query(f"""WITH RECURSIVE {EVENTS}, n AS (SELECT user_id, day, event_id AS id, x, row_number() OVER (PARTITION BY user_id, day ORDER BY x, event_id) AS r FROM events_x),
-f AS (SELECT user_id, day, id, r, x AS last, true AS keep FROM n WHERE r = 1 UNION ALL SELECT n.user_id, n.day, n.id, n.r, CASE WHEN n.x - f.last > 600 THEN n.x ELSE f.last END, n.x - f.last > 600 FROM f JOIN n ON n.user_id = f.user_id AND n.day = f.day AND n.r = f.r + 1)
-SELECT f.user_id, f.day, f.id, cast(f.last AS DOUBLE) AS x FROM f WHERE keep""")
-def near_dedupe(spark, d):
-    e = events(spark, d).select("user_id", "day", F.col("event_id").alias("id"), F.col("x").cast("double").alias("x"))
-    return folds.keep_first(e, ON, "x", 600)
-
-
-@query(f"""WITH RECURSIVE {EVENTS}, n AS (SELECT user_id, day, event_id AS id, x, row_number() OVER (PARTITION BY user_id, day ORDER BY x, event_id) AS r FROM events_x),
-f AS (SELECT user_id, day, id, r, x AS head, 0::BIGINT AS grp FROM n WHERE r = 1 UNION ALL SELECT n.user_id, n.day, n.id, n.r, CASE WHEN n.x - f.head > 1200 THEN n.x ELSE f.head END, f.grp + CASE WHEN n.x - f.head > 1200 THEN 1 ELSE 0 END FROM f JOIN n ON n.user_id = f.user_id AND n.day = f.day AND n.r = f.r + 1)
-SELECT user_id, day, id, grp FROM f""")
-def anchored_groups(spark, d):
-    e = events(spark, d).select("user_id", "day", F.col("event_id").alias("id"), F.col("x").cast("double").alias("x"))
-    return folds.anchored_groups(e, ON, "x", 1200)
-
-
-@query()
-def median_clusters(spark, d):
-    """Events of a user and day, clustered by the running median of the last cluster."""
-    e = events(spark, d).select("user_id", "day", F.col("event_id").alias("id"), F.col("x").cast("double").alias("x"))
-    return folds.median_clusters(e, ON, "x", 1800)
-
-
-@query()
-def align_monotone(spark, d):
-    """Views and clicks of a user and day aligned in order by their normalised positions."""
-    e = events(spark, d).where(F.col("event_type").isin("view", "click"))
-    e = timeline.minmax(e, [*ON, "event_type"], ["x", "event_id"], "x").select(*ON, "event_type", "event_id", "scaled")
-
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        a, b = g[g["event_type"] == "view"], g[g["event_type"] == "click"]
-        pairs = folds.monotone_pairs(a["scaled"].tolist(), b["scaled"].tolist())
-        return [(*g[ON].iloc[0], int(a["event_id"].iloc[i]), int(b["event_id"].iloc[j])) for i, j in pairs]
-
-    return folds.fold_groups(e, ON, ["event_type", "scaled", "event_id"], fold, "user_id long, day string, view_id long, click_id long")
-
-
-@query()
-def align_edit(spark, d):
-    """Event types of each user's day aligned with the next user's by edit distance."""
-    e = events(spark, d).select("user_id", "day", "event_type", "x", "event_id", F.lit(0).alias("side"))
-    e = e.unionByName(e.withColumn("user_id", F.col("user_id") - 1).withColumn("side", F.lit(1)))
-
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        a, b = g[g["side"] == 0], g[g["side"] == 1]
-        if not len(a) or not len(b):
-            return []
-        pairs = folds.edit_pairs(a["event_type"].tolist(), b["event_type"].tolist(), lambda p, q: 0.0 if p == q else 0.9)
-        same = sum(i is not None and j is not None and a["event_type"].iloc[i] == b["event_type"].iloc[j] for i, j in pairs)
-        return [(*g[ON].iloc[0], len(a), len(b), same, sum(j is None for _, j in pairs), sum(i is None for i, _ in pairs))]
-
-    return folds.fold_groups(e, ON, ["side", "x", "event_id"], fold, "user_id long, day string, expected long, found long, exact long, missed long, extra long")
-
-
-@query()
-def min_cost_fill(spark, d):
-    """The cheapest choice of one size for each line of an order so that the sizes fill the order's capacity."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q"))
-
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        options = [[(int(q), 0.0), (max(1, int(q) // 2), 1.0), (int(q) + 4, 1.5)] for q in g["q"]]
-        target = int(sum(o[0][0] for o in options)) // 4 * 4
-        found = folds.cheapest_fill(options, target)
-        return [(int(g["l_orderkey"].iloc[0]), target, None if found is None else found[0], None if found is None else ",".join(map(str, found[1])))]
-
-    return folds.fold_groups(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "q"], fold, "l_orderkey long, target long, cost double, picks string")
-
-
 _AUDIT = f"""{EVENTS}, t AS (SELECT user_id, day, cast(sum(v) AS BIGINT) AS total, count(*) AS n FROM events_x WHERE event_type <> 'error' GROUP BY ALL),
 a AS (SELECT user_id, day, total, total - 4000 AS delta, CASE WHEN total = 0 THEN 'inactive' WHEN user_id % 10 = 0 THEN 'unknown' WHEN total = 4000 THEN 'exact' WHEN total < 4000 THEN 'underfilled' ELSE 'overfilled' END AS status FROM t)"""
 
@@ -163,13 +35,6 @@ def capacity_summary(spark, d):
     return _audit(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("delta").alias("delta"))
 
 
-@query(f"""WITH {EVENTS}, g AS (SELECT user_id, day, count(*) AS n, min(event_id) AS event_id, min(v) AS v FROM events_x GROUP BY ALL), m AS (SELECT * FROM (VALUES (0, 1), (1, 2), (2, 4), (3, 8), (4, 16), (5, 32), (6, 64)) AS t(k, size))
-SELECT user_id, day, event_id, cast(size AS INTEGER) AS size FROM g JOIN m ON v % 7 = k WHERE n = 1""")
-def single_event_fill(spark, d):
-    g = events(spark, d).groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("event_id"), F.min("v").alias("v")).where("n = 1")
-    return g.select("user_id", "day", "event_id", F.element_at(F.array(*[F.lit(1 << k) for k in range(7)]), (F.col("v") % 7 + 1).cast("int")).alias("size"))
-
-
 @query("""SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING NOT bool_and(l_returnflag = 'R')""")
 def prune_empty(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_returnflag") == "R").alias("empty")).where("NOT empty").select("l_orderkey")
@@ -214,16 +79,6 @@ def gap_rows(spark, d):
     return g.where("until > from").select("user_id", "day", "event_id", "from", (F.col("until") - F.col("from")).alias("gap"))
 
 
-@query()
-def gap_fill(spark, d):
-    """Each gap, in quarters of a minute, cut into units, the largest first."""
-    units = F.array(*map(F.lit, (4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1)))
-    g = gap_rows(spark, d).withColumn("q", F.floor(F.col("gap") / 15))
-    step = lambda acc, u: F.struct((acc["rest"] % u).alias("rest"), F.concat(acc["out"], F.array_repeat(u, F.floor(acc["rest"] / u).cast("int"))).alias("out"))
-    cut = F.aggregate(units, F.struct(F.col("q").alias("rest"), F.array().cast("array<int>").alias("out")), step)["out"]
-    return g.select("user_id", "day", "event_id", F.posexplode(cut).alias("pos", "unit"))
-
-
 @query(f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, day, x // 60 ORDER BY x, event_id) AS r FROM events_x)
 SELECT event_id, CASE WHEN event_type = 'error' THEN 'missing timing' WHEN x >= 80000 THEN 'outside capacity' WHEN r > 1 THEN 'duplicate onset' ELSE 'ok' END AS issue FROM r""")
 def admission_issues(spark, d):
@@ -233,19 +88,6 @@ def admission_issues(spark, d):
     return e.select("event_id", F.when(F.col("event_type") == "error", "missing timing").when(F.col("x") >= 80_000, "outside capacity").when(F.col("r") > 1, "duplicate onset").otherwise("ok").alias("issue"))
 
 
-@query(f"""WITH RECURSIVE {EVENTS}, n AS (SELECT user_id, day, event_id, x, x + v % 2000 AS e, row_number() OVER (PARTITION BY user_id, day ORDER BY x, event_id) AS r FROM events_x),
-f AS (SELECT user_id, day, event_id, r, e AS cursor, true AS ok FROM n WHERE r = 1 UNION ALL SELECT n.user_id, n.day, n.event_id, n.r, CASE WHEN n.x >= f.cursor THEN n.e ELSE f.cursor END, n.x >= f.cursor FROM f JOIN n ON n.user_id = f.user_id AND n.day = f.day AND n.r = f.r + 1)
-SELECT event_id FROM f WHERE ok""")
-def non_overlapping(spark, d):
-    e = events(spark, d).select("user_id", "day", "event_id", "x", (F.col("x") + F.col("v") % 2000).alias("e"))
-
-    def step(cursor: int | None, row: tuple) -> tuple[int, tuple | None]:
-        cursor = -1 if cursor is None else cursor
-        return (row.e, (int(row.event_id),)) if row.x >= cursor else (cursor, None)
-
-    return folds.scan_groups(e, ON, ["x", "event_id"], step, "event_id long")
-
-
 @query("""WITH g AS (SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber % 3)) AS a, list(DISTINCT l_linenumber % 3) FILTER (l_returnflag = 'R') AS e FROM lineitem GROUP BY l_orderkey), b AS (SELECT *, list_filter(a, lambda x: NOT list_contains(coalesce(e, []), x)) AS m FROM g)
 SELECT l_orderkey, cast(CASE WHEN len(m) = 1 THEN m[1] WHEN len(a) = 1 THEN a[1] ELSE list_min(a) END AS INTEGER) AS voice FROM b""")
 def disambiguate_voice(spark, d):
@@ -303,151 +145,3 @@ def override_flags(spark, d):
 def scaled_ticks(spark, d):
     e = events(spark, d).where("event_type = 'purchase'").select("event_id", F.explode(F.array(F.lit(0.5), F.lit(1.0))).alias("w"))
     return e.withColumn("ticks", F.round(F.lit(S.WHOLE) * F.col("w")).cast("long"))
-
-
-def _two_sides(spark, d):
-    """Line items as boxes: odd lines are truth, even lines are found; the flag is their class."""
-    b = boxes(spark, d).withColumn("id", F.col("l_linenumber").cast("long") * 1_000_000 + (F.col("x") * 1000 + F.col("y")).cast("long"))
-    return b.select("l_orderkey", F.col("l_linestatus").alias("kind"), "id", (F.col("l_linenumber") % 2 == 0).cast("int").alias("side"), F.col("l_quantity").alias("score"), "x", "y", (F.col("w") * 2).alias("w"), (F.col("h") * 2).alias("h"))
-
-
-@query()
-def box_match_iou(spark, d):
-    """Found boxes by falling score take the truth of the same class that overlaps most, at 0.3 at least."""
-    return folds.match_boxes(_two_sides(spark, d), ["l_orderkey", "kind"], 0.3)
-
-
-@query()
-def box_match_center(spark, d):
-    """The same by the distance of centres, 20 at most."""
-    return folds.match_boxes(_two_sides(spark, d), ["l_orderkey", "kind"], None, 20.0)
-
-
-@query()
-def nms_boxes(spark, d):
-    """Boxes of an order and class that no better box overlaps by 0.4."""
-    return folds.suppress_boxes(_two_sides(spark, d), ["l_orderkey", "kind"], 0.4)
-
-
-def _glyphs(spark, d):
-    return events(spark, d).select("user_id", "day", "event_id", F.col("x").cast("double").alias("x"), (F.col("v") % 10).alias("digit"), (F.col("v") % 6).alias("string"))
-
-
-@query()
-def join_digits(spark, d):
-    """Digits of a user, day and string joined to numbers."""
-
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        key = (int(g["user_id"].iloc[0]), g["day"].iloc[0], int(g["string"].iloc[0]))
-        return [(*key, float(x), int(v)) for x, v in folds.join_digits(list(zip(g["x"], g["digit"], strict=True)), 3000.0)]
-
-    return folds.fold_groups(_glyphs(spark, d), [*ON, "string"], ["x", "event_id"], fold, "user_id long, day string, string long, x double, fret long")
-
-
-@query()
-def group_onsets(spark, d):
-    """Events of a user and day grouped by the running mean of the last group."""
-
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        return [(int(u), day, int(e), n) for u, day, e, n in zip(g["user_id"], g["day"], g["event_id"], folds.mean_groups(g["x"].tolist(), 900.0), strict=True)]
-
-    return folds.fold_groups(_glyphs(spark, d), ON, ["x", "event_id"], fold, "user_id long, day string, event_id long, grp long")
-
-
-@query()
-def align_anchored(spark, d):
-    """Views and clicks of a user and day, pinned by rare values and aligned in order between."""
-    e = events(spark, d).where(F.col("event_type").isin("view", "click"))
-    e = timeline.minmax(e, [*ON, "event_type"], ["x", "event_id"], "x").select(*ON, "event_type", "event_id", "scaled", (F.col("v") % 40).cast("string").alias("print"))
-
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        a, b = g[g["event_type"] == "view"], g[g["event_type"] == "click"]
-        pairs, method = folds.anchored_pairs(list(zip(a["print"], a["scaled"], strict=True)), list(zip(b["print"], b["scaled"], strict=True)))
-        return [(*g[ON].iloc[0], int(a["event_id"].iloc[i]), int(b["event_id"].iloc[j]), method) for i, j in pairs]
-
-    return folds.fold_groups(e, ON, ["event_type", "scaled", "event_id"], fold, "user_id long, day string, view_id long, click_id long, method string")
-
-
-@query()
-def event_evaluation(spark, d):
-    """Scores of the edit alignment over all days: exact, missed and extra events, precision, recall and F1."""
-    a = align_edit(spark, d).agg(F.sum("expected").alias("expected"), F.sum("found").alias("found"), F.sum("exact").alias("tp"), F.sum("missed").alias("missed"), F.sum("extra").alias("extra"))
-    m = S.precision_recall_zero(F.col("tp"), F.col("found") - F.col("tp"), F.col("expected") - F.col("tp"))
-    return a.select("*", *[F.round(c, 9).alias(n) for n, c in m.items()])
-
-
-@query()
-def assign_marker_window(spark, d):
-    """Each error marker of a user and day takes the run of events whose centre lies nearest."""
-    e = events(spark, d).select(*ON, "event_id", "x", (F.col("event_type") == "error").alias("marker"))
-
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        ev, mk = g[~g["marker"]], g[g["marker"]]
-        hours = lambda c: (c / 3600).tolist()
-        found = folds.windows_of_markers(hours(ev["x"]), hours(mk["x"]))
-        return [(*g[ON].iloc[0], int(mk["event_id"].iloc[m]), int(ev["event_id"].iloc[i]), n) for m, i, n in found]
-
-    return folds.fold_groups(e, ON, ["x", "event_id"], fold, "user_id long, day string, marker_id long, first_id long, n long")
-
-
-@query()
-def resolve_continuations(spark, d):
-    """Continuations of a user's events, in order of time, and where they come from."""
-    e = events(spark, d).select("user_id", "event_id", "ts", (F.col("v") % 6).alias("key"), (F.col("v") % 5 == 0).alias("tied"), "v")
-
-    def fold(g: pd.DataFrame) -> list[tuple]:
-        ids = g["event_id"].tolist()
-        found = folds.resolve_ties(list(zip(g["key"].tolist(), g["tied"].tolist(), g["v"].tolist(), strict=True)))
-        return [(int(g["user_id"].iloc[0]), int(ids[n]), int(ids[k]), how) for n, k, how in found]
-
-    return folds.fold_groups(e, ["user_id"], ["ts", "event_id"], fold, "user_id long, event_id long, source_id long, method string")
-
-
-def _proposals(spark, d):
-    """Proposals of the cheapest fill, with the share of the best that each has."""
-    p = min_cost_fill(spark, d).where("picks IS NOT NULL")
-    return p.select("l_orderkey", "target", "cost", "picks", F.exp(-F.col("cost")).alias("relative"), F.size(F.filter(F.split("picks", ","), lambda x: x != "0")).alias("changes"))
-
-
-@query()
-def accept_proposals(spark, d):
-    """Proposals that are plausible (0.2 or more), or change one event only."""
-    p = _proposals(spark, d)
-    how = F.when(F.col("relative") >= 0.2, "plausible").when(F.col("changes") == 1, "single change").otherwise("rejected")
-    return p.select("l_orderkey", "picks", "changes", how.alias("decision"))
-
-
-@query()
-def proposal_precision(spark, d):
-    """A proposal is right if each of its changes is: here, changes of lines with an even part."""
-    p = _proposals(spark, d).select("l_orderkey", "relative", F.posexplode(F.split("picks", ",")).alias("pos", "pick"))
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
-    li = table(spark, d, "lineitem").select("l_orderkey", (F.row_number().over(w) - 1).alias("pos"), (F.col("l_partkey") % 2 == 0).alias("even"))
-    each = p.join(li, ["l_orderkey", "pos"]).groupBy("l_orderkey").agg(F.max("relative").alias("relative"), F.bool_and((F.col("pick") == "0") | F.col("even")).alias("right"))
-    ok = F.col("relative") >= 0.2
-    return each.agg(F.count(F.lit(1)).alias("proposals"), F.count_if(F.col("right")).alias("right"), F.count_if(ok).alias("plausible"), F.count_if(ok & F.col("right")).alias("plausible_right"))
-
-
-@query()
-def glyph_pipeline(spark, d):
-    """Glyphs to notes: numbers from digits, the nearest level, association with an event within 900 s, else a new one;
-    of several on one string of an event the first stays."""
-    numbers = join_digits(spark, d).select("user_id", "day", "string", "x", "fret")
-    w = W.partitionBy(*ON).orderBy("x", "string")
-    right = numbers.withColumn("id", F.row_number().over(w).cast("long"))
-    left = events(spark, d).where("event_type = 'view'").select(*ON, F.col("x").cast("double").alias("x"), F.col("event_id").alias("id"))
-    m = folds.greedy_match(left, right.select(*ON, "x", "id"), ON, "x", 900).select(*ON, F.col("right_id").alias("id"), F.col("left_id").alias("event_id"))
-    j = right.join(m, [*ON, "id"], "left").withColumn("event", F.coalesce("event_id", -F.col("id")))
-    first = F.row_number().over(W.partitionBy(*ON, "event", "string").orderBy("x", "id"))
-    return j.withColumn("r", first).where("r = 1").select(*ON, "event", "string", "fret", F.when(F.col("event_id").isNull(), "created").otherwise("associated").alias("outcome"))
-
-
-@query(f"WITH {EVENTS}, " + """p AS (SELECT user_id, ts, event_id, v % 4 AS truth, CASE WHEN v % 7 = 0 THEN v % 4 WHEN v % 11 = 0 THEN (v + 1) % 4 END AS seen FROM events_x),
-c AS (SELECT *, last_value(seen IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried, coalesce(truth IS DISTINCT FROM lag(truth) OVER (PARTITION BY user_id ORDER BY ts, event_id), true) AS prints FROM p)
-SELECT count(*) AS n, count(*) FILTER (prints) AS expected, count(*) FILTER (seen IS NOT NULL AND prints) AS detected, count(*) FILTER (seen = truth AND prints) AS value_right, count(*) FILTER (carried = truth) AS carried_right, count(*) FILTER (seen IS NOT NULL AND NOT prints) AS extra FROM c""")
-def meter_scoring(spark, d):
-    v = F.col("v")
-    p = events(spark, d).select("user_id", "ts", "event_id", (v % 4).alias("truth"), F.when(v % 7 == 0, v % 4).when(v % 11 == 0, (v + 1) % 4).alias("seen"))
-    c = timeline.carry_forward(p, ["user_id"], ["ts", "event_id"], "seen").withColumn("prints", timeline.value_changes("truth", ["user_id"], ["ts", "event_id"]))
-    seen, prints = F.col("seen").isNotNull(), F.col("prints")
-    return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(prints).alias("expected"), F.count_if(seen & prints).alias("detected"), F.count_if((F.col("seen") == F.col("truth")) & prints).alias("value_right"), F.count_if(F.col("carried") == F.col("truth")).alias("carried_right"), F.count_if(seen & ~prints).alias("extra"))

@@ -61,8 +61,8 @@ def value_changes(spark, d):
 
 @query("""WITH o AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, cast(l_quantity AS BIGINT) AS v FROM lineitem),
 w AS (SELECT *, list(v) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, v ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS a, list(v) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, v ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS b,
-count(*) OVER (PARTITION BY l_suppkey, v) = 1 AND v BETWEEN 10 AND 99 AS odd FROM o), n AS (SELECT *, list_concat(coalesce(a, []), coalesce(b, [])) AS near FROM w)
-SELECT l_suppkey, l_orderkey, l_linenumber, v, cast(CASE WHEN odd AND len(list_filter(near, lambda x: x = v // 10)) >= 2 THEN v // 10 WHEN odd AND len(list_filter(near, lambda x: x = v % 10)) >= 2 THEN v % 10 ELSE v END AS BIGINT) AS fixed FROM n""")
+count(*) OVER (PARTITION BY l_suppkey, v) AS own FROM o), n AS (SELECT *, list_concat(coalesce(a, []), coalesce(b, [])) AS near, (SELECT count(*) FROM o AS q WHERE q.l_suppkey = w.l_suppkey AND q.v = w.v // 10) AS digit FROM w)
+SELECT l_suppkey, l_orderkey, l_linenumber, v, cast(CASE WHEN v BETWEEN 20 AND 39 AND (digit >= greatest(6, 3 * own) OR (len(list_filter(near, lambda x: x <= 19 AND abs(x - v // 10) <= 2)) >= 2 AND len(list_filter(near, lambda x: abs(x - v) <= 4)) = 0)) THEN v // 10 ELSE v END AS BIGINT) AS fixed FROM n""")
 def outlier_digit_fix(spark, d):
     li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("v"))
     return T.outlier_digits(li, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "v"], "v").drop("l_partkey")
@@ -147,15 +147,17 @@ def origin_shift(spark, d):
     return events(spark, d).select("event_id", (F.col("x") - F.first("x").over(T.ordered(["user_id", "day"], ORDER))).alias("shifted"))
 
 
-@query("""WITH p AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), m AS (SELECT *, max(v) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS top FROM p)
-SELECT vec_id, cast(pos AS INTEGER) AS pos FROM m WHERE v = top AND v >= 0.1""")
+@query("""WITH p AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), m AS (SELECT *, max(v) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS top FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos) AS r FROM m WHERE v = top AND v >= 0.1) SELECT vec_id, cast(pos AS INTEGER) AS pos, cast(r AS INTEGER) AS "rank" FROM k WHERE r <= 5""")
 def peaks_1d(spark, d):
-    # Peaks within each vector, in the row: nothing is exploded before the choice.
+    """The five highest peaks of each vector; of equal ones the first."""
+    # In the row: nothing is exploded before the choice.
     v, n = F.col("embedding"), F.size("embedding")
     at = lambda i: F.get(v, i)
     peak = lambda x, i: (x >= 0.1) & (x >= F.coalesce(at(i - 1), x)) & (x >= F.coalesce(at(i + 1), x))
     found = F.filter(F.sequence(F.lit(0), n - 1), lambda i: peak(at(i), i))
-    return table(spark, d, "embeddings").where(n > 0).select("vec_id", F.explode(found).alias("pos"))
+    best = F.slice(F.array_sort(F.transform(found, lambda i: F.struct((-at(i)).alias("v"), i.alias("i")))), 1, 5)
+    return table(spark, d, "embeddings").where(n > 0).select("vec_id", F.posexplode(best).alias("r", "b")).select("vec_id", F.col("b.i").alias("pos"), (F.col("r") + 1).alias("rank"))
 
 
 @query(f"""WITH {EVENTS}, n AS (SELECT *, row_number() OVER {_W} AS n FROM events_x), k AS (SELECT *, lag(n) OVER (PARTITION BY user_id, event_type ORDER BY n) AS ln, lag(v) OVER (PARTITION BY user_id, event_type ORDER BY n) AS lv FROM n)

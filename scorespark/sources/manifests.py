@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from fnmatch import fnmatch
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,32 @@ def annotated_images(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return images.join(grouped, images["id"] == grouped["image_id"], "left").drop("image_id")
 
 
+def rewrite(spark: SparkSession, path: str, write: Callable[[str], None], check: Callable[[str], bool] | None = None) -> None:
+    """Replaces what lies at path by what write(folder) writes, whole or not at all.
+
+    The new set is written beside the old one and looked at by check(folder); only then the two are swapped by renames.
+    If writing or checking fails, the old set stays as it is, and what was begun is removed. Only path is touched.
+    """
+    P = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, goal = (P(f"{path.rstrip('/')}{x}") for x in (f".new-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}", ""))
+    system = goal.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(new.toString())
+        if check and not check(new.toString()):
+            raise ValueError(f"{path}: the new set is not as it should be; the old one stays")
+        there = system.exists(goal)
+        if there and not system.rename(goal, old):
+            raise OSError(f"{path}: cannot be moved")
+        if not system.rename(new, goal):
+            if there:
+                system.rename(old, goal)
+            raise OSError(f"{path}: the new set cannot be moved there; the old one stays")
+        if there:
+            system.delete(old, True)
+    finally:
+        system.delete(new, True)
+
+
 def write_manifest(df: DataFrame, path: str, split: str = "split", key: str = "sample_id") -> None:
     """One folder a split, rows sorted by key within each file. Only the splits in df are replaced."""
     (df.repartition(split, F.pmod(F.xxhash64(key), F.lit(max(1, df.sparkSession.sparkContext.defaultParallelism)))).sortWithinPartitions(split, key)
@@ -57,12 +85,28 @@ def write_manifest(df: DataFrame, path: str, split: str = "split", key: str = "s
 
 def write_summary(df: DataFrame, path: str) -> None:
     """A one-row report as JSON."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    rewrite(df.sparkSession, path, df.coalesce(1).write.json)
 
 
 def write_table(df: DataFrame, path: str) -> None:
     """CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    rewrite(df.sparkSession, path, df.write.option("header", True).csv)
+
+
+def write_id_lists(df: DataFrame, path: str, split: str = "split", key: str = "sample_id") -> None:
+    """Text files of the ids of each split, one a line, in order within each file; a folder for each split."""
+    lines = df.select(split, F.col(key).cast("string").alias("value")).repartition(split, F.pmod(F.xxhash64(key), F.lit(max(1, df.sparkSession.sparkContext.defaultParallelism)))).sortWithinPartitions(split, "value")
+    rewrite(df.sparkSession, path, lines.write.partitionBy(split).text)
+
+
+PNG = bytes((137, 80, 78, 71, 13, 10, 26, 10))
+
+
+def png_rule(content: Column, length: Column, least: int = 10_000, least_side: int = 1_000) -> Column:
+    """The first rule that a PNG file breaks, told from its length and its first 24 bytes; null if it keeps all."""
+    number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
+    rules = F.when(length < least, "too small").when(F.substring(content, 1, 8) != F.lit(PNG), "wrong signature")
+    return rules.when(number(17) < least_side, "too narrow").when(number(21) < least_side, "too low")
 
 
 def discover(spark: SparkSession, path: str, pattern: str, least: int = 2_000, most: int = 20_000_000, depth: int | None = None) -> DataFrame:
@@ -77,12 +121,11 @@ def discover(spark: SparkSession, path: str, pattern: str, least: int = 2_000, m
     return files.orderBy("path")
 
 
-def file_headers(spark: SparkSession, path: str, pattern: str, magic: bytes, least: int) -> DataFrame:
-    """Files that are too small or do not begin with magic: path, rule."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    head = F.substring("content", 1, len(magic)) == F.lit(magic)
-    rule = F.when(F.col("length") < least, "too small").when(~head, "wrong signature")
-    return files.select("path", rule.alias("rule")).where("rule IS NOT NULL")
+def page_files(spark: SparkSession, path: str, pattern: str = "*.png", least: int = 10_000, least_side: int = 1_000) -> DataFrame:
+    """Rendered pages below path with the rule that each breaks: path, rule. Files are read whole, so this is for pages, not
+    for files of more than 2 GB; see magic_at_both_ends() for those."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", png_rule(F.col("content"), F.col("length"), least, least_side).alias("rule"))
 
 
 def magic_at_both_ends(spark: SparkSession, path: str, pattern: str, magic: bytes) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scorespark.functions import scalar as S
 from scorespark.operators import association, folds, scoring, timeline
+from scorespark.plans import ordered
 from scorespark.sources import manifests
 
 
@@ -68,7 +69,7 @@ def sides(spark, left, right):
 
 def test_greedy_by_confidence(spark):
     truth, pred = sides(spark, [("a", 10.0, 1, 0.0), ("a", 12.0, 2, 0.0)], [("a", 11.0, 7, 0.9), ("a", 11.4, 8, 0.8)])
-    got = folds.greedy_match(pred, truth, ["g"], "x", 2, lambda g: g.sort_values("c", ascending=False)).collect()
+    got = folds.greedy_match(pred.withColumn("worse", -F.col("c")), truth, ["g"], "x", 2, "worse").collect()
     assert {(r["left_id"], r["right_id"]) for r in got} == {(7, 1), (8, 2)}
 
 
@@ -119,8 +120,31 @@ def test_monotone_alignment():
 
 
 def test_edit_alignment():
-    cost = lambda a, b: 0.0 if a == b else 0.9
-    assert folds.edit_pairs(list("abcd"), list("acd"), cost) == [(0, 0), (1, None), (2, 1), (3, 2)]
+    """Unlike notes cost .65, another state .2, another rhythm .075; gaps cost 1; of equal costs a match comes first."""
+    note = lambda rhythm, *notes: ("note", rhythm, list(notes))
+    rest = ("rest", "4", [])
+    assert folds.event_cost(note("4", "1:3"), note("4", "1:3")) == 0
+    assert folds.event_cost(note("4", "1:3"), note("8", "1:3")) == pytest.approx(0.075)
+    assert folds.event_cost(note("4", "1:3", "2:0"), note("4", "1:3")) == pytest.approx(0.325)
+    assert folds.event_cost(note("4", "1:3"), rest) == pytest.approx(0.65 + 0.2 + 0.075)
+    assert folds.event_cost(rest, rest) == 0
+    a = [note("4", "1:3"), rest, note("8", "2:0"), note("8", "1:5")]
+    assert folds.edit_pairs(a, [a[0], a[2], a[3]]) == [(0, 0), (1, None), (2, 1), (3, 2)]
+    assert folds.edit_pairs([], a[:1]) == [(None, 0)]
+
+
+def test_event_cost_paths_match_all_paths():
+    rng = random.Random(4)
+    for _ in range(40):
+        a, b = ([(rng.choice(("note", "rest")), rng.choice("48"), rng.sample(["1:0", "2:3", "3:X"], rng.randrange(3))) for _ in range(rng.randrange(5))] for _ in range(2))
+
+        def least(i, j):
+            if i == len(a) or j == len(b):
+                return len(a) - i + len(b) - j
+            return min(folds.event_cost(a[i], b[j]) + least(i + 1, j + 1), 1 + least(i + 1, j), 1 + least(i, j + 1))
+
+        path = folds.edit_pairs(a, b)
+        assert sum(1 if i is None or j is None else folds.event_cost(a[i], b[j]) for i, j in path) == pytest.approx(least(0, 0))
 
 
 def test_cheapest_fill_matches_all_choices():
@@ -137,11 +161,109 @@ def test_small_folds():
     assert folds.join_digits([(0, 1), (1, 2), (9, 3), (10, 9), (20, 4)], 2) == [(0.5, 12), (9, 3), (10, 9), (20, 4)]
     assert folds.mean_groups([0, 1, 2, 10, 11], 2) == [0, 0, 0, 1, 1]
     assert folds.anchored_pairs([("a", 0.0), ("b", 0.5), ("c", 1.0)], [("a", 0.0), ("c", 1.0)]) == ([(0, 0), (2, 1)], "anchors")
-    assert folds.windows_of_markers([0, 1, 2, 3], [0.5, 2.5]) == [(0, 0, 2), (1, 2, 2)]
-    assert folds.resolve_ties([(1, False, 0), (1, True, 0), (2, False, 0), (1, True, 0)]) == [(1, 0, "adjacent"), (3, 1, "recent")]
+    assert folds.anchored_pairs([("a", 0.0), ("b", 0.5)], [("c", 0.1), ("b", 0.5), ("a", 1.0)]) == ([(0, 2)], "anchors")
+    assert folds.median_groups([0, 1, 2, 10, 11], 2) == [0, 0, 0, 1, 1]
     assert folds.iou((0, 0, 2, 2), (1, 1, 2, 2)) == pytest.approx(1 / 7)
 
 
+def test_marker_windows():
+    """A bracket comes first; else the nearest run, with a penalty for each event more or less; no event twice."""
+    events = [0.0, 10.0, 20.0, 30.0, 40.0]
+    assert folds.windows_of_markers(events, [(15.0, 2, None), (35.0, 2, None)], 10.0) == [(0, [1, 2]), (1, [3, 4])]
+    assert folds.windows_of_markers(events, [(15.0, 3, (18.0, 41.0))], 10.0) == [(0, [2, 3, 4])]
+    assert folds.windows_of_markers(events, [(20.0, 5, None)], 10.0) == [(0, [0, 1, 2, 3, 4])]
+    assert folds.windows_of_markers(events, [(20.0, 2, (0.0, 40.0)), (20.0, 2, None)], 10.0) == [(0, [0, 1, 2, 3, 4])]
+    assert folds.windows_of_markers([5.0], [(5.0, 2, None)], 10.0) == []
+
+
+def test_continuations():
+    """Each rule of the order in which sources are asked."""
+    new = lambda: folds.Continuations()
+    attack = lambda c, event, *notes: c.step(event, list(notes), False, 0, {}, [], [])
+    c = new()
+    attack(c, 1, (1, 40), (2, 45))
+    assert c.step(2, [(2, 47)], False, 1, {}, [], []) == ("adjacent", [(1, 1, 40)])
+    assert c.step(3, [], False, 1, {}, [], []) == ("recent chain", [(1, 2, 40)])
+    assert c.step(4, [(1, 41)], False, 1, {}, [], []) == ("unresolved", [])  # a fresh attack ends the chain
+    c = new()
+    attack(c, 1, (1, 40), (2, 45))
+    attack(c, 2, (3, 50))
+    assert c.step(3, [], False, 1, {}, [2], []) == ("string target", [(2, 1, 45)])
+    c = new()
+    attack(c, 1, (1, 40), (2, 45))
+    attack(c, 2, (3, 50))
+    assert c.step(3, [(3, 52)], False, 1, {}, [], [44]) == ("pitch target", [(2, 1, 45)])
+    assert c.step(4, [], False, 1, {}, [], [60])[0] == "recent chain"  # too far for the pitch
+    c = new()
+    attack(c, 1, (1, 40), (2, 45))
+    assert c.step(2, [], False, 1, {1: 0.3, 2: 0.3, 4: 0.9}, [], []) == ("ink", [(1, 1, 40), (2, 1, 45)])  # ink says how many
+    assert c.step(3, [(5, 60)], False, 0, {1: 0.5}, [], []) == ("ink", [(1, 2, 40)])
+    c = new()
+    c.step(1, [(1, 40)], True, 0, {}, [], [])  # dead notes do not sound on, but are what came before
+    assert c.step(2, [], False, 1, {}, [1], [])[0] == "adjacent"
+
+
+def test_glyphs():
+    g = folds.Glyphs(1.0, 3.0, 4.0)
+    digits = [(10.0, 1, "1"), (10.8, 1, "2"), (20.0, 1, "9"), (20.5, 1, "9"), (11.0, 2, "x"), (30.0, 3, "0"), (30.9, 3, "7")]
+    assert g.tokens(digits) == [(10.4, 1, "12"), (11.0, 2, "x"), (30.45, 3, "7")]  # 99 is more than 36
+    assert g.notes(digits, [(12.0, 7), (90.0, 8)]) == [(7, 12.0, 1, "12", "associated"), (7, 12.0, 2, "x", "associated"), (None, 30.45, 3, "7", "created")]
+    assert [n[4] for n in g.notes([(10.0, 1, "1"), (12.0, 1, "3")], [])] == ["created", "duplicate"]
+
+
+def test_gap_units():
+    """Sizes, and that the greedy choice fills each rest exactly."""
+    assert len(ordered.UNITS) == 21 and ordered.UNITS[0] == (576, 1, "single", "1:1") and ordered.UNITS[-1] == (4, 64, "none", "3:2")
+    assert ordered.UNFILLED == (1, 2, 3, 5, 7, 11)
+    filled = {}
+    for rest, pos, unit in ordered._decomposed():
+        filled.setdefault(rest, []).append((pos, ordered.UNITS[unit][0]))
+    for rest in range(1, 588):
+        parts = [t for _, t in sorted(filled.get(rest, []))]
+        assert sum(parts) == (0 if rest in ordered.UNFILLED else rest) and parts == sorted(parts, reverse=True)
+
+
+def test_outlier_digits_match_a_plain_loop(spark):
+    rng = random.Random(3)
+    rows = [("ab"[k % 2], k, rng.choice([2, 2, 3, 1, 4, 12, 15, 20, 21, 23, 25, 30, 37, 39, 40])) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    want = {}
+    for g in "ab":
+        own = [(k, v) for h, k, v in rows if h == g]
+        values = [v for _, v in own]
+        for i, (k, v) in enumerate(own):
+            near, digit = values[max(0, i - 3) : i] + values[i + 1 : i + 4], v // 10
+            common = values.count(digit) >= max(6, 3 * values.count(v))
+            local = sum(0 <= x <= 19 and abs(x - digit) <= 2 for x in near) >= 2 and not any(abs(x - v) <= 4 for x in near)
+            want[k] = digit if 20 <= v <= 39 and (common or local) else v
+    got = {r["k"]: r["fixed"] for r in timeline.outlier_digits(df, ["g"], ["k"], "v").collect()}
+    assert got == want and any(want[k] != v for _, k, v in rows)
+
+
+def test_rewrite_is_whole_or_not_at_all(spark, tmp_path):
+    path, one = str(tmp_path / "set"), spark.range(10)
+    manifests.rewrite(spark, path, one.write.parquet)
+
+    def broken(folder):
+        spark.range(5).write.parquet(folder)
+        raise OSError("lost")
+
+    for write, check, error in ((broken, None, OSError), (spark.range(3).write.parquet, lambda p: spark.read.parquet(p).count() == 10, ValueError)):
+        with pytest.raises(error):
+            manifests.rewrite(spark, path, write, check)
+        assert spark.read.parquet(path).count() == 10
+    manifests.rewrite(spark, path, spark.range(20).write.parquet)
+    assert spark.read.parquet(path).count() == 20 and [f.name for f in tmp_path.iterdir()] == ["set"]
+
+
+def test_page_files(spark, tmp_path):
+    size = lambda w, h: manifests.PNG + b"\0\0\0\rIHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big")
+    for name, head, n in (("a", size(1200, 1600), 12_000), ("b", size(1200, 1600), 100), ("c", size(999, 1600), 12_000), ("d", size(1200, 10), 12_000), ("e", b"GIF89a", 12_000)):
+        (tmp_path / f"{name}.png").write_bytes(head + bytes(n))
+    got = {r["path"][-5:]: r["rule"] for r in manifests.page_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": None, "b.png": "too small", "c.png": "too narrow", "d.png": "too low", "e.png": "wrong signature"}
+
+
 def test_sweep_counts(spark):
     rows = [(s, s >= 40) for s in range(0, 100, 10)]
     got = {r["threshold"]: (r["tp"], r["fp"], r["fn"]) for r in scoring.sweep(spark.createDataFrame(rows, "score int, truth boolean"), [], "score", "truth").collect()}
@@ -159,8 +281,6 @@ def test_sources(spark, tmp_path):
     files = manifests.discover(spark, str(tmp_path), "*.json*", 1, 1000).collect()
     assert [f["path"].rsplit("/", 1)[-1] for f in files] == ["a.jsonl", "b.json"]
     assert len(manifests.discover(spark, str(tmp_path), "*.json*", 1, 1000, depth=1).collect()) == 1
-    bad = manifests.file_headers(spark, str(tmp_path), "*.jsonl", b"PAR1", 1).first()
-    assert bad["rule"] == "wrong signature"
 
 
 def test_coco(spark, tmp_path):
