@@ -10,10 +10,13 @@ _own: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
+    """The folder that the driver and all executors share; a temporary one only where none is set and all run on this
+    machine (tests). On a cluster each machine would write to its own disk, so an unset folder is an error there."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="scorespark-"))
     return _own[0]
