@@ -19,9 +19,9 @@ LENGTH = 200
 GRAM = 48
 #: Bytes of text that are hashed at once, about.
 BLOCK = 1 << 19
-#: Bits of the filter of repeated keys that goes to the workers: 8 MB at any input size.
-KEY_BITS = 1 << 26
-#: Contexts of an anchor that one task compares; anchors with more are settled window by window.
+#: Bits of the filters that go to the workers: about 8 a key, up to 16 MB at any input size.
+MOST_BITS = 1 << 27
+#: Contexts that are compared together; groups with more are parted further.
 MOST_CONTEXTS = 4096
 #: Contexts that are sorted at once.
 ROUND = 20_000
@@ -31,6 +31,11 @@ _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 28) - 1)
 
 
+#: Columns of a context, and of what repeated strings cover of it.
+CONTEXT = ("key", "context", "count", "before", "bytes", "n")
+STRETCHES = "key long, context binary, a int, b int"
+
+
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(_BASE, n, 1 << 64))
 
@@ -79,6 +84,8 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Itera
         if not use:
             return
         data = np.frombuffer(b"".join([texts[i] for i in use]), np.uint8)
+        if len(data) > int(_LOW):
+            raise ValueError(f"a text of more than {int(_LOW) - BLOCK} bytes")
         sizes = np.array([len(texts[i]) for i in use])
         begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         h = gram_hashes(data, gram)
@@ -109,21 +116,22 @@ def _keys(length: int, gram: int):
 
 
 def filter_words(keys: DataFrame, spark) -> np.ndarray:
-    """A bitmap of KEY_BITS bits of the keys (64-bit hashes); its size does not depend on the data."""
+    """A bitmap of the keys (64-bit hashes), sized by their number up to MOST_BITS; beyond that more rows pass it."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (8 * keys.count()).bit_length()))
     words = (
-        keys.selectExpr(f"pmod(key, {KEY_BITS}) AS p")
-        .selectExpr("cast(p div 32 AS int) AS w", "shiftleft(1L, cast(p % 32 AS int)) AS b")
+        keys.selectExpr(f"pmod(key, {bits}) AS p")
+        .selectExpr("cast(p div 32 AS int) AS w", "shiftleft(1, cast(p % 32 AS int)) AS b")
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
     )
-    out = np.zeros(KEY_BITS // 32, np.uint32)
+    out = np.zeros(bits // 32, np.uint32)
     got = words.toArrow()
-    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint32)
     return out
 
 
 def _passes(words: np.ndarray, key: np.ndarray) -> np.ndarray:
-    p = np.mod(key, KEY_BITS)
+    p = np.mod(key, 32 * len(words))
     return (words[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
 
 
@@ -162,15 +170,16 @@ def _occurrences(shared, length: int, gram: int, with_text: bool):
     return make
 
 
-def extend(groups: np.ndarray, rights: list[bytes], lefts: list[bytes], before: np.ndarray, count: np.ndarray, weight: np.ndarray, length: int, gram: int) -> list[tuple[int, int, int]]:
+def extend(groups: np.ndarray, rights: list[bytes], lefts: list[bytes], before: np.ndarray, count: np.ndarray, weight: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, gram: int) -> list[tuple[int, int, int]]:
     """(context, from, to): stretches of bytes, relative to the anchor, that repeated strings cover.
 
     All contexts are aligned at their anchors, and ordered by what follows the anchor's start: within a group (equal
-    keys), a Burrows-Wheeler order whose neighbours' common prefixes are known. The intervals of contexts that agree
+    keys, or a part of such a group whose contexts agree in the lo bytes before the anchor), a Burrows-Wheeler order whose neighbours' common prefixes are known. The intervals of contexts that agree
     are then extended backwards, all at once, by the bytes that precede the anchor: after t extensions an interval
     holds the contexts that agree in t bytes before and at least length - t bytes from the anchor on, a common prefix
     of length bytes; with a weight of two or more, these are repeats of the string that starts t bytes before the
-    anchor. Contexts alone in their interval are left; it ends at the largest offset an anchor can have.
+    anchor. Contexts alone in their interval are left; it ends at the largest offset an anchor can have. A group is
+    extended from lo to hi bytes.
     """
     n = len(groups)
     wide = np.full((n, length), 0xFF, np.uint8)  # no byte of UTF-8
@@ -182,29 +191,31 @@ def extend(groups: np.ndarray, rights: list[bytes], lefts: list[bytes], before:
         tail = np.frombuffer(s, np.uint8)[::-1][:depth]
         back[i, : len(tail)] = tail
     order = np.lexsort((*wide.T[::-1], groups)) if n < 3 else _sorted(groups, wide)
-    groups, wide, back, before, count, weight = (x[order] for x in (groups, wide, back, before, count, weight))
+    groups, wide, back, before, count, weight, lo, hi = (x[order] for x in (groups, wide, back, before, count, weight, lo, hi))
     same = groups[1:] == groups[:-1]
     differ = wide[1:] != wide[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
     common[~same] = -1
     group = np.concatenate(([0], np.cumsum(~same)))
-    active = np.arange(n)
+    active = np.zeros(0, np.int64)
     lefts_id = group.copy()
     hits: list[tuple[np.ndarray, int]] = []
     for t in range(depth):
-        if t:
+        if len(active):
             code = lefts_id[active] * 256 + back[active, t - 1]
             _, lefts_id[active] = np.unique(code, return_inverse=True)
+            lefts_id[active] += n  # apart from groups that begin later
+        active = np.concatenate((active, np.flatnonzero(lo == t)))
         if not len(active):
-            break
+            continue
         rights_id = np.concatenate(([0], np.cumsum(common < length - t)))
-        _, both, = np.unique(lefts_id[active] * np.int64(n + 1) + rights_id[active], return_inverse=True)
+        _, both = np.unique(lefts_id[active] * np.int64(n + 1) + rights_id[active], return_inverse=True)
         heavy = np.bincount(both, weights=weight[active])[both] >= 2
         owned = (before[active] >= t) & (t >= before[active] - count[active] + 1)
         hits.append((active[heavy & owned], t))
         # Left neighbours part for good: a context alone on its left side can match no more.
         left = np.bincount(lefts_id[active], weights=weight[active])[lefts_id[active]] >= 2
-        active = active[left]
+        active = active[left & (hi[active] > t)]
     out: dict[int, list[list[int]]] = {}
     for who, t in hits:
         for i in who.tolist():
@@ -228,16 +239,15 @@ def _compare(length: int, gram: int):
         held: list[tuple] = []
 
         def settle(rows: list[tuple]) -> pa.RecordBatch:
-            keys = np.array([r[0] for r in rows])
-            group = np.concatenate(([0], np.cumsum(keys[1:] != keys[:-1])))
-            before, count = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
-            got = extend(group, [r[4][r[3] :] for r in rows], [r[4][: r[3]] for r in rows], before, count, np.array([r[5] for r in rows]), length, gram)
-            got = [(*rows[i][:2], a, b) for i, a, b in got if rows[i][5] == 1]
+            group = np.cumsum([k > 0 and r[0] != rows[k - 1][0] for k, r in enumerate(rows)])
+            count, before, weight, lo, hi = (np.array([r[k] for r in rows]) for k in (3, 4, 6, 7, 8))
+            got = extend(group, [r[5][r[4] :] for r in rows], [r[5][: r[4]] for r in rows], before, count, weight, lo, hi, length, gram)
+            got = [(*rows[i][1:3], a, b) for i, a, b in got if rows[i][6] == 1]
             cols = list(zip(*got, strict=True)) or [()] * 4
             return pa.RecordBatch.from_pydict({"key": pa.array(cols[0], pa.int64()), "context": pa.array(cols[1], pa.binary()), "a": pa.array(cols[2], pa.int32()), "b": pa.array(cols[3], pa.int32())})
 
         for batch in batches:
-            held += zip(*(batch[c].to_pylist() for c in ("key", "context", "count", "before", "bytes", "n")), strict=True)
+            held += zip(*(batch[c].to_pylist() for c in ("grp", "key", "context", "count", "before", "bytes", "n", "lo", "hi")), strict=True)
             if len(held) >= ROUND:
                 last = held[-1][0]
                 k = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] != last), -1) + 1
@@ -250,17 +260,19 @@ def _compare(length: int, gram: int):
     return each
 
 
-def _windows(length: int):
-    """Every string of a hot anchor's contexts, by digest."""
+def _parted(hot: DataFrame, length: int) -> DataFrame:
+    """Groups that are too large, each by halves of its range of extensions.
 
-    def work(batch: pa.RecordBatch) -> dict:
-        out = []
-        for key, context, count, before, raw, n in zip(*(batch[c].to_pylist() for c in ("key", "context", "count", "before", "bytes", "n")), strict=True):
-            out += [(key, context, before - k, n, xxhash.xxh3_128_digest(raw[k : k + length])) for k in range(count)]
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        return {"key": pa.array(cols[0], pa.int64()), "context": pa.array(cols[1], pa.binary()), "t": pa.array(cols[2], pa.int32()), "n": pa.array(cols[3], pa.int64()), "string": pa.array(cols[4], pa.binary())}
-
-    return lambda: work
+    Contexts that meet in an interval after lo to hi extensions agree in the lo bytes before the anchor and in the
+    length - hi bytes from it on, so each half is grouped by these bytes, which are more than before. A context goes to
+    the halves in which strings of its own start.
+    """
+    middle = F.expr("(lo + hi) div 2")
+    halves = F.explode(F.array(F.struct(F.col("lo").alias("l"), middle.cast("int").alias("h")), F.struct((middle + 1).cast("int").alias("l"), F.col("hi").alias("h"))))
+    apart = hot.withColumn("half", halves).where("half.l <= before AND half.h > before - count")
+    shared = F.expr(f"substring(bytes, before - half.l + 1, half.l + {length} - half.h)")
+    own = F.md5(F.concat(F.concat_ws(":", "grp", "half.l", "half.h").cast("binary"), shared))
+    return apart.select(own.alias("grp"), *CONTEXT, F.col("half.l").alias("lo"), F.col("half.h").alias("hi"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -274,22 +286,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     classes = saved(runs.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n")), "classes")
     per_key = classes.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    open_ = saved(classes.join(per_key, "key").select("key", "context", "n", "m"), "open")
+    open_ = saved(classes.join(per_key, "key").select("key", "context", "n"), "open")
 
     # The contexts that must be compared, each once; their bytes are read again rather than kept for all.
     prefix = open_.select(F.expr("cast(conv(hex(substring(context, 1, 8)), 16, -10) AS long)").alias("key"))
     chosen = spark.sparkContext.broadcast(filter_words(prefix, spark))
     again = map_batches(docs.select("row", "text"), _occurrences(chosen, length, gram, True), "key long, context binary, count int, before int, bytes binary")
     contexts = again.dropDuplicates(["key", "context"]).join(open_, ["key", "context"])
-    contexts = saved(contexts, "contexts")
-    usual = contexts.where(f"m <= {MOST_CONTEXTS}").select("key", "context", "count", "before", "bytes", "n")
-    found = spread(usual, "key").sortWithinPartitions("key").mapInArrow(_compare(length, gram), "key long, context binary, a int, b int")
-
-    hot = map_batches(contexts.where(f"m > {MOST_CONTEXTS}").select("key", "context", "count", "before", "bytes", "n"), _windows(length), "key long, context binary, t int, n long, string binary")
-    often = hot.groupBy("key", "t", "string").agg(F.sum("n").alias("all")).where("all > 1").select("key", "t", "string")
-    settled = hot.where("n = 1").join(often, ["key", "t", "string"]).select("key", "context", (-F.col("t")).alias("a"), (F.lit(length) - F.col("t")).alias("b"))
-
-    parts = runs.join(found.unionByName(settled), ["key", "context"]).select("row", (F.col("first") + F.col("before") + F.col("a")).alias("start"), (F.col("first") + F.col("before") + F.col("b")).alias("end"))
+    todo = saved(contexts.select(F.col("key").cast("string").alias("grp"), *CONTEXT, F.lit(0).alias("lo"), F.lit(length - gram).alias("hi")), "contexts")
+    found = spark.createDataFrame([], STRETCHES)
+    while True:
+        sized = todo.join(todo.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "grp")
+        usual = sized.where(f"m <= {MOST_CONTEXTS}").drop("m")
+        found = found.unionByName(saved(spread(usual, "grp").sortWithinPartitions("grp").mapInArrow(_compare(length, gram), STRETCHES), "stretches"))
+        hot = saved(sized.where(f"m > {MOST_CONTEXTS}").drop("m"), "hot")
+        # One extension is left and all bytes agree: these contexts are one interval.
+        whole = hot.where("lo = hi AND n = 1").select("key", "context", (-F.col("lo")).alias("a"), (F.lit(length) - F.col("lo")).alias("b"))
+        found = found.unionByName(whole)
+        hot = hot.where("lo < hi")
+        if hot.isEmpty():
+            break
+        todo = saved(_parted(hot, length), "parted")
+    parts = runs.join(found, ["key", "context"]).select("row", (F.col("first") + F.col("before") + F.col("a")).alias("start"), (F.col("first") + F.col("before") + F.col("b")).alias("end"))
     twice = runs.join(classes.where("n > 1").select("key", "context"), ["key", "context"]).select("row", F.col("first").alias("start"), (F.col("first") + F.col("count") - 1 + length).alias("end"))
     return parts.unionByName(twice).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -302,7 +320,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     Texts are UTF-8 bytes; null counts as empty. Matches never cross rows, may overlap, and may lie within one text;
     all copies are removed, none stays. Repeated rows are copies of each other. Texts shorter than length lose
-    nothing; an empty table gives an empty result. docs must be a stable scan.
+    nothing; texts over 256 MB raise an error; an empty table gives an empty result. docs must be a stable scan.
     """
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     found = saved(repeated_spans(rows, length, gram), "spans")
@@ -324,3 +342,30 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         return {"doc_id": batch["doc_id"], "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(map(len, runs), pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "spans": pa.array(runs, kind), "row": batch["row"]}
 
     return map_batches(both, lambda: work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, row long")
+
+
+#: For LENGTH bytes. Texts as hex digits, two a byte; strings are compared by 64-bit hashes of their digits.
+SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents
+), b AS (  -- blocks of 400 starts with what follows them
+  SELECT r, o, substr(h, 2 * o + 1, 2 * 599) AS h FROM (SELECT r, h, unnest(range(0, len(h) // 2, 400)) AS o FROM d)
+), k AS (
+  SELECT r, o + p AS p, hash(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT r, o, h, unnest(range(0, least(400, len(h) // 2 - 199))) AS p FROM b WHERE len(h) >= 400)
+), twice AS (
+  SELECT k FROM k GROUP BY k HAVING count(*) > 1
+), s AS (
+  SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM k WHERE k IN (SELECT k FROM twice)
+), g AS (
+  SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM s
+), spans AS (
+  SELECT r, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY r, run
+), pieces AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM spans
+), cut AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS before FROM pieces JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, cast(len(h) // 2 AS BIGINT) AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, cast(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(before, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
