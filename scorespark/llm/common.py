@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from scorespark.storage import scratch_dir
 
-#: Bits of the broadcast membership filter: 131,072 words of 64 bits, about 2 MB at any input size.
-FILTER_BITS = 1 << 23
+#: Most bits of a broadcast membership filter: a million words of 64 bits, about 50 MB at any input size.
+FILTER_BITS = 1 << 26
 #: Rows, and bytes of their columns about, that a worker holds as Python objects at once; one row may be larger.
 AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
 #: The row number that operators add where all columns of their input pass through.
@@ -82,13 +82,20 @@ def running_sum(df: DataFrame, order: list[str], value: str, out: str = "before"
     return dealt.withColumn(out, inner).join(F.broadcast(starts), "_scorespark_p").withColumn(out, F.col(out) + F.col("_scorespark_b")).drop("_scorespark_p", "_scorespark_b")
 
 
+def bits_for(keys: int, most: int = FILTER_BITS) -> int:
+    """Bits of a filter of so many keys: a power of two, 16 a key or more, at most `most`."""
+    return min(most, max(1 << 10, 1 << (16 * keys - 1).bit_length() if keys else 0))
+
+
 def split_by_filter(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be in keys, rows whose key surely is not).
 
-    keys has one column named key. A Bloom-like bitmap of FILTER_BITS bits is broadcast; its size does not depend on the
-    data. False positives only send more rows down the exact path. A null key is never in keys.
+    keys has one column named key, and is a saved table: it is counted, and the Bloom-like bitmap that is broadcast has
+    bits_for() them, FILTER_BITS at most. False positives, which are many when there are more keys than bits, only send
+    more rows down the exact path. A null key is never in keys.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    size = bits_for(keys.count())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     bits = (
         keys.where(F.col(key).isNotNull())
         .select(place(F.col(key)).alias("_scorespark_p"))

@@ -52,7 +52,8 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     stored = stored.where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
 
     again = light.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    suspects, once = split_by_filter(full.select("digest", "text"), "digest", again.unionByName(stored.select("digest")) if known else again)
+    again = saved(again.unionByName(stored.select("digest")) if known else again, "again")
+    suspects, once = split_by_filter(full.select("digest", "text"), "digest", again)
     if known:
         suspects = suspects.join(stored, "digest", "left_anti")
     misses = once.unionByName(suspects.dropDuplicates(["digest"]))
