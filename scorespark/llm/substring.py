@@ -17,8 +17,8 @@ GEAR_BYTES = 16
 #: A cut lies where the hash is the largest within so many bytes on either side: chunks of about twice that size.
 REACH = 24
 LONGEST = 1024
-#: Shortest stretch of repeated chunks that is removed, in bytes.
-LEAST_RUN = 100
+#: Shortest repeated stretch that is removed, in bytes; and bytes by which equal chunks are extended on either side, at most.
+LEAST_RUN, EDGE = 150, 256
 
 _GEAR = np.random.default_rng(1).integers(0, 1 << 32, 256, np.uint32)
 
@@ -123,8 +123,42 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(row, spans): for each row of docs (row, doc_id, text) the chunks that another place has first.
+def _runs(batch: pa.RecordBatch) -> dict:
+    """Chunks of a row that lie side by side as one run, with the places of its two ends in the texts that keep them."""
+    out: list[tuple] = []
+    for row, spans in zip(batch["row"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+        last = None
+        for x in sorted(spans, key=lambda x: x["start"]):
+            if last is None or x["start"] != last[2]:
+                if last:
+                    out.append(last)
+                last = (row, x["start"], x["end"], x["owner"], x["at"], x["owner"], x["at"] + x["end"] - x["start"])
+            else:
+                last = (*last[:2], x["end"], *last[3:5], x["owner"], x["at"] + x["end"] - x["start"])
+        if last:
+            out.append(last)
+    columns = list(zip(*out, strict=True)) or [()] * 7
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+    return {n: pa.array(c, k) for n, c, k in zip(("row", "start", "end", "l_row", "l_at", "r_row", "r_at"), columns, kinds, strict=True)}
+
+
+def _edges(batch: pa.RecordBatch) -> dict:
+    """The bytes before (side -1) or after (side 1) the places of a text that are asked for."""
+    rows, places, sides, found = [], [], [], []
+    for row, text, asked in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), batch["asked"].to_pylist(), strict=True):
+        raw = text.encode()
+        for x in asked:
+            at, side = x["at"], x["side"]
+            rows.append(row)
+            places.append(at)
+            sides.append(side)
+            found.append(raw[at : at + EDGE] if side > 0 else raw[max(0, at - EDGE) : at])
+    return {"row": pa.array(rows, pa.int64()), "at": pa.array(places, pa.int32()), "side": pa.array(sides, pa.int32()), "bytes": pa.array(found, pa.binary())}
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(row, spans): for each row of docs (row, doc_id, text) the runs of chunks that another place has first, with the
+    bytes on either side of that place (struct of start, end, left, right).
 
     The place that keeps a chunk is the first in the document with the smallest doc_id (null last; of rows with equal
     doc_id the first row). Chunks are counted by digest with partial sums, so that a chunk which very many documents
@@ -136,9 +170,38 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     counted = saved(counted, "repeats")
     suspects, _ = split_by_filter(chunks, "hi", counted.select("hi"))
     dups = saved(suspects.join(counted, ["hi", "lo"]), "places")
-    owners = dups.where(last == F.col("first_doc")).groupBy("hi", "lo").agg(F.min("row").alias("owner"))
-    gone = dups.join(owners, ["hi", "lo"]).where("again OR row <> owner")
-    return gone.groupBy("row").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("spans"))
+    owners = dups.where(last == F.col("first_doc")).groupBy("hi", "lo").agg(F.min(F.struct("row", "start")).alias("own"))
+    gone = dups.join(owners, ["hi", "lo"]).where("again OR row <> own.row")
+    span = F.struct("start", (F.col("start") + F.col("size")).alias("end"), F.col("own.row").alias("owner"), F.col("own.start").alias("at"))
+    runs = saved(map_batches(gone.groupBy("row").agg(F.collect_list(span).alias("spans")), lambda: _runs, "row long, start int, end int, l_row long, l_at int, r_row long, r_at int"), "runs")
+
+    # Chunks lose both edges of a passage: the bytes around each kept place are fetched, each place once.
+    ask = lambda who, at, side: runs.select(F.col(who).alias("row"), F.col(at).alias("at"), F.lit(side).alias("side"))
+    asked = ask("l_row", "l_at", -1).unionByName(ask("r_row", "r_at", 1)).distinct()
+    asked = saved(asked.groupBy("row").agg(F.collect_list(F.struct("at", "side")).alias("asked")), "asked")
+    keepers, _ = split_by_filter(docs.select("row", "text"), "row", asked.select("row"))
+    edges = saved(map_batches(keepers.join(asked, "row"), lambda: _edges, "row long, at int, side int, bytes binary"), "edges")
+    side = lambda s, c: edges.where(f"side = {s}").select(F.col("row").alias(f"{c}_row"), F.col("at").alias(f"{c}_at"), F.col("bytes").alias(c))
+    told = runs.join(side(-1, "l"), ["l_row", "l_at"]).join(side(1, "r"), ["r_row", "r_at"])
+    return told.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.col("l").alias("left"), F.col("r").alias("right"))).alias("spans"))
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
+def extended(raw: bytes, runs: list[dict]) -> list[tuple[int, int]]:
+    """Runs, longer by the bytes on either side that equal those beside the kept place."""
+    out = []
+    for x in runs:
+        start, end = x["start"], x["end"]
+        out.append((start - _common(raw[max(0, start - EDGE) : start][::-1], x["left"][::-1]), end + _common(raw[end : end + EDGE], x["right"])))
+    return out
 
 
 def _cut_out(least: int, keep: list[str]):
@@ -146,7 +209,7 @@ def _cut_out(least: int, keep: list[str]):
         kept, size, gone, runs, sha = [], [], [], [], []
         for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
             raw = (text or "").encode()
-            use = whole_characters(raw, merged([(x["start"], x["end"]) for x in spans or ()], least))
+            use = whole_characters(raw, merged(extended(raw, spans or []), least))
             left = outside(raw, use) if use else raw
             kept.append(text if not use else left.decode())
             size.append(len(raw))
@@ -165,12 +228,15 @@ def substring_dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     Input: doc_id, text; other columns are ignored. Output for each row: doc_id, kept_text, n_bytes, n_removed,
     n_spans, kept_sha256, row (the number in docs, a stable scan).
 
-    Content-defined chunks are compared by 128-bit digest; a run of repeated chunks of at least least_run bytes is
-    removed, cut to whole characters. One copy of everything stays. Null text counts as empty and stays null; repeated
-    rows are copies of each other; texts shorter than least_run lose nothing; an empty table gives an empty result.
+    Content-defined chunks are compared by 128-bit digest. Runs of repeated chunks are extended on both sides by the bytes
+    (EDGE at most) that equal those of the place that keeps them; what then has least_run bytes is removed, cut to whole
+    characters. So of a passage that two texts share, all is found if at least one chunk lies inside it; where texts have
+    no peaks to cut at (a letter repeated), chunks are forced at LONGEST bytes and do not move with insertions. One copy of
+    everything stays. Null text counts as empty and stays null; repeated rows are copies of each other, ties go to the
+    first; texts shorter than least_run lose nothing; an empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    found = saved(repeated_chunks(rows), "spans")
+    found = saved(repeated_runs(rows), "spans")
     suspects, clean = split_by_filter(rows, "row", found.select("row"))
     none = F.lit(None).cast(found.schema["spans"].dataType).alias("spans")
     both = suspects.join(found, "row", "left").select("doc_id", "row", "text", "spans").unionByName(clean.select("doc_id", "row", "text", none))
@@ -180,10 +246,11 @@ def substring_dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
 def cut_repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     """docs, all columns, with what substring_dedup() keeps as text; documents of which nothing is left go.
 
-    n_chars, where there is one, is counted anew.
+    n_chars, where there is one, is counted anew. Null texts stay, as do empty ones that were empty before; of repeated
+    rows the first keeps its text; an empty table stays empty.
     """
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    found = saved(repeated_chunks(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))), "spans").withColumnRenamed("row", ROW)
+    found = saved(repeated_runs(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))), "spans").withColumnRenamed("row", ROW)
     suspects, clean = split_by_filter(rows, ROW, found.select(ROW))
     spans = "_scorespark_spans"
     told = suspects.join(found.withColumnRenamed("spans", spans), ROW, "left")
@@ -195,11 +262,11 @@ def cut_repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
         texts = []
         for text, found in zip(batch["text"].to_pylist(), batch[spans].to_pylist(), strict=True):
             raw = (text or "").encode()
-            use = whole_characters(raw, merged([(x["start"], x["end"]) for x in found or ()], least_run))
+            use = whole_characters(raw, merged(extended(raw, found or []), least_run))
             texts.append(text if not use else outside(raw, use).decode())
         return out | {"text": pa.array(texts, pa.string())}
 
-    cut = map_batches(told, lambda: work, docs.schema).where("text IS NULL OR text <> ''")
+    cut = map_batches(told, lambda: work, docs.schema).where("text IS NULL OR text <> ''")  # clean rows are not among these
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns).unionByName(cut.select(*docs.columns))
