@@ -179,3 +179,22 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, slot: int = SLOT) ->
     done = named.join(smallest, "label").select("node", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     out = light.join(done, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: All pairs of a label, and all that is reachable by links.
+SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, cast(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}::DOUBLE
+), c AS (
+  SELECT r AS a, r AS b FROM v UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a
+), m AS (
+  SELECT c.a AS r, min(v.vec_id) AS component_id FROM c JOIN v ON v.r = c.b GROUP BY c.a
+), n AS (
+  SELECT a AS r, count(*) AS n FROM p GROUP BY a
+)
+SELECT vec_id, cast(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN m USING (r) LEFT JOIN n USING (r)
+"""
