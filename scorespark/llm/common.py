@@ -119,15 +119,28 @@ def without_rows(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return never.unionByName(maybe.join(gone, key, "left_anti"))
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """left joined to right by the keys on, without a task that gets all rows of a hot key.
+
+    right has each key once, with the number of left's rows that have it in `rows`, which is dropped; it is a saved table,
+    and left is one or cheap to read twice. Keys with more than a thousandth of all these rows are fewer than a thousand:
+    they are broadcast, and their rows stay where they are. The others are shuffled.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot, rest = right.where(F.col(rows) * 1000 > total).drop(rows), right.where(F.col(rows) * 1000 <= total).drop(rows)
+    stay = left.join(F.broadcast(hot), on)
+    return stay.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
+
+
 def tiles(df: DataFrame, keys: list[str], member: str, size: int, keep_slot: bool = False) -> DataFrame:
     """Splits groups (rows of equal keys, at least two) into tiles (_a, _b) of at most about 2 * size rows.
 
     Every pair of rows of a group meets in some tile, so nothing is lost, and no task holds a whole hot group: a group
-    of m rows becomes slots of about size rows (_s), and each pair of slots is a tile of its own.
+    of m rows becomes slots of about size rows (_s), and each pair of slots is a tile of its own. df is read twice.
     """
-    many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    many = saved(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").withColumn("_n", F.col("_m")), "many")
     return (
-        df.join(many, keys)
+        join_counted(df, many, keys, "_n")
         .withColumn("_k", F.expr(f"cast(ceil(_m / {size}) AS int)"))
         .withColumn("_s", F.expr(f"cast(pmod(xxhash64({member}, 7), _k) AS int)"))
         .withColumn("_j", F.explode(F.expr("sequence(0, _k - 1)")))
