@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import ROW, map_batches, saved, split_by_filter
+from scorespark.llm.common import ROW, join_counted, map_batches, saved, split_by_filter
 
 #: Bytes that the gear hash sees (a power of two).
 GEAR_BYTES = 16
@@ -144,7 +144,7 @@ def _runs(batch: pa.RecordBatch) -> dict:
 
 def _edges(batch: pa.RecordBatch) -> dict:
     """The bytes before (side -1) or after (side 1) the places of a text that are asked for."""
-    rows, places, sides, found = [], [], [], []
+    rows, places, sides, found, times = [], [], [], [], []
     for row, text, asked in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), batch["asked"].to_pylist(), strict=True):
         raw = text.encode()
         for x in asked:
@@ -152,8 +152,9 @@ def _edges(batch: pa.RecordBatch) -> dict:
             rows.append(row)
             places.append(at)
             sides.append(side)
+            times.append(x["n"])
             found.append(raw[at : at + EDGE] if side > 0 else raw[max(0, at - EDGE) : at])
-    return {"row": pa.array(rows, pa.int64()), "at": pa.array(places, pa.int32()), "side": pa.array(sides, pa.int32()), "bytes": pa.array(found, pa.binary())}
+    return {"row": pa.array(rows, pa.int64()), "at": pa.array(places, pa.int32()), "side": pa.array(sides, pa.int32()), "bytes": pa.array(found, pa.binary()), "n": pa.array(times, pa.int64())}
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -166,23 +167,25 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """
     chunks = map_batches(docs.select("row", "doc_id", "text"), lambda: _chunks, CHUNKS)
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    counted = chunks.groupBy("hi", "lo").agg(F.min(last).alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first_doc")
+    counted = chunks.groupBy("hi", "lo").agg(F.min(last).alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
     counted = saved(counted, "repeats")
     suspects, _ = split_by_filter(chunks, "hi", counted.select("hi"))
-    dups = saved(suspects.join(counted, ["hi", "lo"]), "places")
-    owners = dups.where(last == F.col("first_doc")).groupBy("hi", "lo").agg(F.min(F.struct("row", "start")).alias("own"))
-    gone = dups.join(owners, ["hi", "lo"]).where("again OR row <> own.row")
+    dups = saved(join_counted(saved(suspects, "suspects"), counted, ["hi", "lo"], "n"), "places")
+    first = dups.where(last == F.col("first_doc")).groupBy("hi", "lo").agg(F.min(F.struct("row", "start")).alias("own"))
+    owners = saved(first.join(counted.select("hi", "lo", "n"), ["hi", "lo"]), "owners")
+    gone = join_counted(dups, owners, ["hi", "lo"], "n").where("again OR row <> own.row")
     span = F.struct("start", (F.col("start") + F.col("size")).alias("end"), F.col("own.row").alias("owner"), F.col("own.start").alias("at"))
     runs = saved(map_batches(gone.groupBy("row").agg(F.collect_list(span).alias("spans")), lambda: _runs, "row long, start int, end int, l_row long, l_at int, r_row long, r_at int"), "runs")
 
     # Chunks lose both edges of a passage: the bytes around each kept place are fetched, each place once.
     ask = lambda who, at, side: runs.select(F.col(who).alias("row"), F.col(at).alias("at"), F.lit(side).alias("side"))
-    asked = ask("l_row", "l_at", -1).unionByName(ask("r_row", "r_at", 1)).distinct()
-    asked = saved(asked.groupBy("row").agg(F.collect_list(F.struct("at", "side")).alias("asked")), "asked")
+    asked = ask("l_row", "l_at", -1).unionByName(ask("r_row", "r_at", 1)).groupBy("row", "at", "side").agg(F.count(F.lit(1)).alias("n"))
+    asked = saved(asked.groupBy("row").agg(F.collect_list(F.struct("at", "side", "n")).alias("asked")), "asked")
     keepers, _ = split_by_filter(docs.select("row", "text"), "row", asked.select("row"))
-    edges = saved(map_batches(keepers.join(asked, "row"), lambda: _edges, "row long, at int, side int, bytes binary"), "edges")
-    side = lambda s, c: edges.where(f"side = {s}").select(F.col("row").alias(f"{c}_row"), F.col("at").alias(f"{c}_at"), F.col("bytes").alias(c))
-    told = runs.join(side(-1, "l"), ["l_row", "l_at"]).join(side(1, "r"), ["r_row", "r_at"])
+    edges = saved(map_batches(keepers.join(asked, "row"), lambda: _edges, "row long, at int, side int, bytes binary, n long"), "edges")
+    side = lambda s, c: edges.where(f"side = {s}").select(F.col("row").alias(f"{c}_row"), F.col("at").alias(f"{c}_at"), F.col("bytes").alias(c), "n")
+    left = saved(join_counted(runs, side(-1, "l"), ["l_row", "l_at"], "n"), "left")
+    told = join_counted(left, side(1, "r"), ["r_row", "r_at"], "n")
     return told.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.col("l").alias("left"), F.col("r").alias("right"))).alias("spans"))
 
 
