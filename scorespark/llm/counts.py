@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import map_batches, new_path, saved, split_by_filter
+from scorespark.llm.common import join_counted, map_batches, new_path, saved, split_by_filter
 from scorespark.llm.tokens import counter, file_of
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -51,8 +51,9 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     stored = spark.read.schema(CACHE).parquet(path) if known else spark.createDataFrame([], CACHE)
     stored = stored.where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
 
-    again = light.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    again = saved(again.unionByName(stored.select("digest")) if known else again, "again")
+    repeats = saved(light.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeats")
+    again = repeats.select("digest")
+    again = saved(again.unionByName(stored.select("digest")), "again") if known else again
     suspects, once = split_by_filter(full.select("digest", "text"), "digest", again)
     if known:
         suspects = suspects.join(stored, "digest", "left_anti")
@@ -61,4 +62,5 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(path)
 
     stored = spark.read.schema(CACHE).parquet(path).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    return light.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = saved(stored.join(repeats, "digest", "left").select("digest", "n_tokens", F.coalesce("n", F.lit(1)).alias("n")), "counted")
+    return join_counted(light, counted, ["digest"], "n").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
