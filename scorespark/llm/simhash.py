@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import ROW, components, map_batches, map_runs, saved, split_by_filter, tiles, without_rows
+from scorespark.llm.common import ROW, components, join_counted, map_batches, map_runs, saved, split_by_filter, tiles, without_rows
 
 #: Widths of the six blocks of a fingerprint. Two fingerprints that differ in at most three bits agree in three blocks.
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -138,15 +138,15 @@ def simhash_dedup(docs: DataFrame, width: int = 3, slot: int = SLOT) -> DataFram
     """
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_rid"))
     prints = saved(map_batches(rows, _fingerprints(width), "doc_id long, _rid long, fp long"), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
     table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(MASKS)]))
     entries = nodes.select("fp", table.alias("e")).select("e.t", "e.key", "fp")
     edges = map_runs(tiles(entries, ["t", "key"], "fp", slot), ["t", "key", "_a", "_b"], _links_of_tile, "a long, b long")
     labels = components(edges)
-    named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_print = named.join(smallest, "label").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "_rid")
+    named = saved(nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "rep", "n", F.coalesce("label", "fp").alias("label")), "named")
+    smallest = saved(named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m")), "smallest")
+    of_print = saved(join_counted(named, smallest, ["label"], "m").select("fp", "component_id", "n"), "components")
+    return join_counted(prints, of_print, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "_rid")
 
 
 #: Blocks of texts for near_texts(): BANDS keys of two minima each. A pair at 0.8 shares none with probability
@@ -181,11 +181,11 @@ def _blocks(width: int):
 
 
 def _sets(width: int):
-    """row, shingles (sorted 32-bit hashes of the set, little-endian)."""
+    """row, shingles (sorted 64-bit hashes of the set, little-endian)."""
 
     def work(batch: pa.RecordBatch) -> dict:
         flats = [shingle_hashes(t, width) for t in batch["text"].to_pylist()]
-        sets = [np.unique((np.frombuffer(f, ">u8") >> np.uint64(32)).astype("<u4")).tobytes() for f in flats]
+        sets = [np.unique(np.frombuffer(f, ">u8").astype("<u8")).tobytes() for f in flats]
         return {"row": batch["row"], "shingles": pa.array(sets, pa.binary())}
 
     return lambda: work
@@ -200,28 +200,28 @@ def _similar_in_tile(similarity: float):
     """
 
     def work(run: pd.DataFrame) -> pd.DataFrame | None:
-        order = sorted(zip((len(x) // 4 for x in run["shingles"]), run["row"].tolist(), run["shingles"], strict=True))
+        order = sorted(zip((len(x) // 8 for x in run["shingles"]), run["row"].tolist(), run["shingles"], strict=True))
         rows = [r for _, r, _ in order]
-        sets = [np.frombuffer(x, "<u4") for _, _, x in order]
+        sets = [np.frombuffer(x, "<u8") for _, _, x in order]
         sizes = np.array([n for n, _, _ in order])
         flat = np.concatenate(sets)
         starts = np.concatenate(([0], np.cumsum(sizes)))
         unseen, marks, out = np.ones(len(rows), bool), np.zeros(MARKS, bool), []
 
         def near(i: int) -> list[int]:
-            lo = int(np.searchsorted(sizes, int(similarity * sizes[i])))
+            lo = int(np.searchsorted(sizes, int(similarity * sizes[i] - 1e-6)))
             hi = int(np.searchsorted(sizes, int(sizes[i] / similarity) + 1, side="right"))
-            places, found = sets[i] & np.uint32(MARKS - 1), []
+            places, found = sets[i] & np.uint64(MARKS - 1), []
             marks[places] = True
             while lo < hi:
                 to = min(hi, max(lo + 1, int(np.searchsorted(starts, starts[lo] + LOOKED_UP, side="right")) - 1))
                 if unseen[lo:to].any():
-                    hits = marks[flat[starts[lo] : starts[to]] & np.uint32(MARKS - 1)]
+                    hits = marks[flat[starts[lo] : starts[to]] & np.uint64(MARKS - 1)]
                     most = np.add.reduceat(hits, starts[lo:to] - starts[lo], dtype=np.int64)
-                    able = most >= similarity * (sizes[i] + sizes[lo:to] - most)
+                    able = most + 1e-6 >= similarity * (sizes[i] + sizes[lo:to] - most)  # 4 of 5 are 0.8
                     for j in (lo + np.flatnonzero(able & unseen[lo:to])).tolist():
                         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                        if both + 1e-6 >= similarity * (len(sets[i]) + len(sets[j]) - both):
                             found.append(j)
                 lo = to
             marks[places] = False
@@ -248,7 +248,8 @@ def near_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, slot: i
     Texts are linked when the Jaccard similarity of their sets of word shingles is at least similarity; how often a
     shingle is repeated does not matter. At that similarity fingerprints differ in about ten bits, too many for blocks
     of equal bits. So texts are blocked by minima of their shingle hashes (a pair at 0.8 shares a block with probability
-    0.9999999), and inside a block, in tiles, the sets themselves are compared. Texts without words link with nothing.
+    0.9999999), and inside a block, in tiles, the sets themselves are compared, as 64-bit hashes. Texts without words link
+    with nothing; rows that repeat are copies of each other; an empty table gives an empty result.
     """
     blocks = map_batches(docs.select("row", "text"), _blocks(width), "row long, bands array<long>")
     entries = saved(blocks.select("row", F.explode("bands").alias("band")), "blocks")
@@ -261,11 +262,12 @@ def near_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, slot: i
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs, all columns, with one row of each group of near copies: that with the smallest doc_id (null last)."""
+    """docs, all columns, with one row of each group of near copies: that with the smallest doc_id (null last; of equal
+    ones the first row). Texts that are null or have no words stay; an empty table stays empty."""
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
     light = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     found = saved(near_texts(light, width, similarity), "near")
-    named = light.select("doc_id", "row").join(found, "row")
-    first = named.groupBy("label").agg(F.expr("min(struct(doc_id IS NULL AS n, doc_id, row)).row").alias("keep"))
-    gone = saved(named.join(first, "label").where("row <> keep").select(F.col("row").alias(ROW)), "gone")
+    named = saved(light.select("doc_id", "row").join(found, "row"), "named")
+    first = saved(named.groupBy("label").agg(F.expr("min(struct(doc_id IS NULL AS n, doc_id, row)).row").alias("keep"), F.count(F.lit(1)).alias("m")), "first")
+    gone = saved(join_counted(named, first, ["label"], "m").where("row <> keep").select(F.col("row").alias(ROW)), "gone")
     return without_rows(rows, ROW, gone).select(*docs.columns)
