@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorespark.llm.common import components, map_batches, map_runs, saved, tiles
+from scorespark.llm.common import components, join_counted, map_batches, map_runs, saved, tiles
 
 #: Tables, hashes joined to a cell of a table, further cells probed in each table.
 TABLES, HASHES, PROBES = 8, 3, 3
@@ -174,10 +174,13 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, slot: int = SLOT) ->
     links = found.where("kind = 0").groupBy(F.col("a").alias("nid")).agg(F.sum("b").alias("links"))
     labels = components(found.where("kind = 1"))
     named = nodes.select("nid", "node", "rep", "w").join(links, "nid", "left").join(labels.withColumnRenamed("node", "nid"), "nid", "left")
-    named = named.withColumn("label", F.coalesce("label", "nid"))
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    done = named.join(smallest, "label").select("node", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = light.join(done, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    named = saved(named.withColumn("label", F.coalesce("label", "nid")), "named")
+    smallest = saved(named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m")), "smallest")
+    done = join_counted(named, smallest, ["label"], "m")
+    done = saved(done.select("node", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", "w"), "done")
+    none = F.lit(None).cast("long")
+    out = join_counted(light.where("node IS NOT NULL"), done, ["node"], "w").unionByName(light.where("node IS NULL").select("node", "vec_id", none.alias("n_links"), none.alias("component_id")))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
