@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import map_batches, saved, split_by_filter, spread
+from scorespark.llm.common import join_counted, map_batches, saved, split_by_filter, spread
 from scorespark.llm.substring import merged, outside
 
 LENGTH = 200
@@ -285,8 +285,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     runs = saved(runs, "runs")
 
     classes = saved(runs.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n")), "classes")
-    per_key = classes.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    open_ = saved(classes.join(per_key, "key").select("key", "context", "n"), "open")
+    per_key = saved(classes.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "per-key")
+    open_ = saved(join_counted(classes, per_key, ["key"], "m").select("key", "context", "n"), "open")
 
     # The contexts that must be compared, each once; their bytes are read again rather than kept for all.
     prefix = open_.select(F.expr("cast(conv(hex(substring(context, 1, 8)), 16, -10) AS long)").alias("key"))
@@ -296,7 +296,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     todo = saved(contexts.select(F.col("key").cast("string").alias("grp"), *CONTEXT, F.lit(0).alias("lo"), F.lit(length - gram).alias("hi")), "contexts")
     found = spark.createDataFrame([], STRETCHES)
     while True:
-        sized = todo.join(todo.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "grp")
+        sizes = saved(todo.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("rows", F.col("m")), "sizes")
+        sized = join_counted(todo, sizes, ["grp"], "rows")
         usual = sized.where(f"m <= {MOST_CONTEXTS}").drop("m")
         found = found.unionByName(saved(spread(usual, "grp").sortWithinPartitions("grp").mapInArrow(_compare(length, gram), STRETCHES), "stretches"))
         hot = saved(sized.where(f"m > {MOST_CONTEXTS}").drop("m"), "hot")
@@ -308,7 +309,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             break
         todo = saved(_parted(hot, length), "parted")
     parts = runs.join(found, ["key", "context"]).select("row", (F.col("first") + F.col("before") + F.col("a")).alias("start"), (F.col("first") + F.col("before") + F.col("b")).alias("end"))
-    twice = runs.join(classes.where("n > 1").select("key", "context"), ["key", "context"]).select("row", F.col("first").alias("start"), (F.col("first") + F.col("count") - 1 + length).alias("end"))
+    # A context that many rows have is hot here; one that is alone (n = 1), as in found, is not.
+    twice = join_counted(runs, classes.where("n > 1").select("key", "context", "n"), ["key", "context"], "n").select("row", F.col("first").alias("start"), (F.col("first") + F.col("count") - 1 + length).alias("end"))
     return parts.unionByName(twice).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
