@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact": exact.SQL, "op5_suffix": suffix.SQL, "op6_license": license.sql(), "op7_embeddings": embeddings.SQL}
+    return {"op1_simhash": simhash.SQL, "op2_substring": substring.SQL, "op4_exact": exact.SQL, "op5_suffix": suffix.SQL, "op6_license": license.sql(), "op7_embeddings": embeddings.SQL}

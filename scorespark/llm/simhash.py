@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorespark.llm.common import ROW, components, join_counted, map_batches, map_runs, saved, split_by_filter, tiles, without_rows
+from scorespark.llm.xxh64_sql import xxh64
 
 #: Widths of the six blocks of a fingerprint. Two fingerprints that differ in at most three bits agree in three blocks.
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -149,6 +150,32 @@ def simhash_dedup(docs: DataFrame, width: int = 3, slot: int = SLOT) -> DataFram
     return join_counted(prints, of_print, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "_rid")
 
 
+#: The contract over the whole table: shingles, their XXH64, bits that are set in over half of them, links and what they reach.
+SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT r, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM d WHERE len(ws) > 0)
+), t AS (
+  SELECT DISTINCT s FROM w
+), x AS (
+  SELECT s, g::UBIGINT AS g FROM {xxh64("t", SEED)}
+), b AS (
+  SELECT r, {" + ".join(f"CASE WHEN 2 * sum((g >> {k}) & 1) > count(*) THEN {1 << k}::UHUGEINT ELSE 0::UHUGEINT END" for k in range(64))} AS fp FROM w JOIN x USING (s) GROUP BY r
+), p AS (
+  SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM d LEFT JOIN b USING (r)
+), u AS (
+  SELECT DISTINCT fp FROM p
+), l AS (
+  SELECT a.fp AS a, b.fp AS b FROM u a JOIN u b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)::HUGEINT) <= {RADIUS}
+), c AS (
+  SELECT fp AS a, fp AS b FROM u UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a
+), m AS (
+  SELECT c.a AS fp, min(p.doc_id) AS component_id FROM c JOIN p ON p.fp = c.b GROUP BY c.a
+)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM p JOIN m USING (fp)
+"""
+
 #: Blocks of texts for near_texts(): BANDS keys of two minima each. A pair at 0.8 shares none with probability
 #: (1 - 0.8^2)^16, less than one in ten million.
 BANDS = 16

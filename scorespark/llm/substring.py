@@ -273,3 +273,58 @@ def cut_repeats(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns).unionByName(cut.select(*docs.columns))
+
+
+_DIFFERS = "list_filter(range(0, least(len({a}), len({b})) // 2), lambda k: substr({a}, {x}, 2) <> substr({b}, {y}, 2))[1]"
+_BEFORE = _DIFFERS.format(a="ol", b="ml", x="len(ol) - 2 * k - 1", y="len(ml) - 2 * k - 1")
+_AFTER = _DIFFERS.format(a="orr", b="mr", x="2 * k + 1", y="2 * k + 1")
+_INNER = "('8', '9', 'A', 'B')"  # first hex digits of bytes inside characters
+
+#: The same over the whole table: gear hashes as sums over windows, peaks, chunks as strings, runs, edges, whole characters.
+#: Texts as hex digits, two a byte.
+SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, len(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents
+), y AS (
+  SELECT r, n, unnest(bs) AS b, generate_subscripts(bs, 1) - 1 AS i FROM (SELECT r, n, regexp_extract_all(h, '..') AS bs FROM d WHERE n > {REACH})
+), g AS (
+  SELECT r, n, i, ([{", ".join(map(str, _GEAR.tolist()))}])[('0x' || b)::INTEGER + 1]::BIGINT AS g FROM y
+), e AS (
+  SELECT r, n, i, ({" + ".join(f"coalesce(lag(g, {a}) OVER w, 0) * {1 << a}" for a in range(GEAR_BYTES))}) % {1 << 32} AS v FROM g WINDOW w AS (PARTITION BY r ORDER BY i)
+), k AS (
+  SELECT r, n, i + 1 AS cut, v > coalesce(max(v) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {REACH} PRECEDING AND 1 PRECEDING), -1) AND v >= coalesce(max(v) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 1 FOLLOWING AND {REACH} FOLLOWING), -1) AS peak FROM e
+), nat AS (
+  SELECT r, cut, coalesce(lag(cut) OVER (PARTITION BY r ORDER BY cut), 0) AS since FROM (SELECT r, cut FROM k WHERE peak AND cut > {REACH} AND cut < n UNION ALL SELECT r, n FROM d WHERE n > 0)
+), ends AS (
+  SELECT r, cut AS b FROM nat UNION ALL SELECT r, unnest(range(since + {LONGEST}, cut, {LONGEST})) FROM nat
+), c AS (
+  SELECT r, doc_id, a, b, substr(h, 2 * a + 1, 2 * (b - a)) AS c FROM (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY b), 0) AS a, b FROM ends) JOIN d USING (r)
+), own AS (
+  SELECT c, min({{'z': doc_id IS NULL, 'd': doc_id, 'r': r, 'a': a}}) AS o FROM c GROUP BY c
+), gone AS (
+  SELECT r, a, b, o.r AS q, o.a AS place, CASE WHEN lag(b) OVER (PARTITION BY r ORDER BY a) = a THEN 0 ELSE 1 END AS new FROM c JOIN own USING (c) WHERE o.r <> r OR o.a <> a
+), run0 AS (
+  SELECT *, sum(new) OVER (PARTITION BY r ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM gone
+), runs AS (
+  SELECT r, min(a) AS a, max(b) AS b, arg_min(q, a) AS lq, arg_min(place, a) AS lat, arg_max(q, a) AS rq, arg_max(place + b - a, a) AS rat FROM run0 GROUP BY r, run
+), sides AS (
+  SELECT runs.*, substr(d.h, 2 * greatest(0, a - {EDGE}) + 1, 2 * least({EDGE}, a)) AS ml, substr(d.h, 2 * b + 1, 2 * {EDGE}) AS mr, substr(x.h, 2 * greatest(0, lat - {EDGE}) + 1, 2 * least({EDGE}, lat)) AS ol, substr(z.h, 2 * rat + 1, 2 * {EDGE}) AS orr
+  FROM runs JOIN d USING (r) JOIN d x ON x.r = lq JOIN d z ON z.r = rq
+), wide AS (
+  SELECT r, a - coalesce({_BEFORE}, least(len(ol), len(ml)) // 2) AS a, b + coalesce({_AFTER}, least(len(orr), len(mr)) // 2) AS b FROM sides
+), m0 AS (
+  SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY r ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM wide
+), m1 AS (
+  SELECT *, sum(new) OVER (PARTITION BY r ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m0
+), m AS (
+  SELECT r, min(a) AS a, max(b) AS b FROM m1 GROUP BY r, run HAVING max(b) - min(a) >= {LEAST_RUN}
+), spans AS (
+  SELECT r, h, a + list_filter(range(0, 4), lambda k: substr(h, 2 * (a + k) + 1, 1) NOT IN {_INNER})[1] AS a, b - list_filter(range(0, 4), lambda k: substr(h, 2 * (b - k) + 1, 1) NOT IN {_INNER})[1] AS b FROM m JOIN d USING (r)
+), pieces AS (
+  SELECT r, h, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM spans WHERE b > a
+), cut AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS before FROM pieces GROUP BY r
+)
+SELECT doc_id, cast(n AS BIGINT) AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, cast(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(before, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
