@@ -151,14 +151,15 @@ def _occurrences(shared, length: int, gram: int, with_text: bool):
             texts, rows = _texts(batch), batch["row"].to_pylist()
             out: list[tuple] = []
             for text, key, anchor, first, count in anchors(texts, length, gram):
-                use = np.flatnonzero(_passes(words, key)) if not with_text else range(len(key))
-                for k in use:
+                some = []
+                for k in np.flatnonzero(_passes(words, key)) if not with_text else range(len(key)):
                     i, a, f, c = int(text[k]), int(anchor[k]), int(first[k]), int(count[k])
                     digest, context = _context(texts[i], f, c, a, length)
-                    out.append((int(key[k]), digest, rows[i], f, c, a - f, context if with_text else None))
-            if with_text and out:
-                hashed = np.array([int.from_bytes(x[1][:8], "big", signed=True) for x in out])
-                out = [out[k] for k in np.flatnonzero(_passes(words, hashed))]
+                    some.append((int(key[k]), digest, rows[i], f, c, a - f, context if with_text else None))
+                if with_text:
+                    hashed = np.array([int.from_bytes(x[1][:8], "big", signed=True) for x in some], np.int64)
+                    some = [some[k] for k in np.flatnonzero(_passes(words, hashed))]
+                out += some
             cols = list(zip(*out, strict=True)) or [()] * 7
             made = {"key": pa.array(cols[0], pa.int64()), "context": pa.array(cols[1], pa.binary())}
             if with_text:
