@@ -17,7 +17,7 @@ from scorespark.storage import scratch_dir
 #: Most bits of a broadcast membership filter: half a million words of 64 bits, about 40 MB at any input size.
 FILTER_BITS = 1 << 25
 #: Rows, and bytes of their columns about, that a worker holds as Python objects at once; one row may be larger.
-AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
+AT_ONCE, BYTES_AT_ONCE = 1000, 3 << 20
 #: The row number that operators add where all columns of their input pass through.
 ROW = "_scorespark_row"
 
