@@ -280,7 +280,11 @@ def near_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, slot: i
     """
     blocks = map_batches(docs.select("row", "text"), _blocks(width), "row long, bands array<long>")
     entries = saved(blocks.select("row", F.explode("bands").alias("band")), "blocks")
-    entries = saved(tiles(entries, ["band"], "row", slot), "tiles")
+    # Copies share many blocks: of blocks that hold the same rows, one is enough.
+    mark = lambda seed: F.bit_xor(F.xxhash64("row", F.lit(seed)))
+    held = entries.groupBy("band").agg(F.count(F.lit(1)).alias("m"), mark(1).alias("p"), mark(2).alias("q")).where("m > 1")
+    alone = saved(held.groupBy("m", "p", "q").agg(F.min("band").alias("band")).select("band", "m"), "alone")
+    entries = saved(tiles(join_counted(entries, alone, ["band"], "m"), ["band"], "row", slot), "tiles")
     # Sets are made for texts that share a block only, and nothing else of the corpus is shuffled.
     suspects, _ = split_by_filter(docs.select("row", "text"), "row", entries.select("row"))
     members = entries.join(map_batches(suspects, _sets(width), "row long, shingles binary"), "row")
