@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorespark.llm import bpe, counts, embeddings, exact, langid, license, packing, simhash, substring, suffix
+from scorespark.llm import automaton, bpe, counts, embeddings, exact, langid, license, packing, simhash, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op13_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.automaton_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_simhash, op2_substring, op3_packing, op4_exact, op5_suffix, op6_license, op7_embeddings, op8_language, op9_bpe, op10_counts)
+    ops = (op1_simhash, op2_substring, op3_packing, op4_exact, op5_suffix, op6_license, op7_embeddings, op8_language, op9_bpe, op10_counts, op13_automaton)
     return {f.__name__: f for f in ops}
 
 
