@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorespark.llm import automaton, bpe, counts, embeddings, exact, langid, license, packing, repair, simhash, substring, suffix
+from scorespark.llm import automaton, bpe, counts, embeddings, exact, langid, license, packing, repair, simhash, spelling, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(_table(spark, sf_dir, "conversations"))
 
@@ -62,7 +66,7 @@ def op13_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_simhash, op2_substring, op3_packing, op4_exact, op5_suffix, op6_license, op7_embeddings, op8_language, op9_bpe, op10_counts, op12_repair, op13_automaton)
+    ops = (op1_simhash, op2_substring, op3_packing, op4_exact, op5_suffix, op6_license, op7_embeddings, op8_language, op9_bpe, op10_counts, op11_spelling, op12_repair, op13_automaton)
     return {f.__name__: f for f in ops}
 
 
