@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scorespark.storage import written
+
 
 def ordered(by: list[str], order: list) -> W:
     return W.partitionBy(*by).orderBy(*order)
@@ -64,17 +66,26 @@ def minmax(df: DataFrame, by: list[str], order: list, value: str, out: str = "sc
     return df.withColumn(out, F.when((n > 1) & (high > low), (F.col(value) - low) / F.greatest(high - low, F.lit(1e-300))).otherwise(even))
 
 
-def global_rank(df: DataFrame, key: str, out: str = "rank") -> DataFrame:
-    """df with its place, from 0, in the order of key (unique), without bringing all rows to one task.
+def running_total(df: DataFrame, order: list[str], value: Column, out: str = "before") -> DataFrame:
+    """df with the sum of value over all rows before, in the order of columns that together are unique, without bringing
+    all rows to one task.
 
-    Rows are dealt by ranges of the key; each range counts its rows; the running sums of the counts, one for each
-    range, are added to the places within the ranges.
+    Rows are dealt by ranges of the order, a fixed number of them, and written with their range: each reader would
+    otherwise plan the ranges anew, and adaptive execution merge them in other ways. Each range is summed, and the running
+    sums of the ranges, one row each, are added to those within.
     """
-    parts = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    base = counts.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = parts.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1)
-    return inner.join(F.broadcast(base), "_p").withColumn(out, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_v", value).repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id())
+    parts = written(dealt, "ranges")
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    base = parts.groupBy("_p").agg(F.sum("_v").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(upto(W.orderBy("_p"))), F.lit(0)).alias("_b"))
+    inner = F.coalesce(F.sum("_v").over(upto(ordered(["_p"], order))), F.lit(0))
+    return parts.withColumn("_i", inner).join(F.broadcast(base), "_p").withColumn(out, F.col("_b") + F.col("_i")).drop("_p", "_v", "_i", "_b")
+
+
+def global_rank(df: DataFrame, key: str, out: str = "rank") -> DataFrame:
+    """df with its place, from 0, in the order of key (unique)."""
+    return running_total(df, [key], F.lit(1), out)
 
 
 def latest_by_key(df: DataFrame, by: list[str], key: str, order: list, value: str, most: int, out: str = "recent") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorespark.functions import scalar as S
@@ -127,11 +126,7 @@ def document_numbering(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     local = c.select("conv_id", "turn", (F.row_number().over(T.ordered(["conv_id"], ["turn", "role", "text"])) - 1).alias("local"))
     # Offsets of pages: sums over ranges of conv_id, so that no task sees all pages.
-    n = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("conv_id").withColumn("_p", F.spark_partition_id())
-    inner = F.coalesce(F.sum("n").over(W.partitionBy("_p").orderBy("conv_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = n.groupBy("_p").agg(F.sum("n").alias("s"))
-    start = parts.select("_p", F.coalesce(F.sum("s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    base = n.withColumn("inner", inner).join(F.broadcast(start), "_p").select("conv_id", (F.col("start") + F.col("inner")).alias("base"))
+    base = T.running_total(c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), ["conv_id"], F.col("n"), "base").select("conv_id", "base")
     return local.join(base, "conv_id").select("conv_id", "turn", (F.col("base") + F.col("local") + 1).alias("number"))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -20,3 +21,15 @@ def scratch_dir(spark: SparkSession) -> str:
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="scorespark-"))
     return _own[0]
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet into the shared folder and read back, so that all later readers see the same rows in the same
+    places, whatever is planned anew or lost meanwhile."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
