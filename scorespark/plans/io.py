@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from scorespark.plans.aggregates import CONFUSION, confusion_matrix
 from scorespark.plans.base import EVENTS, Registry, events, table
+from scorespark.sources import files as L
 from scorespark.sources import manifests as M
 from scorespark.storage import scratch_dir
 
@@ -128,9 +129,9 @@ def dq_page_headers(spark, d):
     """Rules of rendered pages, told from the head of each: here, heads made of the pages' numbers."""
     four = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
     n = F.col("page_id")
-    signature = F.when(n % 7 == 0, F.lit(b"GIF89a..")).otherwise(F.lit(M.PNG))
+    signature = F.when(n % 7 == 0, F.lit(b"GIF89a..")).otherwise(F.lit(L.PNG))
     head = F.concat(signature, F.lit(b"\x00\x00\x00\rIHDR"), four(900 + n % 1000), four(950 + n % 600))
-    return table(spark, d, "pages").select("page_id", M.png_rule(head, 9000 + n % 2500 * 4).alias("rule"))
+    return table(spark, d, "pages").select("page_id", L.png_rule(head, 9000 + n % 2500 * 4).alias("rule"))
 
 
 @query()
@@ -142,4 +143,44 @@ def discover_files(spark, d):
 @query()
 def dq_file_header(spark, d):
     """Files of all tables, each with whether it begins and ends as Parquet does."""
-    return M.magic_at_both_ends(spark, d, "*.parquet", b"PAR1")
+    heads = L.file_heads(spark, d, "*.parquet", 4, 4)
+    return heads.select("path", ((F.col("length") >= 8) & (F.col("head") == F.lit(b"PAR1")) & (F.col("tail") == F.lit(b"PAR1"))).alias("ok"))
+
+
+@query("""WITH p AS (SELECT page_id, page_id // 8 AS doc, 9000 + page_id % 50 * 40 AS size, page_id % 7 AS kind, 900 + page_id % 1000 AS width, 950 + page_id % 600 AS height FROM pages WHERE page_id % 37 <> 5),
+r AS (SELECT doc, page_id, CASE WHEN size < 10000 THEN 'too small' WHEN kind = 0 THEN 'wrong signature' WHEN width < 1000 THEN 'too narrow' WHEN height < 1000 THEN 'too low' END AS rule FROM p),
+e AS (SELECT page_id // 8 AS doc, count(*) AS n FROM pages WHERE page_id % 37 <> 6 GROUP BY ALL), t AS (SELECT doc, count(*) AS n FROM p GROUP BY ALL)
+SELECT cast(doc AS VARCHAR) AS document, page_id, rule FROM r WHERE rule IS NOT NULL UNION ALL
+SELECT cast(coalesce(e.doc, t.doc) AS VARCHAR), NULL, CASE WHEN e.n IS NULL THEN 'unknown document' ELSE 'wrong page count' END FROM e FULL JOIN t ON e.doc = t.doc WHERE e.n IS DISTINCT FROM t.n""")
+def dq_page_files(spark, d):
+    """Rendered pages as real files, eight a document: some are too small, begin wrong, or have too short a side; some are
+    missing, and of some documents fewer are expected."""
+    n, root = F.col("page_id"), _folder(spark, "rendered")
+    four = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    signature = F.when(n % 7 == 0, F.lit(b"GIF89a..")).otherwise(F.lit(L.PNG))
+    head = F.concat(signature, F.lit(b"\x00\x00\x00\rIHDR"), four(900 + n % 1000), four(950 + n % 600))
+    content = F.concat(head, F.unhex(F.repeat(F.lit("00"), (9000 + n % 50 * 40 - 24).cast("int"))))
+    pages = table(spark, d, "pages").select("page_id", F.floor(n / 8).cast("string").alias("document"))
+    rendered = pages.where("page_id % 37 <> 5").select(F.concat("document", F.lit("/page-"), n.cast("string"), F.lit(".png")).alias("path"), content.alias("content"))
+    L.write_files(rendered, root)
+    expected = pages.where("page_id % 37 <> 6").groupBy("document").agg(F.count(F.lit(1)).alias("pages"))
+    wrong = L.checked_pages(L.file_heads(spark, root, "*.png"), expected, F.regexp_extract("path", r"(\d+)/page-\d+\.png$", 1))
+    return wrong.select("document", F.regexp_extract("path", r"page-(\d+)\.png$", 1).try_cast("long").alias("page_id"), "rule")
+
+
+@query(f"""WITH {EVENTS} SELECT event_type, count(*) AS n, max(v) AS largest FROM events_x GROUP BY event_type""")
+def incremental_files(spark, d):
+    """A file for each event type, read again only where no result is kept: the second run finds what the first one did."""
+    e, root, kept = events(spark, d), _folder(spark, "queue"), _folder(spark, "results")
+    shape = "event_id long, v long"
+
+    def work(files):
+        rows = spark.read.schema(shape).option("recursiveFileLookup", True).json(root).select("v", F.col("_metadata.file_path").alias("path"))
+        return rows.join(files.select("path"), "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("largest"))
+
+    for part in ("event_type < 'd'", "event_type >= 'd'"):
+        e.where(part).repartition("event_type").select("event_id", "v", "event_type").write.mode("append").partitionBy("event_type").json(root)
+        listed = spark.read.schema(shape).option("recursiveFileLookup", True).json(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_modification_time").alias("modified")).distinct()
+        out = L.with_results(listed, work, kept, "n long, largest long", rule="count and largest")
+    named = out.select(F.regexp_extract("path", "event_type=([^/]+)/", 1).alias("event_type"), "n", "largest")
+    return named.groupBy("event_type").agg(F.sum("n").alias("n"), F.max("largest").alias("largest"))

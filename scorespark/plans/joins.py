@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorespark.functions import scalar as S
 from scorespark.operators import association as A
+from scorespark.operators.references import resolve_bars
 from scorespark.plans.base import BOXES, EVENTS, Registry, boxes, events, table
 
 query = Registry()
@@ -133,6 +134,52 @@ def resolve_refs(spark, d):
     return r.join(table(spark, d, "lineitem"), F.col("ref") == F.col("l_orderkey")).select("o_orderkey", "pos", "l_orderkey", "l_linenumber")
 
 
+#: Documents of bars (customers), voices (orders), beats (lines), notes (parts) and rhythms (suppliers): lists of ids with -1
+#: and ids that point nowhere, and the chain followed.
+_CHAIN = """WITH voice_rows AS (SELECT o_custkey AS bar, o_orderkey AS voice FROM orders), beat_rows AS (SELECT l_orderkey AS voice, l_orderkey * 10 + l_linenumber AS beat, min(l_suppkey) AS rhythm FROM lineitem GROUP BY ALL),
+bar_refs AS (SELECT c_custkey AS bar, unnest(v) AS ref, generate_subscripts(v, 1) - 1 AS voice_number FROM (SELECT c_custkey, list_concat(CASE WHEN c_custkey % 11 = 0 THEN [-7] ELSE [] END, list(o_orderkey ORDER BY o_orderkey)) AS v FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey)),
+in_bar AS (SELECT bar, voice_number, voice FROM bar_refs JOIN voice_rows USING (bar) WHERE ref = voice),
+in_voice AS (SELECT voice, beat, rhythm, row_number() OVER (PARTITION BY voice ORDER BY beat) - 1 AS position FROM beat_rows),
+note_refs AS (SELECT l_orderkey * 10 + l_linenumber AS beat, CASE WHEN l_partkey % 13 = 0 THEN -9 ELSE l_partkey END AS ref, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) AS n FROM lineitem WHERE l_partkey % 5 <> 0),
+chord AS (SELECT beat, string_agg(p_size, ',' ORDER BY n) AS notes FROM note_refs JOIN part ON ref = p_partkey GROUP BY beat),
+timed AS (SELECT beat, cast(s_nationkey AS BIGINT) AS ticks FROM beat_rows JOIN supplier ON s_suppkey = rhythm WHERE rhythm % 17 <> 0)
+"""
+
+
+def _documents(spark, d):
+    def refs(by, value, order, *first):
+        return F.array_join(F.concat(*first, F.transform(F.array_sort(F.collect_list(F.struct(*order, value.alias("_v")))), lambda x: x["_v"].cast("string"))), " ")
+
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem").withColumn("beat", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    odd = F.when(F.col("o_custkey") % 11 == 0, F.array(F.lit("-1"), F.lit("-7"))).otherwise(F.array(F.lit("-1")))
+    known = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    bars = o.join(known, "o_custkey", "left_semi").groupBy("o_custkey").agg(refs("o_custkey", F.col("o_orderkey"), ["o_orderkey"], odd).alias("voice_refs")).withColumnRenamed("o_custkey", "bar")
+    lists = li.select("l_orderkey", "beat").distinct().groupBy("l_orderkey").agg(refs("l_orderkey", F.col("beat"), ["beat"]).alias("beat_refs"))
+    voices = o.select(F.col("o_orderkey").alias("voice")).join(lists.withColumnRenamed("l_orderkey", "voice"), "voice", "left")
+    note = F.when(F.col("l_partkey") % 5 == 0, -1).when(F.col("l_partkey") % 13 == 0, -9).otherwise(F.col("l_partkey"))
+    rhythm = F.when(F.min("l_suppkey") % 17 == 0, F.lit("none")).otherwise(F.min("l_suppkey").cast("string"))
+    beats = li.groupBy("beat").agg(refs("beat", note, ["l_partkey"]).alias("note_refs"), rhythm.alias("rhythm_ref"))
+    notes = table(spark, d, "part").select(F.col("p_partkey").alias("note"), F.col("p_size").cast("string").alias("said"))
+    rhythms = table(spark, d, "supplier").select(F.col("s_suppkey").alias("rhythm"), F.col("s_nationkey").cast("long").alias("ticks"))
+    return resolve_bars(bars, voices, beats, notes, rhythms)
+
+
+@query(_CHAIN + """SELECT bar, cast(voice_number AS INTEGER) AS voice_number, cast(position AS INTEGER) AS position, beat, CASE WHEN notes IS NULL THEN 'rest' ELSE 'note' END AS state, coalesce(notes, '') AS notes, ticks,
+cast(coalesce(sum(ticks) OVER (PARTITION BY bar, voice_number ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS onset
+FROM in_bar JOIN in_voice USING (voice) LEFT JOIN chord USING (beat) LEFT JOIN timed USING (beat)""")
+def resolve_chain(spark, d):
+    """Events of documents that hold bars, voices, beats, notes and rhythms as tables with lists of ids."""
+    return _documents(spark, d)[0]
+
+
+@query(_CHAIN + """SELECT 'voice' AS hop, cast(bar AS VARCHAR) AS owner, '-7' AS ref FROM bar_refs WHERE ref = -7 UNION ALL SELECT 'note', cast(beat AS VARCHAR), '-9' FROM note_refs WHERE ref = -9
+UNION ALL SELECT 'note', cast(beat AS VARCHAR), cast(ref AS VARCHAR) FROM note_refs WHERE ref > 0 AND ref NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'rhythm', cast(beat AS VARCHAR), CASE WHEN rhythm % 17 = 0 THEN 'none' ELSE cast(rhythm AS VARCHAR) END FROM beat_rows WHERE rhythm % 17 = 0 OR rhythm NOT IN (SELECT s_suppkey FROM supplier)""")
+def dangling_refs(spark, d):
+    """References of these documents that point nowhere."""
+    return _documents(spark, d)[1]
+
+
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD')""")
 def exclude_heldout(spark, d):
     held = table(spark, d, "customer").where("c_mktsegment = 'HOUSEHOLD'").select(F.col("c_custkey").alias("o_custkey"))

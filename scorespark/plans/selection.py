@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorespark.functions import scalar as S
+from scorespark.operators.sampling import weighted_draws as draw_by_weight
 from scorespark.operators.scoring import first_by
 from scorespark.plans.base import BOXES, EVENTS, Registry, boxes, events, table
 
@@ -182,7 +183,7 @@ def sample_weights(spark, d):
 e AS (SELECT w.*, cast(w * n AS DOUBLE) / s AS x, cast(('0x' || substr(sha256(l_orderkey || ':' || l_linenumber || ':' || l_partkey), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM w, t)
 SELECT l_orderkey, l_linenumber, l_partkey, cast(floor(x) + CASE WHEN u < x - floor(x) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM e""")
 def weighted_resample(spark, d):
-    """Copies of each row in a sample with replacement of as many rows: expected counts follow the weights."""
+    """Copies of each row, as many in all as there are rows but for rounding: their expected counts follow the weights."""
     w = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(_WEIGHT).alias("w"))
     total = w.agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("n"))
     x = (F.col("w") * F.col("n")).cast("double") / F.col("s")
@@ -191,6 +192,17 @@ def weighted_resample(spark, d):
     return e.select("l_orderkey", "l_linenumber", "l_partkey", (F.floor("x") + F.when(F.col("u") < F.col("x") - F.floor("x"), 1).otherwise(0)).alias("copies"))
 
 
+@query("""WITH w AS (SELECT l_orderkey, cast(sum(cast(l_quantity AS BIGINT)) AS BIGINT) AS w FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL),
+c AS (SELECT *, cast(sum(w) OVER (ORDER BY l_orderkey) - w AS DOUBLE) AS at FROM w), t AS (SELECT cast(sum(w) AS DOUBLE) AS total FROM w),
+d AS (SELECT i AS draw, least(cast(('0x' || substr(sha256('17:' || i), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE * total, total) AS at FROM t, (SELECT unnest(range(count(*))) AS i FROM lineitem))
+SELECT d.draw, c.l_orderkey FROM d ASOF JOIN c ON d.at >= c.at""")
+def weighted_draws(spark, d):
+    """As many draws of orders with replacement as there are line items, by the quantity that was not returned."""
+    li = table(spark, d, "lineitem")
+    w = li.where("l_returnflag <> 'R'").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("w"))
+    return draw_by_weight(w, ["l_orderkey"], "w", li.count(), 17)
+
+
 @query(f"""WITH {EVENTS} SELECT event_type, count(*) FILTER (v >= 1800) AS kept, count(*) FILTER (v < 1800) AS dropped FROM events_x GROUP BY event_type""")
 def confidence_gate(spark, d):
     return events(spark, d).groupBy("event_type").agg(F.count_if(F.col("v") >= 1800).alias("kept"), F.count_if(F.col("v") < 1800).alias("dropped"))

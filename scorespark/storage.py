@@ -33,3 +33,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, system = _file_system(spark, path)
+    return system.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, system = _file_system(spark, path)
+    system.delete(p, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    p, system = _file_system(spark, old)
+    if not system.rename(p, _file_system(spark, new)[0]):
+        raise OSError(f"{old} cannot be moved to {new}")
+
+
+def numbered_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers n of the folders name=n in path, in order."""
+    p, system = _file_system(spark, path)
+    found = [f.getPath().getName() for f in system.listStatus(p)] if system.exists(p) else []
+    return sorted(int(f.removeprefix(f"{name}=")) for f in found if f.startswith(f"{name}="))

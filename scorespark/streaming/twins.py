@@ -1,13 +1,21 @@
-"""Streams that give what their batch twins give: carry-forward, intake once, daily quality."""
+"""Streams that give what their batch twins give: carry-forward, numbered pages, intake once, quality by day and rolling."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+
+from scorespark.storage import delete, exists, numbered_folders, rename
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def stream_of(spark, path: str, like: DataFrame, files_at_once: int = 1) -> DataFrame:
@@ -62,3 +70,162 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Runs the stream over what there is and stops; path holds rows and checkpoint."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").option("path", f"{path}/rows").start()
     q.awaitTermination()
+
+
+#: How far behind the newest row a row may be and still reach the state, to be put aside as too late.
+REACH = timedelta(days=3650)
+
+
+class _Pages(StatefulProcessor):
+    """State of a document: the last value and the next number, the time up to which rows were given out, and what waits."""
+
+    def __init__(self, key: str, late_ms: int, first: int):
+        self.key, self.late, self.first = key, late_ms, first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.done = handle.getValueState("done", "last long, next long, upto long")
+        self.waiting = handle.getListState("waiting", "ts long, id long, v long")
+
+    def _give_out(self, key: tuple, rows: list[tuple], mark: int) -> Iterator[Row]:
+        last, number, upto = self.done.get() if self.done.exists() else (None, self.first, -1)
+        late = [r for r in rows if r[0] <= upto]
+        rest = sorted(r for r in rows if r[0] > upto)
+        ready = [r for r in rest if r[0] <= mark]
+        for _, ident, v in ready:
+            last = last if v is None else v
+            yield Row(**{self.key: key[0], "event_id": ident, "printed": v, "carried": last, "number": number, "late": False})
+            number += 1
+        for _, ident, v in late:
+            yield Row(**{self.key: key[0], "event_id": ident, "printed": v, "carried": None, "number": None, "late": True})
+        rest = rest[len(ready) :]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        self.done.update((last, number, max(upto, mark)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        if rest:
+            self.handle.registerTimer(max(1, rest[0][0] // 1000 + self.late + 1 - _ms(REACH)))
+
+    def _mark(self, times) -> int:
+        """The time up to which rows are given out, in microseconds: `late` behind the newest row of earlier batches."""
+        behind = times.getCurrentWatermarkInMs()
+        return (behind + _ms(REACH) - self.late) * 1000 if behind > 0 else -1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [(r["us"], r["event_id"], r["v"]) for r in rows]
+        yield from self._give_out(key, [*map(tuple, self.waiting.get()), *new], self._mark(timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._give_out(key, [tuple(r) for r in self.waiting.get()], self._mark(timerValues))
+
+    def close(self) -> None:
+        pass
+
+
+def _ms(t: timedelta) -> int:
+    return t // timedelta(milliseconds=1)
+
+
+def number_pages(stream: DataFrame, by: str, value: str, late: timedelta, first: int = 1) -> DataFrame:
+    """Rows of each document `by` in order of event time and id, numbered from `first`, each with the last value at or before
+    it: by, event_id, printed, carried, number, late.
+
+    Rows come in any order. They wait until a row `late` newer has come, in list state; last value, next number and the time
+    up to which all has been given out are the value state; timers wake a document that gets no more rows. A row that
+    comes after its time has been given out changes no number: it is given as late, for an output of its own. The
+    watermark lies REACH behind, so that Spark leaves such rows to the state.
+
+    stream has ts (timestamp), by, event_id and value (long). Needs the RocksDB state store, which keep() sets.
+    """
+    rows = stream.select("ts", by, "event_id", F.col(value).cast("long").alias("v"), F.unix_micros("ts").alias("us")).withWatermark("ts", f"{REACH.days} days")
+    shape = f"{by} long, event_id long, printed long, carried long, number long, late boolean"
+    return rows.groupBy(by).transformWithState(_Pages(by, _ms(late), first), shape, "Append", "EventTime")
+
+
+def rolling_quality(stream: DataFrame, width: str, slide: str, late: str, by: str, **counts: Column) -> DataFrame:
+    """Counts of rows that meet each condition in windows of `width` every `slide`, by key: start, by, counts. For update mode:
+    a window's row comes again whenever it has changed."""
+    g = stream.withWatermark("ts", late).groupBy(F.window("ts", width, slide), by)
+    return g.agg(*[F.count_if(c).alias(n) for n, c in counts.items()]).select(F.col("window.start").alias("start"), by, *counts)
+
+
+def intake(batch: DataFrame, number: int, path: str, query: str, key: list[str]) -> None:
+    """Adds the rows of a micro-batch whose key is not stored yet to path/rows; of equal keys in the batch the smallest row.
+    Nulls in keys are equal to each other.
+
+    What a batch adds lies in a folder of its query and number, and the digests of its keys in a table beside the rows,
+    which is all that later batches read. A batch that is run again leaves its own folder out of account and replaces it:
+    so it does not matter where it was cut off. Keys are kept for good, not for a span of time. Queries that run at the
+    same time must not take in the same keys.
+    """
+    spark, rest = batch.sparkSession, [c for c in batch.columns if c not in key]
+    own = f"query={query}/batch={number}"
+    rows = batch.withColumn("_k", F.unhex(F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256)))
+    rows = rows.groupBy("_k").agg(F.min(F.struct(*key, *rest)).alias("_r")).select("_k", "_r.*")
+    if exists(spark, f"{path}/keys"):
+        stored = spark.read.schema("_k binary, query string, batch long").parquet(f"{path}/keys").where((F.col("query") != query) | (F.col("batch") != number))
+        known = stored.select("_k").join(rows.select("_k"), "_k", "left_semi")  # so it is the batch that is broadcast, if one is
+        rows = rows.join(known, "_k", "left_anti")
+    rows = rows.persist()
+    rows.drop("_k").write.mode("overwrite").parquet(f"{path}/rows/{own}")
+    rows.select("_k").write.mode("overwrite").parquet(f"{path}/keys/{own}")
+    rows.unpersist()
+
+
+def taken_in(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows that intake() has stored."""
+    return spark.read.schema(f"{schema}, query string, batch long").parquet(f"{path}/rows").drop("query", "batch")
+
+
+def upsert(batch: DataFrame, number: int, path: str) -> None:
+    """Stores a micro-batch of changed rows; latest() reads what they amount to. A batch that is run again replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+
+
+def latest(spark: SparkSession, path: str, schema: str, key: list[str], upto: int | None = None) -> DataFrame:
+    """The last row of each key that upsert() has stored (in batches up to a number): the newest base of compact(), and the
+    changes since."""
+    bases = numbered_folders(spark, path, "base")
+    rest = [f.name for f in StructType.fromDDL(schema) if f.name not in key]
+    changes = spark.read.schema(f"{schema}, batch long").parquet(f"{path}/changes")
+    if bases:
+        base = spark.read.schema(schema).parquet(f"{path}/base={bases[-1]}").withColumn("batch", F.lit(bases[-1]).cast("long"))
+        changes = base.unionByName(changes.where(F.col("batch") > bases[-1]))
+    if upto is not None:
+        changes = changes.where(F.col("batch") <= upto)
+    return changes.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*key, "_r.*")
+
+
+def compact(spark: SparkSession, path: str, schema: str, key: list[str]) -> None:
+    """Puts what all batches but the last (which may be run again) amount to into a new base, and drops what went into it.
+    The new base appears by one rename, so readers and a run that is cut off find the old state or the new one."""
+    batches = numbered_folders(spark, f"{path}/changes", "batch")
+    if len(batches) < 2:
+        return
+    upto, bases = batches[-2], numbered_folders(spark, path, "base")
+    if upto not in bases:
+        beside = f"{path}/_new-{upto}"
+        latest(spark, path, schema, key, upto).write.mode("overwrite").parquet(beside)
+        rename(spark, beside, f"{path}/base={upto}")
+    for old in [f"changes/batch={b}" for b in batches[:-1]] + [f"base={b}" for b in bases if b < upto]:
+        delete(spark, f"{path}/{old}")
+
+
+def keep(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
+    """Runs the stream over what there is, giving each micro-batch and its number to sink, and goes on where an earlier run
+    with this checkpoint ended. Rows that were too late for the watermark are dropped, and counted in the result."""
+    spark = stream.sparkSession
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)  # states with lists and timers need it
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    finally:
+        spark.conf.set(PROVIDER, before)
+    q.awaitTermination()
+    return sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
+
+
+def on_time_and_late(batch: DataFrame, number: int, path: str) -> None:
+    """Sink of number_pages(): rows in path/rows, those that came too late in path/late."""
+    for late, name in ((False, "rows"), (True, "late")):
+        batch.where(F.col("late") == late).drop("late").write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scorespark.functions import scalar as S
 from scorespark.operators import association, folds, scoring, timeline
 from scorespark.plans import ordered
-from scorespark.sources import manifests
+from scorespark.sources import files, manifests
 
 
 def one(spark, expr):
@@ -257,10 +257,10 @@ def test_rewrite_is_whole_or_not_at_all(spark, tmp_path):
 
 
 def test_page_files(spark, tmp_path):
-    size = lambda w, h: manifests.PNG + b"\0\0\0\rIHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big")
+    size = lambda w, h: files.PNG + b"\0\0\0\rIHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big")
     for name, head, n in (("a", size(1200, 1600), 12_000), ("b", size(1200, 1600), 100), ("c", size(999, 1600), 12_000), ("d", size(1200, 10), 12_000), ("e", b"GIF89a", 12_000)):
         (tmp_path / f"{name}.png").write_bytes(head + bytes(n))
-    got = {r["path"][-5:]: r["rule"] for r in manifests.page_files(spark, str(tmp_path)).collect()}
+    got = {r["path"][-5:]: r["rule"] for r in files.file_heads(spark, str(tmp_path), "*.png").select("path", files.png_rule(F.col("head"), F.col("length")).alias("rule")).collect()}
     assert got == {"a.png": None, "b.png": "too small", "c.png": "too narrow", "d.png": "too low", "e.png": "wrong signature"}
 
 
