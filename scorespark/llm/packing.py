@@ -18,8 +18,8 @@ WINDOW = 4096
 QUANTUM = 64
 #: Documents of a stretch of a source's queue, about; stretches are the unit of distribution.
 STRETCH = 2_000
-#: Rounds that a stretch's tokens are put into at once.
-ROUNDS_AT_ONCE = 10_000
+#: Quanta of a stretch that are put into rounds at once.
+QUANTA_AT_ONCE = 100_000
 END = 2
 
 IDS = "doc_id long, source string, row long, n long, ids binary"
@@ -63,8 +63,9 @@ def _weight(weights: dict[str, float] | None) -> Column:
 def _rounds(window: int, quantum: int):
     """Stretches of queues (place of the first token, tokens, share) -> the runs of tokens that each round serves.
 
-    After r rounds a queue has been served quantum * floor(r * share * window / quantum) tokens, as long as it has any.
-    Queues without a share are served after all rounds.
+    After r rounds a queue has been served quantum * floor(r * share * window / quantum) tokens, as long as it has any. So the
+    round of each quantum is told by itself, whatever the share: the work grows with the stretch's tokens. Queues without a
+    share are served after all rounds.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,20 +75,27 @@ def _rounds(window: int, quantum: int):
                 if not rate:
                     yield _served(queue, stretch, [float("inf")], [at], [n])
                     continue
-                r = max(0.0, np.floor(at / quantum / rate) - 2)
-                while quantum * np.floor((r + 1) * rate) <= at:
-                    r += 1
-                while at < end:
-                    r_all = r + np.arange(ROUNDS_AT_ONCE)
-                    upto = np.minimum(quantum * np.floor((r_all + 1) * rate), end).astype(np.int64)
-                    size = np.diff(upto, prepend=at)
-                    use = np.flatnonzero(size > 0)
-                    yield _served(queue, stretch, r_all[use], upto[use] - size[use], size[use])
-                    at, r = int(upto[-1]), r + ROUNDS_AT_ONCE
+                for k in range(at // quantum, -(-end // quantum), QUANTA_AT_ONCE):
+                    quanta = np.arange(k, min(k + QUANTA_AT_ONCE, -(-end // quantum)))
+                    rounds = round_of(quanta, rate)
+                    first = np.flatnonzero(np.diff(rounds, prepend=-1.0))
+                    begin = np.maximum(quanta[first] * quantum, at)
+                    size = np.append(begin[1:], min((int(quanta[-1]) + 1) * quantum, end)) - begin
+                    yield _served(queue, stretch, rounds[first], begin, size)
 
     return each
 
 
+def round_of(quanta: np.ndarray, rate: float) -> np.ndarray:
+    """The first round (from 0) after which so many quanta and one more have been served, floor((round + 1) * rate)."""
+    rounds = np.maximum(np.ceil((quanta + 1) / rate) - 1, 0)
+    while (early := np.floor((rounds + 1) * rate) <= quanta).any():  # rounding, by one or two
+        rounds[early] = np.maximum(rounds[early] + 1, np.nextafter(rounds[early], np.inf))
+    while (late := (rounds > 0) & (np.floor(rounds * rate) > quanta)).any():
+        rounds[late] = np.minimum(rounds[late] - 1, np.nextafter(rounds[late], 0))
+    return rounds
+
+
 def _served(queue: str, stretch: int, rounds, first, size) -> pa.RecordBatch:
     n = len(rounds)
     return pa.RecordBatch.from_pydict({"queue": pa.array([queue] * n, pa.string()), "stretch": pa.array([stretch] * n, pa.int64()), "round": pa.array(rounds, pa.float64()), "first": pa.array(first, pa.int64()), "size": pa.array(size, pa.int64())})

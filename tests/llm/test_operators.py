@@ -489,6 +489,20 @@ def test_packing_by_weights(spark, tmp_path, monkeypatch):
     check_packing([(r["doc_id"], tok.encode(r["text"], add_special_tokens=False).ids + [2]) for r in docs.collect()], got, 512)
 
 
+@pytest.mark.parametrize("share", [1.0, 0.37, 1 / 3, 0.0007, 1e-5])
+def test_rounds_of_quanta(share):
+    """Against counting round by round; and for shares that no loop over rounds could reach."""
+    rate, served, want = share * 64, 0, []
+    for r in range(2000):
+        upto = int(np.floor((r + 1) * rate))
+        want += [r] * (upto - served)
+        served = upto
+    assert packing.round_of(np.arange(len(want)), rate).tolist() == want
+    began = time.perf_counter()
+    rounds = packing.round_of(np.arange(1000), share * 1e-12)
+    assert time.perf_counter() - began < 0.1 and (np.diff(rounds) > 0).all()
+
+
 def test_word_ids_match_library():
     """Random strings of what the tokenizer treats specially; all at once and with nulls."""
     rng, tok = random.Random(7), Tokenizer.from_file(P.path("word_bpe_49k.json"))
