@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("scalars", "joins", "aggregates", "windows", "selection", "sequences", "ordered", "quality", "io", "streams")
+_MODULES = ("scalars", "joins", "aggregates", "windows", "selection", "sequences", "ordered", "quality", "io", "documents", "streams")
 FLAGSHIP = "carry_forward"
 
 

@@ -122,5 +122,26 @@ def plan_lines(meta: DataFrame, events: DataFrame) -> DataFrame:
     return meta.unionByName(events).select("key", line.alias("line"))
 
 
+def write_plans(lines: DataFrame, path: str, document: str, order: list[str], lines_in_file: int = 100_000) -> None:
+    """Each document's lines in order as text: a folder for each document (an integer), whose files follow each other by
+    name. Rows are dealt by ranges of document and order, so a long document is written by several tasks."""
+    ranges = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The sink sorts by the folder's column; rows that are sorted by it already stay as they are.
+    dealt = lines.withColumn(document, F.col(document).cast("long")).repartitionByRange(ranges, document, *order).sortWithinPartitions(document, *order)
+    rewrite(lines.sparkSession, path, dealt.select(document, F.col("line").alias("value")).write.option("maxRecordsPerFile", lines_in_file).partitionBy(document).text)
+
+
+def read_plans(spark: SparkSession, path: str, document: str, kind: str) -> DataFrame:
+    """document, number (from 0), line of what write_plans() wrote, in order of the files' names and of the lines in them."""
+    number = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("int")
+    files = spark.read.schema(f"value string, {document} {kind}").text(path, wholetext=True)
+    files = files.select(document, number(r"part-(\d+)").alias("_part"), number(r"\.c(\d+)").alias("_file"), F.split(F.regexp_replace("value", r"\n$", ""), "\n").alias("_lines"))
+    place = [document, "_part", "_file"]
+    before = F.coalesce(F.sum(F.size("_lines")).over(W.partitionBy(document).orderBy("_part", "_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = files.select(*place, before.alias("_before"))
+    each = files.select(*place, F.posexplode("_lines").alias("_pos", "line")).join(sizes, place)
+    return each.select(document, (F.col("_before") + F.col("_pos")).alias("number"), "line")
+
+
 def with_row_number(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
