@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from math import ceil, floor, frexp, log2
 from statistics import median
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from scorespark.operators.association import islands
+from scorespark.operators.association import islands, strips
 
 #: Rows that are handed back to Spark at once.
 OUT_ROWS = 10_000
@@ -283,44 +284,118 @@ def iou(a: tuple[float, ...], b: tuple[float, ...]) -> float:
 _BOX = ("id", "side", "score", "x", "y", "w", "h")
 
 
+class BoxGrid:
+    """Boxes by place and size, for those that overlap a given one by at least `least` (above 0).
+
+    Such boxes are alike in width and height, up to the factor 1 / least. So boxes are kept by the powers of two of their
+    sides, each class in a grid of such cells, and a query looks at the cells around it in the classes near its own.
+    """
+
+    def __init__(self, least: float):
+        self.reach, self.classes = ceil(log2(1 / least)), {}
+
+    def _place(self, box: tuple) -> tuple[tuple[int, int], tuple[int, int]]:
+        kx, ky = frexp(box[2])[1], frexp(box[3])[1]
+        return (kx, ky), (floor(box[0] / 2.0**kx), floor(box[1] / 2.0**ky))
+
+    def add(self, box: tuple, item: tuple) -> None:
+        if box[2] > 0 and box[3] > 0:
+            kind, cell = self._place(box)
+            self.classes.setdefault(kind, {}).setdefault(cell, []).append(item)
+
+    def remove(self, box: tuple, item: tuple) -> None:
+        kind, cell = self._place(box)
+        self.classes[kind][cell].remove(item)
+
+    def near(self, box: tuple) -> Iterator[tuple]:
+        if not (box[2] > 0 and box[3] > 0):
+            return
+        (own_x, own_y), _ = self._place(box)
+        for (kx, ky), cells in self.classes.items():
+            if abs(kx - own_x) <= self.reach and abs(ky - own_y) <= self.reach:
+                for i in range(floor(box[0] / 2.0**kx) - 1, floor((box[0] + box[2]) / 2.0**kx) + 1):
+                    for j in range(floor(box[1] / 2.0**ky) - 1, floor((box[1] + box[3]) / 2.0**ky) + 1):
+                        yield from cells.get((i, j), ())
+
+
+class CentreGrid:
+    """Boxes by their centres, for those whose centre is at most `most` from that of a given one."""
+
+    def __init__(self, most: float):
+        self.side, self.cells = most if most > 0 else 1.0, {}
+
+    def _place(self, box: tuple) -> tuple[int, int]:
+        return floor((box[0] + box[2] / 2) / self.side), floor((box[1] + box[3] / 2) / self.side)
+
+    def add(self, box: tuple, item: tuple) -> None:
+        self.cells.setdefault(self._place(box), []).append(item)
+
+    def remove(self, box: tuple, item: tuple) -> None:
+        self.cells[self._place(box)].remove(item)
+
+    def near(self, box: tuple) -> Iterator[tuple]:
+        x, y = self._place(box)
+        for i in (x - 1, x, x + 1):
+            for j in (y - 1, y, y + 1):
+                yield from self.cells.get((i, j), ())
+
+
+def _distance(a: tuple, b: tuple) -> float:
+    return ((a[0] + a[2] / 2 - b[0] - b[2] / 2) ** 2 + (a[1] + a[3] / 2 - b[1] - b[3] / 2) ** 2) ** 0.5
+
+
+def _box_islands(df: DataFrame, by: list[str], grow: float | None) -> DataFrame:
+    """df with _i and _j: boxes of a group that lie in different strips, of x or of y within those, have nothing in common.
+    grow: centres count, with so much on either side."""
+    span = lambda at, size: (F.col(at), F.col(at) + F.col(size)) if grow is None else (F.col(at) + F.col(size) / 2 - grow, F.col(at) + F.col(size) / 2 + grow)
+    return strips(strips(df, by, *span("x", "w"), "_i"), [*by, "_i"], *span("y", "h"), "_j")
+
+
 def match_boxes(df: DataFrame, by: list[str], least_iou: float | None = 0.3, most_distance: float | None = None) -> DataFrame:
     """Boxes of two sides (side 0: truth, 1: found, with score) matched one to one within each group.
 
-    Found boxes by falling score (then id) take the unused truth of the highest overlap, at least least_iou; or, with
-    most_distance, the one with the nearest centre; of equals the smaller id. df has id, side, score, x, y, w, h and label;
-    groups are (image, class). `same` says whether the two boxes have the same label.
+    Found boxes by falling score (then id) take the unused truth of the highest overlap, at least least_iou (above 0); or,
+    with most_distance, the one with the nearest centre; of equals the smaller id. df has id, side, score, x, y, w, h and
+    label; groups are (image, class). `same` says whether the two boxes have the same label. Groups are parted into
+    islands first, and a box is compared with those in the grid cells around it.
     """
 
     def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
-        truths, out = [r for r in rows if r[1] == 0], []
+        grid = BoxGrid(least_iou) if most_distance is None else CentreGrid(most_distance)
+        for t in rows:
+            if t[1] == 0:
+                grid.add(t[3:7], t)
+        out = []
         for ident, _, _, *box, label in sorted((r for r in rows if r[1] == 1), key=lambda r: (-r[2], r[0])):
             if most_distance is None:
-                ranked = [(-iou(box, t[3:7]), t[0], t) for t in truths]
-                fits = lambda r: -r >= least_iou
+                ranked = ((-iou(box, t[3:7]), t[0], t) for t in grid.near(box))
+                best = min((r for r in ranked if -r[0] >= least_iou), default=None, key=lambda r: r[:2])
             else:
-                ranked = [(((box[0] + box[2] / 2 - t[3] - t[5] / 2) ** 2 + (box[1] + box[3] / 2 - t[4] - t[6] / 2) ** 2) ** 0.5, t[0], t) for t in truths]
-                fits = lambda r: r <= most_distance
-            best = min((r for r in ranked if fits(r[0])), default=None, key=lambda r: r[:2])
+                ranked = ((_distance(box, t[3:7]), t[0], t) for t in grid.near(box))
+                best = min((r for r in ranked if r[0] <= most_distance), default=None, key=lambda r: r[:2])
             if best:
-                truths.remove(best[2])
-                out.append((*key, ident, best[1], abs(best[0]), label == best[2][7]))
+                grid.remove(best[2][3:7], best[2])
+                out.append((*key[:-2], ident, best[1], abs(best[0]), label == best[2][7]))
         return out
 
-    return fold_groups(df.select(*by, *_BOX, "label"), by, ["side", "id"], fold, _typed(df, by) + ", found_id long, truth_id long, measure double, same boolean")
+    split = _box_islands(df.select(*by, *_BOX, "label"), by, most_distance)
+    return fold_groups(split, [*by, "_i", "_j"], ["side", "id"], fold, _typed(df, by) + ", found_id long, truth_id long, measure double, same boolean")
 
 
 def suppress_boxes(df: DataFrame, by: list[str], least_iou: float = 0.4) -> DataFrame:
     """Non-maximum suppression: boxes by falling score (then id) stay unless a kept box of the group overlaps them by at
-    least least_iou."""
+    least least_iou (above 0). Islands and cells as in match_boxes()."""
 
     def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
-        kept: list[tuple] = []
+        kept, out = BoxGrid(least_iou), []
         for r in sorted(rows, key=lambda r: (-r[2], r[0])):
-            if all(iou(r[3:], k[3:]) < least_iou for k in kept):
-                kept.append(r)
-        return [(*key, r[0]) for r in kept]
+            if all(iou(r[3:], k[3:]) < least_iou for k in kept.near(r[3:])):
+                kept.add(r[3:], r)
+                out.append((*key[:-2], r[0]))
+        return out
 
-    return fold_groups(df.select(*by, *_BOX), by, ["id"], fold, _typed(df, by) + ", id long")
+    split = _box_islands(df.select(*by, *_BOX), by, None)
+    return fold_groups(split, [*by, "_i", "_j"], ["id"], fold, _typed(df, by) + ", id long")
 
 
 def join_digits(digits: list[tuple[float, int]], gap: float, most: int = 36) -> list[tuple[float, int]]:

@@ -113,7 +113,7 @@ def stab_exactly_two(spark, d):
     e = events(spark, d)
     spans = e.where("event_type = 'purchase'").select("day", F.col("x").alias("lo"), (F.col("x") + F.col("v") % 4000).alias("hi"))
     points = e.where("event_type = 'click'").select("event_id", "day", "x")
-    hit = A.range_join(points, spans, ["day"], "x", "lo", "hi", 4, 4100)
+    hit = A.range_join(points, spans, ["day"], "x", "lo", "hi", 4)
     g = hit.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("hi") - F.col("lo")).alias("widest"))
     return g.where("n = 2 AND widest >= 1200").select("event_id", "widest")
 

@@ -104,7 +104,7 @@ def test_range_join_matches_a_plain_loop(spark):
     spans = [("a", s := rng.randrange(1000), s + rng.randrange(90), i) for i in range(100)]
     p = spark.createDataFrame(points, "g string, x long, p long")
     s = spark.createDataFrame(spans, "g string, lo long, hi long, s long")
-    got = {(r["p"], r["s"]) for r in association.range_join(p, s, ["g"], "x", "lo", "hi", 4, 98).collect()}
+    got = {(r["p"], r["s"]) for r in association.range_join(p, s, ["g"], "x", "lo", "hi", 4).collect()}
     assert got == {(i, j) for _, x, i in points for _, lo, hi, j in spans if lo - 4 <= x <= hi + 4}
 
 
