@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scorespark.operators import passes as P
 from scorespark.operators import scores as O
 from scorespark.plans.base import EVENTS, Registry, events, table
 from scorespark.sources import manifests as M
@@ -113,3 +114,97 @@ def dq_chronological_diff(spark, d):
     late = F.when((F.col("precise_start") + F.col("start")) % 41 == 0, 1).otherwise(0)
     a = a.withColumn("precise_start", F.col("precise_start") + late).withColumn("voice", F.when(F.col("start") % 29 != 0, F.col("voice")))
     return O.chronological_diff(x, a, ["measure"], ["precise_start", "start", "voice"], "index", ["precise_start", "start", "voice"])
+
+
+SUPPORTED, FILLED = [6, 8, 9, 12, 16, 18, 24], [3, 4, 6, 8, 12, 16]
+_EVENT = """l_orderkey % 40 AS doc, l_orderkey AS measure, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS position, CASE WHEN l_partkey % 11 <> 0 THEN 1 + l_partkey % 6 END AS ticks,
+l_suppkey % 6 AS string, CASE WHEN l_returnflag <> 'R' THEN l_partkey % 40 END AS fret, l_returnflag = 'A' AS matched, cast(l_discount * 10 AS DOUBLE) AS confidence, cast(0.9 - l_tax * 5 AS DOUBLE) AS p_now, cast(0.02 + l_tax * 2 AS DOUBLE) AS p_more,
+CASE WHEN l_returnflag = 'R' THEN l_linenumber % 2 ELSE 0 END AS tie_count, cast(l_discount * 10 AS DOUBLE) AS tie"""
+_BAR = "o_orderkey % 40 AS doc, o_orderkey AS measure, CASE WHEN o_orderkey % 13 <> 0 THEN CASE o_orderkey % 4 WHEN 0 THEN 12 WHEN 1 THEN 16 WHEN 2 THEN 18 ELSE 8 END END AS capacity, o_orderkey % 3 = 0 AS printed, o_orderkey % 2 = 0 AS vector, o_orderkey % 5 < 3 AS authoritative, cast(11.0 AS DOUBLE) AS spacing"
+
+
+def _score_document(spark, d):
+    e = table(spark, d, "lineitem").selectExpr(*_columns(_EVENT))
+    notes = F.when(F.col("fret").isNull(), F.array().cast("array<struct<string: bigint, fret: bigint>>")).otherwise(F.array(F.struct("string", "fret")))
+    more = F.when(F.col("ticks").isNotNull(), F.array(F.struct((F.col("ticks") + 1).alias("ticks"), F.col("p_more").alias("p")), F.struct((F.col("ticks") * 2).alias("ticks"), F.lit(0.3).alias("p")))).otherwise(F.array())
+    e = e.select("doc", "measure", "position", "ticks", notes.alias("notes"), "matched", "confidence", "p_now", more.cast("array<struct<ticks: bigint, p: double>>").alias("alternatives"), "tie_count", "tie", (F.col("position") * 10.0).alias("x"), F.lit(False).alias("suppressed"), F.lit(False).alias("ties_only"))
+    return e, table(spark, d, "orders").selectExpr(*_columns(_BAR))
+
+
+def _columns(text: str) -> list[str]:
+    """The columns of a select list: cut at the commas outside parentheses."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [c.strip() for c in out]
+
+
+_COST = "cast(round(-ln(greatest({0}, 1e-12::DOUBLE)) * 1000000) AS BIGINT)"
+
+
+def _correct_sql(e: str, n: int) -> str:
+    """Audit, proposals, acceptance, application and pruning of the events in table e, as corrected{n}."""
+    return f"""w{n} AS (SELECT m1.doc, m1.measure, capacity, vector FROM m1 JOIN (SELECT measure, sum(ticks) AS total FROM {e} GROUP BY ALL) USING (measure) WHERE total > 0 AND capacity <> total),
+k{n} AS (SELECT {e}.*, w{n}.capacity, w{n}.vector, row_number() OVER (PARTITION BY measure ORDER BY position) AS k FROM {e} JOIN w{n} USING (doc, measure) WHERE ticks IS NOT NULL),
+q{n} AS (SELECT measure, k, ticks AS size, p_now AS p FROM k{n} UNION SELECT measure, k, size, max(p) FROM (SELECT measure, k, ticks, t0 + 1 AS size, p_more AS p FROM k{n} UNION ALL SELECT measure, k, ticks, t0 * 2, 0.3::DOUBLE FROM k{n}) WHERE size <> ticks GROUP BY measure, k, size
+UNION SELECT measure, k, 0, greatest(0.01::DOUBLE, 1 - confidence) FROM k{n} WHERE NOT matched AND (confidence < 0.6::DOUBLE OR vector AND confidence < 0.75::DOUBLE)),
+o{n} AS (SELECT *, {_COST.format("p")} AS cost, cast(row_number() OVER (PARTITION BY measure, k ORDER BY size) - 1 AS INTEGER) AS pick FROM q{n}),
+z{n} AS (SELECT measure, any_value(capacity) AS capacity, count(*) AS n, sum({_COST.format("p_now")}) AS now FROM k{n} GROUP BY measure),
+f{n} AS (SELECT measure, capacity, 0::BIGINT AS k, 0::BIGINT AS total, {{'cost': 0::BIGINT, 'picks': CAST([] AS INTEGER[])}} AS best FROM z{n}
+UNION ALL SELECT measure, any_value(capacity), k + 1, total + size, min({{'cost': best.cost + cost, 'picks': list_append(best.picks, pick)}}) FROM (SELECT f.measure, f.capacity, f.k, f.total, f.best, o.size, o.cost, o.pick FROM f{n} f JOIN o{n} o ON o.measure = f.measure AND o.k = f.k + 1 WHERE f.total + o.size <= 2 * f.capacity) GROUP BY measure, k, total + size),
+c{n} AS (SELECT k.measure, k.position, nullif(o.size, 0) AS new, o.p, exp(greatest(-60, least(60, (z.now - f.best.cost) / 1000000.0::DOUBLE))) AS relative, k.vector, NOT k.matched AND k.confidence < 0.4::DOUBLE AS doubtful
+FROM f{n} f JOIN z{n} z ON f.measure = z.measure AND f.k = z.n AND f.total = z.capacity JOIN k{n} k ON k.measure = f.measure JOIN o{n} o ON o.measure = k.measure AND o.k = k.k AND o.pick = f.best.picks[k.k] WHERE o.size <> k.ticks),
+h{n} AS (SELECT *, count(*) OVER v AS n, count(*) FILTER (new IS NULL) OVER v AS gone, min(p) FILTER (new IS NOT NULL) OVER v AS least, coalesce(bool_and(doubtful) FILTER (new IS NULL) OVER v, false) AS all_doubtful FROM c{n} WINDOW v AS (PARTITION BY measure)),
+y{n} AS (SELECT *, CASE WHEN relative >= 0.2::DOUBLE THEN 'plausible' WHEN vector AND n = 2 AND gone = 1 AND all_doubtful AND least >= 0.05::DOUBLE THEN 'duplicate closure' WHEN vector AND n = 2 AND gone = 0 AND least >= 0.02::DOUBLE AND relative >= 0.01::DOUBLE THEN 'two change closure' WHEN n = 1 AND gone = 0 AND least >= 0.005::DOUBLE THEN 'single closure' END AS selection FROM h{n}),
+a{n} AS (SELECT e.* REPLACE (CASE WHEN y.measure IS NOT NULL THEN y.new ELSE e.ticks END AS ticks, CASE WHEN y.measure IS NOT NULL AND y.new IS NULL THEN NULL ELSE e.fret END AS fret, CASE WHEN y.measure IS NOT NULL AND y.new IS NULL THEN 0 ELSE e.tie_count END AS tie_count)
+FROM {e} e LEFT JOIN y{n} y ON e.measure = y.measure AND e.position = y.position AND y.selection IS NOT NULL),
+corrected{n} AS (SELECT * REPLACE (row_number() OVER (PARTITION BY measure ORDER BY position) - 1 AS position) FROM a{n} WHERE ticks IS NOT NULL OR fret IS NOT NULL)"""
+
+
+def _fill_sql(e: str, out: str) -> str:
+    return f"""{out} AS (SELECT e.* REPLACE (CASE WHEN authoritative AND capacity IN ({", ".join(map(str, FILLED))}) AND ticks < capacity AND n = 1 THEN capacity ELSE ticks END AS ticks) FROM (SELECT * FROM {e}) e LEFT JOIN (SELECT measure, count(*) AS n FROM {e} GROUP BY ALL) USING (measure) LEFT JOIN (SELECT measure, capacity, authoritative FROM m1) USING (measure))"""
+
+
+_PASSES = f"""WITH RECURSIVE m0 AS (SELECT {_BAR} FROM orders), e0 AS (SELECT *, ticks AS t0, position * 10.0::DOUBLE AS x, false AS ties_only FROM (SELECT {_EVENT} FROM lineitem)),
+s0 AS (SELECT m0.*, coalesce(total, 0) AS total FROM m0 LEFT JOIN (SELECT measure, sum(ticks) AS total FROM e0 GROUP BY ALL) USING (measure)),
+m1 AS (SELECT doc, measure, cast(CASE WHEN total IN ({", ".join(map(str, SUPPORTED))}) AND (printed OR coalesce(lag(total) OVER w = total, false) OR coalesce(lead(total) OVER w = total, false)) THEN total ELSE capacity END AS BIGINT) AS capacity, vector, authoritative, spacing FROM s0 WINDOW w AS (PARTITION BY doc ORDER BY measure)),
+e1 AS (SELECT * REPLACE (row_number() OVER (PARTITION BY measure ORDER BY position) - 1 AS position) FROM e0 WHERE ticks IS NOT NULL OR fret IS NOT NULL),
+{_correct_sql("e1", 1)}, {_fill_sql("corrected1", "e2")},
+d0 AS (SELECT * FROM e2 WHERE fret IS NOT NULL), d1 AS (SELECT *, list_concat(coalesce(list(fret) OVER (v ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []), coalesce(list(fret) OVER (v ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), [])) AS near, count(*) OVER (PARTITION BY doc, string, fret) AS own FROM d0 WINDOW v AS (PARTITION BY doc, string ORDER BY measure, position)),
+d2 AS (SELECT doc, string, fret, count(*) AS n FROM d0 GROUP BY ALL), d3 AS (SELECT d1.measure, d1.position, CASE WHEN d1.fret BETWEEN 20 AND 39 AND (coalesce(d2.n, 0) >= greatest(6, 3 * own) OR (len(list_filter(near, lambda x: x <= 19 AND abs(x - d1.fret // 10) <= 2)) >= 2 AND len(list_filter(near, lambda x: abs(x - d1.fret) <= 4)) = 0)) THEN d1.fret // 10 ELSE d1.fret END AS fixed
+FROM d1 LEFT JOIN d2 ON d2.doc = d1.doc AND d2.string = d1.string AND d2.fret = d1.fret // 10), e3 AS (SELECT e2.* REPLACE (CASE WHEN e2.fret IS NULL THEN NULL ELSE fixed END AS fret) FROM e2 LEFT JOIN d3 USING (measure, position)),
+e4 AS (SELECT *, lag(fret) OVER v AS before_fret, lag(string) OVER v AS before_string FROM e3 WINDOW v AS (PARTITION BY doc ORDER BY measure, position)), e5 AS (SELECT * EXCLUDE (before_fret, before_string) REPLACE (CASE WHEN takes THEN before_fret ELSE fret END AS fret, CASE WHEN takes THEN before_string ELSE string END AS string, ties_only OR takes AS ties_only) FROM (SELECT *, fret IS NULL AND tie_count = 1 AND before_fret IS NOT NULL AS takes FROM e4)),
+e6 AS (SELECT e5.*, lead(matched) OVER v AS next_matched, lead(x) OVER v - x AS gap, lead(CASE WHEN fret IS NOT NULL THEN string END) OVER v AS next_string, vector AND authoritative AS active, spacing FROM e5 JOIN (SELECT measure, vector, authoritative, spacing FROM m1) USING (measure) WINDOW v AS (PARTITION BY measure ORDER BY position)),
+e7 AS (SELECT * FROM e6 WHERE NOT (active AND NOT matched AND (fret IS NULL OR ties_only) AND coalesce(next_matched AND gap > 0 AND gap <= 0.9 * spacing, false) AND (fret IS NULL OR coalesce(string = next_string, false) OR tie < 0.5::DOUBLE))),
+e8 AS (SELECT * REPLACE (row_number() OVER (PARTITION BY measure ORDER BY position) - 1 AS position) FROM e7 WHERE NOT (fret IS NULL AND NOT matched AND tie_count > 0)),
+{_correct_sql("e8", 2)}, {_fill_sql("corrected2", "e9")}"""
+
+
+@query(_PASSES + """, t AS (SELECT measure, sum(ticks) AS total, count(*) AS events, count(fret) AS notes FROM e9 GROUP BY ALL)
+SELECT m1.doc, m1.measure, capacity, cast(coalesce(total, 0) AS BIGINT) AS total, CASE WHEN capacity IS NULL THEN 'unknown' WHEN coalesce(total, 0) = 0 THEN 'inactive' WHEN total = capacity THEN 'exact' WHEN total < capacity THEN 'underfilled' ELSE 'overfilled' END AS status, coalesce(events, 0) AS events, coalesce(notes, 0) AS notes FROM m1 LEFT JOIN t USING (measure)""")
+def document_passes(spark, d):
+    """Measures of whole documents after meter, pruning, corrections, fill, digits, ties, pruning and corrections again."""
+    e, audited = P.refine_document(*_score_document(spark, d), SUPPORTED, FILLED)
+    n = e.groupBy("measure").agg(F.count(F.lit(1)).alias("events"), F.sum(F.size("notes")).cast("long").alias("notes"))
+    return audited.join(n, "measure", "left").na.fill(0, ["events", "notes"]).select("doc", "measure", "capacity", "total", "status", "events", "notes")
+
+
+@query(_PASSES + """ SELECT measure, position, ticks, coalesce(string || ':' || fret, '') AS notes FROM (SELECT * REPLACE (CASE WHEN fret IS NULL THEN NULL ELSE string END AS string) FROM e9)""")
+def document_passes_events(spark, d):
+    """The events of these documents."""
+    e, _ = P.refine_document(*_score_document(spark, d), SUPPORTED, FILLED)
+    said = F.array_join(F.transform("notes", lambda n: F.concat(n["string"].cast("string"), F.lit(":"), n["fret"].cast("string"))), ",")
+    return e.select("measure", "position", "ticks", said.alias("notes"))
+
+
+@query(_PASSES + """ SELECT measure, position, new AS ticks, selection FROM y1 WHERE selection IS NOT NULL""")
+def applied_corrections(spark, d):
+    """The changes that the first corrections make, and why each was accepted."""
+    e, m = _score_document(spark, d)
+    m = P.refine_meter(e, m, SUPPORTED)
+    e = P.prune_empty(e)
+    return P.accepted(P.proposals(e, m), e, m).select("measure", "position", "ticks", "selection")
