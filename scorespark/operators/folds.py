@@ -461,6 +461,41 @@ def windows_of_markers(events: list[float], markers: list[tuple[float, int, tupl
     return out
 
 
+class StaffInk:
+    """Ink along a staff: values sampled every `step` from `top` downwards, and where notes are written on it.
+
+    A note sounds an octave below where it is written; its height is told by its diatonic step from the top line, F5. The
+    head of a new attack hides a candidate: one that lies within .75 of the lines' spacing of an attacked note is taken for
+    that note, if no more notes are counted than attacks and the tie itself is not seen well (under .5).
+    """
+
+    DEGREES = (0, 0, 1, 1, 2, 3, 3, 4, 4, 5, 5, 6)
+    TOP_LINE = 5 * 7 + 3
+    HIDES, SEEN = 0.75, 0.5
+
+    def __init__(self, tuning: list[int], top_line: float, spacing: float, values: list[float], top: float, step: float, counted: int, seen: float):
+        self.tuning, self.top_line, self.spacing = tuning, top_line, spacing
+        self.values, self.top, self.step, self.counted, self.seen = values, top, step, counted, seen
+
+    def height(self, string: int, fret: int) -> float | None:
+        if not 0 <= string < len(self.tuning):
+            return None
+        octave, degree = divmod(self.tuning[string] + fret + 12, 12)
+        return self.top_line + (self.TOP_LINE - (octave - 1) * 7 - self.DEGREES[degree]) * self.spacing / 2
+
+    def at(self, string: int, fret: int) -> float:
+        y = self.height(string, fret)
+        if y is None or self.step <= 0:
+            return 0.0
+        k = round((y - self.top) / self.step)
+        return self.values[k] if 0 <= k < len(self.values) else 0.0
+
+    def covered(self, string: int, fret: int, attacks: list[tuple[int, int]]) -> bool:
+        y, heads = self.height(string, fret), [h for s, f in attacks if (h := self.height(s, f)) is not None]
+        near = y is not None and self.spacing > 0 and any(abs(y - h) <= self.HIDES * self.spacing for h in heads)
+        return near and self.counted <= len(heads) and self.seen < self.SEEN
+
+
 class Continuations:
     """Resolves the notes that sound on without a new attack, event by event of one document.
 
@@ -478,16 +513,24 @@ class Continuations:
         self.tied: dict[int, tuple[int, int, int]] = {}
         self.before: list[tuple[int, int, int]] = []  # notes (string, event, pitch) of the event before
 
-    def step(self, event: int, attacks: list[tuple[int, int]], dead: bool, missing: int, ink: dict[int, float], strings: list[int], pitches: list[int]) -> tuple[str, list[tuple[int, int, int]]]:
-        """(method or why not, continued notes (string, source event, pitch))."""
+    def skip(self, event: int, attacks: list[tuple[int, int]]) -> None:
+        """An event that was suppressed or is empty: it resolves nothing and ends no chain, but it is the event before."""
+        self.serial += 1
+        self.before = [(s, event, p) for s, p in sorted(attacks)]
+
+    def step(self, event: int, attacks: list[tuple[int, int]], dead: bool, missing: int, ink: dict[int, float] | StaffInk, strings: list[int], pitches: list[int]) -> tuple[str, list[tuple[int, int, int]]]:
+        """(method or why not, continued notes (string, source event, pitch)). Ink is given by string, or read from the
+        event's profile where the note would be written."""
         self.serial += 1
         attacked = {s for s, _ in attacks}
         held = [(s, *self.tied[s][:2]) for s in sorted(self.tied) if s not in attacked and self.serial - self.tied[s][2] <= self.RECENT]
-        chosen, method = [n for n in held if ink.get(n[0], 0.0) >= self.INK], "ink"
+        seen_at = ink if isinstance(ink, StaffInk) else None
+        inked = lambda n: (seen_at.at(n[0], n[2]) if seen_at else ink.get(n[0], 0.0)) >= self.INK
+        chosen, method = [n for n in held if inked(n) and not (seen_at and seen_at.covered(n[0], n[2], attacks))], "ink"
         if missing and not attacked:
             seen, room = {n[0] for n in chosen}, max(0, missing - len(chosen))
             for n in self.before:
-                if (room > 0 or len(self.before) >= 2) and n[0] not in seen and ink.get(n[0], 0.0) >= self.INK:
+                if (room > 0 or len(self.before) >= 2) and n[0] not in seen and inked(n):
                     chosen.append(n)
                     room -= 1
         if chosen:

@@ -547,7 +547,7 @@ _NOTE4 = "STRUCT(s BIGINT, e BIGINT, p BIGINT, n BIGINT)[]"
 _HAS = "len(list_filter({}, lambda z: z.s = {})) > 0"
 
 
-@query(f"""WITH RECURSIVE {EVENTS}, n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, event_type = 'error' AS dead, CASE WHEN v % 4 = 0 THEN 1 + v // 10 % 2 ELSE 0 END AS missing,
+_CONTINUED = f"""WITH RECURSIVE {EVENTS}, n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, event_type = 'error' AS dead, CASE WHEN v % 4 = 0 THEN 1 + v // 10 % 2 ELSE 0 END AS missing,
 CASE WHEN v % 3 = 0 THEN CAST([] AS STRUCT(s BIGINT, p BIGINT)[]) WHEN v % 3 = 1 THEN [{{'s': v % 6, 'p': v // 6 % 40}}] ELSE [{{'s': v % 6, 'p': v // 6 % 40}}, {{'s': (v + 2) % 6, 'p': (v // 6 + 7) % 40}}] END AS att,
 CASE WHEN event_type = 'view' THEN list_filter([0, 1, 2, 3, 4, 5], lambda s: (v // 7 + s) % 4 = 0) ELSE CAST([] AS INTEGER[]) END AS ink, CASE WHEN event_type = 'purchase' THEN [v // 9 % 6, v // 11 % 6] ELSE CAST([] AS BIGINT[]) END AS strs,
 CASE WHEN event_type <> 'signup' THEN CAST([] AS BIGINT[]) WHEN v // 10 % 2 = 0 THEN [v // 13 % 40] ELSE [v // 13 % 40, v // 17 % 40] END AS pits FROM events_x),
@@ -564,9 +564,67 @@ SELECT *, list_filter(before, lambda y: list_contains(ink, y.s) AND NOT {_HAS.fo
 SELECT *, list_filter(held, lambda y: list_contains(ink, y.s)) AS ink1, list_transform(list_sort(list_filter(last, lambda y: list_contains(strs, y.s) AND NOT {_HAS.format('att', 'y.s')})), lambda y: {{'s': y.s, 'e': y.e, 'p': y.p}}) AS by_s, list_sort(list_transform(free, lambda y: {{'d': abs(y.p - pits[1]), 's': y.s, 'e': y.e, 'p': y.p}}))[1] AS p1, list_filter(before, lambda y: NOT {_HAS.format('att', 'y.s')}) AS adjacent FROM (
 SELECT f.last, f.tied, f.before, n.*, list_transform(list_sort(list_filter(f.tied, lambda y: n.r - y.n <= 2 AND NOT {_HAS.format('n.att', 'y.s')})), lambda y: {{'s': y.s, 'e': y.e, 'p': y.p}}) AS held, CASE WHEN len(n.pits) > 0 THEN list_filter(f.last, lambda y: n.r - y.n <= 8 AND NOT {_HAS.format('n.att', 'y.s')}) ELSE CAST([] AS {_NOTE4}) END AS free
 FROM f JOIN n ON n.user_id = f.user_id AND n.r = f.r + 1))))))))
-SELECT user_id, event_id, method, missing, array_to_string(list_transform(chosen, lambda y: y.s || '<' || y.e), ',') AS sources FROM f WHERE r > 0 AND missing > 0""")
+SELECT user_id, event_id, method, missing, array_to_string(list_transform(chosen, lambda y: y.s || '<' || y.e), ',') AS sources FROM f WHERE r > 0 AND missing > 0"""
+
+
+@query(_CONTINUED)
 def resolve_continuations(spark, d):
     """Notes of a user's events that sound on without an attack, where they come from, and by which rule."""
+
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
+        state, out = folds.Continuations(), []
+        for event, _, dead, missing, attacks, ink, strings, pitches, _ in rows:
+            method, chosen = state.step(event, [(a["s"], a["p"]) for a in attacks], dead, missing, dict.fromkeys(ink, 1.0), strings, pitches)
+            if method != "none":
+                out.append((*key, event, method, len(chosen) or missing, ",".join(f"{s}<{source}" for s, source, _ in chosen)))
+        return out
+
+    return folds.fold_groups(_sounding(spark, d), ["user_id"], ["ts", "event_id"], fold, "user_id long, event_id long, method string, missing long, sources string")
+
+
+#: Open strings; a pitch of the events counts as a fret. Heights are in steps of half a spacing (5), from 110 above the top line.
+TUNING = (64, 59, 55, 50, 45, 40)
+_STEP = f"60 - ((({list(TUNING)}[{{0}}.s + 1] + {{0}}.p + 12) // 12 - 1) * 7 + {list(folds.StaffInk.DEGREES)}[({list(TUNING)}[{{0}}.s + 1] + {{0}}.p + 12) % 12 + 1])"
+_INKED = f"({_STEP.format('y')} BETWEEN 0 AND 39 AND (v // 7 + {_STEP.format('y')}) % 4 = 0)"
+_COVERED = f"(v // 3 % 3 <= len(att) AND v // 5 % 10 < 5 AND len(list_filter(att, lambda z: abs(({_STEP.format('y')}) - ({_STEP.format('z')})) <= 1)) > 0)"
+
+
+def _with_staff() -> str:
+    """The same rules with ink from the profile, hidden candidates left out, and suppressed events passed by."""
+    sql = _CONTINUED.replace("row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r,", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, v, v % 23 = 0 AS skip,", 1)
+    sql = sql.replace("list_filter(held, lambda y: list_contains(ink, y.s)) AS ink1", f"list_filter(held, lambda y: {_INKED} AND NOT {_COVERED}) AS ink1")
+    sql = sql.replace("list_filter(before, lambda y: list_contains(ink, y.s) AND NOT", f"list_filter(before, lambda y: {_INKED} AND NOT")
+    # A suppressed event has nothing missing and leaves what is remembered as it is.
+    sql = sql.replace("UNION ALL SELECT user_id, r, list_concat(list_filter(last,", "UNION ALL SELECT user_id, r, CASE WHEN skip THEN last ELSE list_concat(list_filter(last,", 1)
+    sql = sql.replace("'n': r}})),\nlist_concat(list_filter(tied,".replace("}}", "}"), "'n': r})) END,\nCASE WHEN skip THEN tied ELSE list_concat(list_filter(tied,", 1)
+    sql = sql.replace("'n': r})),\nlist_sort(list_concat(", "'n': r})) END,\nlist_sort(list_concat(", 1)
+    sql = sql.replace("event_id, CASE WHEN want = 0 THEN", "event_id, CASE WHEN skip OR want = 0 THEN", 1).replace(" END, done, want FROM (", " END, done, CASE WHEN skip THEN 0 ELSE want END FROM (", 1)
+    return sql.replace("CASE WHEN want > 0 AND len(pick) = want THEN pick", "CASE WHEN NOT skip AND want > 0 AND len(pick) = want THEN pick", 1)
+
+
+@query(_with_staff())
+def resolve_continuations_on_staff(spark, d):
+    """The same with ink looked up at the height where a note would be written, without candidates that an attacked head
+    covers, and past events that were suppressed."""
+
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
+        state, out = folds.Continuations(), []
+        for event, _, dead, missing, attacks, _, strings, pitches, v in rows:
+            notes = [(a["s"], a["p"]) for a in attacks]
+            if v % 23 == 0:
+                state.skip(event, notes)
+                continue
+            profile = [float((v // 7 + k) % 4 == 0) for k in range(40)]
+            ink = folds.StaffInk(list(TUNING), 0.0, 10.0, profile, -110.0, 5.0, v // 3 % 3, v // 5 % 10 / 10)
+            method, chosen = state.step(event, notes, dead, missing, ink, strings, pitches)
+            if method != "none":
+                out.append((*key, event, method, len(chosen) or missing, ",".join(f"{s}<{source}" for s, source, _ in chosen)))
+        return out
+
+    return folds.fold_groups(_sounding(spark, d), ["user_id"], ["ts", "event_id"], fold, "user_id long, event_id long, method string, missing long, sources string")
+
+
+def _sounding(spark, d):
     v = F.col("v")
     none = lambda kind: F.array().cast(f"array<{kind}>")
     note = lambda s, p: F.struct(s.alias("s"), p.alias("p"))
@@ -577,18 +635,9 @@ def resolve_continuations(spark, d):
     e = events(spark, d).select(
         "user_id", "event_id", "ts", (kind == "error").alias("dead"), F.when(v % 4 == 0, 1 + div(10) % 2).otherwise(0).alias("missing"),
         F.when(v % 3 == 0, none("struct<s:long,p:long>")).when(v % 3 == 1, F.array(one)).otherwise(F.array(one, two)).alias("attacks"), F.when(kind == "view", ink).otherwise(none("int")).alias("ink"),
-        F.when(kind == "purchase", F.array(div(9) % 6, div(11) % 6)).otherwise(none("long")).alias("strings"), F.when(kind != "signup", none("long")).when(div(10) % 2 == 0, F.array(div(13) % 40)).otherwise(F.array(div(13) % 40, div(17) % 40)).alias("pitches"),
+        F.when(kind == "purchase", F.array(div(9) % 6, div(11) % 6)).otherwise(none("long")).alias("strings"), F.when(kind != "signup", none("long")).when(div(10) % 2 == 0, F.array(div(13) % 40)).otherwise(F.array(div(13) % 40, div(17) % 40)).alias("pitches"), "v",
     )
-
-    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
-        state, out = folds.Continuations(), []
-        for event, _, dead, missing, attacks, ink, strings, pitches in rows:
-            method, chosen = state.step(event, [(a["s"], a["p"]) for a in attacks], dead, missing, dict.fromkeys(ink, 1.0), strings, pitches)
-            if method != "none":
-                out.append((*key, event, method, len(chosen) or missing, ",".join(f"{s}<{source}" for s, source, _ in chosen)))
-        return out
-
-    return folds.fold_groups(e, ["user_id"], ["ts", "event_id"], fold, "user_id long, event_id long, method string, missing long, sources string")
+    return e
 
 
 _MEASURES = """m0 AS (SELECT user_id, day, event_id, x, event_type, v, CASE WHEN event_type = 'view' THEN x // 7200 ELSE (x + 120) // 7200 END AS measure, v % 70 AS y, least(greatest((v % 70) // 10, 0), 5) AS string, CASE WHEN v // 70 % 11 = 10 THEN 'x' ELSE cast(v // 70 % 11 AS VARCHAR) END AS sign FROM events_x),

@@ -25,6 +25,33 @@ def rows(columns, data):
     return sorted(tuple(cell(r[i]) for i in order) for r in data)
 
 
+def nodes(plan):
+    yield plan
+    children = plan.children()
+    for k in range(children.size()):
+        yield from nodes(children.apply(k))
+
+
+def one_row(plan):
+    most = plan.maxRows()
+    return most.isDefined() and most.get() <= 1
+
+
+def check_plan(df):
+    """No row-wise Python; products of tables only with one row; windows over all rows only of ranges' totals, one row each."""
+    execution = df._jdf.queryExecution()
+    assert "BatchEvalPython" not in execution.executedPlan().toString()
+    for node in nodes(execution.optimizedPlan()):
+        kind = node.nodeName()
+        if kind == "Join" and node.condition().isEmpty():
+            sides = node.children()
+            assert one_row(sides.apply(0)) or one_row(sides.apply(1)), node.toString()
+        if kind == "Window" and node.partitionSpec().isEmpty():
+            grouped = [n for n in nodes(node) if n.nodeName() == "Aggregate"]
+            names = grouped[0].groupingExpressions().mkString(",") if grouped else "nothing"
+            assert names.startswith("_p#") or one_row(node.children().apply(0)), node.toString()
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
@@ -36,6 +63,7 @@ def duck(sf_dir):
 @pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_matches_sql(spark, sf_dir, duck, name):
     got = plans.queries()[name](spark, sf_dir)
+    check_plan(got)
     want = duck.execute(plans.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
