@@ -696,13 +696,48 @@ def test_rare_languages_are_learned_and_repeats_count_once(spark, tmp_path, monk
     spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "docs"))
     seen, saved = [], langid.saved
     monkeypatch.setattr(langid, "saved", lambda df, label: seen.append(saved(df, label)) or seen[-1])
-    languages, _ = langid.fit(spark.read.parquet(str(tmp_path / "docs")), sample_rows=20)
+    [(languages, _)] = langid.fit(spark.read.parquet(str(tmp_path / "docs")), sample_rows=20)
     assert languages == ["de", "en"]
     n = {(r["lang"], r["word"]): r["n"] for r in seen[0].collect()}
     assert 100 < n["en", "house"] < 300 and n.get(("en", "again"), 0) in (0, 2)
     assert 4 <= n["de", "hund"] <= 8
 
 
+def test_very_many_languages_and_very_long_words(spark, tmp_path, monkeypatch):
+    """300 labels, each with words of its own of a hundred letters and more, in models of 256 and of 7 languages."""
+    rng = random.Random(8)
+    own = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(70, 150))) for _ in range(3)] for k in range(300)}
+    rows = [(n * 1000 + k, " ".join(rng.choices(words, k=6)), lang) for n, (lang, words) in enumerate(own.items()) for k in range(7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs, results = spark.read.parquet(str(tmp_path / "docs")), []
+    for block in (256, 150):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        results.append({r.doc_id: (r.lang_pred, round(r.score, 6)) for r in langid.identify_language(docs).collect()})
+    truth = {doc: lang for doc, _, lang in rows}
+    assert sum(results[0][d][0] == truth[d] for d in truth) > 0.9 * len(truth)
+    assert results[0] == results[1]
+
+
+def test_expected_pieces_of_a_long_word_equal_those_of_the_chart():
+    rng = np.random.default_rng(5)
+    table = langid.Pieces({"ab": 2, "a": 3, "b": 4, "bab": 5})
+    p = np.array([0.0, 1e-4, 0.3, 0.2, 0.1, 0.05])
+    for n in (1, 2, 9, 40):
+        word = "".join(rng.choice(list("abc"), n))
+        chart, sizes = table.chart([word]), np.array([n])
+        alpha, beta = langid.forward(chart, p[:, None]), langid.backward(chart, p[:, None], sizes)
+        want = np.zeros(6)
+        for s in range(n):
+            for length in range(1, min(table.longest, n - s) + 1):
+                i = chart[0, s, length]
+                if i:
+                    want[i] += alpha[0, s, 0] * p[i] * beta[0, s + length, 0] / alpha[0, n, 0]
+        got = np.zeros(6)
+        i, times = langid.expected_pieces(word, table, p)
+        np.add.at(got, i, times)
+        assert np.allclose(got, want)
+
+
 def test_language_of_odd_rows(odd):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify_language(odd).collect()}
     assert all(got[i] == "und" for i in (4, 5, 6, 16))
@@ -723,7 +758,7 @@ def test_forward_of_long_words(monkeypatch, cells):
     """Words of any length are summed whole, without underflow: equal to the plain recursion in exact logarithms."""
     monkeypatch.setattr(langid, "CELLS", cells)
     rng = np.random.default_rng(3)
-    some = {"".join(rng.choice(list("abcd"), int(rng.integers(1, langid.PIECE + 1)))): 0 for _ in range(400)}
+    some = {"".join(rng.choice(list("abcd"), int(rng.integers(1, 13)))): 0 for _ in range(400)}
     table = {w: k for k, w in enumerate(some, 2)}
     p = rng.random((len(table) + 2, 3)) * 1e-5
     p[0] = 0
@@ -733,7 +768,7 @@ def test_forward_of_long_words(monkeypatch, cells):
         for lang in range(3):
             logs = [0.0]
             for e in range(1, len(w) + 1):
-                ends = [(logs[s], table.get(w[s:e], 1 if e - s == 1 else None)) for s in range(max(0, e - langid.PIECE), e)]
+                ends = [(logs[s], table.get(w[s:e], 1 if e - s == 1 else None)) for s in range(max(0, e - 12), e)]
                 logs.append(np.logaddexp.reduce([x + np.log(p[i, lang]) for x, i in ends if i]))
             assert np.isclose(row[lang], logs[-1])
 
