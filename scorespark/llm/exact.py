@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import ROW, bits_for, drop_saved, join_counted, saved, split_by_filter, without_rows
+from scorespark.llm.common import FILTER_BITS, ROW, join_counted, saved, split_by_filter, without_rows
 
 #: Characters that do not count: blank, and tab to carriage return.
 BLANKS = " \t\n\x0b\f\r"
 #: Runs of a level that are merged into one of the next.
-FANOUT = 4
+FANOUT = 8
 _ORDER = "struct(-n_cp AS n, doc_id IS NULL AS no_id, doc_id AS doc_id, batch AS batch, _rid AS rid)"
 
 
@@ -25,84 +25,87 @@ def _entries(docs: DataFrame, batch: int, digest_chars: int, text: bool = False)
         "doc_id",
         F.lit(batch).alias("batch"),
         F.monotonically_increasing_id().alias("_rid"),
+        F.spark_partition_id().alias("run"),
         F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp"),
         F.substring(F.sha2(norm, 256), 1, digest_chars).alias("digest"),
         *([norm.alias("norm")] if text else []),
     )
 
 
-class Run:
-    """A sorted run: digest, best (the smallest identifier) and group_size, each digest once; and a filter of its digests
-    beside it, a table of words of 64 bits."""
+class Level:
+    """The runs of one level: rows (run, digest, best, group_size), sorted, each digest once a run; and their filters
+    (run, w, m), words of 64 bits of FILTER_BITS. Runs are numbered from 0."""
 
-    def __init__(self, rows: DataFrame, label: str):
-        self.rows = saved(rows.sortWithinPartitions("digest"), label)
-        self.bits = bits_for(self.rows.count(), 1 << 40)
-        place = self.rows.select(self._place().alias("p")).selectExpr("p div 64 AS w", "shiftleft(1L, cast(p % 64 AS int)) AS b")
-        self.filter = saved(place.groupBy("w").agg(F.bit_or("b").alias("m")), label + "-filter")
+    def __init__(self, rows: DataFrame, filters: DataFrame, runs: int):
+        self.rows, self.filters, self.runs = rows, filters, runs
 
-    def _place(self):
-        return F.pmod(F.xxhash64("digest"), F.lit(self.bits))
+    def plus(self, other: Level) -> Level:
+        moved = lambda df: df.withColumn("run", F.col("run") + self.runs)
+        return Level(self.rows.unionByName(moved(other.rows)), self.filters.unionByName(moved(other.filters)), self.runs + other.runs)
 
-    def test(self, rows: DataFrame, out: str) -> DataFrame:
-        """rows (digest, ...) with whether the digest may be in this run."""
-        marked = rows.withColumn("_p", self._place()).withColumn("w", F.expr("_p div 64")).join(self.filter, "w", "left")
-        return marked.withColumn(out, F.expr("coalesce(shiftright(m, cast(_p % 64 AS int)) & 1, 0) = 1")).drop("_p", "w", "m")
-
-    def drop(self) -> None:
-        for t in (self.rows, self.filter):
-            drop_saved(self.rows.sparkSession, t)
+    def cut(self, first: int) -> tuple[Level, Level]:
+        """The first runs, and the others."""
+        part = lambda df: (df.where(F.col("run") < first), df.where(F.col("run") >= first).withColumn("run", F.col("run") - first))
+        (rows, rest), (filters, rest_filters) = part(self.rows), part(self.filters)
+        return Level(rows, filters, first), Level(rest, rest_filters, self.runs - first)
 
 
 class DigestIndex:
     """A log-structured merge index over (digest, best row).
 
-    add() takes a batch, however large: what its tasks hold is flushed as one sorted run of level 0 with a filter. FANOUT
-    runs of a level are merged into one of the next level, so that a digest is rewritten once a level. A merge keeps for
-    each digest the smallest identifier in the order longest original text, then smallest doc_id, and the number of rows.
+    add() takes rows by memtable (what a task has read) and flushes each as a sorted run of level 0 with a filter. Each
+    `fanout` runs of a level are merged into one of the next level, all such groups at once, so a digest is rewritten once
+    a level. Before a merge the filters of its runs are asked: a digest that none of the others knows (a miss) is taken as
+    it is, and only hits are shuffled; they keep the smallest identifier in the order longest original text, then smallest
+    doc_id, and the number of rows. What of the filters goes to the workers is the words of bits that two runs of a group
+    share, FILTER_BITS at most; where these are full, more rows take the way of hits.
     """
 
     def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, [[]]
+        self.fanout, self.levels = fanout, []
+        #: Merges so far, and the rows that went through them as hits and as misses, where they are counted.
+        self.merges, self.count, self.hits, self.misses = 0, False, 0, 0
 
     def add(self, entries: DataFrame) -> None:
-        first = entries.groupBy("digest").agg(F.expr(f"min({_ORDER})").alias("best"), F.count(F.lit(1)).alias("group_size"))
-        self.levels[0].append(Run(first, "run0"))
-        for k in range(len(self.levels)):
-            if len(self.levels[k]) >= self.fanout:
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                full, self.levels[k] = self.levels[k], []
-                self.levels[k + 1].append(Run(self.merge(full), f"run{k + 1}"))
-                for run in full:
-                    run.drop()
-
-    def merge(self, runs: list[Run]) -> DataFrame:
-        """The rows of several runs as one. A digest that no other run's filter knows (a miss) is taken as it is; only hits
-        are shuffled and merged."""
-        hits, misses = [], []
-        for run in runs:
-            rows, marks = run.rows, []
-            for k, other in enumerate(runs):
-                if other is not run:
-                    rows, marks = other.test(rows, f"_in{k}"), [*marks, F.col(f"_in{k}")]
-            known = F.lit(False)
-            for m in marks:
-                known = known | m
-            hits.append(rows.where(known).select(*run.rows.columns))
-            misses.append(rows.where(~known).select(*run.rows.columns))
-        both = hits[0]
-        for h in hits[1:]:
-            both = both.unionByName(h)
-        out = both.groupBy("digest").agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
-        for m in misses:
-            out = out.unionByName(m)
-        return out
+        """entries: run (the memtable, from 0), digest, and what _ORDER needs."""
+        runs = entries.agg(F.max("run")).first()[0]
+        rows = entries.groupBy("run", "digest").agg(F.expr(f"min({_ORDER})").alias("best"), F.count(F.lit(1)).alias("group_size"))
+        rows = saved(rows.sortWithinPartitions("run", "digest"), "run0")
+        place = rows.select("run", F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS)).alias("p")).selectExpr("run", "p div 64 AS w", "shiftleft(1L, cast(p % 64 AS int)) AS b")
+        filters = saved(place.groupBy("run", "w").agg(F.bit_or("b").alias("m")), "filter0")
+        self._put(0, Level(rows, filters, 0 if runs is None else runs + 1))
+
+    def _put(self, k: int, runs: Level) -> None:
+        if k == len(self.levels):
+            self.levels.append(runs)
+        else:
+            self.levels[k] = self.levels[k].plus(runs)
+        if groups := self.levels[k].runs // self.fanout:
+            full, self.levels[k] = self.levels[k].cut(groups * self.fanout)
+            self._put(k + 1, self.merge(full, F.expr(f"run div {self.fanout}"), groups, f"{k + 1}"))
+
+    def merge(self, level: Level, group: Column, groups: int, label: str) -> Level:
+        """The runs of each group as one."""
+        filters = level.filters.withColumn("run", group.cast("int")).groupBy("run", "w").agg(F.collect_list("m").alias("ms"))  # fanout words at most
+        fold = "aggregate(ms, named_struct('one', 0L, 'two', 0L), (a, m) -> named_struct('one', a.one | m, 'two', a.two | (a.one & m)))"
+        filters = saved(filters.select("run", "w", F.expr(fold).alias("a")).select("run", "w", F.col("a.one").alias("m"), F.col("a.two").alias("two")), f"filter{label}")
+        shared = filters.where("two <> 0").groupBy("w").agg(F.bit_or("two").alias("two"))
+        rows = level.rows.withColumn("run", group.cast("int")).withColumn("_p", F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))).withColumn("w", F.expr("_p div 64"))
+        rows = rows.join(F.broadcast(shared), "w", "left").withColumn("_hit", F.expr("coalesce(shiftright(two, cast(_p % 64 AS int)) & 1, 0) = 1")).drop("_p", "w", "two")
+        if self.count:
+            told = {r["_hit"]: r["n"] for r in rows.groupBy("_hit").agg(F.count(F.lit(1)).alias("n")).collect()}
+            self.hits, self.misses = self.hits + told.get(True, 0), self.misses + told.get(False, 0)
+        self.merges += groups
+        hits = rows.where("_hit").groupBy("run", "digest").agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
+        both = hits.unionByName(rows.where("NOT _hit").drop("_hit"))
+        return Level(saved(both.sortWithinPartitions("run", "digest"), f"run{label}"), filters.drop("two"), groups)
 
     def rows(self) -> DataFrame:
-        """(digest, best, group_size) over all batches."""
-        runs = [r for level in self.levels for r in level]
-        return runs[0].rows if len(runs) == 1 else saved(self.merge(runs), "merged")
+        """(digest, best, group_size) over all batches: what is left on all levels as one run."""
+        every = self.levels[0]
+        for level in self.levels[1:]:
+            every = every.plus(level)
+        return (self.merge(every, F.lit(0), 1, "all") if every.runs > 1 else every).rows.drop("run")
 
 
 def exact_dedup(docs: DataFrame, *further: DataFrame, digest_chars: int = 64, fanout: int = FANOUT) -> DataFrame:

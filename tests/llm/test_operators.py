@@ -151,19 +151,39 @@ def test_exact_batches_equal_one(odd, spark, tmp_path, chars, fanout):
     assert kept(got) == kept(one)
 
 
-def test_exact_filters_of_runs(spark):
-    """Digests of a run pass its filter, nearly all others do not, and only those that pass are merged."""
-    entries = lambda lo, hi: spark.range(lo, hi).selectExpr("id AS doc_id", "0 AS batch", "id AS _rid", "1L AS n_cp", "sha2(cast(id AS string), 256) AS digest")
+def test_exact_index_has_runs_levels_and_filters(spark, tmp_path):
+    """Runs and levels are counted, and what the filters let through as hits."""
+    entries = lambda lo, hi, runs: spark.range(lo, hi).selectExpr("id AS doc_id", "0 AS batch", "id AS _rid", "1L AS n_cp", f"cast(id % {runs} AS int) AS run", "sha2(cast(id AS string), 256) AS digest")
     index = exact.DigestIndex(fanout=3)
-    index.add(entries(0, 2000))
-    index.add(entries(1990, 4000))
-    first, second = index.levels[0]
-    assert first.test(first.rows, "x").where("x").count() == 2000
-    assert 10 <= first.test(second.rows, "x").where("x").count() < 300
+    index.count = True
+    index.add(entries(0, 2000, 10))  # ten memtables: three merges, then one of those
+    assert [level.runs for level in index.levels] == [1, 0, 1] and index.merges == 4
+    assert index.hits < 100 < 3000 < index.misses  # no digest is in two runs: a hit is a filter's error
+    index.hits = index.misses = 0
+    index.add(entries(1990, 4000, 2))  # ten digests again: the left-over run and the two new ones are merged
+    assert [level.runs for level in index.levels] == [0, 1, 1] and index.merges == 5
     got = index.rows()
-    assert got.count() == 4000 and got.where("group_size = 2").count() == 10
-    index.add(entries(0, 10))
-    assert [len(x) for x in index.levels] == [0, 1] and index.rows().where("group_size > 1").count() == 20
+    assert got.count() == 4000 and got.where("group_size = 2").count() == 10 and index.hits < 200
+    assert got.where("group_size = 2").selectExpr("min(best.doc_id)", "max(best.doc_id)").first() == (1990, 1999)
+    index.add(spark.range(0).selectExpr("id AS doc_id", "0 AS batch", "id AS _rid", "1L AS n_cp", "0 AS run", "'' AS digest"))
+    assert index.rows().count() == 4000
+
+
+def test_exact_query_goes_through_the_index(spark, sf_dir, tmp_path, monkeypatch):
+    """A table of many parts is many runs on more than one level, and gives what SQL gives."""
+    path, seen, add = str(tmp_path / "documents"), [], exact.DigestIndex.add
+    spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/documents.parquet").repartition(20).write.parquet(path)
+    monkeypatch.setattr(exact.DigestIndex, "add", lambda self, e: (seen.append(self), add(self, e)))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "134217728")  # a task for each file
+    try:
+        got = [tuple(r) for r in exact.exact_dedup(spark.read.parquet(path), fanout=3).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert [level.runs for level in seen[0].levels] == [2, 0, 2] and seen[0].merges >= 8
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    assert sorted(got) == sorted(con.execute(exact.SQL).fetchall())
 
 
 def brute_fingerprint(t):
