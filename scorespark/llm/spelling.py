@@ -52,7 +52,7 @@ def trie(words: DataFrame) -> DataFrame:
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, b) of all words, of DEPTH code points at most, that are one replaced or deleted code point apart; each pair once,
+    """(a, b) of all words, of DEPTH (64, the bits of a long) code points at most, that are one replaced or deleted code point apart; each pair once,
     the longer or smaller word first.
 
     A state is (word, place in it, node, edits). Level by level states take the edges of their nodes: the edge of the
@@ -131,22 +131,25 @@ def _hashes(word: str) -> tuple[np.uint64, np.ndarray]:
         return upto[-1], upto[:-1] + (upto[-1] - upto[1:]) * INVERSE
 
 
-def _without_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, word in zip(batch["row"].to_pylist(), batch["word"].to_pylist(), strict=True):
-            whole, parts = _hashes(word)
-            yield pa.RecordBatch.from_pydict({"row": [row], "at": pa.array([-1], pa.int32()), "h": pa.array([int(whole.astype(np.int64))], pa.int64())})
-            for k in range(0, len(parts) if len(word) > DEPTH else 0, 50_000):
-                h = parts[k : k + 50_000].astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"row": pa.array(np.full(len(h), row)), "at": pa.array(np.arange(k, k + len(h), dtype=np.int32)), "h": pa.array(h)})
+def _without_one(depth: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, word in zip(batch["row"].to_pylist(), batch["word"].to_pylist(), strict=True):
+                whole, parts = _hashes(word)
+                yield pa.RecordBatch.from_pydict({"row": [row], "at": pa.array([-1], pa.int32()), "h": pa.array([int(whole.astype(np.int64))], pa.int64())})
+                for k in range(0, len(parts) if len(word) > depth else 0, 50_000):
+                    h = parts[k : k + 50_000].astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"row": pa.array(np.full(len(h), row)), "at": pa.array(np.arange(k, k + len(h), dtype=np.int32)), "h": pa.array(h)})
 
+    return each
 
-def long_pairs(words: DataFrame) -> DataFrame:
-    """near_pairs() of words where one has more than DEPTH code points, for which a trie is too deep: words that are equal
+
+def long_pairs(words: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """near_pairs() of words where one has more than depth code points, for which a trie is too deep: words that are equal
     without the code point at one place, or that another is without one of its. Each word gives a row of 20 bytes for each
     code point; hashes only propose, the words themselves decide."""
-    rows = saved(words.where(F.char_length("word") >= DEPTH).select(F.monotonically_increasing_id().alias("row"), "word"), "long")
-    parts = saved(rows.mapInArrow(_without_one, "row long, at int, h long"), "parts")
+    rows = saved(words.where(F.char_length("word") >= depth).select(F.monotonically_increasing_id().alias("row"), "word"), "long")
+    parts = saved(rows.mapInArrow(_without_one(depth), "row long, at int, h long"), "parts")
     shorter, whole = parts.where("at >= 0"), parts.where("at < 0").selectExpr("row AS b", "h")
     other = shorter.select(F.col("row").alias("b"), "at", "h")
     found = shorter.withColumnRenamed("row", "a").join(other, ["at", "h"]).where("a <> b").selectExpr("a", "b", "at", "true AS replaced")
@@ -158,20 +161,20 @@ def long_pairs(words: DataFrame) -> DataFrame:
     return found.where(same).selectExpr("word_a AS a", "word_b AS b").distinct()
 
 
-def spelling_variants(docs: DataFrame, least_length: int = 6, least_count: int = 5, times: int = 5) -> DataFrame:
+def spelling_variants(docs: DataFrame, least_length: int = 6, least_count: int = 5, times: int = 5, depth: int = DEPTH) -> DataFrame:
     """word, form, root, n, n_near, form_n of all words of at least least_length code points and least_count occurrences.
 
     Two words are near that differ by one inserted, deleted or replaced code point. form is a word's near word with the
     largest n, of equal ones the smallest, if its n is at least `times` the word's; root is where following forms ends.
 
     Null text has no words; a null doc_id counts as an empty string in the deletions; repeated rows count each; other
-    columns are ignored; an empty table gives an empty result. Words of any length are compared: those beyond DEPTH by
-    `long_pairs`. A word's near words are fewer than 182 for each of its code points, however common they are.
+    columns are ignored; an empty table gives an empty result. Words of any length are compared: those beyond depth
+    (DEPTH at most) by `long_pairs`. A word's near words are fewer than 182 for each of its code points, however common they are.
     """
     words = saved(spelled(docs).where((F.char_length("word") >= least_length) & (F.col("n") >= least_count)), "words")
-    pairs = near_pairs(words.where(F.char_length("word") <= DEPTH))
-    if not words.where(F.char_length("word") > DEPTH).isEmpty():
-        pairs = pairs.unionByName(long_pairs(words))
+    pairs = near_pairs(words.where(F.char_length("word") <= depth))
+    if not words.where(F.char_length("word") > depth).isEmpty():
+        pairs = pairs.unionByName(long_pairs(words, depth))
     both = pairs.unionByName(pairs.selectExpr("b AS a", "a AS b"))
     told = both.join(words.selectExpr("word AS b", "n AS m"), "b").groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "b")).alias("best"))
     told = words.join(told.withColumnRenamed("a", "word"), "word", "left")

@@ -67,20 +67,20 @@ def table(spark, path, rows):
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("hot", [100_000, 0])
-def test_spelling_of_odd_rows(spark, tmp_path, monkeypatch, hot):
+@pytest.mark.parametrize("hot, depth", [(100_000, 64), (0, 12)])
+def test_spelling_of_odd_rows(spark, tmp_path, monkeypatch, hot, depth):
     """Runs of one letter, words that begin others, letters beyond ASCII, words of about DEPTH letters and far beyond."""
     monkeypatch.setattr(spelling, "HOT_FROM", hot)
     rng = random.Random(4)
     some = ["aaaaaa", "aaaaaaa", "aaaaaaaa", "aabaaa", "planet", "planets", "plante", "plan", "garden", "gardén", "GARDEN", "ÉTÉÉTÉ", "étéété", "xplanet", "planetx"]
     some += ["".join(rng.choices("ab", k=rng.randint(6, 9))) for _ in range(150)]
-    base = "".join(rng.choices("abc", k=64))
-    some += [base, base + "a", "b" + base, base[:30] + "z" + base[31:], base[:63] + "zz", base + "ab", base + "ac", base * 40, base * 40 + "q", base * 20 + "d" + base * 20, base * 20 + base[1:] + base * 19]
+    base = "".join(rng.choices("abc", k=depth))
+    some += [base, base + "a", "b" + base, base[:7] + "z" + base[8:], base[:-1] + "zz", base + "ab", base + "ac", base * 40, base * 40 + "q", base * 20 + "d" + base * 20, base * 20 + base[1:] + base * 19]
     rows = [(None, None), (None, ""), (1, "1 2 3 ÷×"), (2, "short word")]
     rows += [(k, f"{w} {w.capitalize()}, " * rng.choice([2, 12, 70, 400])) for k, w in enumerate(some)] * 2
     want = brute(counted(rows))
-    assert sum(len(w) > 64 for w in want) > 5 and any(v[1] != v[0] and v[0] for v in want.values())
-    assert told(spelling.spelling_variants(table(spark, str(tmp_path / "d"), rows))) == want
+    assert sum(len(w) > depth for w in want) > 5 and any(v[1] != v[0] and v[0] for v in want.values())
+    assert told(spelling.spelling_variants(table(spark, str(tmp_path / "d"), rows), depth=depth)) == want
 
 
 def test_spelling_of_nothing(spark, tmp_path):
