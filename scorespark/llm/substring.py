@@ -17,8 +17,8 @@ GEAR_BYTES = 16
 #: A cut lies where the hash is the largest within so many bytes on either side: chunks of about twice that size.
 REACH = 24
 LONGEST = 1024
-#: Shortest repeated stretch that is removed, in bytes; and bytes by which equal chunks are extended on either side, at most.
-LEAST_RUN, EDGE = 150, 256
+#: Shortest repeated stretch that is removed, in bytes; and bytes on either side that a cut depends on.
+LEAST_RUN, CONTEXT = 150, REACH + GEAR_BYTES
 
 _GEAR = np.random.default_rng(1).integers(0, 1 << 32, 256, np.uint32)
 
@@ -45,12 +45,18 @@ def _sliding_max(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def cuts(text: bytes) -> list[int]:
-    """Ends of the chunks of text. They depend on the bytes around them only, so insertions move them along."""
+    """Ends of the chunks of text. They depend on the bytes around them only, so insertions move them along; but for those
+    forced after LONGEST bytes without a peak."""
+    return all_cuts(text)[0]
+
+
+def all_cuts(text: bytes) -> tuple[list[int], list[int]]:
+    """Ends of the chunks of text, and those of them that are not forced."""
     n = len(text)
     if not n:
-        return []
+        return [], []
     if n <= REACH:
-        return [n]
+        return [n], [n]
     h = gear(np.frombuffer(text, np.uint8)).astype(np.int64)
     after = _sliding_max(h, REACH + 1)
     before = np.concatenate((np.full(REACH, -1), _sliding_max(h, REACH)[: n - REACH]))
@@ -58,22 +64,28 @@ def cuts(text: bytes) -> list[int]:
     # Larger than all before within reach, no smaller than any after: of equals, the first.
     peaks = np.flatnonzero((h > before) & (h >= after)) + 1
     out, last = [], 0
-    for cut in [*peaks[(peaks > REACH) & (peaks < n)].tolist(), n]:
+    own = [*peaks[(peaks > REACH) & (peaks < n)].tolist(), n]
+    for cut in own:
         while cut - last > LONGEST:
             last += LONGEST
             out.append(last)
         out.append(cut)
         last = cut
-    return out
+    return out, own
 
 
 def _chunks(batch: pa.RecordBatch) -> dict:
     digest = xxhash.xxh3_128_intdigest
-    low, high, rows, docs, starts, sizes, nth = [], [], [], [], [], [], []
+    low, high, rows, docs, starts, sizes, nth, before, after = [], [], [], [], [], [], [], [], []
     mask, half = (1 << 64) - 1, 1 << 63
     for row, doc, text in zip(batch["row"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
         raw, at, seen = (text or "").encode(), 0, set()
-        for end in cuts(raw):
+        ends, own = all_cuts(raw)
+        begins = [0, *ends[:-1]]
+        # To the nearest cut on either side that is not forced: what chunks there share with others can go so far.
+        before += [a - own[k - 1] if k else a for a, k in zip(begins, np.searchsorted(own, begins).tolist(), strict=False)] if ends else []
+        after += [own[k] - b if k < len(own) else 0 for b, k in zip(ends, np.searchsorted(own, ends, "right").tolist(), strict=True)]
+        for end in ends:
             d = digest(raw[at:end])
             low.append((d & mask) - half)
             high.append((d >> 64) - half)
@@ -84,10 +96,10 @@ def _chunks(batch: pa.RecordBatch) -> dict:
             starts.append(at)
             sizes.append(end - at)
             at = end
-    return {"hi": pa.array(high, pa.int64()), "lo": pa.array(low, pa.int64()), "row": pa.array(rows, pa.int64()), "doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int32()), "size": pa.array(sizes, pa.int32()), "again": pa.array(nth, pa.bool_())}
+    return {"hi": pa.array(high, pa.int64()), "lo": pa.array(low, pa.int64()), "row": pa.array(rows, pa.int64()), "doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int32()), "size": pa.array(sizes, pa.int32()), "again": pa.array(nth, pa.bool_()), "before": pa.array(before, pa.int32()), "after": pa.array(after, pa.int32())}
 
 
-CHUNKS = "hi long, lo long, row long, doc_id long, start int, size int, again boolean"
+CHUNKS = "hi long, lo long, row long, doc_id long, start int, size int, again boolean, before int, after int"
 
 
 def merged(spans: list[tuple[int, int]], least: int = 1) -> list[tuple[int, int]]:
@@ -124,7 +136,8 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
 
 
 def _runs(batch: pa.RecordBatch) -> dict:
-    """Chunks of a row that lie side by side as one run, with the places of its two ends in the texts that keep them."""
+    """Chunks of a row that lie side by side as one run, with the places of its two ends in the texts that keep them, and how
+    many bytes beyond each end can be shared with those."""
     out: list[tuple] = []
     for row, spans in zip(batch["row"].to_pylist(), batch["spans"].to_pylist(), strict=True):
         last = None
@@ -132,14 +145,14 @@ def _runs(batch: pa.RecordBatch) -> dict:
             if last is None or x["start"] != last[2]:
                 if last:
                     out.append(last)
-                last = (row, x["start"], x["end"], x["owner"], x["at"], x["owner"], x["at"] + x["end"] - x["start"])
+                last = (row, x["start"], x["end"], x["owner"], x["at"], x["owner"], x["at"] + x["end"] - x["start"], x["before"] + CONTEXT, x["after"] + CONTEXT)
             else:
-                last = (*last[:2], x["end"], *last[3:5], x["owner"], x["at"] + x["end"] - x["start"])
+                last = (*last[:2], x["end"], *last[3:5], x["owner"], x["at"] + x["end"] - x["start"], last[7], x["after"] + CONTEXT)
         if last:
             out.append(last)
-    columns = list(zip(*out, strict=True)) or [()] * 7
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-    return {n: pa.array(c, k) for n, c, k in zip(("row", "start", "end", "l_row", "l_at", "r_row", "r_at"), columns, kinds, strict=True)}
+    columns = list(zip(*out, strict=True)) or [()] * 9
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    return {n: pa.array(c, k) for n, c, k in zip(("row", "start", "end", "l_row", "l_at", "r_row", "r_at", "l_need", "r_need"), columns, kinds, strict=True)}
 
 
 def _edges(batch: pa.RecordBatch) -> dict:
@@ -148,18 +161,18 @@ def _edges(batch: pa.RecordBatch) -> dict:
     for row, text, asked in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), batch["asked"].to_pylist(), strict=True):
         raw = text.encode()
         for x in asked:
-            at, side = x["at"], x["side"]
+            at, side, need = x["at"], x["side"], x["need"]
             rows.append(row)
             places.append(at)
             sides.append(side)
             times.append(x["n"])
-            found.append(raw[at : at + EDGE] if side > 0 else raw[max(0, at - EDGE) : at])
+            found.append(raw[at : at + need] if side > 0 else raw[max(0, at - need) : at])
     return {"row": pa.array(rows, pa.int64()), "at": pa.array(places, pa.int32()), "side": pa.array(sides, pa.int32()), "bytes": pa.array(found, pa.binary()), "n": pa.array(times, pa.int64())}
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(row, spans): for each row of docs (row, doc_id, text) the runs of chunks that another place has first, with the
-    bytes on either side of that place (struct of start, end, left, right).
+    bytes on either side of that place (struct of start, end, left, right, and how many bytes on either side to look at).
 
     The place that keeps a chunk is the first in the document with the smallest doc_id (null last; of rows with equal
     doc_id the first row). Chunks are counted by digest with partial sums, so that a chunk which very many documents
@@ -174,19 +187,19 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     first = dups.where(last == F.col("first_doc")).groupBy("hi", "lo").agg(F.min(F.struct("row", "start")).alias("own"))
     owners = saved(first.join(counted.select("hi", "lo", "n"), ["hi", "lo"]), "owners")
     gone = join_counted(dups, owners, ["hi", "lo"], "n").where("again OR row <> own.row")
-    span = F.struct("start", (F.col("start") + F.col("size")).alias("end"), F.col("own.row").alias("owner"), F.col("own.start").alias("at"))
-    runs = saved(map_batches(gone.groupBy("row").agg(F.collect_list(span).alias("spans")), lambda: _runs, "row long, start int, end int, l_row long, l_at int, r_row long, r_at int"), "runs")
+    span = F.struct("start", (F.col("start") + F.col("size")).alias("end"), F.col("own.row").alias("owner"), F.col("own.start").alias("at"), "before", "after")
+    runs = saved(map_batches(gone.groupBy("row").agg(F.collect_list(span).alias("spans")), lambda: _runs, "row long, start int, end int, l_row long, l_at int, r_row long, r_at int, l_need int, r_need int"), "runs")
 
     # Chunks lose both edges of a passage: the bytes around each kept place are fetched, each place once.
-    ask = lambda who, at, side: runs.select(F.col(who).alias("row"), F.col(at).alias("at"), F.lit(side).alias("side"))
-    asked = ask("l_row", "l_at", -1).unionByName(ask("r_row", "r_at", 1)).groupBy("row", "at", "side").agg(F.count(F.lit(1)).alias("n"))
-    asked = saved(asked.groupBy("row").agg(F.collect_list(F.struct("at", "side", "n")).alias("asked")), "asked")
+    ask = lambda s, side: runs.select(F.col(f"{s}_row").alias("row"), F.col(f"{s}_at").alias("at"), F.lit(side).alias("side"), F.col(f"{s}_need").alias("need"))
+    asked = ask("l", -1).unionByName(ask("r", 1)).groupBy("row", "at", "side").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+    asked = saved(asked.groupBy("row").agg(F.collect_list(F.struct("at", "side", "n", "need")).alias("asked")), "asked")
     keepers, _ = split_by_filter(docs.select("row", "text"), "row", asked.select("row"))
     edges = saved(map_batches(keepers.join(asked, "row"), lambda: _edges, "row long, at int, side int, bytes binary, n long"), "edges")
     side = lambda s, c: edges.where(f"side = {s}").select(F.col("row").alias(f"{c}_row"), F.col("at").alias(f"{c}_at"), F.col("bytes").alias(c), "n")
     left = saved(join_counted(runs, side(-1, "l"), ["l_row", "l_at"], "n"), "left")
     told = join_counted(left, side(1, "r"), ["r_row", "r_at"], "n")
-    return told.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.col("l").alias("left"), F.col("r").alias("right"))).alias("spans"))
+    return told.groupBy("row").agg(F.collect_list(F.struct("start", "end", F.col("l").alias("left"), F.col("r").alias("right"), "l_need", "r_need")).alias("spans"))
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -202,8 +215,8 @@ def extended(raw: bytes, runs: list[dict]) -> list[tuple[int, int]]:
     """Runs, longer by the bytes on either side that equal those beside the kept place."""
     out = []
     for x in runs:
-        start, end = x["start"], x["end"]
-        out.append((start - _common(raw[max(0, start - EDGE) : start][::-1], x["left"][::-1]), end + _common(raw[end : end + EDGE], x["right"])))
+        start, end, before, after = x["start"], x["end"], x["l_need"], x["r_need"]
+        out.append((start - _common(raw[max(0, start - before) : start][::-1], x["left"][-before:][::-1]), end + _common(raw[end : end + after], x["right"][:after])))
     return out
 
 
@@ -232,7 +245,8 @@ def substring_dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     n_spans, kept_sha256, row (the number in docs, a stable scan).
 
     Content-defined chunks are compared by 128-bit digest. Runs of repeated chunks are extended on both sides by the bytes
-    (EDGE at most) that equal those of the place that keeps them; what then has least_run bytes is removed, cut to whole
+    that equal those of the place that keeps them, to CONTEXT bytes beyond the next cut that is not forced, where chunks
+    would be equal if more were; what then has least_run bytes is removed, cut to whole
     characters. So of a passage that two texts share, all is found if at least one chunk lies inside it; where texts have
     no peaks to cut at (a letter repeated), chunks are forced at LONGEST bytes and do not move with insertions. One copy of
     everything stays. Null text counts as empty and stays null; repeated rows are copies of each other, ties go to the
@@ -307,9 +321,11 @@ WITH d AS (
   SELECT *, sum(new) OVER (PARTITION BY r ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM gone
 ), runs AS (
   SELECT r, min(a) AS a, max(b) AS b, arg_min(q, a) AS lq, arg_min(place, a) AS lat, arg_max(q, a) AS rq, arg_max(place + b - a, a) AS rat FROM run0 GROUP BY r, run
+), need AS (
+  SELECT runs.*, a - coalesce((SELECT max(cut) FROM nat WHERE nat.r = runs.r AND cut < a), 0) + {CONTEXT} AS lo, coalesce((SELECT min(cut) FROM nat WHERE nat.r = runs.r AND cut > b), b) - b + {CONTEXT} AS hi FROM runs
 ), sides AS (
-  SELECT runs.*, substr(d.h, 2 * greatest(0, a - {EDGE}) + 1, 2 * least({EDGE}, a)) AS ml, substr(d.h, 2 * b + 1, 2 * {EDGE}) AS mr, substr(x.h, 2 * greatest(0, lat - {EDGE}) + 1, 2 * least({EDGE}, lat)) AS ol, substr(z.h, 2 * rat + 1, 2 * {EDGE}) AS orr
-  FROM runs JOIN d USING (r) JOIN d x ON x.r = lq JOIN d z ON z.r = rq
+  SELECT need.*, substr(d.h, 2 * greatest(0, a - lo) + 1, 2 * least(lo, a)) AS ml, substr(d.h, 2 * b + 1, 2 * hi) AS mr, substr(x.h, 2 * greatest(0, lat - lo) + 1, 2 * least(lo, lat)) AS ol, substr(z.h, 2 * rat + 1, 2 * hi) AS orr
+  FROM need JOIN d USING (r) JOIN d x ON x.r = lq JOIN d z ON z.r = rq
 ), wide AS (
   SELECT r, a - coalesce({_BEFORE}, least(len(ol), len(ml)) // 2) AS a, b + coalesce({_AFTER}, least(len(orr), len(mr)) // 2) AS b FROM sides
 ), m0 AS (

@@ -387,11 +387,14 @@ def brute_substring(docs, least=substring.LEAST_RUN):
             if run:
                 (a, b), (j, at), (m, to) = (run[0][0], run[-1][1]), owner[raw[run[0][0] : run[0][1]]], owner[raw[run[-1][0] : run[-1][1]]]
                 to += run[-1][1] - run[-1][0]
+                own = substring.all_cuts(raw)[1]
+                before = a - max([c for c in own if c < a], default=0) + substring.CONTEXT
+                after = min([c for c in own if c > b], default=b) - b + substring.CONTEXT
                 n = 0
-                while n < substring.EDGE and a and at and raw[a - 1] == raws[j][1][at - 1]:
+                while n < before and a and at and raw[a - 1] == raws[j][1][at - 1]:
                     a, at, n = a - 1, at - 1, n + 1
                 n = 0
-                while n < substring.EDGE and b < len(raw) and to < len(raws[m][1]) and raw[b] == raws[m][1][to]:
+                while n < after and b < len(raw) and to < len(raws[m][1]) and raw[b] == raws[m][1][to]:
                     b, to, n = b + 1, to + 1, n + 1
                 cover[a:b] = True
             run = []
@@ -412,6 +415,18 @@ def test_substring_matches_brute_force(spark, sf_dir, odd, texts):
     assert collections.Counter(map(tuple, got)) == collections.Counter(brute_substring(rows))
 
 
+@pytest.mark.parametrize("dashes", [0, 400, 900, 3000])
+def test_substring_finds_shared_text_without_peaks(spark, tmp_path, dashes):
+    """A row of dashes, far longer than chunks are, before 400 letters that two texts share: nothing of it is left behind."""
+    rng = random.Random(dashes)
+    word = lambda n: "".join(rng.choices("abcdefghij klmnop", k=n))
+    shared = "-" * dashes + word(400)
+    rows = [(1, word(700) + "1" + shared + "!" + word(500)), (2, word(333) + "2" + shared + "?" + word(90))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.n_removed for r in substring.substring_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got[2] == dashes + 400 and (got[1] == 0 or dashes > substring.LONGEST)  # long enough to repeat in itself
+
+
 def test_substring_finds_planted_passages(spark, tmp_path):
     """Passages of just over 50 short words in other texts, at any place: nearly all are found, and to their last byte."""
     rng = np.random.default_rng(8)
