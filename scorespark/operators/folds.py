@@ -254,22 +254,28 @@ def edit_pairs(a: list[tuple], b: list[tuple], cost: Callable[[tuple, tuple], fl
     return cheapest_path(len(a), len(b), lambda i, j: cost(a[i], b[j]), 1.0, 1.0)
 
 
-def cheapest_fill(options: list[list[tuple[int, float]]], target: int, beam: int = 2500) -> tuple[float, tuple[int, ...]] | None:
-    """One option (size, cost) for each event so that the sizes add up to target at the least cost; of equal costs the
-    first options, compared from the first event on. Totals over twice the target are dropped, and at most `beam` totals,
-    those nearest the target and then the cheapest, are kept after each event, as the method has it."""
-    states: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
-    for choices in options:
-        after: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for total, (cost, picks) in states.items():
-            for k, (size, extra) in enumerate(choices):
-                t, c = total + size, (cost + extra, (*picks, k))
-                if t <= 2 * target and (t not in after or c < after[t]):
-                    after[t] = c
-        if len(after) > beam:
-            after = dict(sorted(after.items(), key=lambda s: (abs(s[0] - target), s[1]))[:beam])
-        states = after
-    return states.get(target)
+def cheapest_fill(options: list[list[tuple[int, float]]], target: int) -> tuple[float, tuple[int, ...]] | None:
+    """One option (size, cost) for each event so that the sizes, whole and not negative, add up to target at the least cost;
+    of equal costs the first options, compared from the first event on. None if there is no such choice.
+
+    ahead[k][t]: least cost of events k and after, where those before add up to t; so the first option that keeps to it is
+    the right one at each event.
+    """
+    ahead = [np.where(np.arange(target + 1) == target, 0.0, np.inf)]
+    for choices in reversed(options):
+        now = np.full(target + 1, np.inf)
+        for size, cost in choices:
+            if size <= target:
+                now[: target + 1 - size] = np.minimum(now[: target + 1 - size], ahead[-1][size:] + cost)
+        ahead.append(now)
+    ahead.reverse()
+    if ahead[0][0] == np.inf:
+        return None
+    total, picks = 0, []
+    for k, choices in enumerate(options):
+        picks.append(next(i for i, (size, cost) in enumerate(choices) if total + size <= target and ahead[k + 1][total + size] + cost == ahead[k][total]))
+        total += choices[picks[-1]][0]
+    return float(ahead[0][0]), tuple(picks)
 
 
 def iou(a: tuple[float, ...], b: tuple[float, ...]) -> float:
@@ -436,28 +442,29 @@ def windows_of_markers(events: list[float], markers: list[tuple[float, int, tupl
 
     A marker with a bracket takes the free events in it, if they are two or more. Else it takes the run of 2 to `most`
     free neighbours whose middle lies nearest, with .12 for each event more or less than expected; of equals the shortest,
-    then the first.
+    then the first. All runs are made once, as arrays in that order, and scored together.
     """
-    out, used = [], set()
-    if len(events) < 2:
-        return out
-    for m, (x, expected, bracket) in enumerate(markers):
-        chosen: list[int] = []
-        if bracket is not None:
-            margin = max(2.0, spacing * 0.12)
-            chosen = [i for i, e in enumerate(events) if bracket[0] - margin <= e <= bracket[1] + margin and i not in used]
-        if len(chosen) < 2:
-            best = None
-            for n in range(2, min(most, len(events)) + 1):
-                for i in range(len(events) - n + 1):
-                    if used.isdisjoint(range(i, i + n)):
-                        cost = abs((events[i] + events[i + n - 1]) / 2 - x) / max(spacing, 1.0) + 0.12 * abs(n - expected)
-                        if best is None or (cost, n, i) < best:
-                            best = (cost, n, i)
-            chosen = list(range(best[2], best[2] + best[1])) if best else []
-        if chosen:
-            used.update(chosen)
-            out.append((m, chosen))
+    x, n = np.asarray(events, float), len(events)
+    lengths = range(2, min(most, n) + 1)
+    starts = np.array([i for k in lengths for i in range(n - k + 1)], int)
+    sizes = np.array([k for k in lengths for _ in range(n - k + 1)], int)
+    if not len(starts):
+        return []
+    middles, free, out = (x[starts] + x[starts + sizes - 1]) / 2, np.ones(n, bool), []
+    for m, (at, expected, bracket) in enumerate(markers):
+        taken = np.append(0, np.cumsum(~free))
+        runs = taken[starts + sizes] == taken[starts]
+        margin = max(2.0, spacing * 0.12)
+        inside = np.flatnonzero(free & (x >= bracket[0] - margin) & (x <= bracket[1] + margin)) if bracket else []
+        if len(inside) >= 2:
+            chosen = inside
+        elif runs.any():
+            best = np.where(runs, np.abs(middles - at) / max(spacing, 1.0) + 0.12 * np.abs(sizes - expected), np.inf).argmin()
+            chosen = starts[best] + np.arange(sizes[best])
+        else:
+            continue
+        free[chosen] = False
+        out.append((m, chosen.tolist()))
     return out
 
 
