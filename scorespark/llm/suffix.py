@@ -19,6 +19,8 @@ LENGTH = 200
 GRAM = 48
 #: Bytes of text that are hashed at once, about.
 BLOCK = 1 << 19
+#: String starts of a text that are hashed at once at most; places share 64 bits with hashes.
+WHOLE = 1 << 27
 #: Bits of the filters that go to the workers: about 8 a key, up to 16 MB at any input size.
 MOST_BITS = 1 << 27
 #: Contexts that are compared together; groups with more are parted further.
@@ -67,40 +69,44 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, most: int = WHOLE) -> Iterator[tuple[np.ndarray, ...]]:
     """For blocks of texts: (text, key, anchor, first, count) of every run of string starts with one anchor.
 
     Strings of length bytes start at first .. first + count - 1, places within the text. A string's anchor depends on
-    its own bytes only (of equal hashes the rightmost), so equal strings have equal keys at equal offsets.
+    its own bytes only (of equal hashes the rightmost), so equal strings have equal keys at equal offsets. Texts are taken
+    in parts of at most `most` string starts; a run that goes over from one to the next is two.
     """
-    at = 0
-    while at < len(texts):
-        use, total = [], 0
-        while at < len(texts) and (not use or total < BLOCK):
-            if len(texts[at]) >= length:
-                use.append(at)
-                total += len(texts[at])
-            at += 1
-        if not use:
-            return
-        data = np.frombuffer(b"".join([texts[i] for i in use]), np.uint8)
-        if len(data) > int(_LOW):
-            raise ValueError(f"a text of more than {int(_LOW) - BLOCK} bytes")
-        sizes = np.array([len(texts[i]) for i in use])
-        begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        h = gram_hashes(data, gram)
-        mark = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
-        low = _sliding_min(mark, length - gram + 1)
-        anchor = (_LOW - (low & _LOW)).astype(np.int64)
-        owner = np.repeat(np.arange(len(use)), sizes)[: len(anchor)]
-        good = np.arange(len(anchor)) + length <= (begins + sizes)[owner]
-        change = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
-        run_of = np.cumsum(np.isin(np.arange(len(anchor)), change, assume_unique=True)) - 1
-        counts = np.bincount(run_of, weights=good, minlength=len(change)).astype(np.int64)
-        keep = np.flatnonzero(counts)  # the good starts of a text come first, so a run begins with them
-        first = change[keep]
-        o = owner[first]
-        yield np.array(use)[o], h[anchor[first]].astype(np.int64), anchor[first] - begins[o], first - begins[o], counts[keep]
+    parts = ((i, lo) for i, t in enumerate(texts) for lo in range(0, len(t) - length + 1, most))
+    use, total = [], 0
+    for i, lo in parts:
+        use.append((i, lo, texts[i][lo : lo + most + length - 1]))
+        total += len(use[-1][2])
+        if total >= BLOCK:
+            yield _anchored(use, length, gram)
+            use, total = [], 0
+    if use:
+        yield _anchored(use, length, gram)
+
+
+def _anchored(use: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """anchors() of parts of texts (text, place, bytes), together less than 2^28 bytes."""
+    data = np.frombuffer(b"".join([x[2] for x in use]), np.uint8)
+    sizes = np.array([len(x[2]) for x in use])
+    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    h = gram_hashes(data, gram)
+    mark = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
+    low = _sliding_min(mark, length - gram + 1)
+    anchor = (_LOW - (low & _LOW)).astype(np.int64)
+    owner = np.repeat(np.arange(len(use)), sizes)[: len(anchor)]
+    good = np.arange(len(anchor)) + length <= (begins + sizes)[owner]
+    change = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
+    run_of = np.cumsum(np.isin(np.arange(len(anchor)), change, assume_unique=True)) - 1
+    counts = np.bincount(run_of, weights=good, minlength=len(change)).astype(np.int64)
+    keep = np.flatnonzero(counts)  # the good starts of a text come first, so a run begins with them
+    first = change[keep]
+    o = owner[first]
+    shift = np.array([x[1] for x in use])[o] - begins[o]
+    return np.array([x[0] for x in use])[o], h[anchor[first]].astype(np.int64), anchor[first] + shift, first + shift, counts[keep]
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -323,7 +329,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     Texts are UTF-8 bytes; null counts as empty. Matches never cross rows, may overlap, and may lie within one text;
     all copies are removed, none stays. Repeated rows are copies of each other. Texts shorter than length lose
-    nothing; texts over 256 MB raise an error; an empty table gives an empty result. docs must be a stable scan.
+    nothing; an empty table gives an empty result. docs must be a stable scan.
     """
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     found = saved(repeated_spans(rows, length, gram), "spans")

@@ -318,6 +318,25 @@ def test_suffix_parts_hot_anchors(spark, tmp_path, monkeypatch, most):
     assert got == dict(enumerate(brute_suffix([t.encode() for t in texts], 40)))
 
 
+@pytest.mark.parametrize("most", [1, 7, 100, 1000])
+def test_anchors_of_texts_in_parts(most):
+    """The anchor of each string is the same when texts are hashed in parts, and each string has one."""
+    rng = random.Random(most)
+    texts = [b"", b"short", bytes(rng.choices(b"ab", k=50)), bytes(rng.choices(b"abc", k=997)), b"-" * 300, bytes(rng.choices(b"abc", k=20))]
+
+    def of_strings(size):
+        out = {}
+        for text, key, anchor, first, count in suffix.anchors(texts, 20, 8, size):
+            for t, k, a, f, c in zip(text.tolist(), key.tolist(), anchor.tolist(), first.tolist(), count.tolist(), strict=True):
+                for at in range(f, f + c):
+                    assert (t, at) not in out
+                    out[t, at] = (k, a)
+        return out
+
+    whole = of_strings(suffix.WHOLE)
+    assert of_strings(most) == whole and len(whole) == sum(max(0, len(t) - 19) for t in texts)
+
+
 def test_suffix_short_strings(spark, tmp_path):
     """Many repeats, overlaps and periods, with other parameters."""
     rng = np.random.default_rng(9)
