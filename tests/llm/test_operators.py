@@ -135,8 +135,7 @@ def test_exact_odd_rows(odd, chars):
         assert r["group_size"] == len(g) and r["keep_id"] == min(g, key=lambda x: (x[0], x[1], x[2] or 0))[2]
 
 
-@pytest.mark.parametrize("chars", [64, 1])
-@pytest.mark.parametrize("fanout", [2, 3, 9])
+@pytest.mark.parametrize("chars, fanout", [(64, 2), (1, 3), (64, 9)])
 def test_exact_batches_equal_one(odd, spark, tmp_path, chars, fanout):
     """Five batches, merged through several levels, give what one gives; doc_id and text decide, not the batch."""
     for k in range(5):
