@@ -122,24 +122,25 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-def _hashes(word: str) -> tuple[np.uint64, np.ndarray]:
-    """Hash of a word, a polynomial modulo 2^64, and of the word without each of its code points."""
+def _hashes(word: str) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+    """Hash of a word, a polynomial modulo 2^64, and of the word without each of its code points; and whether each is the
+    last of a run of equal ones, so that the word without it is another than without the next."""
     codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(codes) - 1, BASE))))
         upto = np.concatenate(([np.uint64(0)], np.cumsum((codes + np.uint64(1)) * powers, dtype=np.uint64)))
-        return upto[-1], upto[:-1] + (upto[-1] - upto[1:]) * INVERSE
+        return upto[-1], upto[:-1] + (upto[-1] - upto[1:]) * INVERSE, np.append(codes[1:] != codes[:-1], True)
 
 
 def _without_one(depth: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, word in zip(batch["row"].to_pylist(), batch["word"].to_pylist(), strict=True):
-                whole, parts = _hashes(word)
-                yield pa.RecordBatch.from_pydict({"row": [row], "at": pa.array([-1], pa.int32()), "h": pa.array([int(whole.astype(np.int64))], pa.int64())})
+                whole, parts, ends = _hashes(word)
+                yield pa.RecordBatch.from_pydict({"row": [row], "at": pa.array([-1], pa.int32()), "h": pa.array([int(whole.astype(np.int64))], pa.int64()), "ends": [True]})
                 for k in range(0, len(parts) if len(word) > depth else 0, 50_000):
                     h = parts[k : k + 50_000].astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({"row": pa.array(np.full(len(h), row)), "at": pa.array(np.arange(k, k + len(h), dtype=np.int32)), "h": pa.array(h)})
+                    yield pa.RecordBatch.from_pydict({"row": pa.array(np.full(len(h), row)), "at": pa.array(np.arange(k, k + len(h), dtype=np.int32)), "h": pa.array(h), "ends": pa.array(ends[k : k + 50_000])})
 
     return each
 
@@ -149,11 +150,11 @@ def long_pairs(words: DataFrame, depth: int = DEPTH) -> DataFrame:
     without the code point at one place, or that another is without one of its. Each word gives a row of 20 bytes for each
     code point; hashes only propose, the words themselves decide."""
     rows = saved(words.where(F.char_length("word") >= depth).select(F.monotonically_increasing_id().alias("row"), "word"), "long")
-    parts = saved(rows.mapInArrow(_without_one(depth), "row long, at int, h long"), "parts")
+    parts = saved(rows.mapInArrow(_without_one(depth), "row long, at int, h long, ends boolean"), "parts")
     shorter, whole = parts.where("at >= 0"), parts.where("at < 0").selectExpr("row AS b", "h")
-    other = shorter.select(F.col("row").alias("b"), "at", "h")
-    found = shorter.withColumnRenamed("row", "a").join(other, ["at", "h"]).where("a <> b").selectExpr("a", "b", "at", "true AS replaced")
-    found = found.unionByName(shorter.withColumnRenamed("row", "a").join(whole, "h").selectExpr("a", "b", "at", "false AS replaced"))
+    one, other = (shorter.select(F.col("row").alias(side), "at", "h") for side in "ab")
+    found = one.join(other, ["at", "h"]).where("a <> b").selectExpr("a", "b", "at", "true AS replaced")
+    found = found.unionByName(shorter.where("ends").select(F.col("row").alias("a"), "at", "h").join(whole, "h").selectExpr("a", "b", "at", "false AS replaced"))
     for side in "ab":
         found = found.join(rows.select(F.col("row").alias(side), F.col("word").alias(f"word_{side}")), side)
     cut = "left({0}, at) = left({1}, at) AND substring({0}, at + 2) = substring({1}, at + {2})"

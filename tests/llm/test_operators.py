@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scorespark.llm import bpe, counts, embeddings, exact, langid, license, packing, queries, simhash, substring, suffix, tokens
+from scorespark.llm import automaton, bpe, counts, embeddings, exact, langid, license, packing, queries, simhash, substring, suffix, tokens
 
 LONG = "".join(f"palabra{i} " for i in range(3000))
 PASSAGE = "the same passage of rather many words stands in more than one document and goes on for quite a while " * 3
@@ -83,6 +83,7 @@ ON_DOCS = {
     "language": lambda d: langid.identify_language(d, sample_rows=100),
     "bpe": bpe.bpe_digests,
     "counts": counts.token_counts,
+    "automaton": automaton.automaton_digests,
     "no exact copies": exact.drop_exact_copies,
     "no near copies": simhash.drop_near_copies,
     "identified": langid.keep_identified,
@@ -872,7 +873,7 @@ def huge(spark, tmp_path_factory):
     return spark.read.parquet(path), dict((r[0], r[1] or "") for r in rows)
 
 
-@pytest.mark.parametrize("name", ["simhash", "substring", "packing", "exact", "suffix", "license", "language", "bpe", "counts", "no near copies"])
+@pytest.mark.parametrize("name", ["simhash", "substring", "packing", "exact", "suffix", "license", "language", "bpe", "counts", "automaton", "no near copies"])
 def test_texts_of_10_mb(huge, name):
     """Every operator handles them whole, in one task's memory and some seconds."""
     docs, texts = huge

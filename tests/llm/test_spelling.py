@@ -86,3 +86,13 @@ def test_spelling_of_odd_rows(spark, tmp_path, monkeypatch, hot, depth):
 def test_spelling_of_nothing(spark, tmp_path):
     assert told(spelling.spelling_variants(table(spark, str(tmp_path / "d"), []))) == {}
     assert told(spelling.spelling_variants(table(spark, str(tmp_path / "e"), [(1, None), (2, "a few words")]))) == {}
+
+
+def test_words_of_fifty_thousand_letters(spark, tmp_path):
+    """One letter over and over: every deletion gives the same word."""
+    long, longer = "y" * 50_000, "y" * 50_001
+    rows = [(k, f"{long}. planet") for k in range(5)] + [(k, longer) for k in range(30)]
+    n = counted(rows)
+    assert n[long] == 5 and n[longer] == 30 and n["planet"] == 5
+    got = told(spelling.spelling_variants(table(spark, str(tmp_path / "d"), rows)))
+    assert got == {long: (longer, longer, 5, 1, 30), longer: (None, longer, 30, 1, None), "planet": (None, "planet", 5, 0, None)}
