@@ -30,7 +30,7 @@ FLOOR = 1e-7
 #: Languages that a model has; texts pass through as many models as that takes, and each goes to every worker.
 BLOCK = 256
 #: Cells (word, place, length) of a chart that are made at once, about, and steps after which probabilities are rescaled.
-CELLS, RESCALE = 1 << 21, 24
+CELLS, RESCALE = 1 << 20, 24
 PRED, SCORE, RATE = "_scorespark_lang", "_scorespark_score", "_scorespark_rate"
 #: Least log probability a character (letters and one mark a word) under the best language for keep_identified(): one in
 #: about 1100. Over sf0.01 all texts have -2.4 and more, -6.3 and more with a model of a single labelled text; noise such
