@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -207,12 +208,19 @@ def _blocks(width: int):
     return lambda: work
 
 
-def _sets(width: int):
-    """row, shingles (sorted 64-bit hashes of the set, little-endian)."""
+def _numbered(h: np.ndarray) -> np.ndarray:
+    """Sorted hashes with a hash's second, third, ... occurrence made other values, so that sets of them compare repeats."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), h[1:] != h[:-1])))
+    nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return h + nth.astype(np.uint64) * _FACTORS[0]
+
+
+def _sets(width: int, repeats: bool = False):
+    """row, shingles (sorted 64-bit hashes of the set, little-endian; with repeats each occurrence is an element)."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        flats = [shingle_hashes(t, width) for t in batch["text"].to_pylist()]
-        sets = [np.unique(np.frombuffer(f, ">u8").astype("<u8")).tobytes() for f in flats]
+        hashes = (np.frombuffer(shingle_hashes(t, width), ">u8").astype("<u8") for t in batch["text"].to_pylist())
+        sets = [np.unique(_numbered(np.sort(h)) if repeats else h).tobytes() for h in hashes]
         return {"row": batch["row"], "shingles": pa.array(sets, pa.binary())}
 
     return lambda: work
@@ -269,8 +277,36 @@ def _similar_in_tile(similarity: float):
     return work
 
 
+def _links_in_blocks(docs: DataFrame, entries: DataFrame, sets: Callable, similarity: float, slot: int) -> DataFrame:
+    """(a, b): a spanning forest of the links among rows of a block (band, row; cheap to read twice), decided by their sets."""
+    entries = saved(tiles(entries, ["band"], "row", slot), "tiles")
+    # Sets are made for texts that share a block only, and nothing else of the corpus is shuffled.
+    suspects, _ = split_by_filter(docs.select("row", "text"), "row", entries.select("row"))
+    members = entries.join(map_batches(suspects, sets, "row long, shingles binary"), "row")
+    return map_runs(members, ["band", "_a", "_b"], _similar_in_tile(similarity), "a long, b long")
+
+
+def fingerprint_links(docs: DataFrame, width: int = 5, similarity: float = 0.8, slot: int = SLOT // 2) -> DataFrame:
+    """(a, b): links among the rows of docs (row, text) that operator 1 finds, a spanning forest of each tile's.
+
+    simhash_dedup() gives the components of fingerprints that differ in at most RADIUS bits. Over half of a text's
+    shingles may be one and the same, and then its fingerprint is that shingle's whatever else it says. So each component
+    is compared exactly, in tiles: the Jaccard similarity of the shingles of width words has to be at least similarity,
+    where each repeat counts as it does in a fingerprint. Texts without words link with nothing.
+    """
+    said = docs.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    prints = simhash_dedup(said.select(F.col("row").alias("doc_id"), "text"))
+    entries = saved(prints.select(F.col("component_id").alias("band"), F.col("doc_id").alias("row")), "prints")
+    return _links_in_blocks(docs, entries, _sets(width, repeats=True), similarity, slot)
+
+
 def near_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, slot: int = SLOT // 2) -> DataFrame:
-    """(row, label) of the rows of docs (row, text) that are near copies of another; label is the smallest row reachable.
+    """(row, label) of the rows of docs (row, text) that set_links() joins; label is the smallest row reachable."""
+    return components(set_links(docs, width, similarity, slot)).select(F.col("node").alias("row"), "label")
+
+
+def set_links(docs: DataFrame, width: int = 5, similarity: float = 0.8, slot: int = SLOT // 2) -> DataFrame:
+    """(a, b): links among the rows of docs (row, text) by sets of shingles, a spanning forest of each tile's.
 
     Texts are linked when the Jaccard similarity of their sets of word shingles is at least similarity; how often a
     shingle is repeated does not matter. At that similarity fingerprints differ in about ten bits, too many for blocks
@@ -284,20 +320,21 @@ def near_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, slot: i
     mark = lambda seed: F.bit_xor(F.xxhash64("row", F.lit(seed)))
     held = entries.groupBy("band").agg(F.count(F.lit(1)).alias("m"), mark(1).alias("p"), mark(2).alias("q")).where("m > 1")
     alone = saved(held.groupBy("m", "p", "q").agg(F.min("band").alias("band")).select("band", "m"), "alone")
-    entries = saved(tiles(join_counted(entries, alone, ["band"], "m"), ["band"], "row", slot), "tiles")
-    # Sets are made for texts that share a block only, and nothing else of the corpus is shuffled.
-    suspects, _ = split_by_filter(docs.select("row", "text"), "row", entries.select("row"))
-    members = entries.join(map_batches(suspects, _sets(width), "row long, shingles binary"), "row")
-    edges = map_runs(members, ["band", "_a", "_b"], _similar_in_tile(similarity), "a long, b long")
-    return components(edges).select(F.col("node").alias("row"), "label")
+    return _links_in_blocks(docs, join_counted(entries, alone, ["band"], "m"), _sets(width), similarity, slot)
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, all columns, with one row of each group of near copies: that with the smallest doc_id (null last; of equal
-    ones the first row). Texts that are null or have no words stay; an empty table stays empty."""
+    ones the first row). Texts that are null or have no words stay; an empty table stays empty.
+
+    Links are those of operator 1's search (fingerprint_links(): at most RADIUS bits, confirmed by the shingles) and those
+    of texts whose fingerprints lie further apart while their sets of shingles are similar (set_links()); groups are the
+    components of both.
+    """
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
     light = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    found = saved(near_texts(light, width, similarity), "near")
+    links = fingerprint_links(light, width, similarity).unionByName(set_links(light, width, similarity))
+    found = saved(components(links).select(F.col("node").alias("row"), "label"), "near")
     named = saved(light.select("doc_id", "row").join(found, "row"), "named")
     first = saved(named.groupBy("label").agg(F.expr("min(struct(doc_id IS NULL AS n, doc_id, row)).row").alias("keep"), F.count(F.lit(1)).alias("m")), "first")
     gone = saved(join_counted(named, first, ["label"], "m").where("row <> keep").select(F.col("row").alias(ROW)), "gone")

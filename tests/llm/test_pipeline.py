@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
+from scorespark.llm import simhash
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti") for b in ("bel", "dor", "fan", "gil", "hum", "jex", "kov", "lat")]
 
@@ -111,3 +113,60 @@ def test_planted_near_copies_are_caught(spark, tmp_path):
                     label = {i: low if x == high else x for i, x in label.items()}
         want |= set(label.values())
     assert kept == want and 130 < len(want) < 300
+
+
+def repeats(text):
+    words = text.split()
+    return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def same_share(a, b):
+    a, b = repeats(a), repeats(b)
+    return (a & b).total() / (a | b).total()
+
+
+def test_near_copies_by_fingerprints(spark, tmp_path):
+    """Operator 1's links count: texts within three bits go where their shingles, repeats included, agree to 0.8; one
+    fingerprint of otherwise different texts is not enough. Sets of shingles tell neither case."""
+    line, rows = prose(70, 12), []
+    for k in range(4):
+        rows += [(10 * k + i, " ".join([prose(200 + 10 * k + i, 100), *[f"{line} {k}"] * 200])) for i in range(2)]  # mostly one line
+        rows += [(10 * k + i, " ".join([prose(200 + 10 * k + i, 100), *[f"n{k}"] * 150])) for i in (5, 6)]  # over half one shingle
+    texts = dict(rows)
+    bits = lambda a, b: (simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count()
+    near = [10 * k for k in range(4) if bits(10 * k, 10 * k + 1) <= 3]
+    assert near and all(same_share(texts[i], texts[i + 1]) >= 0.8 for i in near)
+    assert all(bits(10 * k + 5, 10 * k + 6) == 0 and same_share(texts[10 * k + 5], texts[10 * k + 6]) < 0.8 for k in range(4))
+    rows += [(100, None), (101, " \t"), (102, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    assert simhash.near_texts(docs.withColumnRenamed("doc_id", "row")).count() == 0
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows} - {i + 1 for i in near}
+
+
+def test_fingerprint_links_match_brute_force(spark, tmp_path):
+    """All pairs within a component of fingerprints are compared, also where tiles hold a few rows."""
+    rng, texts = random.Random(8), []
+    for k in range(25):
+        base = prose(3000 + k, 150).split() + ["again"] * rng.choice((0, 0, 400))
+        for _ in range(8):
+            words = list(base)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = "new"
+            texts.append(" ".join(words[rng.choice((0, 0, 100)) :]))
+    prints = [simhash.fingerprint(t) for t in texts]
+
+    def grouped(label, links):
+        for a, b in links:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+        return label
+
+    pairs = [(j, i) for i in range(len(texts)) for j in range(i)]
+    reach = grouped(list(range(len(texts))), [(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 3])
+    want = grouped(list(range(len(texts))), [(a, b) for a, b in pairs if reach[a] == reach[b] and same_share(texts[a], texts[b]) >= 0.8])
+    spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    found = simhash.fingerprint_links(spark.read.parquet(str(tmp_path / "t")), slot=2).collect()
+    assert grouped(list(range(len(texts))), [(r["a"], r["b"]) for r in found]) == want
+    assert len(set(reach)) < len(set(want)) < len(texts)
