@@ -6,9 +6,11 @@ import math
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from scorespark import plans
 from scorespark.operators import association, folds
 
 
@@ -81,3 +83,28 @@ def test_crowded_page_in_reasonable_time(spark):
     assert folds.match_boxes(df, ["image"], 0.3).count() > 1000
     assert 1000 < folds.suppress_boxes(df, ["image"], 0.4).count() < n
     assert time.time() - began < 180
+
+
+@pytest.mark.parametrize("name", ["box_match_center", "box_match_iou"])
+def test_box_matches_with_equal_ids_are_those_of_the_sql(spark, tmp_path, name):
+    """Line items of one order, line, place and even quantity: truths of one id go together, wherever their centres are."""
+    rng, rows = random.Random(5), []
+    for order in range(300):
+        for _ in range(rng.randint(2, 14)):
+            rows.append((order, 100 * rng.randint(0, 9) + rng.choice([3, 5, 60]), 50 * rng.randint(0, 9) + rng.choice([4, 6]), rng.randint(1, 3), float(rng.choice([1, 2, 9, 9, 50])), rng.choice("ANR"), rng.choice("FO")))
+    shape = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")  # rows of equal score and id as they lie
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = plans.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.oracle_sql()[name]})").fetchall()
+    assert len(want) > 200 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_truths_of_one_id_far_apart(spark):
+    """One truth with two boxes far from each other is used once, by the better found box; a box without size is harmless."""
+    rows = [(1, 0, 0.0, 0.0, 0.0, 4.0, 4.0, "a"), (1, 0, 0.0, 500.0, 500.0, 4.0, 4.0, "b"), (1, 0, 0.0, 900.0, 0.0, 0.0, 4.0, "c"), (7, 1, 0.9, 500.0, 500.0, 4.0, 4.0, "a"), (8, 1, 0.8, 0.0, 0.0, 4.0, 4.0, "a")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], BOX)
+    for least, most in ((0.3, None), (None, 6.0)):
+        assert [(r.found_id, r.truth_id, r.same) for r in folds.match_boxes(df, ["image"], least, most).collect()] == [(7, 1, False)]
