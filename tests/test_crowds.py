@@ -108,3 +108,11 @@ def test_truths_of_one_id_far_apart(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], BOX)
     for least, most in ((0.3, None), (None, 6.0)):
         assert [(r.found_id, r.truth_id, r.same) for r in folds.match_boxes(df, ["image"], least, most).collect()] == [(7, 1, False)]
+
+
+def test_halves_are_rounded_as_in_sql(spark):
+    from scorespark.plans.ordered import _rounded
+
+    values = [p / q for q in (1024, 5120, 10240) for p in range(1, q)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(_rounded("v")).collect()]
+    assert got == duckdb.execute("SELECT list_transform($1::DOUBLE[], lambda v: round(v, 9))", [values]).fetchone()[0]
