@@ -53,19 +53,22 @@ def _document(spark):
     return spark.sql(f"SELECT {one}, {rest} FROM range(600)"), spark.sql("SELECT 1L AS doc, id AS measure, 12L AS capacity, true AS printed, id % 2 = 0 AS vector, true AS authoritative, 11D AS spacing FROM range(100)")
 
 
-def test_corrections_deal_events_by_measure_only(spark):
+def test_corrections_and_digits_deal_events_by_measure_only(spark):
     """Joins by document, measure and position dealt all events anew in every pass."""
     e, m = _document(spark)
-    for df in (P.correct(e, m),):
+    for df in (P.correct(e, m), P.fix_digits(e)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
         assert dealt and not any("position" in line.split("hashpartitioning")[1] for line in dealt)
     assert P.correct(e, m).count() <= 600
 
 
-def test_corrected_measures_are_exact(spark):
+def test_corrected_measures_are_exact_and_digits_fixed(spark):
     e, m = _document(spark)
     changes = P.accepted(P.proposals(e, m))
     after = {r.measure: r.t for r in P.apply_changes(e, changes).groupBy("measure").agg(F.sum("ticks").alias("t")).collect()}
     hit = {r.measure for r in changes.collect()}
     assert hit and all(after[k] == 12 for k in hit)
+    frets = [r.f for r in P.fix_digits(e).orderBy("measure", "position").select(F.col("notes")[0]["fret"].alias("f")).collect()]
+    want = [r.fixed for r in P.outlier_digits(e.select("doc", "measure", "position", F.col("notes")[0]["string"].alias("string"), F.col("notes")[0]["fret"].alias("fret")), ["doc", "string"], ["measure", "position"], "fret").orderBy("measure", "position").collect()]
+    assert frets == want
