@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 from functools import partial
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +107,70 @@ def test_rolling_quality_with_late_rows_and_compaction(spark, tmp_path):
     twins.compact(spark, path, shape, ["start", "user_id"])
     twins.compact(spark, path, shape, ["start", "user_id"])
     assert told() == want and len(numbered_folders(spark, path, "base")) == 1
+
+
+def plain_pages(state, rows, marks, first=1):
+    """number_pages() row by row: documents as (last, next, upto, waiting), stepped where rows come or are due."""
+    out = []
+    for new, mark in zip(rows, marks, strict=True):
+        for key in {r[0] for r in new} | {k for k, d in state.items() if d[3] and (d[3][0][0] // 1000 + 1) * 1000 <= mark}:
+            last, number, upto, waiting = state.get(key, (None, first, -1, []))
+            mine = [r[1:] for r in new if r[0] == key]
+            out += [(key, r[1], r[2], None, None, True) for r in mine if r[0] <= upto]
+            rest = sorted([*waiting, *(r for r in mine if r[0] > upto)], key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] is not None, r[2] or 0))
+            for _, ident, v in (r for r in rest if r[0] <= mark):
+                last = last if v is None else v
+                out.append((key, ident, v, last, number, False))
+                number += 1
+            state[key] = (last, number, max(upto, mark), [r for r in rest if r[0] > mark])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pages_of_a_bucket_are_those_of_its_documents(seed):
+    rng = random.Random(seed)
+    maybe = lambda v: None if rng.random() < 0.15 else v
+    marks = [-1, 4000, 4000, 9500, 9500, 20_000, 60_000]
+    rows = [[(maybe(rng.randint(0, 6)), m + rng.randint(-6000, 15_000) if m > 0 else rng.randint(0, 9000), maybe(rng.randint(-5, 40)), maybe(rng.randint(0, 99))) for _ in range(rng.choice([0, 1, 20]))] for m in marks]
+    docs, waiting, got = np.zeros(0, twins._DOCUMENT), np.zeros(0, twins._ROW), []
+    for new, mark in zip(rows, marks, strict=True):
+        fresh = np.array([(k or 0, t, i or 0, v or 0, k is None, i is None, v is None, True) for k, t, i, v in new], dtype=twins._ROW)
+        docs, waiting, (out, numbers, carried, late) = twins.give_out(docs, np.concatenate([waiting, fresh]), mark, 1)
+        said = lambda c: [None if n else int(x) for x, n in zip(out[c], out[f"{c}_none"], strict=True)]  # noqa: E731, B023
+        whole = lambda a: [None if x is pd.NA else int(x) for x in a]
+        got += zip(said("key"), said("id"), said("v"), whole(carried), whole(numbers), map(bool, late), strict=True)
+    order = lambda rows: sorted(rows, key=str)
+    assert order(got) == order(plain_pages({}, rows, marks)) and len(got) + len(waiting) == sum(map(len, rows))
+
+
+def test_a_batch_is_stepped_once_for_both_outputs(spark, tmp_path):
+    """Both writes of a batch stepped all states of the stream anew."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    batch = spark.range(100).selectExpr("id AS event_id", "id % 10 = 0 AS late").mapInArrow(counted, "event_id long, late boolean")
+    twins.on_time_and_late(batch, 0, str(tmp_path))
+    assert seen.value == 100
+    assert [spark.read.parquet(f"{tmp_path}/{name}").count() for name in ("rows", "late")] == [90, 10]
+
+
+def test_many_documents_share_few_states(spark, tmp_path):
+    """A state a document cost a dozen calls a batch each; numbers and late rows are the documents' own."""
+    path = str(tmp_path)
+
+    def run(rows):
+        add(spark, path, rows)
+        return twins.keep(twins.number_pages(stream(spark, path), "user_id", "v", timedelta(hours=2)), partial(twins.on_time_and_late, path=path), f"{path}/state")
+
+    run([row(2 * k, k, at=k % 3 / 2) for k in range(3000)] + [row(-1, None, at=0.5, v=4)])
+    run([row(2 * k + 1, k, at=1.5) for k in range(3000)] + [row(-2, 9000, at=6)])
+    run([row(-3, 9000, at=20)])
+    run([row(-4, 1, at=0.2), row(-5, 9001, at=30)])
+    got = sorted((r.user_id, r.event_id, r.number) for r in spark.read.parquet(f"{path}/rows").where("user_id < 3000").collect())
+    assert got == sorted((k, 2 * k + j, j + 1) for k in range(3000) for j in (0, 1))
+    assert [(r.user_id, r.event_id) for r in spark.read.parquet(f"{path}/late").collect()] == [(1, -4)]
+    assert [(r.event_id, r.carried, r.number) for r in spark.read.parquet(f"{path}/rows").where("user_id IS NULL").collect()] == [(-1, 4, 1)]
