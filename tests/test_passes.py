@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scorespark.operators import folds
 from scorespark.operators import passes as P
+from scorespark.plans import documents
 
 
 @pytest.mark.parametrize("cells", [folds.CELLS, 40])
@@ -72,3 +73,10 @@ def test_corrected_measures_are_exact_and_digits_fixed(spark):
     frets = [r.f for r in P.fix_digits(e).orderBy("measure", "position").select(F.col("notes")[0]["fret"].alias("f")).collect()]
     want = [r.fixed for r in P.outlier_digits(e.select("doc", "measure", "position", F.col("notes")[0]["string"].alias("string"), F.col("notes")[0]["fret"].alias("fret")), ["doc", "string"], ["measure", "position"], "fret").orderBy("measure", "position").collect()]
     assert frets == want
+
+
+def test_events_of_documents_are_dealt_once_before_corrections(spark, sf_dir):
+    """Places were counted by order, then all events dealt anew by document and measure."""
+    e, _ = documents._score_document(spark, sf_dir)
+    plan = P.prune_empty(e)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
